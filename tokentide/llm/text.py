@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 _UPPER = bytes(range(0x41, 0x5B))
 _LOWER = bytes(range(0x61, 0x7B))
@@ -39,3 +43,25 @@ def alnum_words(text: bytes | None) -> list[bytes]:
 
 def lower_ascii(col: Column) -> Column:
     return F.translate(col, _UPPER.decode(), _LOWER.decode())
+
+
+def map_texts(
+    docs: DataFrame, fn: Callable[[bytes | None], tuple], added: str, text_col: str = "text", keep: list[str] | None = None
+) -> DataFrame:
+    """``docs`` (its columns ``keep``, else all) with the columns ``added`` that ``fn`` makes of each whole text.
+
+    Columns that bear an added name are replaced.
+    """
+    new = StructType.fromDDL(added)
+    names = [f.name for f in new]
+    rest = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    kept = docs.select(*rest).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [fn(t) for t in raw(batch.column(len(rest)))]
+            made = [pa.array([r[i] for r in rows], to_arrow_type(f.dataType)) for i, f in enumerate(new)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *made], names=[*rest, *names])
+
+    rows = docs.select(*[docs[c] for c in rest], docs[text_col].cast("string").alias("__text"))
+    return rows.mapInArrow(run, StructType([*kept, *new]))
