@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from tokentide.llm.decontaminate import find_contamination
 from tokentide.llm.linededup import dedup_lines
 from tokentide.llm.mixing import mix
+from tokentide.llm.outliers import judge_texts
+from tokentide.llm.ranking import CUT, learn, score_documents
 from tokentide.llm.scratch import new_path
+from tokentide.llm.simhash import near_duplicates
 from tokentide.llm.warc import read_archive, write_archive
 from tokentide.llm.wordpiece import byte_level_pieces, count_pieces, read_ranked_vocabulary
 
@@ -33,6 +36,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"), items.alias("items_sha256"), "contaminated")
 
 
+def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_texts(table(spark, sf_dir, "documents"))
+    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judged.select(*base, "distance")
+
+
 def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_archive(table(spark, sf_dir, "pages"), path)
@@ -51,6 +60,21 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def learnt_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").filter(~held_out(4))
+
+
+def op8_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = learn(docs, learnt_labels(spark, sf_dir))
+    scored = score_documents(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", held_out(4).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
+def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     initial, continuing = byte_level_pieces(read_ranked_vocabulary(VOCABULARY))
     return count_pieces(table(spark, sf_dir, "documents"), initial, continuing, mark=b" ")
@@ -58,9 +82,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_robust_outliers": op2_robust_outliers,
     "op3_warc_archive": op3_warc_archive,
     "op5_poisson_mixing": op5_poisson_mixing,
     "op7_line_dedup": op7_line_dedup,
+    "op8_bradley_terry": op8_bradley_terry,
+    "op9_simhash_groups": op9_simhash_groups,
     "op10_token_counts": op10_token_counts,
 }
 
