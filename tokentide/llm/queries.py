@@ -11,6 +11,7 @@ from tokentide.llm.decontaminate import find_contamination
 from tokentide.llm.linededup import dedup_lines
 from tokentide.llm.mixing import mix
 from tokentide.llm.outliers import judge_texts
+from tokentide.llm.paragraphs import repeated_paragraphs
 from tokentide.llm.ranking import CUT, learn, score_documents
 from tokentide.llm.scratch import new_path
 from tokentide.llm.simhash import near_duplicates
@@ -50,6 +51,10 @@ def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified", digest)
 
 
+def op4_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
 def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "copy", "shuffle_key", "text")
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_robust_outliers": op2_robust_outliers,
     "op3_warc_archive": op3_warc_archive,
+    "op4_paragraph_minhash": op4_paragraph_minhash,
     "op5_poisson_mixing": op5_poisson_mixing,
     "op7_line_dedup": op7_line_dedup,
     "op8_bradley_terry": op8_bradley_terry,
