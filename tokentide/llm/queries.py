@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokentide.llm.backoff import score_texts
 from tokentide.llm.decontaminate import find_contamination
 from tokentide.llm.linededup import dedup_lines
 from tokentide.llm.mixing import mix
@@ -60,6 +61,12 @@ def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "copy", "shuffle_key", "text")
 
 
+def op6_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (~held_out(7)).alias("learn"))
+    scored = score_texts(docs, "learn")
+    return scored.select("doc_id", (~F.col("learnt")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -91,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc_archive": op3_warc_archive,
     "op4_paragraph_minhash": op4_paragraph_minhash,
     "op5_poisson_mixing": op5_poisson_mixing,
+    "op6_backoff_automaton": op6_backoff_automaton,
     "op7_line_dedup": op7_line_dedup,
     "op8_bradley_terry": op8_bradley_terry,
     "op9_simhash_groups": op9_simhash_groups,
