@@ -1,0 +1,25 @@
+"""Data-quality counters of sources and the verdict on each."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def counters(records: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts of the boolean columns malformed, recognized, relevant, normalized of each source."""
+    flags = ["malformed", "recognized", "relevant", "normalized"]
+    return records.groupBy(*keys).agg(F.count("*").alias("records"), *[F.count_if(f).alias(f) for f in flags])
+
+
+def verdict(counted: DataFrame) -> DataFrame:
+    """'failed' if nothing was recognized, or of relevant records none normalized; 'partial' if some
+    were lost; else 'ok'. A source without records is 'ok'."""
+    lost = (F.col("malformed") > 0) | (F.col("normalized") < F.col("relevant"))
+    nothing = (F.col("records") > 0) & (F.col("recognized") == 0)
+    fruitless = (F.col("relevant") > 0) & (F.col("normalized") == 0)
+    return counted.withColumn("verdict", F.when(nothing | fruitless, "failed").when(lost, "partial").otherwise("ok"))
+
+
+def emitted(counted: DataFrame) -> DataFrame:
+    return verdict(counted).filter("verdict <> 'failed'")
