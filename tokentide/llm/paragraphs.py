@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -183,19 +182,49 @@ def connect(nodes: list[int], sets: list[set[bytes]], similarity: float) -> list
 
 
 def _links(members: DataFrame, texts: DataFrame, shingle: int, similarity: float, block: int) -> DataFrame:
-    """members: (bucket, node, size) -> (a, b), verified."""
+    """members: (bucket, node, size) -> (a, b), verified.
+
+    Groups are mostly pairs, so a partition, sorted by group, is read as one stream; a task holds
+    one group at a time, of two blocks at most.
+    """
     blocks = F.ceil(F.col("size") / block).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("own", own)
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("low"), F.greatest("own", k).alias("high")))
     dealt = dealt.select("bucket", "node", F.explode(meets).alias("m")).select("bucket", "node", "m.*")
 
-    def verify(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("node")
-        found = connect(rows["node"].tolist(), [shingles(t, shingle) for t in rows["text"]], similarity)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    def links_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return dealt.join(texts, "node").groupBy("bucket", "low", "high").applyInPandas(verify, "a bigint, b bigint").distinct()
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, nodes, sets = None, [], []
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for *key, node, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "low", "high", "node", "text"))):
+                if key != group:
+                    found += connect(nodes, sets, similarity)
+                    group, nodes, sets = key, [], []
+                nodes.append(node)
+                sets.append(shingles(text, shingle))
+            yield links_of(found)
+        yield links_of(connect(nodes, sets, similarity))
+
+    group = ["bucket", "low", "high"]
+    rows = dealt.join(texts, "node").select(*group, "node", "text").repartition(*group).sortWithinPartitions(*group, "node")
+    return rows.mapInArrow(verify, "a bigint, b bigint").distinct()
+
+
+def _distinct_buckets(held: DataFrame) -> DataFrame:
+    """held: (bucket, node, first) -> (bucket, node, first, size) of one bucket of each set of two nodes or more.
+
+    Near copies meet in most of their bands. Buckets of the same nodes give the same links, so one
+    of them is enough. Sets are told apart by size and 128 bits of their nodes' hashes.
+    """
+    whole = Window.partitionBy("bucket")
+    marks = {f"mark{i}": F.bit_xor(F.xxhash64("node", F.lit(i))).over(whole) for i in (2, 3)}
+    sized = written(held.withColumns({"size": F.count("*").over(whole), **marks}).filter("size > 1"), "buckets")
+    one = sized.groupBy("size", *marks).agg(F.min("bucket").alias("bucket")).select("bucket")
+    return sized.join(one, "bucket", "left_semi").drop(*marks)
 
 
 def repeated_paragraphs(
@@ -227,8 +256,7 @@ def repeated_paragraphs(
     place = F.struct("id", "line")
     distinct = signed.groupBy("digest").agg(F.min(place).alias("first"), F.min("keys").alias("keys"))
     held = distinct.select(F.explode("keys").alias("bucket"), F.xxhash64("digest").alias("node"), "first")
-    sized = held.withColumn("size", F.count("*").over(Window.partitionBy("bucket"))).filter("size > 1")
-    sized = written(sized, "buckets")
+    sized = written(_distinct_buckets(held), "distinct-buckets")
     wanted = sized.groupBy("node").agg(F.min("first").alias("first")).select("node", "first.*")
     texts = written(_texts(docs, wanted, least_words), "paragraph-texts")
     joined = components(_links(sized.select("bucket", "node", "size"), texts, shingle, similarity, block))
@@ -237,6 +265,7 @@ def repeated_paragraphs(
     placed = named.join(joined, "node", "left").select("id", "line", "n_words", F.coalesce("component", "node").alias("cluster"))
     placed = written(placed.distinct(), "placed-paragraphs")
     clusters = placed.groupBy("cluster").agg(F.min(place).alias("first"), (F.min("id") < F.max("id")).alias("spans")).filter("spans")
+    clusters = written(clusters, "clusters")  # a scan on either side lets adaptive execution split a large cluster
     out = placed.join(clusters, "cluster")
     return out.select(
         F.col("id").alias(id_col),
