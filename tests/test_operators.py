@@ -1,0 +1,69 @@
+import pytest
+from pyspark.sql import functions as F
+
+from tokentide.functions import formats, tokens
+from tokentide.operators import export, usage
+from tokentide.schemas import PRICES, REQUEST_USAGE
+from tokentide.streaming.incremental import refresh
+
+
+def request(provider, model, **given):
+    row = dict.fromkeys("provider path session_id session_date ts_ms model is_advisor input output reasoning cache_read cc_5m cc_1h web_search tool_tokens published_total request_context stored_cost".split())
+    row |= dict.fromkeys(["input", "output", "reasoning", "cache_read", "cc_5m", "cc_1h", "web_search", "tool_tokens"], 0)
+    return tuple((row | {"provider": provider, "model": model} | given).values())
+
+
+@pytest.fixture(scope="module")
+def prices(spark):
+    def rates(x):
+        return (x, x, 0.0, x, x, 0.0)
+
+    return spark.createDataFrame([("m", rates(1e-6), [rates(4e-6)], False, [272000], 0.0), ("100", rates(0.01), [], False, None, 0.0)], PRICES)
+
+
+def test_tier_belongs_to_the_request(spark, prices):
+    """Two requests that straddle a boundary together, but not each, stay on the base rate."""
+    rows = [request("codex", "m", input=x, request_context=x) for x in (200_000, 1_000)] + [request("codex", "m", input=300_000, request_context=300_000)]
+    got = usage.usage(spark.createDataFrame(rows, REQUEST_USAGE), prices).collect()
+    assert [(r.model, round(r.cost_usd, 9)) for r in got] == [("m", 0.201 + 1.2)]
+
+
+def test_stored_cost_counts_where_the_key_is_not_exact(spark, prices):
+    rows = [request("hermes", "x/m", input=5, stored_cost=7.0), request("hermes", "m", input=1_000_000, stored_cost=9.0), request("cursor", "zzz", cache_read=5)]
+    got = usage.usage(spark.createDataFrame(rows, REQUEST_USAGE), prices)
+    assert {(r.provider, r.model): round(r.cost_usd, 9) for r in got.collect()} == {("hermes", "x/m"): 7.0, ("hermes", "m"): 1.0, ("cursor", "zzz"): 0.0}
+    assert {r.value for r in export.usage_text(got).collect()} == {"x/m: $7.000000", "m: $1.000000", "zzz: $0.000000"}
+    assert '"cost_usd":7.0,"model":"x/m"' in "".join(r.value for r in export.usage_json(got).collect())
+    merged = {r.model: round(r.cost_usd, 9) for r in usage.merge_bases(got).collect()}
+    assert merged == {"m": 8.0, "zzz": 0.0}
+
+
+def test_bounds_keep_the_ascending_run(spark):
+    row = spark.range(1).select(tokens.ascending_bounds(F.expr("array(5L, 9L, 9L, 20L)")).alias("a"), tokens.ascending_bounds(F.expr("array(-1L)")).alias("b")).first()
+    assert (row.a, row.b) == ([5, 9], None)
+
+
+def test_formats(spark):
+    rows = spark.createDataFrame([(999, 0.005), (999_950, -1234.5), (1_500, 0.0)], "n bigint, usd double").select(formats.compact(F.col("n")), formats.cost(F.col("usd"))).collect()
+    assert [tuple(r) for r in rows] == [("999", "$0.01"), ("1.00M", "-$1,234.50"), ("1.50K", "$0.00")]
+
+
+def test_refresh_reads_only_what_changed(spark, tmp_path):
+    read = []
+
+    def reader(files):
+        read.append(sorted(r.path for r in files.select("path").collect()))
+        return files.select("path", F.length("value").cast("long").alias("input"))
+
+    def files(**texts):
+        return spark.createDataFrame([(p, "2024-01-01", len(t), t) for p, t in texts.items()], "path string, session_date string, length bigint, value string")
+
+    first = refresh(spark, files(a="x", b="yy"), reader, None, f"{tmp_path}/1")
+    assert sorted(tuple(r) for r in first.collect()) == [("a", 1), ("b", 2)]
+    second = refresh(spark, files(a="x", b="yyyy", c="z"), reader, f"{tmp_path}/1", f"{tmp_path}/2")
+    assert sorted(tuple(r) for r in second.collect()) == [("a", 1), ("b", 4), ("c", 1)]
+    partial = refresh(spark, files(c="z"), reader, f"{tmp_path}/2", f"{tmp_path}/3", complete=False)
+    assert partial.count() == 3
+    whole = refresh(spark, files(c="z"), reader, f"{tmp_path}/3", f"{tmp_path}/4")
+    assert [r.path for r in whole.collect()] == ["c"]
+    assert read == [["a", "b"], ["b", "c"], [], []]

@@ -1,0 +1,15 @@
+import pytest
+
+from tests.oracle import connect, differences
+from tokentide.plans import log_queries, usage_queries  # noqa: F401
+from tokentide.plans.registry import ORACLES, QUERIES
+
+
+@pytest.fixture(scope="module")
+def con(small):
+    return connect(small)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_matches_its_sql(spark, small, con, name):
+    assert differences(spark, con, name, QUERIES[name], ORACLES[name], small) is None

@@ -50,3 +50,19 @@ def cost_fields(m: Column) -> Column:
 def sorted_map(m: Column) -> Column:
     """A map whose entries are in key order, for output."""
     return F.map_from_entries(F.array_sort(F.map_entries(m)))
+
+
+def ints_or_absent(v: Column, fields: list[str]) -> Column:
+    """An object none of whose ``fields`` is anything but an integer, null or absent."""
+    kinds = [F.coalesce(variant_type(v, f"$.{f}"), F.lit("VOID")).isin("BIGINT", "VOID") for f in fields]
+    return is_object(v) & F.array_position(F.array(*kinds), F.lit(False)).eqNullSafe(F.lit(0))
+
+
+def items(v: Column, path: str) -> Column:
+    """The items of the array at ``path`` as variants; none where there is no array."""
+    return F.when(is_array(v, path), F.try_variant_get(v, path, "array<variant>")).otherwise(F.expr("cast(array() as array<variant>)"))
+
+
+def entries(v: Column, path: str) -> Column:
+    """The fields of the object at ``path`` as a map of variants; none where there is no object."""
+    return F.when(is_object(v, path), F.try_variant_get(v, path, "map<string,variant>")).otherwise(F.expr("cast(map() as map<string,variant>)"))

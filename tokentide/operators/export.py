@@ -1,0 +1,37 @@
+"""Shapes in which results leave: JSON rows, text lines, flattened documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tokentide.functions import tokens as t
+from tokentide.operators.analysis import COUNTERS
+
+
+def usage_json(priced: DataFrame) -> DataFrame:
+    """One JSON string per row, fields in key order; a null matched model is left out."""
+    usage = F.struct(*[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in sorted([*t.BUCKETS, "total", "web_search"])])
+    return priced.select(F.to_json(F.struct("cost_usd", "matched_model", "model", usage.alias("usage"))).alias("value"))
+
+
+def usage_text(priced: DataFrame) -> DataFrame:
+    """'model (matched): $0.000000' in order of cost and model."""
+    shown = F.when(F.col("matched_model").isNotNull(), F.concat("model", F.lit(" ("), "matched_model", F.lit(")"))).otherwise(F.col("model"))
+    return priced.orderBy("cost_usd", "model").select(F.format_string("%s: $%.6f", shown, F.col("cost_usd")).alias("value"))
+
+
+def analysis_text(rows: DataFrame) -> DataFrame:
+    pairs = [F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in COUNTERS]
+    return rows.orderBy("model").select(F.concat("model", F.lit(": "), F.concat_ws(" ", *pairs)).alias("value"))
+
+
+def with_total(rows: DataFrame, label: str, sums: list[str]) -> DataFrame:
+    """The rows and a TOTAL row."""
+    total = rows.agg(*[F.sum(c).alias(c) for c in sums]).withColumn(label, F.lit("TOTAL"))
+    return rows.select(label, *sums).unionByName(total.select(label, *sums))
+
+
+def provider_footer(days: DataFrame) -> DataFrame:
+    """Providers with active days, then the row over all (provider null)."""
+    return days.filter((F.col("days") > 0) | F.col("provider").isNull())
