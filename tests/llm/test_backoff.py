@@ -91,3 +91,14 @@ def test_nothing_to_learn_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "a b", False)], "doc_id bigint, text string, learn boolean")
     assert tuple(backoff.score_texts(docs, "learn").first()) == (1, False, 3, 0, 0, 0.0, 0.0)
     assert backoff.score_texts(docs.limit(0), "learn").count() == 0
+
+
+def test_ngrams_of_rare_words_are_kept_at_any_size(spark):
+    filler = [(i, " ".join(f"f{(i * 31 + k) % 50}" for k in range(3000)), True) for i in range(100)]
+    rows = [*filler, (200, "rare pair here", True), (201, "rare pair here", True), (202, "rare pair here", False)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, learn boolean")
+    got = {r["doc_id"]: r for r in backoff.score_texts(docs, "learn").filter("doc_id >= 200").collect()}
+    want = {r[0]: r for r in brute(rows, 3, 0, 0) if r[0] >= 200}
+    for i, w in want.items():
+        assert got[i]["score"] == pytest.approx(w[6], rel=1e-9)
+    assert got[202]["score"] > got[202]["base_score"] + 10

@@ -1,27 +1,27 @@
 """Language-model scoring by a weighted backoff automaton.
 
-Training counts of all tokens give add-one unigrams; n-grams frequent enough to matter are
-discounted and become states and arcs (Mohri et al., "Weighted finite-state transducers in speech
+Training counts of all tokens give add-one unigrams; every n-gram seen LEAST_COUNT times or more is
+discounted and becomes an arc (Mohri et al., "Weighted finite-state transducers in speech
 recognition", 2002). A state is a context. It has an arc for each word kept after it, and a failure
 arc, weighted by the mass that discounting has freed, to the longest shorter context. A text is
 scored in one walk from left to right.
 
-The n-gram part has a proven bound: an n-gram that makes up a share of ``least_share`` of all
-training tokens is one of at most 1 / ``least_share``. It is broadcast. The unigrams grow with the
-corpus and are never in one place: documents are dealt to blocks of a bounded size by a hash, each
-block's words meet their counts in a join, and the block walks its own texts with its own words as
-the root's arcs, which is the whole automaton as far as its texts can reach.
+The model is a table that grows with the corpus and is never in one place: counts, discounts and
+failure weights come of groups and joins. Every suffix of a kept n-gram is kept too, as it occurs
+as often, so a context's failure weight needs one join of its n-grams with their suffixes.
+Documents are dealt to blocks of a bounded size by a hash, each block's n-grams meet the model in a
+join, and the block walks its own texts with what it met, which is the whole automaton as far as
+its texts can reach.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil, log10
 
-import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,13 +32,14 @@ from tokentide.llm.text import lowered_words, raw
 END = b"\n"
 ORDER = 3
 DISCOUNT = 0.75
-#: A word, or a longer n-gram, enters the n-gram part with this share of all training tokens.
-LEAST_WORD_SHARE = 2e-5
-LEAST_SHARE = 5e-6
+#: An n-gram of two words and more is kept if it occurs so often.
+LEAST_COUNT = 2
+#: Shares of all training tokens that n-grams, and each of their words, must have besides.
+LEAST_WORD_SHARE = 0.0
+LEAST_SHARE = 0.0
 #: Text bytes of a block.
 BLOCK_BYTES = 16 << 20
-_START = 0  # word numbers of the start of a text, which is no token, and of its end
-_END = 1
+_START = b"\r"  # the start of a text in n-grams, which is no token
 _HELD = 400_000
 
 
@@ -65,56 +66,35 @@ def token_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _add_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    found, place = np.unique(np.concatenate(keys), return_inverse=True)
-    return found, np.bincount(place, np.concatenate(counts), len(found)).astype(np.int64)
+def _grams(words: list[bytes | None], order: int) -> list[list[bytes]]:
+    """The n-grams of each size up to ``order``, joined by blanks, that hold no None."""
+    level, levels = words, [words]
+    for n in range(1, order):
+        level = [a + b" " + b if a is not None and b is not None else None for a, b in zip(level, words[n:])]
+        levels.append(level)
+    return [[g for g in level if g is not None] for level in levels]
 
 
-def _frequent(texts: DataFrame, numbers: dict[bytes, int], levels: list[np.ndarray], least: float) -> dict[int, int]:
-    """Key -> count of the n-grams one longer than the last of ``levels`` that occur at least ``least`` times.
-
-    The key of an n-gram is (place of its first n - 1 words in their level) x words + last word.
-    """
-    width = len(numbers) + 1
-    sent = texts.sparkSession.sparkContext.broadcast((numbers, levels))
-
-    def grams(text: bytes | None) -> np.ndarray:
-        number, levels = sent.value
-        get = number.get
-        words = np.array([_START, *[get(w, -1) for w in lowered_words(text)], _END], np.int64)
-        place = words
-        for n, level in enumerate(levels, 1):
-            key = _joined(place, words[n:], width)
-            at = np.searchsorted(level, key)
-            place = np.where((key >= 0) & (level[np.minimum(at, len(level) - 1)] == key), at, -1)
-        key = _joined(place, words[len(levels) + 1 :], width)
-        return key[key >= 0]
+def _gram_counts(texts: DataFrame, order: int, known: set[bytes] | None, least: float) -> DataFrame:
+    """(word, n): the n-grams of two to ``order`` words, of ``known`` ones if given, that occur at least ``least`` times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, size = [], [], 0
+        counts: Counter[bytes] = Counter()
         for batch in batches:
             for text in raw(batch.column("text")):
-                keys.append(grams(text))
-                counts.append(np.ones(len(keys[-1]), np.int64))
-                size += len(keys[-1])
-                if size > 2_000_000:
-                    found, n = _add_up(keys, counts)
-                    if len(found) > 1_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["key", "n"])
-                        keys, counts, size = [], [], 0
-                    else:
-                        keys, counts, size = [found], [n], len(found)
-        if keys:
-            found, n = _add_up(keys, counts)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["key", "n"])
-
-    totals = texts.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    return {r["key"]: r["n"] for r in totals.filter(F.col("n") >= least).collect()}  # at most tokens / least rows
-
+                words = lowered_words(text)
+                if known is not None:
+                    words = [w if w in known else None for w in words]
+                for level in _grams([_START, *words, END], order)[1:]:
+                    counts.update(level)
+                if len(counts) > _HELD:
+                    yield _count_rows(counts)
+                    counts = Counter()
+        if counts:
+            yield _count_rows(counts)
 
-def _joined(place: np.ndarray, words: np.ndarray, width: int) -> np.ndarray:
-    place = place[: len(words)]
-    return np.where((place >= 0) & (words >= 0), place * width + words, -1)
+    counted = texts.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return counted.filter(F.col("n") >= least)
 
 
 @dataclass
@@ -156,69 +136,65 @@ class Automaton:
         return total
 
 
-def build(words: dict[bytes, int], grams: dict[tuple[int, ...], int], numbers: dict[bytes, int], texts: int, tokens: int, distinct: int, discount: float = DISCOUNT) -> Automaton:
-    """The automaton of kept n-grams, tuples of word numbers -> count, of two words and more.
+def build(keys: list[bytes], arcs: list[float | None], weights: list[float | None], tokens: int, distinct: int) -> Automaton:
+    """The automaton of rows of the model. A row's context must be there too, its other suffixes if a text can reach them."""
+    weight_of = {k: w for k, w in zip(keys, weights) if w is not None}
+    state = {c: i for i, c in enumerate(sorted(weight_of), 1)}
 
-    Every prefix of a kept n-gram of three words and more is kept.
-    """
-    name = {n: w for w, n in numbers.items()}
-    context_count = {(n,): words[w] for w, n in numbers.items()} | {(_START,): texts} | grams
-    follow: dict[tuple[int, ...], list[int]] = {}
-    for gram in grams:
-        follow.setdefault(gram[:-1], []).append(gram[-1])
-    contexts = sorted(follow, key=lambda c: (len(c), c))
-    state = {c: i for i, c in enumerate(contexts, 1)}
-    free: dict[tuple[int, ...], float] = {}
-
-    def longest(context: tuple[int, ...]) -> tuple[int, ...]:
+    def longest(context: bytes) -> int:
         while context and context not in state:
-            context = context[1:]
-        return context
-
-    def probability(context: tuple[int, ...], word: int) -> float:
-        scale = 1.0
-        while context:
-            count = grams.get((*context, word))
-            if count:
-                return scale * (count - discount) / context_count[context]
-            scale *= free[context]
-            context = longest(context[1:])
-        return scale * (words[name[word]] + 1) / (tokens + distinct + 1)
-
-    model = Automaton([{}], [0], [0.0], {}, state.get((_START,), 0), tokens, distinct)
-    for context in contexts:  # shorter ones first
-        shorter = longest(context[1:])
-        taken = {w: (grams[(*context, w)] - discount) / context_count[context] for w in follow[context]}
-        below = sum(probability(shorter, w) for w in taken)
-        free[context] = max(1 - sum(taken.values()), 1e-12) / max(1 - below, 1e-12)
-        model.arcs.append({name[w]: (log10(p), state.get(longest((*context, w)), 0)) for w, p in taken.items()})
-        model.fail.append(state.get(shorter, 0))
-        model.weight.append(log10(free[context]))
-    model.enter = {name[c[0]]: s for c, s in state.items() if len(c) == 1 and c[0] != _START}
+            context = context.partition(b" ")[2]
+        return state.get(context, 0)
+
+    model = Automaton([{}], [0], [0.0], {}, state.get(_START, 0), tokens, distinct)
+    for context in state:
+        model.arcs.append({})
+        model.fail.append(longest(context.partition(b" ")[2]))
+        model.weight.append(weight_of[context])
+    for key, p in zip(keys, arcs):
+        if p is not None:
+            context, _, word = key.rpartition(b" ")
+            model.arcs[state[context]][word] = (p, longest(key))
+    model.enter = {c: s for c, s in state.items() if b" " not in c and c != _START}
     return model
 
 
-def learn(texts: DataFrame, counts: DataFrame, order: int = ORDER, word_share: float = LEAST_WORD_SHARE, share: float = LEAST_SHARE) -> Automaton:
-    """Learn the automaton from the column ``text`` of ``texts``, whose token_counts are ``counts``."""
+def model_table(texts: DataFrame, counts: DataFrame, order: int, word_share: float, share: float) -> tuple[DataFrame, int, int]:
+    """The model of the column ``text``, whose token_counts are ``counts``, with training tokens and distinct ones.
+
+    (word, n, arc, weight): of an n-gram joined by blanks its count if it is a token, the log10
+    probability of its last word after the others if it is kept, and its log10 failure weight if
+    it is a context.
+    """
     total = counts.agg(F.sum("n").alias("tokens"), F.count("*").alias("words"), F.max(F.when(F.col("word") == END, F.col("n"))).alias("texts")).first()
-    tokens, ends = total["tokens"] or 0, total["texts"] or 0
-    kept = counts.filter((F.col("n") >= max(1.0, word_share * tokens)) | (F.col("word") == END)).collect()  # at most 1 / word_share rows
-    words = {bytes(r["word"]): r["n"] for r in kept}
-    numbers = {END: _END} | {w: i for i, w in enumerate(sorted(words.keys() - {END}), 2)}
-    words.setdefault(END, 0)
-    least = max(2.0, share * tokens)
-    width = len(numbers) + 1
-    grams: dict[tuple[int, ...], int] = {}
-    levels: list[np.ndarray] = []
-    named: list[tuple[int, ...]] = [(i,) for i in range(width)]
-    for _ in range(2, order + 1):
-        found = _frequent(texts, numbers, levels, least)
-        if not found:
-            break
-        levels.append(np.array(sorted(found), np.int64))
-        named = [(*named[k // width], k % width) for k in levels[-1].tolist()]
-        grams |= dict(zip(named, (found[k] for k in levels[-1].tolist())))
-    return build(words, grams, numbers, ends, tokens, total["words"])
+    tokens, distinct = total["tokens"] or 0, total["words"]
+    known = None
+    if word_share * tokens > 1:  # at most 1 / word_share words
+        known = {bytes(r["word"]) for r in counts.filter(F.col("n") >= word_share * tokens).collect()}
+    grams = written(_gram_counts(texts, order, known, max(float(LEAST_COUNT), share * tokens)), "gram-counts")
+    start = counts.filter(F.col("word") == END).select(F.lit(_START).alias("word"), "n")
+
+    text = "cast(word as string)"
+    context = F.expr(f"cast(left({text}, length({text}) - length(substring_index({text}, ' ', -1)) - 1) as binary)")
+    suffix = F.expr(f"cast(substring({text}, locate(' ', {text}) + 1) as binary)")
+    above = counts.unionByName(start).unionByName(grams).select(F.col("word").alias("context"), F.col("n").alias("of"))
+    split = grams.select("word", "n", context.alias("context"), suffix.alias("suffix"))
+    arcs = written(split.join(above, "context").select("word", "context", "suffix", ((F.col("n") - DISCOUNT) / F.col("of")).alias("p")), "arcs")
+    unigrams = counts.select("word", ((F.col("n") + 1) / F.lit(float(tokens + distinct + 1))).alias("p"))
+    lower = arcs.select("word", "p").unionByName(unigrams).select(F.col("word").alias("suffix"), F.col("p").alias("below"))
+    free = [F.greatest(1 - F.sum(c), F.lit(1e-12)) for c in ("p", "below")]
+    states = arcs.join(lower, "suffix").groupBy("context").agg(F.log10(free[0] / free[1]).alias("weight"))
+
+    parts = [counts.select("word", "n"), arcs.select("word", F.log10("p").alias("arc")), states.select(F.col("context").alias("word"), "weight")]
+    every = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+    return written(every.groupBy("word").agg(*[F.max(c).alias(c) for c in ("n", "arc", "weight")]), "model"), tokens, distinct
+
+
+def learn(texts: DataFrame, counts: DataFrame, order: int = ORDER, word_share: float = LEAST_WORD_SHARE, share: float = LEAST_SHARE) -> Automaton:
+    """The whole automaton in memory, for small corpora; score_texts never makes it."""
+    model, tokens, distinct = model_table(texts, counts, order, word_share, share)
+    rows = model.collect()
+    return build([bytes(r["word"]) for r in rows], [r["arc"] for r in rows], [r["weight"] for r in rows], tokens, distinct)
 
 
 def _score(text: bytes | None, unigram: dict[bytes, float], unknown: float, model: Automaton) -> tuple[int, int, float, float]:
@@ -251,32 +227,37 @@ def score_texts(
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), F.coalesce(docs[learn_col], F.lit(False)).alias("learnt"))
     training = rows.filter("learnt")
     counts = written(token_counts(training), "token-counts")
-    model = learn(training, counts, order, word_share, share)
-    sent: Broadcast = docs.sparkSession.sparkContext.broadcast(model)
-    train_tokens = model.tokens
+    model, train_tokens, distinct = model_table(training, counts, order, word_share, share)
 
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, ceil(size / block_bytes))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")).repartition(2 * blocks, "block")
 
-    def words_of(texts: pa.Table) -> pa.Table:
-        found = {END}
-        for text in raw(texts.column("text").combine_chunks()):
-            found.update(lowered_words(text))
-        block = texts.column("block")[0].as_py()
-        return pa.table({"block": pa.array([block] * len(found), pa.int32()), "word": pa.array(found, pa.binary())})
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows_of(block: int, found: set[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([block] * len(found), pa.int32()), pa.array(found, pa.binary())], names=["block", "word"])
+
+        now, found = None, set()
+        for batch in batches:
+            for block, text in zip(batch.column("block").to_pylist(), raw(batch.column("text"))):
+                if block != now or len(found) > _HELD:
+                    yield rows_of(now or 0, found)
+                    now, found = block, set()
+                for level in _grams([_START, *lowered_words(text), END], order):
+                    found.update(level)
+        yield rows_of(now or 0, found)
 
     def walk(texts: pa.Table, known: pa.Table) -> pa.Table:
-        model = sent.value
+        keys, counts, arcs, weights = (known.column(c).to_pylist() for c in ("word", "n", "arc", "weight"))
+        model = build(keys, arcs, weights, train_tokens, distinct)
         unknown = model.unigram(0)
-        logs = {n: model.unigram(n) for n in set(known.column("n").to_pylist())}
-        unigram = {w: logs[n] for w, n in zip(known.column("word").to_pylist(), known.column("n").to_pylist())}
+        unigram = {w: model.unigram(n) for w, n in zip(keys, counts) if n is not None}
         scored = [_score(t, unigram, unknown, model) for t in raw(texts.column("text").combine_chunks())]
         made = [pa.array([s[i] for s in scored], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
         return pa.table([texts.column("id"), texts.column("learnt"), *made], names=["id", "learnt", "n_tokens", "n_known", "base_score", "score"])
 
-    met = dealt.groupBy("block").applyInArrow(words_of, "block int, word binary")
-    known = met.join(counts, "word").select("block", "word", "n")
+    reached = dealt.select("block", "text").sortWithinPartitions("block").mapInArrow(met, "block int, word binary").distinct()
+    known = reached.join(model, "word").select("block", "word", "n", "arc", "weight")
     kind = docs.schema[id_col].dataType.simpleString()
     scored = (
         dealt.groupBy("block")
