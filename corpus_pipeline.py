@@ -36,7 +36,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents contaminated by the benchmark go."""
-    return remove_contamination(find_contamination(docs, queries.table(spark, sf_dir, "benchmark"))).select(docs.columns)
+    return remove_contamination(find_contamination(docs, queries.table(spark, sf_dir, "benchmark"), null_items=True)).select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

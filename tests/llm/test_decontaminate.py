@@ -75,3 +75,20 @@ def test_empty_tables(spark):
     assert find_contamination(none, bench).count() == 0
     docs = spark.createDataFrame([(1, LONG)], "doc_id bigint, text string")
     assert find_contamination(docs, bench).first()["n_hit"] == 0
+
+
+@pytest.mark.parametrize("bench", [[(1, "one two three"), (None, "four five six"), (None, "seven")], [(None, "four five six")]])
+def test_null_item_ids_count_as_in_the_sql(spark, tmp_path, bench):
+    import duckdb
+
+    from tokentide.llm.queries import ORACLES, op1_decontamination
+
+    docs = [(1, "zero four five six"), (2, "one two three four five six seven"), (3, "clean"), (4, None)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(bench, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    with duckdb.connect() as db:
+        for name in ("documents", "benchmark"):
+            db.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+        want = sorted(db.execute(ORACLES["op1_decontamination"]).fetchall())
+    got = sorted(tuple(r) for r in op1_decontamination(spark, str(tmp_path)).collect())
+    assert got == want and got[0][2] == 3

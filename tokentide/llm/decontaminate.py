@@ -28,7 +28,7 @@ class WindowSet:
     """Windows by length: tuple of word numbers -> positions in ``items``."""
 
     def __init__(self, rows: list[Row], n: int):
-        self.items = sorted({r["item"] for r in rows})
+        self.items = list({r["item"] for r in rows})
         number = {item: i for i, item in enumerate(self.items)}
         self.vocabulary: dict[bytes, int] = {}
         self.windows: dict[int, dict[tuple[int, ...], set[int]]] = {}
@@ -68,9 +68,9 @@ def _spans(text: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
     return spans
 
 
-def _shards(benchmark: DataFrame, item_col: str, text_col: str, shard_bytes: int) -> list[DataFrame]:
-    items = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[text_col].cast("string").alias("text")).dropna().distinct()
-    total = items.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
+def _shards(benchmark: DataFrame, item_col: str, text_col: str, shard_bytes: int, null_items: bool) -> list[DataFrame]:
+    items = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[text_col].cast("string").alias("text")).dropna(subset=["text"] if null_items else ["item", "text"]).distinct()
+    total = items.agg(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("item"), F.lit(0)))).first()[0] or 0
     n = -(-total // shard_bytes) or 1
     return [items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) for k in range(n)]
 
@@ -84,6 +84,7 @@ def find_contamination(
     benchmark_text_col: str = "text",
     one_in: int = 20,
     shard_bytes: int = SHARD_BYTES,
+    null_items: bool = False,
 ) -> DataFrame:
     """``docs`` with ``n_words``, ``n_hit`` (long), ``hit_items`` (sorted item ids as strings),
     ``hit_spans`` (byte ranges of the UTF-8 text) and ``contaminated``.
@@ -93,8 +94,9 @@ def find_contamination(
     a window is hit; a document is contaminated if any word is hit and at least one word in
     ``one_in`` is.
 
-    Cases: null text has no words. Items with null id or null text, and items without words, have
-    no windows. Repeated items count once. An empty benchmark hits nothing; no rows give no rows.
+    Cases: null text has no words. Items with null text, and items without words, have no windows.
+    Items with null id have none either unless ``null_items`` is set; then their windows hit as any
+    other, and together they are one item, a null at the end of ``hit_items``. Repeated items count once. An empty benchmark hits nothing; no rows give no rows.
     Texts are scanned whole. Columns of ``docs`` that bear the added names are replaced.
     """
     added = ["n_words", "n_hit", "hit_items", "hit_spans", "contaminated"]
@@ -102,7 +104,7 @@ def find_contamination(
     rows = docs.drop(*added).withColumn("__words", F.lit(0).cast("long"))
     rows = rows.withColumn("__items", F.expr("cast(array() as array<string>)")).withColumn("__spans", F.expr(f"cast(array() as {span})"))
     rows = rows.withColumn("__hit", F.lit(0).cast("long"))
-    shards = _shards(benchmark, item_col, benchmark_text_col, shard_bytes)
+    shards = _shards(benchmark, item_col, benchmark_text_col, shard_bytes, null_items)
     for k, shard in enumerate(shards):
         sent = docs.sparkSession.sparkContext.broadcast(WindowSet(shard.collect(), n))  # bounded by shard_bytes
         schema = rows.schema
@@ -137,7 +139,7 @@ def _scan(text: bytes | None, items: list[str], spans: list[dict], windows: Wind
         starts = np.fromiter((m.start() for m in _RUN.finditer(text.translate(WORD_BYTES))), np.int64, len(words))
         for s in spans:
             hit |= (starts >= s["start"]) & (starts < s["end"])
-    merged = sorted({*items, *(windows.items[i] for i in found)})
+    merged = sorted({*items, *(windows.items[i] for i in found)}, key=lambda x: (x is None, x or ""))
     return len(words), int(hit.sum()), merged, [{"start": a, "end": b} for a, b in _spans(text, hit)]
 
 

@@ -34,7 +34,8 @@ def held_out(divisor: int) -> Column:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    """Items with a null id count as one in ``n_items`` and are left out of ``items_sha256``, as in the SQL."""
+    found = find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), null_items=True)
     items = F.sha2(F.array_join("hit_items", ","), 256)
     return found.select("doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"), items.alias("items_sha256"), "contaminated")
 
