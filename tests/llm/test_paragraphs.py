@@ -1,94 +1,95 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tokentide.llm import paragraphs
+from tokentide.llm.text import LOWER_ASCII
+from tokentide.llm.wordhash import fixed_binary
 
 
-def brute(rows, least_words=10, similarity=0.8, size=5):
+def components_of(n, pairs):
+    groups = {i: {i} for i in range(n)}
+    for a, b in pairs:
+        if groups[a] is not groups[b]:
+            groups[a] |= groups[b]
+            for x in groups[b]:
+                groups[x] = groups[a]
+    return {i: frozenset(g) for i, g in groups.items()}
+
+
+def brute_lines(rows, least, similarity=0.8, size=5):
+    """(id, line, start, n_words, removed) of long lines, all pairs compared."""
     paras = []
     for i, t in rows:
-        if i is not None:
-            paras += [(i, n, b" ".join(w)) for n, w in paragraphs.paragraphs_of(None if t is None else t.encode(), least_words)]
-    texts = sorted({p[2] for p in paras})
+        start = 0
+        for n, line in enumerate(t.encode().translate(LOWER_ASCII).split(b"\n") if t and i is not None else ()):
+            words = line.split()
+            if len(words) >= least:
+                paras.append(((i, start), n, len(words), b" ".join(words)))
+            start += len(words)
+    texts = sorted({p[3] for p in paras})
     sets = [paragraphs.shingles(t, size) for t in texts]
-    parent = list(range(len(texts)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a in range(len(texts)):
-        for b in range(a):
-            if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
-                parent[find(a)] = find(b)
-    place = {t: k for k, t in enumerate(texts)}
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
+    group = components_of(len(texts), pairs)
     clusters = defaultdict(set)
-    for i, n, t in paras:
-        clusters[find(place[t])].add((i, n))
-    return {(*x, *min(c), x != min(c)) for c in clusters.values() if len({i for i, _ in c}) > 1 for x in c}
-
-
-def found(docs, **options):
-    got = paragraphs.repeated_paragraphs(docs, **options).collect()
-    out = {(r["doc_id"], r["line"], r["cluster_id"], r["cluster_line"], r["removed"]) for r in got}
-    assert len(out) == len(got)
-    return out
+    for place, n, k, t in paras:
+        clusters[group[texts.index(t)]].add((place, n, k))
+    return {(p[0], n, p[1], k, p != min(c)[0]) for c in clusters.values() if len({p[0] for p, *_ in c}) > 1 for p, n, k in c}
 
 
-def rows_with_copies(seed=1):
-    rng = random.Random(seed)
+@pytest.mark.parametrize("block", [1000, 3])
+def test_clusters_equal_brute_force(spark, block):
+    """Near copies of a few passages: the leader is near some, the others are joined by chains."""
+    rng = random.Random(1)
     words = ["w%d" % i for i in range(400)]
-    passage = rng.choices(words, k=60)
-    rows = [(i, "\n".join(" ".join(rng.choices(words, k=rng.randint(3, 40))) for _ in range(4))) for i in range(40)]
-    for i in range(50, 75):  # near copies of one passage inside other texts
-        near = [*passage]
-        near[rng.randrange(60)] = "EDIT"
-        rows.append((i, f"{' '.join(rng.choices(words, k=20))}\n{' '.join(near).upper()}\n" + " ".join(passage[:8])))
-    rows += [(80, None), (81, ""), (82, "short line"), (None, " ".join(passage)), (83, f"{' '.join(passage)}\n{' '.join(passage)}"), (83, " ".join(passage)), (84, "x " * 30_000)]
-    return rows
-
-
-@pytest.mark.parametrize("block", [1000, 4])
-def test_equals_brute_force(spark, block):
-    rows = rows_with_copies()
-    docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id bigint, text string, line string")
-    assert found(docs, block=block, recall=0.99999) == brute(rows)
-
-
-def test_recall_and_precision_on_documents(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet")
-    want = brute([tuple(r) for r in docs.select("doc_id", "text").collect()])
-    got = found(docs)
-    assert want and got <= want and len(got) >= 0.99 * len(want)
+    texts = []
+    for _ in range(4):
+        line = rng.choices(words, k=60)
+        for _ in range(25):  # a random walk by single edits: the ends of the walk are far apart
+            line = [*line]
+            line[rng.randrange(60)] = rng.choice(words)
+            texts.append(" ".join(line))
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    units = paragraphs.cut_paragraphs(docs, 50)
+    got = {bytes(r["digest"]): bytes(r["cluster"]) for r in paragraphs.clusters(docs, units, recall=0.99999, block=block).collect()}
+    sets = [paragraphs.shingles(t.encode(), 5) for t in texts]
+    pairs = [(a, b) for a in range(100) for b in range(a) if paragraphs.near(sets[a], sets[b], 0.8)]
+    assert len(pairs) > 50
+    want = components_of(100, pairs)
+    cutter = paragraphs.Cutter(50)
+    digest = [fixed_binary(cutter.digests(cutter.words.of(t.encode().split()), np.array([0]), np.array([60]))).to_pylist()[0] for t in texts]
+    assert any(len(g) > 3 for g in want.values())
+    for a in range(100):
+        for b in range(a):
+            assert (got.get(digest[a], digest[a]) == got.get(digest[b], digest[b])) == (b in want[a])
 
 
-def test_removal(spark):
-    line = " ".join(f"word{i}" for i in range(55))
-    docs = spark.createDataFrame([(1, f"a\n{line}"), (2, f"{line}\nb"), (3, "c"), (4, None)], "doc_id bigint, text string")
-    repeats = paragraphs.repeated_paragraphs(docs)
-    kept = {r["doc_id"]: r["text"] for r in paragraphs.remove_repeats(docs, repeats).collect()}
-    assert kept == {1: f"a\n{line}", 2: "b", 3: "c", 4: None}
+def test_every_window_of_equal_words_has_an_equal_piece():
+    rng = random.Random(2)
+    words = ["w%d" % i for i in range(200)]
+    passage = rng.choices(words, k=50)
+    cutter, chosen = paragraphs.Cutter(50), set()
+    for _ in range(40):
+        left, right = (rng.choices(words, k=rng.randrange(60)) for _ in "lr")
+        hashes, sizes, rows = cutter.cut([" ".join(left + passage + right).encode(), b"too short", None])
+        first = len(left)
+        at = [a for a, s, n in zip(rows["at"], rows["start"], rows["n"]) if s <= first < s + n]
+        assert len(at) == 1 and first <= at[0] <= first + 50 - paragraphs.PIECE
+        chosen.add(int(at[0] - first))
+    assert len(chosen) == 1
 
 
 def test_connect_yields_a_forest_with_the_components_of_all_pairs():
     rng = random.Random(3)
     sets = [set(rng.sample(range(14), 9)) for _ in range(60)]
     near = lambda a, b: len(a & b) >= 0.6 * len(a | b)
-    forest = paragraphs.connect(list(range(60)), sets, 0.6)
+    forest = paragraphs.connect(list(range(60)), sets, [], list(range(60)), 0.6)
     assert all(near(sets[a], sets[b]) for a, b in forest)
-    groups = {i: {i} for i in range(60)}
-    for pairs in (forest, [(a, b) for a in range(60) for b in range(a) if near(sets[a], sets[b])]):
-        old = {i: frozenset(g) for i, g in groups.items()}
-        for a, b in pairs:
-            if groups[a] is not groups[b]:
-                groups[a] |= groups[b]
-                for x in groups[b]:
-                    groups[x] = groups[a]
-    assert {i: frozenset(g) for i, g in groups.items()} == old and len(forest) == 60 - len(set(old.values()))
+    want = components_of(60, [(a, b) for a in range(60) for b in range(a) if near(sets[a], sets[b])])
+    assert components_of(60, forest) == want and len(forest) == 60 - len(set(want.values()))
 
 
 def test_tuned_bands():
@@ -96,10 +97,3 @@ def test_tuned_bands():
         bands, rows = paragraphs.tune_bands(similarity, recall)
         assert 1 - (1 - similarity**rows) ** bands >= recall
     assert paragraphs.tune_bands(0.8)[1] >= 2
-
-
-def test_no_rows_and_bad_parameters(spark):
-    docs = spark.createDataFrame([], "doc_id bigint, text string")
-    assert paragraphs.repeated_paragraphs(docs).count() == 0
-    with pytest.raises(ValueError):
-        paragraphs.repeated_paragraphs(docs.withColumn("x", F.lit(1)), least_words=3)

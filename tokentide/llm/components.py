@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokentide.llm.scratch import written
+from tokentide.llm.scratch import discard, written
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -41,7 +41,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = written(now, "links")
     state = _state(now)
     while True:
-        now = written(_star(_star(now, large=True), large=False), "links")
+        last, now = now, written(_star(_star(now, large=True), large=False), "links")
+        discard(last)
         before, state = state, _state(now)
         if state == before:
             break

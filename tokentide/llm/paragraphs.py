@@ -1,15 +1,17 @@
 """Substring dedup by paragraph MinHash banding.
 
-A paragraph is a line of at least ``least_words`` words. Equal paragraphs (after lower-casing A-Z and
-joining words by single blanks) are one node, known by a 128-bit digest. Nodes whose MinHash
-signatures agree in a band meet in a bucket, where the exact Jaccard similarity of their word
-shingles decides on links; components of links are clusters, and all but the first paragraph of a
-cluster are removals.
-
-In a bucket a pair is compared only if the pairs before it have not connected its ends, so a dense
-cluster costs about one comparison and yields about one link for each member, yet every component
-is that of all verified pairs. A bucket above ``block`` nodes is dealt to blocks, each pair of
-blocks a task of its own.
+A text is cut into paragraphs in two ways. Its own lines of at least ``least`` words are
+paragraphs. So that passages inside lines and across line breaks are found too, it is also cut by
+content: of the pieces of PIECE words in a window of ``least`` words the one with the smallest
+hash is a paragraph (Schleimer et al., "Winnowing: Local Algorithms for Document Fingerprinting",
+2003). The choice depends on the window's words alone, so a passage of ``least`` words that stands
+in two documents gives both the same piece.
+
+Equal paragraphs (A-Z lower-cased, any white space between words) are one node, known by a digest
+of 128 bits. Nodes whose MinHash signatures agree in a band meet in a bucket. Each is first
+compared with its bucket's leader, the smallest node; only those that are not near it are compared
+with the others, dealt to blocks. The exact Jaccard similarity of word shingles decides on links;
+components of links are clusters.
 """
 
 from __future__ import annotations
@@ -18,20 +20,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tokentide.llm.components import components
-from tokentide.llm.scratch import written
+from tokentide.llm.scratch import discard, written
 from tokentide.llm.text import LOWER_ASCII, raw
+from tokentide.llm.wordhash import FACTORS, Runs, WordHashes, fixed_binary, mix, ranges
 
 SHINGLE = 5
-LEAST_WORDS = 10
 SIMILARITY = 0.8
-#: Nodes of one bucket that a task compares at most with as many others.
+LEAST_WORDS = 50
+PIECE = 16
+#: Nodes of one bucket, not near its leader, that a task compares with the bucket's others.
 BLOCK = 1000
+#: Texts that are cut at a time.
+TEXTS = 128
 
 
 def tune_bands(similarity: float, recall: float = 0.99, far: float = 0.5, noise: float = 0.4, most_rows: int = 12) -> tuple[int, int]:
@@ -47,21 +51,68 @@ def tune_bands(similarity: float, recall: float = 0.99, far: float = 0.5, noise:
     return min(found)[2:]
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
-            self.clear()
-        h = xxhash.xxh64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """The 64-bit finaliser of SplitMix (Steele et al., 2014); its three constants are fixed values."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+class Cutter:
+    """Paragraphs of many texts at once."""
+
+    def __init__(self, least: int):
+        self.least, self.words = least, WordHashes()
+        self.first, self.second = (Runs(f) for f in FACTORS)
+
+    def lines(self, text: bytes | None) -> tuple[list[bytes], list[tuple[int, int, int]]]:
+        """The text's words, and (line, first word, words) of its long lines."""
+        words: list[bytes] = []
+        found = []
+        for i, line in enumerate(text.translate(LOWER_ASCII).split(b"\n") if text else ()):
+            own = line.split()
+            if len(own) >= self.least:
+                found.append((i, len(words), len(own)))
+            words += own
+        return words, found
+
+    def pieces(self, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(text, piece's first word, first window, windows, block) for each run of neighbouring windows with one piece."""
+        if len(words) < self.least:
+            return tuple(np.zeros(0, np.int64) for _ in range(5))
+        hashes = self.first.hashes(self.first.sums(words), np.arange(len(words) - PIECE + 1), PIECE)
+        wide = self.least - PIECE + 1
+        at, reach = np.arange(len(hashes)), 1  # at[i]: the place of the least of hashes[i : i + reach], the last one of equals
+        while reach < wide:
+            step = min(reach, wide - reach)
+            left, right = at[:-step], at[step:]
+            at, reach = np.where(hashes[right] <= hashes[left], right, left), reach + step
+        ends = np.cumsum(sizes)
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        window = np.flatnonzero(np.arange(len(at)) + self.least <= ends[text[: len(at)]])
+        anchor, owner = at[window], text[window]
+        if not len(window):
+            return tuple(np.zeros(0, np.int64) for _ in range(5))
+        first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])]))
+        count = np.diff(np.append(first, len(window)))
+        start, owner, anchor = window[first], owner[first], anchor[first]
+        block = self.second.hashes(self.second.sums(words), start, count + self.least - 1)
+        begin = (ends - sizes)[owner]
+        return owner, anchor - begin, start - begin, count, block.view(np.int64)
+
+    def cut(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+        """(word hashes, words of each text, paragraphs): per paragraph its text, line (-1: a piece), ``at`` and ``size`` in
+        words, and for pieces ``start`` and ``n`` of their windows and those windows' ``block``."""
+        split = [self.lines(t) for t in texts]
+        sizes = np.fromiter((len(w) for w, _ in split), np.int64, len(split))
+        words = self.words.of([w for text, _ in split for w in text])
+        owner, at, start, n, block = self.pieces(words, sizes)
+        whole = np.array([(k, *x) for k, (_, found) in enumerate(split) for x in found], np.int64).reshape(-1, 4).T
+        none = np.zeros(len(whole[0]), np.int64)
+        rows = {"text": (owner, whole[0]), "line": (np.full(len(owner), -1), whole[1]), "at": (at, whole[2]), "size": (np.full(len(owner), PIECE), whole[3])}
+        rows |= {"start": (start, whole[2]), "n": (n, none), "block": (block, none)}
+        return words, sizes, {name: np.concatenate(parts) for name, parts in rows.items()}
+
+    def digests(self, words: np.ndarray, begin: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+        return [runs.hashes(runs.sums(words), begin, size) for runs in (self.first, self.second)]
+
+    def window_hashes(self, text: bytes | None, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The hashes of the windows of blocks of one text, block after block."""
+        words = self.words.of(text.translate(LOWER_ASCII).split() if text else [])
+        return self.second.hashes(self.second.sums(words), ranges(start, count), self.least).view(np.int64)
 
 
 class Signer:
@@ -72,86 +123,90 @@ class Signer:
         self.bands, self.rows, self.shingle = bands, rows, shingle
         self.scale = draw[0] * np.uint64(2) + np.uint64(1)
         self.shift = draw[1]
-        self.hashes = _WordHashes()
 
-    def sign(self, paragraphs: list[list[bytes]]) -> np.ndarray:
-        """(paragraphs x bands) of int64."""
-        sizes = np.fromiter(map(len, paragraphs), np.int64, len(paragraphs))
-        words = np.fromiter((self.hashes[w] for p in paragraphs for w in p), np.uint64, int(sizes.sum()))
+    def sign(self, words: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """(paragraphs x bands) of int64, of the paragraphs words[begin : begin + size]."""
         k = self.bands * self.rows
         grams = np.zeros(len(words) - self.shingle + 1, np.uint64)
         for j in range(self.shingle):
             grams += words[j : j + len(grams)] * self.scale[k + j]
-        grams = _mix(grams)
-        ends = np.cumsum(sizes)
-        inside = np.ones(len(words), bool)
-        for j in range(1, self.shingle):  # the last words of a paragraph start no shingle
-            inside[ends - j] = False
-        grams = grams[inside[: len(grams)]]
-        starts = np.concatenate([[0], np.cumsum(sizes - self.shingle + 1)[:-1]])
-        keys = np.empty((len(paragraphs), self.bands), np.uint64)
+        count = size - self.shingle + 1
+        grams = mix(grams)[ranges(begin, count)]
+        starts = np.cumsum(count) - count
+        keys = np.empty((len(begin), self.bands), np.uint64)
         for b in range(self.bands):
-            key = np.full(len(paragraphs), b + 1, np.uint64)
+            key = np.full(len(begin), b + 1, np.uint64)
             for i in range(b * self.rows, (b + 1) * self.rows):
-                key = _mix(key + np.minimum.reduceat(grams * self.scale[i] + self.shift[i], starts))
+                key = mix(key + np.minimum.reduceat(grams * self.scale[i] + self.shift[i], starts))
             keys[:, b] = key
         return keys.view(np.int64)
 
 
-def paragraphs_of(text: bytes | None, least_words: int) -> list[tuple[int, list[bytes]]]:
-    """(line number, words) of the lines of at least so many words."""
-    lines = text.translate(LOWER_ASCII).split(b"\n") if text else []
-    return [(i, words) for i, line in enumerate(lines) if len(words := line.split()) >= least_words]
+def _cut_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple]:
+    cutter = Cutter(least)
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            some = batch.slice(at, TEXTS)
+            words, sizes, rows = cutter.cut(raw(some.column("text")))
+            if len(rows["text"]):
+                begin = (np.cumsum(sizes) - sizes)[rows["text"]] + rows["at"]
+                yield cutter, some, words, begin, rows
 
 
-def _node(words: list[bytes]) -> bytes:
-    return xxhash.xxh128_digest(b" ".join(words))
+def cut_paragraphs(docs: DataFrame, least: int) -> DataFrame:
+    """(id, line, at, size, start, n, block, digest) of every paragraph of ``docs`` (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cutter, some, words, begin, rows in _cut_batches(batches, least):
+            columns = [some.column("id").take(pa.array(rows["text"]))]
+            columns += [pa.array(rows[c], pa.int32()) for c in ("line", "at", "size", "start", "n")]
+            columns += [pa.array(rows["block"]), fixed_binary(cutter.digests(words, begin, rows["size"]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "line", "at", "size", "start", "n", "block", "digest"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"id {kind}, line int, at int, size int, start int, n int, block bigint, digest binary")
 
 
-def _signed(docs: DataFrame, bands: int, rows: int, shingle: int, least_words: int) -> DataFrame:
-    """(id, line, n_words, digest, keys) of every paragraph."""
+def _bands(docs: DataFrame, least: int, bands: int, rows: int, shingle: int) -> DataFrame:
+    """(bucket, node): the band keys of every paragraph; a node is the first half of its digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(bands, rows, shingle)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                split = [paragraphs_of(t, least_words) for t in raw(some.column("text"))]
-                words = [w for doc in split for _, w in doc]
-                if not words:
-                    continue
-                owner = pa.array(np.repeat(np.arange(len(split)), list(map(len, split))))
-                keys = signer.sign(words)
-                columns = [
-                    some.column("id").take(owner),
-                    pa.array([i for doc in split for i, _ in doc], pa.int32()),
-                    pa.array(list(map(len, words)), pa.int32()),
-                    pa.array([_node(w) for w in words], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.ravel())),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "line", "n_words", "digest", "keys"])
+        for cutter, _, words, begin, found in _cut_batches(batches, least):
+            node = cutter.digests(words, begin, found["size"])[0].view(np.int64)
+            keys = signer.sign(words, begin, found["size"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(node, bands))], names=["bucket", "node"])
+
+    return docs.mapInArrow(run, "bucket bigint, node bigint")
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, line int, n_words int, digest binary, keys array<bigint>")
 
+def node_of(digest: str = "digest") -> Column:
+    """The first 64 bits of a digest, as _bands gives them."""
+    return F.conv(F.substring(F.hex(digest), 1, 16), 16, -10).cast("bigint")
 
-def _texts(docs: DataFrame, wanted: DataFrame, least_words: int) -> DataFrame:
-    """(node, text) of the paragraphs that ``wanted`` (id, line, node) names."""
-    lines = wanted.groupBy(F.col("id").alias("__id")).agg(F.collect_list("line").alias("lines"))
+
+def _texts(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
+    """(node, digest, text) of the paragraphs that ``wanted`` (digest, id, at, size) places."""
+    places = wanted.groupBy(F.col("id").alias("__id")).agg(F.collect_list(F.struct("at", "size")).alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = Cutter(least)
         for batch in batches:
-            digests, texts = [], []
-            for text, lines in zip(raw(batch.column("text")), batch.column("lines").to_pylist()):
-                chosen = set(lines)
-                for i, words in paragraphs_of(text, least_words):
-                    if i in chosen:
-                        digests.append(_node(words))
-                        texts.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(texts, pa.binary())], names=["digest", "text"])
-
-    found = docs.join(lines, docs["id"] == lines["__id"]).select("text", "lines").mapInArrow(run, "digest binary, text binary")
-    return found.select(F.xxhash64("digest").alias("node"), "text").dropDuplicates(["node"])
+            nodes, digests, texts = [], [], []
+            for text, places in zip(raw(batch.column("text")), batch.column("places").to_pylist()):
+                words = text.translate(LOWER_ASCII).split() if text else []
+                inside = [(p["at"], p["size"]) for p in places if p["at"] + p["size"] <= len(words)]  # rows that repeat an id may be shorter
+                if inside:
+                    begin, size = np.array(inside, np.int64).T
+                    parts = cutter.digests(cutter.words.of(words), begin, size)
+                    nodes.append(parts[0].view(np.int64))
+                    digests += fixed_binary(parts).to_pylist()
+                    texts += [b" ".join(words[a : a + n]) for a, n in inside]
+            nodes = np.concatenate(nodes) if nodes else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(digests, pa.binary()), pa.array(texts, pa.binary())], names=["node", "digest", "text"])
+
+    found = docs.join(places, docs["id"] == places["__id"]).select("text", "places")
+    return found.mapInArrow(run, "node bigint, digest binary, text binary").dropDuplicates(["digest"])
 
 
 def shingles(text: bytes, size: int) -> set[bytes]:
@@ -159,128 +214,106 @@ def shingles(text: bytes, size: int) -> set[bytes]:
     return {b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)}
 
 
-def connect(nodes: list[int], sets: list[set[bytes]], similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of at least ``similarity``."""
-    clusters: list[list[int]] = []
-    found: list[tuple[int, int]] = []
-    for x in range(len(nodes)):
-        mine, joined, apart = sets[x], [x], []
+def near(a: set[bytes], b: set[bytes], similarity: float) -> bool:
+    low, high = sorted((len(a), len(b)))
+    if low < similarity * high:
+        return False
+    both = len(a & b)
+    return both >= similarity * (low + high - both)
+
+
+def connect(nodes: list, sets: list[set[bytes]], clusters: list[list[int]], rest: list[int], similarity: float) -> list[tuple]:
+    """Links that join, as all near pairs with a member of ``rest`` would, the ``clusters`` and the ``rest`` (places in ``nodes``)."""
+    found = []
+    for x in rest:
+        joined, apart = [x], []
         for cluster in clusters:
             for y in cluster:
-                other = sets[y]
-                low, high = sorted((len(mine), len(other)))
-                if low >= similarity * high:
-                    both = len(mine & other)
-                    if both >= similarity * (low + high - both):
-                        found.append((nodes[x], nodes[y]))
-                        joined = cluster + joined
-                        break
+                if near(sets[x], sets[y], similarity):
+                    found.append((nodes[x], nodes[y]))
+                    joined = cluster + joined
+                    break
             else:
                 apart.append(cluster)
         clusters = [joined, *apart]
     return found
 
 
-def _links(members: DataFrame, texts: DataFrame, shingle: int, similarity: float, block: int) -> DataFrame:
-    """members: (bucket, node, size) -> (a, b), verified.
+_LINKS = "a bigint, b bigint, da binary, db binary"
 
-    Groups are mostly pairs, so a partition, sorted by group, is read as one stream; a task holds
-    one group at a time, of two blocks at most.
-    """
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("own", own)
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("low"), F.greatest("own", k).alias("high")))
-    dealt = dealt.select("bucket", "node", F.explode(meets).alias("m")).select("bucket", "node", "m.*")
 
-    def links_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+def _near_leaders(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b, da, db): the ``pairs`` (a, b) that are near, with their digests."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, nodes, sets = None, [], []
         for batch in batches:
-            found: list[tuple[int, int]] = []
-            for *key, node, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "low", "high", "node", "text"))):
-                if key != group:
-                    found += connect(nodes, sets, similarity)
-                    group, nodes, sets = key, [], []
-                nodes.append(node)
-                sets.append(shingles(text, shingle))
-            yield links_of(found)
-        yield links_of(connect(nodes, sets, similarity))
+            both = zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist())
+            kept = [near(shingles(x, shingle), shingles(y, shingle), similarity) for x, y in both]
+            yield batch.select(["a", "b", "da", "db"]).filter(pa.array(kept, pa.bool_()))
 
-    group = ["bucket", "low", "high"]
-    rows = dealt.join(texts, "node").select(*group, "node", "text").repartition(*group).sortWithinPartitions(*group, "node")
-    return rows.mapInArrow(verify, "a bigint, b bigint").distinct()
+    left, right = (texts.select(F.col("node").alias(x), F.col("digest").alias(f"d{x}"), F.col("text").alias(f"t{x}")) for x in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "da", "db", "ta", "tb").mapInArrow(verify, _LINKS)
 
 
-def _distinct_buckets(held: DataFrame) -> DataFrame:
-    """held: (bucket, node, first) -> (bucket, node, first, size) of one bucket of each set of two nodes or more.
+def _near_others(members: DataFrame, near_leader: DataFrame, texts: DataFrame, shingle: int, similarity: float, block: int) -> DataFrame:
+    """(a, b, da, db): links of the members that are not near their bucket's leader with others of the bucket.
 
-    Near copies meet in most of their bands. Buckets of the same nodes give the same links, so one
-    of them is enough. Sets are told apart by size and 128 bits of their nodes' hashes.
-    """
-    whole = Window.partitionBy("bucket")
-    marks = {f"mark{i}": F.bit_xor(F.xxhash64("node", F.lit(i))).over(whole) for i in (2, 3)}
-    sized = written(held.withColumns({"size": F.count("*").over(whole), **marks}).filter("size > 1"), "buckets")
-    one = sized.groupBy("size", *marks).agg(F.min("bucket").alias("bucket")).select("bucket")
-    return sized.join(one, "bucket", "left_semi").drop(*marks)
-
-
-def repeated_paragraphs(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    least_words: int = LEAST_WORDS,
-    similarity: float = SIMILARITY,
-    shingle: int = SHINGLE,
-    recall: float = 0.995,
-    block: int = BLOCK,
-) -> DataFrame:
-    """One row per paragraph of each cluster that spans at least two documents: the id, ``line``
-    (from 0), ``n_words``, ``cluster_id`` and ``cluster_line`` (the cluster's first paragraph by id
-    and line, which stays), and ``removed`` (false for that one alone).
-
-    Cases: null, empty and blank texts have no paragraphs; shorter lines are none. Rows with a null
-    id are left out. Rows that repeat an id count as one document; their equal paragraphs at one
-    line are one row. Extra columns are ignored. No rows give no rows. ``least_words`` must be at
-    least ``shingle``. Pairs at the similarity are found with probability ``recall`` or more,
-    equal ones always.
+    Those members are dealt to blocks; a task sees one block and, of its bucket, everyone. Groups
+    are mostly small, so a partition, sorted by group, is read as one stream.
     """
-    if least_words < shingle:
-        raise ValueError("a paragraph must have a shingle")
+    known = near_leader.select(F.col("a").alias("low"), F.col("b").alias("node")).distinct()
+    rest = members.filter("node <> low").join(known, ["low", "node"], "left_anti").select("bucket", "node")
+    rest = written(rest, "not-near-leaders")
+    blocks = rest.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    blocks = written(blocks.join(members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 2"), "bucket", "left_semi"), "rest-blocks")
+    everyone = members.join(blocks, "bucket").select("bucket", "node", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    mine = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")) == F.col("block")
+    marked = everyone.join(rest.withColumn("__rest", F.lit(True)), ["bucket", "node"], "left").select("bucket", "block", "node", (F.coalesce("__rest", F.lit(False))).alias("apart"), mine.alias("mine"))
+
+    def links_of(found: list[tuple]) -> pa.RecordBatch:
+        flat = [(a[0], b[0], a[1], b[1]) for a, b in found]
+        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in flat], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["a", "b", "da", "db"])
+
+    def solve(rows: list[tuple]) -> list[tuple]:
+        """Who is near the leader is one cluster; of the others those of this block meet everyone."""
+        nodes, sets, apart, mine = zip(*rows) if rows else ((),) * 4
+        every = range(len(rows))
+        clusters = [c for c in ([i for i in every if not apart[i]], *([i] for i in every if apart[i] and not mine[i])) if c]
+        return connect(nodes, sets, clusters, [i for i in every if apart[i] and mine[i]], similarity)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows = None, []
+        for batch in batches:
+            found: list[tuple] = []
+            for *key, node, digest, text, apart, mine in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "node", "digest", "text", "apart", "mine"))):
+                if key != group:
+                    found += solve(rows)
+                    group, rows = key, []
+                rows.append(((node, digest), shingles(text, shingle), apart, mine))
+            yield links_of(found)
+        yield links_of(solve(rows))
+
+    group = ["bucket", "block"]
+    placed = marked.join(texts, "node").repartition(*group).sortWithinPartitions(*group, "node")
+    return placed.select(*group, "node", "digest", "text", "apart", "mine").mapInArrow(verify, _LINKS)
+
+
+def clusters(docs: DataFrame, units: DataFrame, least: int = LEAST_WORDS, similarity: float = SIMILARITY, shingle: int = SHINGLE, recall: float = 0.99, block: int = BLOCK) -> DataFrame:
+    """(digest, cluster) of the paragraphs of ``docs`` (id, text) that are near another one; ``units`` are from cut_paragraphs."""
     bands, rows = tune_bands(similarity, recall)
-    docs = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).filter(F.col("id").isNotNull())
-    signed = written(_signed(docs, bands, rows, shingle, least_words), "paragraphs")
-
-    place = F.struct("id", "line")
-    distinct = signed.groupBy("digest").agg(F.min(place).alias("first"), F.min("keys").alias("keys"))
-    held = distinct.select(F.explode("keys").alias("bucket"), F.xxhash64("digest").alias("node"), "first")
-    sized = written(_distinct_buckets(held), "distinct-buckets")
-    wanted = sized.groupBy("node").agg(F.min("first").alias("first")).select("node", "first.*")
-    texts = written(_texts(docs, wanted, least_words), "paragraph-texts")
-    joined = components(_links(sized.select("bucket", "node", "size"), texts, shingle, similarity, block))
-
-    named = signed.select("id", "line", "n_words", F.xxhash64("digest").alias("node"))
-    placed = named.join(joined, "node", "left").select("id", "line", "n_words", F.coalesce("component", "node").alias("cluster"))
-    placed = written(placed.distinct(), "placed-paragraphs")
-    clusters = placed.groupBy("cluster").agg(F.min(place).alias("first"), (F.min("id") < F.max("id")).alias("spans")).filter("spans")
-    clusters = written(clusters, "clusters")  # a scan on either side lets adaptive execution split a large cluster
-    out = placed.join(clusters, "cluster")
-    return out.select(
-        F.col("id").alias(id_col),
-        "line",
-        "n_words",
-        F.col("first.id").alias("cluster_id"),
-        F.col("first.line").alias("cluster_line"),
-        (place != F.col("first")).alias("removed"),
-    )
-
-
-def remove_repeats(docs: DataFrame, repeats: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the lines that ``repeats`` marks as removed; other rows are untouched."""
-    gone = repeats.filter("removed").groupBy(F.col(id_col).alias("__id")).agg(F.collect_list("line").alias("__lines"))
-    lines = F.split(F.col(text_col), "\n", -1)
-    left = F.filter(lines, lambda x, i: ~F.array_contains(F.col("__lines"), i))
-    kept = F.when(F.col("__lines").isNotNull(), F.array_join(left, "\n")).otherwise(F.col(text_col))
-    return docs.join(gone, docs[id_col] == gone["__id"], "left").withColumn(text_col, kept).drop("__id", "__lines")
+    held = _bands(docs, least, bands, rows, shingle)
+    shared = held.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("bucket", "low")
+    shared = written(shared, "shared-buckets")
+    members = written(held.join(shared, "bucket").distinct(), "bucket-members")
+    nodes = members.select("node").distinct()
+    place = F.min(F.struct("id", "at", "size")).alias("place")
+    wanted = units.withColumn("node", node_of()).join(nodes, "node", "left_semi").groupBy("digest").agg(place).select("digest", "place.*")
+    texts = written(_texts(docs, wanted, least), "paragraph-texts")
+    pairs = members.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    leaders = written(_near_leaders(pairs, texts, shingle, similarity), "near-leaders")
+    others = written(_near_others(members, leaders, texts, shingle, similarity, block), "near-others")
+    links = leaders.unionByName(others).select("da", "db")
+    joined = components(links, "da", "db")
+    for done in (shared, members, texts, leaders, others):
+        discard(done)
+    return joined.select(F.col("node").alias("digest"), F.col("component").alias("cluster"))

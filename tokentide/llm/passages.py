@@ -1,20 +1,20 @@
-"""Passages that repeat word for word across documents, wherever lines break.
+"""Passages that repeat across documents, wherever lines break, from clusters of near-equal paragraphs.
 
 A window is ``least`` consecutive words of a text (A-Z lower-cased, any white space between them).
-Of the pieces of PIECE words in a window the one with the smallest hash is its anchor (Schleimer et
-al., "Winnowing: Local Algorithms for Document Fingerprinting", 2003). The choice depends on the
-window's words alone, so equal windows have equal anchors, and a window whose anchor's piece is in
-one document only repeats nowhere.
+Each window holds a paragraph that its own words have chosen (see ``paragraphs``), so windows that
+are equal hold equal paragraphs, and a window whose paragraph's cluster is in one document only
+repeats nowhere. Of the rest, single windows are checked for exact equality.
 
-Neighbouring windows with one anchor are a block. Pieces of one document are dropped; equal blocks
-become one; and only where a piece has unlike blocks are single windows compared. No step compares
-pairs, and no group is gathered in one task.
+Neighbouring windows with one paragraph are a block. Blocks of clusters in one document are
+dropped; equal blocks become one; and only where a cluster has unlike blocks are single windows
+compared. No step compares pairs, and no group is gathered in one task.
 
-Equality is that of two hashes of 64 bits, of the piece and of the block or window.
+Equality is that of two hashes of 64 bits, of the cluster and of the block or window.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,99 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokentide.llm.paragraphs import _mix, _WordHashes
-from tokentide.llm.scratch import written
-from tokentide.llm.text import lowered_words, raw
-
-LEAST_PASSAGE = 50
-PIECE = 16
-#: Two odd multipliers of 64 bits (those of Steele and Vigna, 2021), for pieces and for longer runs of words.
-_FACTORS = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
-
-
-class _Runs:
-    """Hashes of runs of words, from prefix sums modulo 2**64."""
-
-    def __init__(self, factor: int):
-        self.factor, self.inverse = factor, pow(factor, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def sums(self, words: np.ndarray) -> np.ndarray:
-        n = len(words) + 1
-        if n > len(self.up):
-            size = max(n, 2 * len(self.up))
-            made = []
-            for factor in (self.factor, self.inverse):
-                powers = np.full(size, factor, np.uint64)
-                powers[0] = 1
-                made.append(np.multiply.accumulate(powers))
-            self.up, self.down = made
-        sums = np.zeros(n, np.uint64)
-        np.cumsum(words * self.up[: n - 1], out=sums[1:])
-        return sums
-
-    def hashes(self, sums: np.ndarray, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
-        size = np.asarray(size)
-        return _mix((sums[start + size] - sums[start]) * self.down[start] + size.astype(np.uint64) * np.uint64(self.factor))
-
-
-class Anchors:
-    """Blocks of windows of many texts at once, and the hashes of their windows."""
-
-    def __init__(self, least: int):
-        self.least, self.words = least, _WordHashes()
-        self.short, self.long = (_Runs(f) for f in _FACTORS)
-
-    def number(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(hash of each word, number of words of each text)."""
-        split = [lowered_words(t) for t in texts]
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        get = self.words
-        return np.fromiter((get[w] for text in split for w in text), np.uint64, int(sizes.sum())), sizes
-
-    def blocks(self, texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
-        """(text number, first window, number of windows, piece, block) of each block."""
-        words, sizes = self.number(texts)
-        if len(words) < self.least:
-            return tuple(np.zeros(0, np.int64) for _ in range(5))
-        pieces = self.short.hashes(self.short.sums(words), np.arange(len(words) - PIECE + 1), PIECE)
-        wide = self.least - PIECE + 1
-        at, reach = np.arange(len(pieces)), 1  # at[i]: the place of the least of pieces[i : i + reach], the last one of equals
-        while reach < wide:
-            step = min(reach, wide - reach)
-            left, right = at[:-step], at[step:]
-            at, reach = np.where(pieces[right] <= pieces[left], right, left), reach + step
-        ends = np.cumsum(sizes)
-        text = np.repeat(np.arange(len(sizes)), sizes)
-        window = np.flatnonzero(np.arange(len(at)) + self.least <= ends[text[: len(at)]])
-        if not len(window):
-            return tuple(np.zeros(0, np.int64) for _ in range(5))
-        anchor, owner = at[window], text[window]
-        first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])]))
-        count = np.diff(np.append(first, len(window)))
-        start, owner = window[first], owner[first]
-        block = self.long.hashes(self.long.sums(words), start, count + self.least - 1)
-        return owner, start - (ends - sizes)[owner], count, pieces[anchor[first]].view(np.int64), block.view(np.int64)
-
-    def windows(self, text: bytes | None, start: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """The hashes of the windows of blocks of one text, block after block."""
-        place = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        return self.long.hashes(self.long.sums(self.number([text])[0]), place, self.least).view(np.int64)
-
-
-def _blocks(docs: DataFrame, least: int) -> DataFrame:
-    """(id, start, n, piece, block) of every block of windows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors = Anchors(least)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                some = batch.slice(at, 128)
-                owner, start, count, piece, block = anchors.blocks(raw(some.column("text")))
-                columns = [some.column("id").take(pa.array(owner)), pa.array(start, pa.int32()), pa.array(count, pa.int32()), pa.array(piece), pa.array(block)]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "start", "n", "piece", "block"])
-
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, start int, n int, piece bigint, block bigint")
+from tokentide.llm.paragraphs import BLOCK, LEAST_WORDS, PIECE, SHINGLE, SIMILARITY, Cutter, clusters, cut_paragraphs
+from tokentide.llm.scratch import discard, written
+from tokentide.llm.text import raw
 
 
 def _windows(docs: DataFrame, unlike: DataFrame, least: int) -> DataFrame:
@@ -122,16 +32,15 @@ def _windows(docs: DataFrame, unlike: DataFrame, least: int) -> DataFrame:
     wanted = unlike.groupBy(F.col("id").alias("__id")).agg(F.collect_list(F.struct("start", "n", "piece", "block", "last")).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors = Anchors(least)
+        cutter = Cutter(least)
         for batch in batches:
             for k, text in enumerate(raw(batch.column("text"))):
                 row = batch.slice(k, 1)
                 flat = row.column("wanted").flatten()
                 start, count = (flat.field(i).to_numpy().astype(np.int64) for i in (0, 1))
-                _, size = anchors.number([text])
-                inside = start + count + least - 1 <= size[0]  # rows that repeat an id may be shorter
+                inside = start + count + least - 1 <= len(text.split() if text else ())  # rows that repeat an id may be shorter
                 flat, start, count = flat.filter(pa.array(inside)), start[inside], count[inside]
-                hashes = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), pa.array(anchors.windows(text, start, count)))
+                hashes = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), pa.array(cutter.window_hashes(text, start, count)))
                 ids = row.column("id").take(pa.array(np.zeros(len(start), np.int64)))
                 yield pa.RecordBatch.from_arrays([flat.field(2), flat.field(3), ids, flat.field(0), flat.field(4), hashes], names=["piece", "block", "id", "start", "last", "windows"])
 
@@ -157,29 +66,11 @@ def spans(windows: list[tuple[int, int, int]], least: int) -> list[tuple[int, in
     return [(int(a), int(b - a), bool(state[a] == 2)) for a, b in zip(edges, edges[1:]) if state[a]]
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_PASSAGE) -> DataFrame:
-    """The words that lie in a window of ``least`` words that two documents hold, as runs: the id,
-    ``start`` (number of the first word, from 0), ``n_words`` and ``removed``.
-
-    A window stays where it occurs first by id and start; a word in any later window is removed.
-    Every such window is found.
-
-    Cases: texts of fewer words, nulls among them, have no windows. Rows with a null id are left
-    out. Rows that repeat an id count as one document, their windows at one start as alternatives.
-    Extra columns are ignored. No rows give no rows. ``least`` must be at least PIECE and at most
-    PIECE + 61.
-    """
-    if not PIECE <= least <= PIECE + 61:
-        raise ValueError("a window must hold a piece, and a block's windows must fit a mask")
-    docs = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).filter(F.col("id").isNotNull())
-    kind = docs.schema["id"].dataType.simpleString()
-    every = written(_blocks(docs, least), "passage-blocks")
-    shared = written(every.groupBy("piece").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("piece"), "shared-pieces")
-    blocks = written(every.join(shared, "piece", "left_semi"), "shared-blocks")
-
+def _repeated_windows(docs: DataFrame, blocks: DataFrame, least: int) -> DataFrame:
+    """(id, windows) of the documents that hold repeated windows, from the ``blocks`` (id, start, n, piece, block) of shared clusters."""
     first = F.min(F.struct("id", "start", "n")).alias("first")
     distinct = written(blocks.groupBy("piece", "block").agg(first, F.max("id").alias("last")).select("piece", "block", "first.*", "last"), "distinct-blocks")
-    kinds = written(distinct.groupBy("piece").agg(F.count("*").alias("kinds")), "piece-kinds")
+    kinds = distinct.groupBy("piece").agg(F.count("*").alias("kinds"))
     named = written(distinct.join(kinds, "piece"), "named-blocks")
     bit = F.expr("shiftleft(1L, j)")
     windows = written(_windows(docs, named.filter("kinds > 1"), least), "windows")
@@ -192,12 +83,54 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.bit_or(bit).alias("found"), F.bit_or(F.when(F.col("held") == place, bit).otherwise(F.lit(0).cast("long"))).alias("kept"), F.min(F.struct("id", "start")).alias("first")
     )
     whole = F.expr("shiftleft(1L, n) - 1")
-    alike = named.filter("kinds = 1").select("piece", "block", whole.alias("found"), whole.alias("kept"), F.struct("id", "start").alias("first"))
+    alike = named.filter("kinds = 1 AND id < last").select("piece", "block", whole.alias("found"), whole.alias("kept"), F.struct("id", "start").alias("first"))
     masks = written(alike.unionByName(masks), "masks")
+    for done in (distinct, named, windows, repeated):
+        discard(done)
 
     at_first = F.struct("id", "start") == F.col("first")
     marked = blocks.join(masks, ["piece", "block"]).select("id", F.struct("start", "found", F.when(at_first, F.col("kept")).otherwise(F.lit(0).cast("long")).alias("kept")).alias("w"))
-    gathered = marked.groupBy("id").agg(F.collect_list("w").alias("windows"))
+    return marked.groupBy("id").agg(F.collect_list("w").alias("windows"))
+
+
+def repeated_passages(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    least: int = LEAST_WORDS,
+    similarity: float = SIMILARITY,
+    shingle: int = SHINGLE,
+    recall: float = 0.99,
+    block: int = BLOCK,
+) -> DataFrame:
+    """Runs of words that repeat in another document: the id, ``line``, ``start`` (number of the first word, from 0),
+    ``n_words`` and ``removed``.
+
+    With ``line`` null, a run of words that lie in a window of ``least`` words which two documents
+    hold word for word. A window stays where it occurs first by id and start; a word in any later
+    window is removed. Every such window is found.
+
+    With ``line`` (from 0), a line of at least ``least`` words whose cluster spans two documents:
+    it is near another line by the Jaccard similarity of its shingles, or by a chain of such. The
+    cluster's first line by id and place stays. Pairs at the similarity are found with probability
+    ``recall`` or more, equal ones always.
+
+    Cases: texts of fewer words, nulls and empty ones among them, give none. Texts of any length are
+    cut whole. Rows with a null id are left out. Rows that repeat an id count as one document, their
+    windows at one start as alternatives. Extra columns are ignored. No rows give no rows. ``least``
+    must be at least PIECE and at most PIECE + 61, and ``shingle`` at most PIECE.
+    """
+    if not PIECE <= least <= PIECE + 61 or shingle > PIECE:
+        raise ValueError("a window must hold a piece, a piece a shingle, and a block's windows must fit a mask")
+    docs = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).filter(F.col("id").isNotNull())
+    kind = docs.schema["id"].dataType.simpleString()
+    units = written(cut_paragraphs(docs, least), "paragraphs")
+    known = clusters(docs, units, least, similarity, shingle, recall, block)
+    named = units.join(known, "digest", "left").withColumn("cluster", F.coalesce("cluster", "digest")).drop("digest")
+    in_two = named.groupBy("cluster").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("cluster")
+    shared = written(named.join(written(in_two, "shared-clusters"), "cluster", "left_semi"), "shared-paragraphs")
+    discard(units)
+    gathered = _repeated_windows(docs, shared.filter("n > 0").select("id", "start", "n", F.xxhash64("cluster").alias("piece"), "block"), least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,5 +140,37 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([ids, *columns], names=["id", "start", "n_words", "removed"])
 
-    out = gathered.mapInArrow(run, f"id {kind}, start int, n_words int, removed boolean")
-    return out.select(F.col("id").alias(id_col), "start", "n_words", "removed")
+    runs = gathered.mapInArrow(run, f"id {kind}, start int, n_words int, removed boolean")
+    lines = shared.filter("n = 0").select("cluster", "id", "line", "at", "size").distinct()
+    place = F.struct("id", "at")
+    firsts = written(lines.groupBy("cluster").agg(F.min(place).alias("first"), F.max("id").alias("last")).filter("first.id < last"), "first-lines")
+    whole = lines.join(firsts, "cluster").select("id", "line", F.col("at").alias("start"), F.col("size").alias("n_words"), (place != F.col("first")).alias("removed"))
+    out = runs.withColumn("line", F.lit(None).cast("int")).unionByName(whole)
+    return out.select(F.col("id").alias(id_col), "line", "start", "n_words", "removed")
+
+
+def remove_passages(docs: DataFrame, repeats: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the words that ``repeats`` marks as removed; what white space stood between words that stay is kept.
+
+    Cases: rows that ``repeats`` does not name, null texts among them, are untouched. Rows that repeat an id lose the same words.
+    """
+    gone = repeats.filter("removed").groupBy(F.col(id_col).alias("__id")).agg(F.collect_list(F.struct("start", "n_words")).alias("__runs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [_without(t, runs) for t, runs in zip(raw(batch.column(text_col)), batch.column("__runs").to_pylist())]
+            columns = [pa.array(texts, pa.binary()).cast(f.type) if f.name == text_col else c for f, c in zip(batch.schema, batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    met = docs.join(gone, docs[id_col] == gone["__id"], "left").drop("__id")
+    return met.mapInArrow(run, met.schema).drop("__runs")
+
+
+def _without(text: bytes | None, runs: list[dict] | None) -> bytes | None:
+    if text is None or not runs:
+        return text
+    parts = re.split(rb"([^\x20\x09-\x0D]+)", text)  # white space at even places, words at odd ones
+    kept = np.ones(len(parts) // 2, bool)
+    for r in runs:
+        kept[r["start"] : r["start"] + r["n_words"]] = False
+    return b"".join(parts[2 * i] + parts[2 * i + 1] for i in np.flatnonzero(kept).tolist()) + parts[-1]

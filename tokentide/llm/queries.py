@@ -12,7 +12,6 @@ from tokentide.llm.decontaminate import find_contamination
 from tokentide.llm.linededup import dedup_lines
 from tokentide.llm.mixing import mix
 from tokentide.llm.outliers import judge_texts
-from tokentide.llm.paragraphs import repeated_paragraphs
 from tokentide.llm.passages import repeated_passages
 from tokentide.llm.ranking import CUT, learn, score_documents
 from tokentide.llm.scratch import new_path
@@ -55,9 +54,7 @@ def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole lines by near repetition, and passages, with ``start`` in place of a line, by that of their words."""
-    docs = table(spark, sf_dir, "documents")
-    return repeated_paragraphs(docs).unionByName(repeated_passages(docs), allowMissingColumns=True)
+    return repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

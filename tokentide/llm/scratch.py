@@ -12,13 +12,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: Spark's own setting that ends a query's shuffle files with the query.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set."""
+    """The cluster's shared checkpoint folder; a temporary one on a local master where none is set."""
     sc = spark.sparkContext
     named = sc.getConf().get(SETTING) or sc.getCheckpointDir()
     if not named:
+        if sc.master.partition("[")[0] != "local":
+            raise ValueError(f"set {SETTING} to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tokentide-"))
         named = sc.getCheckpointDir()
     return named.rstrip("/")
@@ -28,8 +32,28 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def write_table(df: DataFrame, path: str) -> None:
+    """Write ``df`` as Parquet and let go of its shuffle files: who reads the table needs them no more."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(_CLEANUP, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of what was written."""
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    write_table(df, path)
+    scan = df.sparkSession.read.schema(df.schema).parquet(path)
+    scan.scratch_path = path
+    return scan
+
+
+def discard(table: DataFrame) -> None:
+    """Remove the files of a table from ``written`` that no later plan reads."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
