@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokentide.llm.scratch import discard, write_table, written
+
 CRLF = "\r\n"
 #: Digit alphabets of conv() and of base32 (RFC 4648); fixed values.
 _BASE_32_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -54,15 +56,14 @@ def write_archive(
     Cases: null html is an empty payload; null url leaves WARC-Target-URI out; line breaks in a
     url are escaped as %0D and %0A. Rows that repeat the smallest id of a payload are all
     responses. Null ids come after all others; a payload that only rows with null ids hold has
-    responses only. No rows give two empty tables. Other columns are ignored.
+    responses only. Payloads of any length are kept whole. No rows give two empty tables. Other columns are ignored.
     """
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     url = F.replace(F.replace(F.col(url_col), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    rows = pages.select(F.col(id_col).alias("id"), url.alias("url"), payload.alias("payload")).withColumns(
-        {"address": F.unhex(F.sha2("payload", 256)), "bytes": F.octet_length("payload").cast("long"), "sha1": base32_sha1(F.col("payload"))}
-    )
-    marks = rows.select("id", "url", "address", "bytes", "sha1")
-    first = marks.groupBy("address").agg(F.min("id").alias("first_id"))
+    rows = pages.select(F.col(id_col).alias("id"), url.alias("url"), payload.alias("payload"))
+    rows = rows.withColumns({"address": F.unhex(F.sha2("payload", 256)), "bytes": F.octet_length("payload").cast("long")})
+    marks = written(rows.select("id", "url", "address", "bytes", base32_sha1(F.col("payload")).alias("sha1")), "warc-marks")
+    first = written(marks.groupBy("address").agg(F.min("id").alias("first_id")), "warc-first")
     known = marks.join(first, "address")
     revisit = (F.col("bytes") >= revisit_bytes) & F.col("first_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id"))
     kind = F.when(revisit, "revisit").otherwise("response")
@@ -82,15 +83,15 @@ def write_archive(
             ("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("bytes"))),
         ]
     )
-    known.select("id", "address", header.cast("binary").alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
+    write_table(known.select("id", "address", header.cast("binary").alias("header")), f"{path}/headers")
 
     # The payload goes along once: only the row that first holds it is joined with its bytes.
-    keepers = first.select(F.col("address").alias("__address"), F.col("first_id").alias("__id"))
-    held = rows.filter(F.col("id").isNotNull()).select("id", "address", "bytes", "payload")
-    stored = held.join(keepers, (held["id"] == keepers["__id"]) & (held["address"] == keepers["__address"]), "left_semi").dropDuplicates(["id", "address"])
-    orphans = rows.filter(F.col("id").isNull()).join(first.filter("first_id is null"), "address", "left_semi")
-    orphans = orphans.select("id", "address", "bytes", "payload").dropDuplicates(["address"])
-    stored.unionByName(orphans).select("address", "bytes", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
+    named = {"__id": F.coalesce(F.col("id").cast("string"), F.lit("")), "__null": F.col("id").isNull()}
+    keepers = first.withColumnRenamed("first_id", "id").withColumns(named).select("__id", "__null", "address")
+    stored = rows.withColumns(named).join(keepers, ["__id", "__null", "address"], "left_semi").dropDuplicates(["__id", "__null", "address"])
+    write_table(stored.select("address", "bytes", "payload"), f"{path}/payloads")
+    discard(marks)
+    discard(first)
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
