@@ -1,207 +1,262 @@
 """Language-model scoring by a weighted backoff automaton.
 
 Training counts of all tokens give add-one unigrams; every n-gram seen LEAST_COUNT times or more is
-discounted and becomes an arc (Mohri et al., "Weighted finite-state transducers in speech
-recognition", 2002). A state is a context. It has an arc for each word kept after it, and a failure
-arc, weighted by the mass that discounting has freed, to the longest shorter context. A text is
-scored in one walk from left to right.
-
-The model is a table that grows with the corpus and is never in one place: counts, discounts and
-failure weights come of groups and joins. Every suffix of a kept n-gram is kept too, as it occurs
-as often, so a context's failure weight needs one join of its n-grams with their suffixes.
-Documents are dealt to blocks of a bounded size by a hash, each block's n-grams meet the model in a
-join, and the block walks its own texts with what it met, which is the whole automaton as far as
-its texts can reach.
+kept, discounted and mixed with its suffix, and becomes an arc (Mohri et al., "Weighted
+finite-state transducers in speech recognition", 2002; the smoothing is interpolated absolute
+discounting, Ney et al., 1994). A state is a context with arcs. It has an arc for each word kept
+after it, and a failure arc, weighted by the mass that discounting and what was not kept have
+freed, to the longest shorter state. A text is scored in one walk from left to right.
+
+The model is never in one place. Documents are dealt to blocks of a bounded size, and the counts
+of n-grams to shards by ranges of a 64-bit hash. Level by level a block asks for the total counts
+of its distinct n-grams, of which only those whose two shorter parts are kept can be kept; the
+shards answer in the order in which it asked, so an answer needs no keys. One of the blocks that
+hold a kept n-gram owns it and tells its context's shard its count, and the shards tell each block
+the freed masses of its contexts. So each block has the whole automaton as far as its texts reach.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
-from math import ceil, log10
+from collections.abc import Callable, Iterator
+from math import ceil
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokentide.llm.scratch import written
 from tokentide.llm.text import lowered_words, raw
+from tokentide.llm.wordhash import FACTORS, WordHashes, mix
 
-#: The end of a text, as a token. No word can be a line feed.
-END = b"\n"
+#: The end of a text, as a token, and its start, which is no token. No word can be either.
+END, START = b"\n", b"\r"
 ORDER = 3
 DISCOUNT = 0.75
 #: An n-gram of two words and more is kept if it occurs so often.
 LEAST_COUNT = 2
-#: Shares of all training tokens that n-grams, and each of their words, must have besides.
-LEAST_WORD_SHARE = 0.0
-LEAST_SHARE = 0.0
-#: Text bytes of a block.
+#: Text bytes of a block, and shards for each block.
 BLOCK_BYTES = 16 << 20
-_START = b"\r"  # the start of a text in n-grams, which is no token
-_HELD = 400_000
-
-
-def _count_rows(counts: dict[bytes, int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
-
-
-def token_counts(texts: DataFrame) -> DataFrame:
-    """(word, n): how often each token, the ends included, occurs in the column ``text``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[bytes, int] = {}
-        for batch in batches:
-            for text in raw(batch.column("text")):
-                for word in lowered_words(text):
-                    counts[word] = counts.get(word, 0) + 1
-                counts[END] = counts.get(END, 0) + 1
-                if len(counts) > _HELD:
-                    yield _count_rows(counts)
-                    counts = {}
-        if counts:
-            yield _count_rows(counts)
-
-    return texts.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def _grams(words: list[bytes | None], order: int) -> list[list[bytes]]:
-    """The n-grams of each size up to ``order``, joined by blanks, that hold no None."""
-    level, levels = words, [words]
-    for n in range(1, order):
-        level = [a + b" " + b if a is not None and b is not None else None for a, b in zip(level, words[n:])]
-        levels.append(level)
-    return [[g for g in level if g is not None] for level in levels]
-
-
-def _gram_counts(texts: DataFrame, order: int, known: set[bytes] | None, least: float) -> DataFrame:
-    """(word, n): the n-grams of two to ``order`` words, of ``known`` ones if given, that occur at least ``least`` times."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-        for batch in batches:
-            for text in raw(batch.column("text")):
-                words = lowered_words(text)
-                if known is not None:
-                    words = [w if w in known else None for w in words]
-                for level in _grams([_START, *words, END], order)[1:]:
-                    counts.update(level)
-                if len(counts) > _HELD:
-                    yield _count_rows(counts)
-                    counts = Counter()
-        if counts:
-            yield _count_rows(counts)
-
-    counted = texts.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return counted.filter(F.col("n") >= least)
-
-
-@dataclass
-class Automaton:
-    """State 0 is the root, whose arcs are the unigrams of whoever walks.
-
-    ``arcs[s]``: word -> (log10 probability, next state); ``fail[s]`` and ``weight[s]``: the failure
-    arc; ``enter``: the state after a word read at the root; ``tokens``, ``words``: training tokens
-    and distinct ones.
-    """
-
-    arcs: list[dict[bytes, tuple[float, int]]]
-    fail: list[int]
-    weight: list[float]
-    enter: dict[bytes, int]
-    start: int
-    tokens: int
-    words: int
-
-    def unigram(self, count: int) -> float:
-        return log10((count + 1) / (self.tokens + self.words + 1))
-
-    def walk(self, tokens: list[bytes], unigrams: list[float]) -> float:
-        """log10 probability of the tokens; ``unigrams`` are their log10 unigram probabilities."""
-        arcs, fail, weight, enter = self.arcs, self.fail, self.weight, self.enter
-        at, total = self.start, 0.0
-        for token, unigram in zip(tokens, unigrams):
-            while at:
-                arc = arcs[at].get(token)
-                if arc:
-                    total += arc[0]
-                    at = arc[1]
+SHARDS = 2
+#: Level under which contexts of so many words get their freed masses.
+_MASSES = 100
+
+_ASKED = "shard int, block int, level int, keys array<bigint>, n array<bigint>, kinds array<bigint>"
+_TOLD = "block int, level int, shard int, n array<bigint>, kinds array<bigint>"
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.append(0, np.cumsum([len(p) for p in parts])).astype(np.int32)
+    values = np.concatenate([np.zeros(0, np.int64), *(np.ascontiguousarray(p).view(np.int64) for p in parts)])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+
+
+def _table(schema: str, rows: list[tuple]) -> pa.Table:
+    names, columns = [f.split()[0] for f in schema.split(", ")], list(zip(*rows)) or [()] * len(schema.split(", "))
+    made = [_lists(list(c)) if "array" in f else pa.array(c, pa.int32()) for f, c in zip(schema.split(", "), columns)]
+    return pa.Table.from_arrays(made, names=names)
+
+
+def _flat(table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of lists, and the lists' lengths."""
+    lists = table.column(column).combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
+
+
+class Level:
+    """The n-grams of one size in a block: sorted distinct ``keys``, one place ``at`` of each, ``entry`` of each place (-1: none)."""
+
+    def __init__(self, hashes: np.ndarray, places: np.ndarray, weight: np.ndarray, length: int):
+        self.keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        self.at = places[first]
+        self.entry = np.full(length, -1, np.int64)
+        self.entry[places] = inverse
+        self.n = np.bincount(inverse, weight[places], len(self.keys)).astype(np.int64)
+        self.total = self.owned = None
+
+    def told(self, n: np.ndarray) -> None:
+        assert len(n) == len(self.keys)
+        self.total, self.owned = np.abs(n), n < 0
+
+    def of(self, values: np.ndarray, missing) -> np.ndarray:
+        """An entry's value at each place."""
+        return np.append(values, missing)[self.entry]
+
+
+class Block:
+    """The tokens of some texts, one after another, each text with its start and end."""
+
+    def __init__(self, texts: pa.Table, told: pa.Table, order: int, levels: int):
+        """``told``: the answers on so many ``levels``, and on masses."""
+        hashed, words = [], WordHashes()
+        edges = words.of([START]), words.of([END])
+        for text in raw(texts.column("text").combine_chunks()):
+            hashed += [edges[0], words.of(lowered_words(text)), edges[1]]
+        self.sizes = np.array([len(hashed[i + 1]) + 2 for i in range(0, len(hashed), 3)], np.int64)
+        self.stream = mix(np.concatenate([np.zeros(0, np.uint64), *hashed]) + np.uint64(1))
+        self.start = mix(edges[0] + np.uint64(1))[0]
+        ends = np.cumsum(self.sizes)
+        self.begins = ends - self.sizes
+        self.left = np.repeat(ends, self.sizes) - np.arange(len(self.stream))
+        learnt = texts.column("learnt").combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
+        self.weight = np.repeat(np.where(learnt, texts.column("copies").combine_chunks().to_numpy(), 0), self.sizes)
+        self.order, self.levels = order, []
+        level, shard = (told.column(c).to_numpy() for c in ("level", "shard"))
+        self.answers = {int(k): told.take(pa.array(np.flatnonzero(level == k)[np.argsort(shard[level == k], kind="stable")])) for k in np.unique(level)}
+        self.hashes = self.stream
+        for k in range(1, min(levels + 1, order) + 1):
+            self._grow()
+            if k <= levels:
+                self.levels[-1].told(self._answer(k, "n"))
+
+    def _answer(self, level: int, column: str) -> np.ndarray:
+        return _flat(self.answers[level], column)[0] if level in self.answers else np.zeros(0, np.int64)
+
+    def _grow(self) -> None:
+        """Add the next level: places whose two shorter parts are kept."""
+        k, length = len(self.levels) + 1, len(self.stream)
+        if k == 1:
+            places = np.arange(length)
+        else:
+            last = self.levels[-1]
+            kept = last.of(last.total >= LEAST_COUNT, False)
+            places = np.flatnonzero(kept[:-1] & kept[1:] & (self.left[:-1] >= k))
+            longer = np.zeros(length, np.uint64)
+            longer[places] = mix(self.hashes[places] * np.uint64(FACTORS[0]) + self.stream[places + k - 1])
+            self.before, self.hashes = self.hashes, longer
+        self.levels.append(Level(self.hashes[places], places, self.weight, length))
+        self.levels[-1].contexts = self.before[self.levels[-1].at] if k > 1 else None
+
+    def ask(self, block: int, shards: int) -> list[tuple]:
+        """Rows of _ASKED for the last level, which has no totals yet."""
+        last = self.levels[-1]
+        return _dealt(block, len(self.levels), shards, last.keys, last.n)
+
+    def ask_masses(self, block: int, shards: int) -> list[tuple]:
+        """Rows of _ASKED that tell of owned n-grams (block -1) and ask for the masses of contexts."""
+        rows = []
+        for k, level in enumerate(self.levels, 1):
+            if k > 1:
+                own = level.owned & (level.total >= LEAST_COUNT)
+                contexts, inverse = np.unique(level.contexts[own], return_inverse=True)
+                n = np.bincount(inverse, level.total[own], len(contexts)).astype(np.int64)
+                rows += _dealt(-1, k - 1, shards, contexts, n, np.bincount(inverse, minlength=len(contexts)))
+            if k < self.order:
+                rows += _dealt(block, _MASSES + k, shards, level.keys[level.total >= LEAST_COUNT])
+        return rows
+
+    def score(self, tokens: int, words: int) -> list[tuple[int, int, float, float]]:
+        """(n_tokens, n_known, base_score, score) of each text."""
+        one = self.levels[0]
+        below = one.of((one.total + 1) / (tokens + words + 1), 1.0)
+        base = np.log10(below)
+        arcs, weights = [None], [None]  # by words of the context
+        for k in range(2, self.order + 1):
+            context, level = self.levels[k - 2], self.levels[k - 1]
+            n, kinds = np.zeros((2, len(context.keys)))
+            asked = context.total >= LEAST_COUNT
+            n[asked], kinds[asked] = (self._answer(_MASSES + k - 1, c) for c in ("n", "kinds"))
+            free = (context.total - n + DISCOUNT * kinds) / np.maximum(context.total, 1)
+            held = level.entry >= 0
+            held[held] = level.total[level.entry[held]] >= LEAST_COUNT
+            at = np.flatnonzero(held)
+            owner = context.entry[at]
+            p = np.full(len(self.stream), np.nan)
+            p[at] = (level.total[level.entry[at]] - DISCOUNT) / context.total[owner] + free[owner] * below[at + 1]
+            arcs.append(np.log10(p))
+            weights.append(context.of(np.where(kinds > 0, np.log10(np.maximum(free, 1e-300)), np.nan), np.nan))
+            below = p
+        known = one.of(one.total > 0, False)
+        out = []
+        for begin, size in zip(self.begins.tolist(), self.sizes.tolist()):
+            own = slice(begin, begin + size)
+            logs = base[own].tolist()
+            total = self._walk([None, *(a[own].tolist() for a in arcs[1:])], [None, *(w[own].tolist() for w in weights[1:])], logs)
+            out.append((size - 1, int(known[own][1:].sum()), sum(logs[1:]), total))
+        return out
+
+    def _walk(self, arcs: list, weights: list, unigrams: list[float]) -> float:
+        """log10 probability of one text. A state is the number of words of its context, which end where the walk is.
+
+        arcs[d][i], weights[d][i]: of the context of d words from place i; not a number where there is none.
+        """
+        longest, total, state = self.order - 1, 0.0, min(1, self.order - 1)
+        while state and weights[state][0] != weights[state][0]:
+            state -= 1
+        for j in range(1, len(unigrams)):
+            while state:
+                arc = arcs[state][j - state]
+                if arc == arc:
+                    total += arc
                     break
-                total += weight[at]
-                at = fail[at]
+                total += weights[state][j - state]
+                state -= 1
+                while state and weights[state][j - state] != weights[state][j - state]:
+                    state -= 1
             else:
-                total += unigram
-                at = enter.get(token, 0)
+                total += unigrams[j]
+            state = min(state + 1, longest)
+            while state and weights[state][j + 1 - state] != weights[state][j + 1 - state]:
+                state -= 1
         return total
 
 
-def build(keys: list[bytes], arcs: list[float | None], weights: list[float | None], tokens: int, distinct: int) -> Automaton:
-    """The automaton of rows of the model. A row's context must be there too, its other suffixes if a text can reach them."""
-    weight_of = {k: w for k, w in zip(keys, weights) if w is not None}
-    state = {c: i for i, c in enumerate(sorted(weight_of), 1)}
-
-    def longest(context: bytes) -> int:
-        while context and context not in state:
-            context = context.partition(b" ")[2]
-        return state.get(context, 0)
+def _dealt(block: int, level: int, shards: int, keys: np.ndarray, n: np.ndarray | None = None, kinds: np.ndarray | None = None) -> list[tuple]:
+    """Rows of _ASKED: sorted keys cut at the borders of the shards, which are equal ranges of keys."""
+    shard = ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+    edges = np.append(np.flatnonzero(np.diff(shard, prepend=np.uint64(shards))), len(keys)).tolist()
+    none = np.zeros(0, np.int64)
+    return [(int(shard[a]), block, level, keys[a:b], none if n is None else n[a:b], none if kinds is None else kinds[a:b]) for a, b in zip(edges, edges[1:])]
 
-    model = Automaton([{}], [0], [0.0], {}, state.get(_START, 0), tokens, distinct)
-    for context in state:
-        model.arcs.append({})
-        model.fail.append(longest(context.partition(b" ")[2]))
-        model.weight.append(weight_of[context])
-    for key, p in zip(keys, arcs):
-        if p is not None:
-            context, _, word = key.rpartition(b" ")
-            model.arcs[state[context]][word] = (p, longest(key))
-    model.enter = {c: s for c, s in state.items() if b" " not in c and c != _START}
-    return model
 
+def _totals(asked: pa.Table, start: int) -> pa.Table:
+    """A shard's answers on counts: totals, below zero for the one asker that owns the n-gram, zero if too few.
 
-def model_table(texts: DataFrame, counts: DataFrame, order: int, word_share: float, share: float) -> tuple[DataFrame, int, int]:
-    """The model of the column ``text``, whose token_counts are ``counts``, with training tokens and distinct ones.
-
-    (word, n, arc, weight): of an n-gram joined by blanks its count if it is a token, the log10
-    probability of its last word after the others if it is kept, and its log10 failure weight if
-    it is a context.
+    On single tokens it also tells, as block -1, the sum of all and how many there are.
     """
-    total = counts.agg(F.sum("n").alias("tokens"), F.count("*").alias("words"), F.max(F.when(F.col("word") == END, F.col("n"))).alias("texts")).first()
-    tokens, distinct = total["tokens"] or 0, total["words"]
-    known = None
-    if word_share * tokens > 1:  # at most 1 / word_share words
-        known = {bytes(r["word"]) for r in counts.filter(F.col("n") >= word_share * tokens).collect()}
-    grams = written(_gram_counts(texts, order, known, max(float(LEAST_COUNT), share * tokens)), "gram-counts")
-    start = counts.filter(F.col("word") == END).select(F.lit(_START).alias("word"), "n")
-
-    text = "cast(word as string)"
-    context = F.expr(f"cast(left({text}, length({text}) - length(substring_index({text}, ' ', -1)) - 1) as binary)")
-    suffix = F.expr(f"cast(substring({text}, locate(' ', {text}) + 1) as binary)")
-    above = counts.unionByName(start).unionByName(grams).select(F.col("word").alias("context"), F.col("n").alias("of"))
-    split = grams.select("word", "n", context.alias("context"), suffix.alias("suffix"))
-    arcs = written(split.join(above, "context").select("word", "context", "suffix", ((F.col("n") - DISCOUNT) / F.col("of")).alias("p")), "arcs")
-    unigrams = counts.select("word", ((F.col("n") + 1) / F.lit(float(tokens + distinct + 1))).alias("p"))
-    lower = arcs.select("word", "p").unionByName(unigrams).select(F.col("word").alias("suffix"), F.col("p").alias("below"))
-    free = [F.greatest(1 - F.sum(c), F.lit(1e-12)) for c in ("p", "below")]
-    states = arcs.join(lower, "suffix").groupBy("context").agg(F.log10(free[0] / free[1]).alias("weight"))
-
-    parts = [counts.select("word", "n"), arcs.select("word", F.log10("p").alias("arc")), states.select(F.col("context").alias("word"), "weight")]
-    every = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
-    return written(every.groupBy("word").agg(*[F.max(c).alias(c) for c in ("n", "arc", "weight")]), "model"), tokens, distinct
-
-
-def learn(texts: DataFrame, counts: DataFrame, order: int = ORDER, word_share: float = LEAST_WORD_SHARE, share: float = LEAST_SHARE) -> Automaton:
-    """The whole automaton in memory, for small corpora; score_texts never makes it."""
-    model, tokens, distinct = model_table(texts, counts, order, word_share, share)
-    rows = model.collect()
-    return build([bytes(r["word"]) for r in rows], [r["arc"] for r in rows], [r["weight"] for r in rows], tokens, distinct)
-
-
-def _score(text: bytes | None, unigram: dict[bytes, float], unknown: float, model: Automaton) -> tuple[int, int, float, float]:
-    tokens = [*lowered_words(text), END]
-    get = unigram.get
-    values = [get(t, unknown) for t in tokens]
-    return len(tokens), len(tokens) - values.count(unknown), sum(values), model.walk(tokens, values)
+    keys, sizes = _flat(asked, "keys")
+    level = asked.column("level")[0].as_py()
+    distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    total = np.bincount(inverse, _flat(asked, "n")[0], len(distinct)).astype(np.int64)
+    rows = []
+    if level == 1:
+        real = total[distinct != start]
+        rows.append((-1, 1, 0, np.array([real.sum(), (real > 0).sum()]), np.zeros(0, np.int64)))
+    else:
+        total[total < LEAST_COUNT] = 0
+    answer = total[inverse]
+    answer[first] *= -1
+    shard, block = asked.column("shard")[0].as_py(), asked.column("block").to_pylist()
+    rows += [(b, level, shard, part, np.zeros(0, np.int64)) for b, part in zip(block, np.split(answer, np.cumsum(sizes)[:-1]))]
+    return _table(_TOLD, rows)
+
+
+def _masses(asked: pa.Table) -> pa.Table:
+    """A shard's answers on contexts: the sum of the counts of the n-grams kept after each, and how many they are."""
+    told = asked.filter(pc.equal(asked.column("block"), -1))
+    asked = asked.filter(pc.not_equal(asked.column("block"), -1))
+    distinct, inverse = np.unique(_flat(told, "keys")[0], return_inverse=True)
+    sums = [np.append(np.bincount(inverse, _flat(told, c)[0], len(distinct)).astype(np.int64), 0) for c in ("n", "kinds")]
+    rows = []
+    for shard, block, level, keys in zip(*(asked.column(c).to_pylist() for c in ("shard", "block", "level")), asked.column("keys")):
+        keys = keys.values.to_numpy()
+        place = np.searchsorted(distinct, keys)
+        place[place < len(distinct)] = np.where(distinct[place[place < len(distinct)]] == keys[place < len(distinct)], place[place < len(distinct)], len(distinct))
+        rows.append((block, level, shard, sums[0][place], sums[1][place]))
+    return _table(_TOLD, rows)
+
+
+def _each_once(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``copies``; rows that are equal become one, so that no block is full of them."""
+    digest = F.xxhash64("text").alias("h")
+    many = written(rows.groupBy("id", "learnt", digest).agg(F.count("*").alias("k")).filter("k > 1"), "repeated-rows")
+    if many.isEmpty():
+        return rows.withColumn("copies", F.lit(1).cast("long"))
+    named = many.select(F.col("id").alias("m_id"), F.col("learnt").alias("m_learnt"), "h")
+    same = rows["id"].eqNullSafe(named["m_id"]) & (rows["learnt"] == named["m_learnt"]) & (F.xxhash64(rows["text"]) == named["h"])
+    single = rows.join(named, same, "left_anti").withColumn("copies", F.lit(1).cast("long"))
+    return single.unionByName(rows.join(named, same, "left_semi").groupBy("id", "text", "learnt").agg(F.count("*").alias("copies")))
 
 
 def score_texts(
@@ -210,58 +265,58 @@ def score_texts(
     id_col: str = "doc_id",
     text_col: str = "text",
     order: int = ORDER,
-    word_share: float = LEAST_WORD_SHARE,
-    share: float = LEAST_SHARE,
     block_bytes: int = BLOCK_BYTES,
+    shards: int = SHARDS,
 ) -> DataFrame:
     """One row per row of ``docs``: the id, ``learnt``, ``n_tokens``, ``n_known`` (seen in training),
     ``train_tokens`` (long), ``base_score`` and ``score`` (log10, of add-one unigrams and of the automaton).
 
     The model is learnt from the rows whose boolean ``learn_col`` is true. Tokens are the words of
-    the whole text, A-Z lower-cased, and one end.
+    the whole text, A-Z lower-cased, and one end. N-grams are told apart by 64 bits of hash.
 
-    Cases: null, empty and blank texts are their end alone. A null in ``learn_col`` is false. No
-    training rows make every token unknown, of probability one. Repeated rows are learnt from and
-    scored each; null ids pass through. Extra columns are ignored. No rows give no rows.
+    Cases: null, empty and blank texts are their end alone. Texts of any length are walked whole,
+    each in one block. A null in ``learn_col`` is false. No training rows make every token unknown,
+    of probability one. Repeated rows are learnt from and scored each; null ids pass through.
+    Extra columns are ignored. No rows give no rows.
     """
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), F.coalesce(docs[learn_col], F.lit(False)).alias("learnt"))
-    training = rows.filter("learnt")
-    counts = written(token_counts(training), "token-counts")
-    model, train_tokens, distinct = model_table(training, counts, order, word_share, share)
-
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = _each_once(rows)
+    size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     blocks = max(1, ceil(size / block_bytes))
+    shards *= blocks
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")).repartition(2 * blocks, "block")
-
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows_of(block: int, found: set[bytes]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([block] * len(found), pa.int32()), pa.array(found, pa.binary())], names=["block", "word"])
-
-        now, found = None, set()
-        for batch in batches:
-            for block, text in zip(batch.column("block").to_pylist(), raw(batch.column("text"))):
-                if block != now or len(found) > _HELD:
-                    yield rows_of(now or 0, found)
-                    now, found = block, set()
-                for level in _grams([_START, *lowered_words(text), END], order):
-                    found.update(level)
-        yield rows_of(now or 0, found)
-
-    def walk(texts: pa.Table, known: pa.Table) -> pa.Table:
-        keys, counts, arcs, weights = (known.column(c).to_pylist() for c in ("word", "n", "arc", "weight"))
-        model = build(keys, arcs, weights, train_tokens, distinct)
-        unknown = model.unigram(0)
-        unigram = {w: model.unigram(n) for w, n in zip(keys, counts) if n is not None}
-        scored = [_score(t, unigram, unknown, model) for t in raw(texts.column("text").combine_chunks())]
-        made = [pa.array([s[i] for s in scored], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
-        return pa.table([texts.column("id"), texts.column("learnt"), *made], names=["id", "learnt", "n_tokens", "n_known", "base_score", "score"])
-
-    reached = dealt.select("block", "text").sortWithinPartitions("block").mapInArrow(met, "block int, word binary").distinct()
-    known = reached.join(model, "word").select("block", "word", "n", "arc", "weight")
-    kind = docs.schema[id_col].dataType.simpleString()
-    scored = (
-        dealt.groupBy("block")
-        .cogroup(known.groupBy("block"))
-        .applyInArrow(walk, f"id {kind}, learnt boolean, n_tokens bigint, n_known bigint, base_score double, score double")
-    )
-    return scored.select(F.col("id").alias(id_col), "learnt", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    start = int(mix(WordHashes().of([START]) + np.uint64(1)).view(np.int64)[0])
+    told = [spark.createDataFrame([], _TOLD)]
+
+    def meet(fn: Callable[[pa.Table, Block], pa.Table], schema: str) -> DataFrame:
+        """Each block's texts with all that it has been told."""
+        answers, levels = told[0], min(len(told) - 1, order)
+        for more in told[1:]:
+            answers = answers.unionByName(more)
+
+        def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+            return fn(texts, Block(texts, answers, order, levels))
+
+        return dealt.groupBy("block").cogroup(answers.filter("block >= 0").groupBy("block")).applyInArrow(run, schema)
+
+    def number(texts: pa.Table) -> int:
+        return texts.column("block")[0].as_py()
+
+    for _ in range(order):
+        asked = meet(lambda texts, block: _table(_ASKED, block.ask(number(texts), shards)), _ASKED)
+        told.append(written(asked.groupBy("shard").applyInArrow(lambda a: _totals(a, start), _TOLD), "ngram-totals"))
+    if order > 1:
+        asked = meet(lambda texts, block: _table(_ASKED, block.ask_masses(number(texts), shards)), _ASKED)
+        told.append(written(asked.groupBy("shard").applyInArrow(_masses, _TOLD), "freed-masses"))
+    every = told[1].filter("block = -1").agg(F.sum(F.col("n")[0]).alias("tokens"), F.sum(F.col("n")[1]).alias("words")).first()
+    tokens, words = every["tokens"] or 0, every["words"] or 0
+
+    def walk(texts: pa.Table, block: Block) -> pa.Table:
+        scored = block.score(tokens, words)
+        made = [pa.array([s[i] for s in scored], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
+        return pa.table([texts.column("id"), texts.column("learnt"), texts.column("copies"), *made], names=["id", "learnt", "copies", "n_tokens", "n_known", "base_score", "score"])
+
+    scored = meet(walk, f"id {kind}, learnt boolean, copies bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+    scored = scored.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return scored.select(F.col("id").alias(id_col), "learnt", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
