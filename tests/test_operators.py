@@ -56,14 +56,27 @@ def test_refresh_reads_only_what_changed(spark, tmp_path):
         return files.select("path", F.length("value").cast("long").alias("input"))
 
     def files(**texts):
-        return spark.createDataFrame([(p, "2024-01-01", len(t), t) for p, t in texts.items()], "path string, session_date string, length bigint, value string")
-
-    first = refresh(spark, files(a="x", b="yy"), reader, None, f"{tmp_path}/1")
-    assert sorted(tuple(r) for r in first.collect()) == [("a", 1), ("b", 2)]
-    second = refresh(spark, files(a="x", b="yyyy", c="z"), reader, f"{tmp_path}/1", f"{tmp_path}/2")
-    assert sorted(tuple(r) for r in second.collect()) == [("a", 1), ("b", 4), ("c", 1)]
-    partial = refresh(spark, files(c="z"), reader, f"{tmp_path}/2", f"{tmp_path}/3", complete=False)
-    assert partial.count() == 3
-    whole = refresh(spark, files(c="z"), reader, f"{tmp_path}/3", f"{tmp_path}/4")
-    assert [r.path for r in whole.collect()] == ["c"]
-    assert read == [["a", "b"], ["b", "c"], [], []]
+        rows = [(p, "2024-01-01", when, len(t), t) for p, (when, t) in texts.items()]
+        return spark.createDataFrame(rows, "path string, session_date string, modified string, length bigint, value string").withColumn("modified", F.to_timestamp("modified"))
+
+    state, old, new = str(tmp_path), "2024-01-01 00:00:00", "2024-01-01 00:00:01"
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(refresh(spark, files(a=(old, "x"), b=(old, "yy")), reader, state)) == [("a", 1), ("b", 2)]
+    assert rows(refresh(spark, files(a=(old, "x"), b=(new, "zz"), c=(old, "zzz")), reader, state)) == [("a", 1), ("b", 2), ("c", 3)]
+    assert rows(refresh(spark, files(c=(new, "z")), reader, state, complete=False)) == [("a", 1), ("b", 2), ("c", 1)]
+    assert rows(refresh(spark, files(c=(new, "z")), reader, state)) == [("c", 1)]
+    assert read == [["a", "b"], ["b", "c"], ["c"], []]
+
+
+def test_active_days(spark):
+    days = [("codex", "2024-01-01", {"input": 1}), ("codex", "2024-01-02", {}), ("claude", "2024-01-01", {"stored_cost": 0.5}), ("claude", "2024-01-03", {"web_search": 1})]
+    import datetime
+
+    rows = spark.createDataFrame([request(p, "m", session_date=datetime.date.fromisoformat(d), **given) for p, d, given in days], REQUEST_USAGE)
+    assert {r.provider: r.days for r in usage.active_days(rows).collect()} == {"codex": 1, "claude": 2, None: 2}
+
+
+def test_synthetic_models_are_no_usage_of_claude_and_codex(spark):
+    rows = [request("claude", "<synthetic>", input=1), request("gemini", "<synthetic>", input=2), request("hermes", None, input=4)]
+    got = usage.roll_up(spark.createDataFrame(rows, REQUEST_USAGE), ["provider", "model"]).collect()
+    assert {(r.provider, r.model): r.input for r in got} == {("gemini", "<synthetic>"): 2, ("hermes", None): 4}

@@ -36,6 +36,7 @@ def test_claude_splits_cache_writes_and_takes_advisors(spark, tmp_path):
     rows = usage(spark, "claude", tmp_path)
     assert buckets(rows) == [("a", 5, 7, 0, 3, 2, 8), ("b", 4, 0, 0, 0, 0, 0)]
     assert {(r.model, r.is_advisor, r.request_context, r.ts_ms) for r in rows.collect()} == {("a", False, 18, 1704067200000), ("b", True, 4, 1704067200000)}
+    assert [r.line_no for r in logs.read_lines(spark, str(tmp_path), "*.jsonl").orderBy("line_no").collect()] == [0, 1, 2, 3]
     counted = logs.lines(logs.read_files(spark, str(tmp_path), "*.jsonl")).agg(F.count("*"), F.count_if("malformed")).first()
     assert tuple(counted) == (4, 1)
 
@@ -50,7 +51,10 @@ def test_codex_takes_increments_and_restarts(spark, tmp_path):
         count(input_tokens=30, cached_input_tokens=5, output_tokens=9, reasoning_output_tokens=4, total_tokens=39),
         count(input_tokens=4, cached_input_tokens=1, output_tokens=2, reasoning_output_tokens=1, total_tokens=6),
     ])
-    rows = usage(spark, "codex", tmp_path)
+    archived = tmp_path / "archived"
+    put(archived, "a.jsonl", [{"timestamp": "t", "type": "turn_context", "payload": {"model": "again"}}, count(input_tokens=9, total_tokens=9)])
+    put(tmp_path / "sessions", "a.jsonl", (tmp_path / "a.jsonl").read_text().splitlines())
+    rows = usage_logs.read_usage(spark, {"codex": [str(tmp_path / "sessions"), str(archived), str(tmp_path / "not there")]})
     assert buckets(rows) == [("m", 3, 1, 1, 1, 0, 0), ("m", 15, 4, 4, 5, 0, 0)]
     assert sorted(r.published_total for r in rows.collect()) == [6, 28]
 
@@ -62,16 +66,16 @@ def test_copilot_prefers_the_last_shutdown(spark, tmp_path):
     said = [{"type": "session.model_change", "data": {"newModel": "gpt.5"}}, {"type": "assistant.message", "data": {"outputTokens": 4}}]
     put(tmp_path, "session-state/a/events.jsonl", [*said, shutdown(5), shutdown(6)])
     put(tmp_path, "session-state/b/events.jsonl", [*said, *said])
-    assert buckets(usage(spark, "copilot", tmp_path)) == [("claude-x-4-5", 6, 7, 2, 1, 0, 0), ("gpt.5", 0, 4, 0, 0, 0, 0), ("gpt.5", 0, 4, 0, 0, 0, 0)]
+    assert buckets(usage(spark, "copilot", tmp_path / "session-state")) == [("claude-x-4-5", 6, 7, 2, 1, 0, 0), ("gpt.5", 0, 4, 0, 0, 0, 0), ("gpt.5", 0, 4, 0, 0, 0, 0)]
 
 
 def test_gemini_keeps_the_last_revision(spark, tmp_path):
     def message(i, tokens):
         return {"id": i, "type": "gemini", "model": "g", "tokens": tokens}
 
-    put(tmp_path, "t/chats/s.jsonl", [{"sessionId": "s", "projectHash": "h"}, message("1", {"input": 10, "cached": 4, "output": 3, "thoughts": 2, "tool": 1, "total": 16}), message("1", None), message("2", {"input": 1, "cached": 5})])
+    put(tmp_path, "t/chats/s.jsonl", [{"sessionId": "s", "projectHash": "h"}, message("1", {"input": 10, "cached": 4, "output": 3, "thoughts": 2, "tool": 1, "total": 16}), message("1", None), message("2", {"input": 1, "cached": 5}), {"$set": {"messages": [message("3", {"input": 7}), message("", {"input": 9}), message(None, {"input": 9})]}}, {"id": "3", "type": "gemini", "tokens": {"input": 8}}, message("4", {})])
     rows = usage(spark, "gemini", tmp_path)
-    assert buckets(rows) == [("g", 0, 0, 0, 5, 0, 0), ("g", 6, 3, 2, 4, 0, 0)]
+    assert buckets(rows) == [("g", 0, 0, 0, 5, 0, 0), ("g", 6, 3, 2, 4, 0, 0), ("g", 7, 0, 0, 0, 0, 0)]
 
 
 def test_deepseek_counts_a_step_once_and_survives_torn_frames(spark, tmp_path):
@@ -80,26 +84,36 @@ def test_deepseek_counts_a_step_once_and_survives_torn_frames(spark, tmp_path):
         data = {"turn": turn, "step": step}
         return {"type": f"assistant/{kind}", "seq": n, "time": 1, "data": data | ({"chunk": {"type": "usage", "usage": u}} if kind == "chunk" else {"usage": u, "message": {"source": {"model": model}}})}
 
-    records = [{"type": "session", "version": 0}, {"type": "request/context", "data": {"model": "r"}}, use("chunk", 1, 1, 5), use("message", 1, 1, 6, "own"), use("chunk", 1, 2, 7)]
-    put(tmp_path, "a/session.jsonl", records)
+    records = [{"type": "session", "version": 0, "id": "s"}, {"type": "request/context", "data": {"model": "r"}}, use("chunk", 1, 1, 5), use("message", 1, 1, 6, "own"), use("chunk", 1, 2, 7)]
+    put(tmp_path, "sessions/p/a/session.jsonl", records)
+    put(tmp_path, "sessions/p/c/session.jsonl", [{"type": "session", "version": 2, "id": "foreign"}, *records[1:]])
     frames = [zstandard.ZstdCompressor().compress((json.dumps(r) + "\n").encode()) for r in records]
-    (tmp_path / "b").mkdir()
-    (tmp_path / "b/session.jsonl.zstd").write_bytes(b"".join(frames[:4]) + frames[4][:-6])
-    assert buckets(usage(spark, "deepseek", tmp_path)) == [("own", 6, 20, 30, 2, 0, 0), ("own", 6, 20, 30, 2, 0, 0), ("r", 7, 20, 30, 2, 0, 0)]
+    (tmp_path / "sessions/p/b").mkdir()
+    (tmp_path / "sessions/p/b/session.jsonl.zstd").write_bytes(b"".join(frames[:4]) + frames[4][:-6])
+    assert buckets(usage(spark, "deepseek", tmp_path / "sessions")) == [("own", 6, 20, 30, 2, 0, 0), ("own", 6, 20, 30, 2, 0, 0), ("r", 7, 20, 30, 2, 0, 0)]
 
 
 def test_grok_reads_one_gauge(spark, tmp_path):
-    put(tmp_path, "sessions/c/s/signals.json", [json.dumps({"primaryModelId": "", "modelsUsed": ["k"], "contextTokensUsed": 12345}, indent=1)])
-    assert buckets(usage(spark, "grok", tmp_path)) == [("k", 0, 0, 0, 12345, 0, 0)]
+    signals = {"primaryModelId": "", "contextTokensUsed": 12345, "toolsUsed": []}
+    put(tmp_path, "sessions/c/s/signals.json", [json.dumps(signals | {"modelsUsed": [" ", " k "]}, indent=1)])
+    put(tmp_path, "sessions/c/t/signals.json", [json.dumps(signals)])
+    put(tmp_path, "sessions/c/t/summary.json", [json.dumps({"current_model_id": "alias"})])
+    put(tmp_path, "sessions/deep/sessions/c/u/signals.json", [json.dumps(signals | {"modelsUsed": ["too deep"]})])
+    assert buckets(usage(spark, "grok", tmp_path / "sessions")) == [("alias", 0, 0, 0, 12345, 0, 0), ("k", 0, 0, 0, 12345, 0, 0)]
 
 
 def test_detect_provider(spark, tmp_path):
-    put(tmp_path, "a", [{"type": "session.start"}])
-    put(tmp_path, "b", [{"x": 1}, {"parentUuid": "u"}])
-    put(tmp_path, "c", [{"x": 1}])
-    put(tmp_path, "d", [{"type": "session", "version": 0, "createdAt": 1}])
+    put(tmp_path, "a", [{"type": "session.start", "data": {"producer": "copilot-agent"}}])
+    put(tmp_path, "b", ["{broken", {"x": 1}, {"parentUuid": None}])
+    put(tmp_path, "c", [{"x": 1}, {"sessionId": "late", "projectHash": "h"}])
+    put(tmp_path, "d", [{"type": "session", "version": 7, "id": "i"}])
+    put(tmp_path, "e", [{"primaryModelId": "g", "contextTokensUsed": 1, "toolsUsed": []}])
+    put(tmp_path, "f", [{"primaryModelId": "g", "contextTokensUsed": 1}])
+    put(tmp_path, "g", [{"sessionId": "s", "projectHash": "h", "messages": []}])
+    put(tmp_path, "h", [{"sessionId": "s", "projectHash": "h"}, {"parentUuid": "u"}])
+    put(tmp_path, "i", [{"type": "session", "version": "0", "id": "i"}, {"type": "session.start", "data": {"producer": "copilot"}}])
     found = logs.detect_provider(logs.lines(logs.read_files(spark, str(tmp_path))))
-    assert {r.path[-1]: r.provider for r in found.collect()} == {"a": "copilot", "b": "claude", "c": "codex", "d": "deepseek"}
+    assert {r.path[-1]: r.provider for r in found.collect()} == dict(zip("abcdefghi", ["copilot", "claude", "codex", "deepseek", "grok", "codex", "codex", "gemini", "codex"]))
 
 
 def test_sqlite_stores(spark, tmp_path):

@@ -34,11 +34,11 @@ def is_array(v: Column, path: str = "$") -> Column:
     return F.coalesce(variant_type(v, path).startswith("ARRAY"), F.lit(False))
 
 
-def first_string(v: Column, paths: list[str]) -> Column:
-    """The first path that is present decides; null if that is no string."""
+def first_string(v: Column, fields: list[str]) -> Column:
+    """The first of ``fields`` that is there decides, a JSON null too; null if it is no string."""
     out = F.lit(None).cast("string")
-    for path in reversed(paths):
-        out = F.when(F.try_variant_get(v, path, "variant").isNotNull(), strict_string(v, path)).otherwise(out)
+    for f in reversed(fields):
+        out = F.when(has(v, f"$.{f}"), strict_string(v, f"$.{f}")).otherwise(out)
     return out
 
 
@@ -52,10 +52,35 @@ def sorted_map(m: Column) -> Column:
     return F.map_from_entries(F.array_sort(F.map_entries(m)))
 
 
-def ints_or_absent(v: Column, fields: list[str]) -> Column:
-    """An object none of whose ``fields`` is anything but an integer, null or absent."""
-    kinds = [F.coalesce(variant_type(v, f"$.{f}"), F.lit("VOID")).isin("BIGINT", "VOID") for f in fields]
-    return is_object(v) & F.array_position(F.array(*kinds), F.lit(False)).eqNullSafe(F.lit(0))
+def has(v: Column, path: str) -> Column:
+    """Whether the path is there, a JSON null included."""
+    return F.try_variant_get(v, path, "variant").isNotNull()
+
+
+def usable_counts(v: Column, fields: list[str], nested: dict[str, list[str]] | None = None, empty: bool = True) -> Column:
+    """An object whose ``fields`` are integers where they are there, at least one of which is.
+
+    ``nested``: the same for objects inside; one without fields counts as one that is there. An
+    object without any field passes if ``empty``.
+    """
+    seen, bad = [], []
+    for f in fields:
+        seen.append(has(v, f"$.{f}"))
+        bad.append(has(v, f"$.{f}") & ~F.coalesce(variant_type(v, f"$.{f}") == "BIGINT", F.lit(False)))
+    for name, inner in (nested or {}).items():
+        there, fine = has(v, f"$.{name}"), is_object(v, f"$.{name}")
+        seen.append(fine & (variant_type(v, f"$.{name}") == "OBJECT<>"))
+        bad.append(there & ~fine)
+        for f in inner:
+            seen.append(has(v, f"$.{name}.{f}"))
+            bad.append(has(v, f"$.{name}.{f}") & ~F.coalesce(variant_type(v, f"$.{name}.{f}") == "BIGINT", F.lit(False)))
+    nothing = (variant_type(v) == "OBJECT<>") if empty else F.lit(False)
+    return is_object(v) & (nothing | (_any(seen) & ~_any(bad)))
+
+
+def _any(tests: list[Column]) -> Column:
+    """One array test instead of a long chain of ORs, which Catalyst would unfold."""
+    return F.array_contains(F.array(*[F.coalesce(t, F.lit(False)) for t in tests]), True)
 
 
 def items(v: Column, path: str) -> Column:

@@ -47,22 +47,64 @@ def unwrap_content(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("<content>")), strip_numbered_lines(inner)).otherwise(text)
 
 
+#: What the lines of a command's status header begin with. Fixed values.
+_HEADER = ["Chunk ID:", "Original token count:", "Process exited with code", "Script completed", "Wall time:"]
+
+
 def strip_exec_header(output: Column) -> Column:
     """A command's output without the status header that ends in a line 'Output:'."""
-    header = r"^(?:(?:Chunk ID|Wall time|Process exited with code|Process running with session ID|Original token count|Exit code|Total output lines)[^\n]*\n)+Output:\n"
-    return F.regexp_replace(output, header, "")
+    known = "|".join(h.replace(" ", r"\ ") for h in _HEADER)
+    return F.regexp_replace(output, rf"^(?:(?:{known})[^\n]*\n)*Output:\n", "")
+
+
+def trim_feeds(text: Column) -> Column:
+    return F.rtrim(text, F.lit("\n"))
+
+
+_SED = r"sed\s+-n\s+'[^']*'\s+(\S+)"
+_CAT = r"(?m)^[^\S\n]*cat [^\S\n]*(\S+)"
 
 
 def shell_kind(command: Column) -> Column:
-    """What a shell command does to files: 'patch', 'read' (sed -n or cat) or 'run'."""
-    return (
-        F.when(F.contains(command, F.lit("*** Begin Patch")), "patch")
-        .when(command.rlike(r"^\s*sed\s+-n\s+'[^']*'\s+\S+\s*$") | command.rlike(r"^\s*cat\s+[^|<>&;\s]+\s*$"), "read")
-        .otherwise("run")
-    )
+    """What a shell command does to files: 'patch', 'sed' or 'cat', which read, or 'run'."""
+    patch = F.contains(command, F.lit("*** Begin Patch"))
+    return F.when(patch, "patch").when(command.rlike(_SED), "sed").when(command.rlike(_CAT), "cat").otherwise("run")
 
 
 def shell_read_path(command: Column) -> Column:
-    """The file that a reading shell command names."""
-    sed = F.regexp_extract(command, r"^\s*sed\s+-n\s+'[^']*'\s+(\S+)\s*$", 1)
-    return F.when(sed != "", sed).otherwise(F.regexp_extract(command, r"^\s*cat\s+([^|<>&;\s]+)\s*$", 1))
+    """The file that a reading shell command names, without quotes around it."""
+    path = F.when(command.rlike(_SED), F.regexp_extract(command, _SED, 1)).otherwise(F.regexp_extract(command, _CAT, 1))
+    return F.btrim(path, F.lit("\"'"))
+
+
+def _marked(lines: Column, mark: str) -> Column:
+    """What follows the mark in the lines that begin with it."""
+    return trim_feeds(F.array_join(F.transform(F.filter(lines, lambda x: x.startswith(mark)), lambda x: F.substring(x, 2, 2**31 - 1)), "\n"))
+
+
+def diff_parts(diff: Column) -> tuple[Column, Column]:
+    """(old, new): the removed and the added lines of a diff."""
+    lines = F.split(F.coalesce(diff, F.lit("")), "\r?\n", -1)
+    return _marked(lines, "-"), _marked(lines, "+")
+
+
+def patch_files(text: Column, moves: bool = False) -> Column:
+    """The files of a patch envelope as structs of action ('add', 'update', 'delete'), file, old and new.
+
+    An update that moves its file bears the new name if ``moves``. No envelope, no files.
+    """
+    header = r"\*\*\* (Update|Add|Delete) File:"
+    inside = F.regexp_replace(text, r"(?s)^.*?\*\*\* Begin Patch", "")
+    parts = F.split(F.split(inside, r"\n\*\*\* End Patch", 2)[0], rf"(?m)^(?={header})", -1)
+
+    def one(part: Column) -> Column:
+        old, new = diff_parts(part)
+        action = F.lower(F.regexp_extract(part, rf"^{header}", 1))
+        name = F.trim(F.regexp_extract(part, rf"^{header}([^\r\n]*)", 2))
+        if moves:
+            targets = F.regexp_extract_all(part, F.lit(r"(?m)^\*\*\* Move to:([^\r\n]*)"), F.lit(1))
+            name = F.coalesce(F.trim(F.try_element_at(targets, F.lit(-1))), name)
+        return F.struct(action.alias("action"), name.alias("file"), old.alias("old"), new.alias("new"))
+
+    found = F.transform(F.filter(parts, lambda p: p.rlike(rf"^{header}")), one)
+    return F.when(F.contains(text, F.lit("*** Begin Patch")), found).otherwise(F.expr("cast(array() as array<struct<action:string,file:string,old:string,new:string>>)"))

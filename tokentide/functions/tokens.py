@@ -12,8 +12,8 @@ MAX_LEVELS = 16
 
 
 def active() -> Column:
-    """A row with any bucket, total or web search that is not zero."""
-    return F.expr(" OR ".join(f"coalesce({c}, 0) <> 0" for c in [*BUCKETS, "total", "web_search"]))
+    """A request with any bucket, total, web search or stored cost that is not zero."""
+    return F.expr(" OR ".join(f"coalesce({c}, 0) <> 0" for c in [*BUCKETS, "published_total", "tool_tokens", "web_search", "stored_cost"]))
 
 
 def split_cache_writes(scalar: Column, five: Column, hour: Column) -> tuple[Column, Column]:

@@ -26,13 +26,18 @@ def derived_total() -> Column:
     return sum((F.coalesce(F.col(b), F.lit(0)) for b in [*t.BUCKETS, "tool_tokens"]), F.lit(0).cast("bigint"))
 
 
+def real(requests: DataFrame) -> DataFrame:
+    """Claude and Codex name some models synthetic; those are no usage."""
+    named = F.col("provider").isin("claude", "codex") & is_synthetic(F.col("model"))
+    return requests.filter(~F.coalesce(named, F.lit(False)))
+
+
 def roll_up(requests: DataFrame, keys: list[str]) -> DataFrame:
     """Sums of the buckets by keys; ``total`` is the published total of Codex, else the larger of the
-    summed published and the summed derived ones. Synthetic models are left out."""
-    real = requests.filter(~is_synthetic(F.col("model")))
+    summed published and the summed derived ones."""
     nested = F.col("provider") == "codex"
     sums = [F.sum(c).cast("bigint").alias(c) for c in SUMS]
-    parts = real.groupBy(*keys).agg(
+    parts = real(requests).groupBy(*keys).agg(
         *sums,
         F.sum("stored_cost").alias("stored_cost"),
         F.sum(F.when(nested, F.coalesce("published_total", derived_total()))).alias("__codex"),
@@ -45,8 +50,7 @@ def roll_up(requests: DataFrame, keys: list[str]) -> DataFrame:
 
 def by_model_and_provider(requests: DataFrame) -> DataFrame:
     """Both views in one pass: provider null is the view by model."""
-    real = requests.filter(~is_synthetic(F.col("model")))
-    return real.groupingSets([["model"], ["provider", "model"]], "provider", "model").agg(
+    return real(requests).groupingSets([["model"], ["provider", "model"]], "provider", "model").agg(
         F.grouping("provider").alias("all_providers"), *[F.sum(c).cast("bigint").alias(c) for c in SUMS]
     )
 

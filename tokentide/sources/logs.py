@@ -1,37 +1,91 @@
-"""Session logs as lines: one row per line of each file, parsed as a variant.
-
-Order within a file decides what its records mean, so a file is read as one row and split, which
-numbers its lines; a session's log is small next to a partition. Everything after that is columnar.
-"""
+"""Session logs as lines: one row per line of each file, parsed as a variant, numbered in file order,
+because order within a file decides what its records mean."""
 
 from __future__ import annotations
 
 import io
+import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tokentide.functions import json
+from tokentide.operators.pairing import drop_seen_names
 
-#: provider -> (file name pattern, what a path must match). Fixed values.
+#: provider -> (file name pattern, what a path must match, what it must not, depth below the root or None). Fixed values.
 FILES = {
-    "claude": ("*.jsonl", r"\.jsonl$"),
-    "codex": ("*.json*", r"\.jsonl?$"),
-    "copilot": ("events.jsonl", r"/session-state/[^/]+/events\.jsonl$"),
-    "gemini": ("*.json*", r"/chats/([^/]+/)?[^/]+\.jsonl?$"),
-    "grok": ("signals.json", r"/sessions/[^/]+/[^/]+/signals\.json$"),
-    "deepseek": ("session.jsonl", r"/session\.jsonl$"),
+    "claude": ("*.jsonl", r"\.jsonl$", r"\.meta\.jsonl$", None),
+    "codex": ("*.json*", r"\.jsonl?$", r"\.meta\.jsonl?$", None),
+    "copilot": ("events.jsonl", r"/session-state/[^/]+/events\.jsonl$", "", 2),
+    "gemini": ("*.jsonl", r"/chats/([^/]+/)?[^/]+\.jsonl$", "", None),
+    "grok": ("signals.json", r"/sessions/[^/]+/[^/]+/signals\.json$", "", 3),
+    "deepseek": ("session.jsonl", r"/sessions/[^/]+/[^/]+/session\.jsonl$", "", 3),
 }
+FILE = ["path", "session_date", "modified", "length"]
 
 
-def read_files(spark: SparkSession, paths: str | list[str], pattern: str = "*", matching: str = "") -> DataFrame:
-    """(path, session_date, length, value): whole text files below ``paths``; the date is that of the file's last change."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(paths, wholetext=True)
+def _file_columns() -> list[Column]:
     meta = F.col("_metadata")
-    rows = files.select(meta["file_path"].alias("path"), F.to_date(meta["file_modification_time"]).alias("session_date"), meta["file_size"].alias("length"), "value")
-    return rows.filter(F.col("path").rlike(matching)) if matching else rows
+    changed = meta["file_modification_time"]
+    return [meta["file_path"].alias("path"), F.to_date(changed).alias("session_date"), changed.alias("modified"), meta["file_size"].alias("length")]
+
+
+def read_files(spark: SparkSession, paths: str | list[str], pattern: str = "*", matching: str = "", barring: str = "") -> DataFrame:
+    """(path, session_date, modified, length, value): whole text files below ``paths``; the date is that of the file's last change."""
+    if not paths:
+        return spark.createDataFrame([], "path string, session_date date, modified timestamp, length bigint, value string")
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(paths, wholetext=True)
+    return _matching(files.select(*_file_columns(), "value"), matching, barring)
+
+
+def _matching(rows: DataFrame, matching: str, barring: str) -> DataFrame:
+    rows = rows.filter(F.col("path").rlike(matching)) if matching else rows
+    return rows.filter(~F.col("path").rlike(barring)) if barring else rows
+
+
+def existing(spark: SparkSession, roots: list[str]) -> list[str]:
+    """The ``roots`` that are there."""
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    return [r for r in roots if path(r).getFileSystem(conf).exists(path(r))]
+
+
+def _below(path: Column, roots: list[str]) -> Column:
+    """(rank of the root that the path is below, path below it)."""
+    out = F.lit(None).cast("struct<rank:int,path:string>")
+    for k, root in reversed(list(enumerate(roots))):
+        inside = re.sub(r"^[a-z]+:/+", "/", root.rstrip("/")) + "/"
+        out = F.when(F.contains(path, F.lit(inside)), F.struct(F.lit(k).alias("rank"), F.substring_index(path, inside, -1).alias("path"))).otherwise(out)
+    return out
+
+
+def within_depth(rows: DataFrame, roots: list[str], depth: int | None) -> DataFrame:
+    """Rows whose ``path`` is at most ``depth`` levels below its root."""
+    return rows.filter(F.size(F.split(_below(F.col("path"), roots)["path"], "/")) <= depth) if depth else rows
+
+
+def first_of_names(files: DataFrame, roots: list[str]) -> DataFrame:
+    """Files without those whose name an earlier root has."""
+    named = files.withColumns({"root_rank": _below(F.col("path"), roots)["rank"], "file_name": F.substring_index("path", "/", -1)})
+    return drop_seen_names(named).drop("root_rank", "file_name")
+
+
+def read_lines(spark: SparkSession, paths: str | list[str], pattern: str = "*", matching: str = "", barring: str = "") -> DataFrame:
+    """lines() of files of any length: splits of a file are read by different tasks.
+
+    Lines of a split come in order, so a line's place is that of its split in the file and its
+    place in the split; numbering them is a sort per file, which the readers' windows share.
+    """
+    if not paths:
+        return lines(read_files(spark, paths))
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("lineSep", "\n").text(paths)
+    place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+    rows = _matching(files.select(*_file_columns()[:2], place.alias("place"), "value"), matching, barring)
+    number = F.row_number().over(Window.partitionBy("path").orderBy("place")) - 1
+    return _parsed(rows.select("path", "session_date", number.cast("long").alias("line_no"), F.col("value").alias("raw")))
 
 
 def _decoded(content: bytes) -> bytes:
@@ -54,16 +108,22 @@ def read_zstd_files(spark: SparkSession, paths: str | list[str], pattern: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [_decoded(c).decode("utf-8", "replace") for c in batch.column("content").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string())], names=["path", "session_date", "length", "value"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*FILE, "value"])
 
+    if not paths:
+        return read_files(spark, paths)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(paths)
-    return files.select("path", F.to_date("modificationTime").alias("session_date"), "length", "content").mapInArrow(run, "path string, session_date date, length bigint, value string")
+    rows = files.select("path", F.to_date("modificationTime").alias("session_date"), F.col("modificationTime").alias("modified"), "length", "content")
+    return rows.mapInArrow(run, "path string, session_date date, modified timestamp, length bigint, value string")
 
 
 def lines(files: DataFrame) -> DataFrame:
     """(path, session_date, line_no, v, malformed) of every line that is not blank; ``v`` is null where it is no JSON."""
-    split = files.select("path", "session_date", F.posexplode(F.split("value", "\n", -1)).alias("line_no", "raw"))
-    parsed = split.filter(F.trim("raw") != "").withColumn("v", F.try_parse_json("raw"))
+    return _parsed(files.select("path", "session_date", F.posexplode(F.split("value", "\n", -1)).alias("line_no", "raw")))
+
+
+def _parsed(rows: DataFrame) -> DataFrame:
+    parsed = rows.filter(F.trim("raw") != "").withColumn("v", F.try_parse_json("raw"))
     return parsed.select("path", "session_date", F.col("line_no").cast("long").alias("line_no"), "v", F.col("v").isNull().alias("malformed"))
 
 
@@ -77,30 +137,22 @@ def detect_provider(rows: DataFrame) -> DataFrame:
 
     Markers of Grok, DeepSeek, Gemini and Copilot count in a source's first record only.
     """
-    v, first = F.col("v"), F.col("line_no") == F.min("line_no").over(_whole())
-    has = lambda *fs: _all([F.try_variant_get(v, f"$.{f}", "variant").isNotNull() for f in fs])
+    v, first = F.col("v"), F.col("line_no") == F.min("line_no").over(Window.partitionBy("path"))
     kind = json.strict_string(v, "$.type")
+
+    def has(*fields: str) -> Column:
+        return reduce(Column.__and__, [json.has(v, f"$.{f}") for f in fields])
+
+    number = F.coalesce(json.number_as_int(v, "$.version").isNotNull(), F.lit(False))
     found = (
-        F.when(first & (has("primaryModelId") | has("contextTokensUsed")), "grok")
-        .when(first & (kind == "session") & has("version", "createdAt"), "deepseek")
-        .when(first & has("sessionId", "projectHash"), "gemini")
-        .when(first & (kind == "session.start"), "copilot")
+        F.when(first & has("primaryModelId", "contextTokensUsed") & (has("contextWindowTokens") | has("toolsUsed")), "grok")
+        .when(first & (kind == "session") & number & json.strict_string(v, "$.id").isNotNull(), "deepseek")
+        .when(first & has("sessionId", "projectHash") & ~has("messages"), "gemini")
+        .when(first & (kind == "session.start") & json.strict_string(v, "$.data.producer").startswith("copilot"), "copilot")
         .when(has("parentUuid"), "claude")
         .when(kind.isin("session_meta", "turn_context", "event_msg", "response_item"), "codex")
     )
-    marked = rows.withColumn("__p", found)
+    marked = rows.filter("not malformed").withColumn("__p", found)
     at = F.when(F.col("__p").isNotNull(), F.col("line_no"))
-    return marked.groupBy("path").agg(F.coalesce(F.min_by("__p", at), F.lit("codex")).alias("provider"))
-
-
-def _whole():
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy("path")
-
-
-def _all(tests):
-    out = tests[0]
-    for t in tests[1:]:
-        out = out & t
-    return out
+    found = marked.groupBy("path").agg(F.min_by("__p", at).alias("provider"))
+    return rows.select("path").distinct().join(found, "path", "left").select("path", F.coalesce("provider", F.lit("codex")).alias("provider"))

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from tokentide.functions import json, models, times, tokens
 from tokentide.operators import windows
@@ -39,6 +40,8 @@ def _rows(rows: DataFrame, provider: str, **columns: Column) -> DataFrame:
     return rows.select(*out)
 
 
+#: Field names of the formats, here and below. Fixed values.
+_CLAUDE_NESTED = {"cache_creation": ["ephemeral_5m_input_tokens", "ephemeral_1h_input_tokens"], "server_tool_use": ["web_search_requests", "web_fetch_requests"]}
 _CLAUDE = ["input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens"]
 
 
@@ -53,7 +56,7 @@ def claude(lines: DataFrame) -> DataFrame:
     steps = records.withColumn("step", F.explode(json.items(F.col("u"), "$.iterations"))).filter(json.strict_string(F.col("step"), "$.type") == "advisor_message")
     named = F.coalesce(windows.nonempty(json.strict_string(F.col("step"), "$.model")), F.col("model"))
     advisors = steps.withColumn("model", named).withColumn("u", F.col("step")).withColumn("is_advisor", F.lit(True)).drop("step")
-    rows = own.unionByName(advisors).filter(json.ints_or_absent(F.col("u"), _CLAUDE) & windows.nonempty(F.col("model")).isNotNull())
+    rows = own.unionByName(advisors).filter(json.usable_counts(F.col("u"), _CLAUDE, _CLAUDE_NESTED) & windows.nonempty(F.col("model")).isNotNull())
     u = F.col("u")
     split = [json.strict_int(u, f"$.cache_creation.ephemeral_{t}_input_tokens") for t in ("5m", "1h")]
     five, hour = tokens.split_cache_writes(json.strict_int(u, "$.cache_creation_input_tokens"), *split)
@@ -67,6 +70,16 @@ def claude(lines: DataFrame) -> DataFrame:
 _CODEX = ["input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens"]
 
 
+def _codex_usable(info: Column) -> Column:
+    """Token objects that are there are usable, and one is there or the context window is known."""
+    window = "$.model_context_window"
+    parts = [(json.has(info, f"$.{f}"), json.usable_counts(_get(info, f"$.{f}"), _CODEX)) for f in ("total_token_usage", "last_token_usage")]
+    fine = reduce(Column.__and__, [~there | usable for there, usable in parts])
+    unknown = F.coalesce(json.variant_type(info, window), F.lit("VOID"))
+    known = parts[0][0] | parts[1][0] | (unknown == "BIGINT")
+    return json.is_object(info) & fine & unknown.isin("BIGINT", "VOID") & known
+
+
 def codex(lines: DataFrame) -> DataFrame:
     """Increments of the cumulative token counts, credited to the model in force; before any model, to none."""
     v = F.col("v")
@@ -76,7 +89,7 @@ def codex(lines: DataFrame) -> DataFrame:
     rows = lines.filter(kind.isin("session_meta", "turn_context") | counted).select(
         "path", "session_date", "line_no", F.when(kind == "session_meta", json.strict_string(v, "$.payload.id")).alias("id"), times.iso_ms(json.strict_string(v, "$.timestamp")).alias("ts_ms"),
         F.when(kind == "turn_context", json.strict_string(v, "$.payload.model")).alias("named"),
-        (counted & json.ints_or_absent(_get(v, total), _CODEX)).alias("counts"), *[F.when(counted, json.strict_int(v, f"{total}.{c}")).alias(c) for c in _CODEX],
+        (counted & _codex_usable(_get(v, "$.payload.info"))).alias("counts"), *[F.when(counted, json.strict_int(v, f"{total}.{c}")).alias(c) for c in _CODEX],
         json.strict_int(v, "$.payload.info.last_token_usage.input_tokens").alias("last_input"),
     )
     rows = windows.carry_forward(rows, "named", *AT, "model")
@@ -99,7 +112,7 @@ def copilot(lines: DataFrame) -> DataFrame:
     v = F.col("v")
     kind = json.strict_string(v, "$.type")
     metrics = lines.filter(kind == "session.shutdown").select("path", "session_date", "line_no", F.explode(json.entries(v, "$.data.modelMetrics")).alias("name", "m"))
-    metrics = metrics.select("*", _get(F.col("m"), "$.usage").alias("u")).filter(json.ints_or_absent(F.col("u"), _COPILOT))
+    metrics = metrics.select("*", _get(F.col("m"), "$.usage").alias("u")).filter(json.usable_counts(F.col("u"), _COPILOT))
     metrics = metrics.withColumn("model", models.canonical_claude(F.col("name")))
     last = metrics.groupBy("path", "session_date", "model").agg(F.max_by("u", "line_no").alias("u"))
     u = F.col("u")
@@ -118,14 +131,27 @@ def copilot(lines: DataFrame) -> DataFrame:
 _GEMINI = ["input", "output", "cached", "thoughts", "tool", "total"]
 
 
-def gemini(lines: DataFrame) -> DataFrame:
-    """The last revision of each message; one without tokens keeps those of the revision before."""
+def gemini_revisions(lines: DataFrame) -> DataFrame:
+    """(path, session_date, line_no, pos, id, m): every assistant message with an id, alone or in a ``$set`` of messages."""
     v = F.col("v")
-    rows = lines.filter(json.strict_string(v, "$.type") == "gemini").select(
-        "path", "session_date", "line_no", json.strict_string(v, "$.id").alias("id"), windows.nonempty(json.strict_string(v, "$.model")).alias("model"), times.iso_ms(json.strict_string(v, "$.timestamp")).alias("ts_ms"),
-        F.when(json.ints_or_absent(_get(v, "$.tokens"), _GEMINI), _get(v, "$.tokens").cast("string")).alias("t"),
-    )
-    last = windows.last_revision(rows, ["path"], "id", ["line_no"], ["t", "model"]).filter("t is not null and model is not null").withColumn("t", F.parse_json("t"))
+    alone = json.strict_string(v, "$.id").isNotNull() & json.strict_string(v, "$.type").isNotNull()
+    single = F.array(v)
+    several = json.items(_get(v, "$['$set']"), "$.messages")
+    rows = lines.filter(~F.coalesce(json.has(v, "$['$rewindTo']"), F.lit(False)))
+    rows = rows.select("path", "session_date", "line_no", F.posexplode(F.when(F.coalesce(alone, F.lit(False)), single).otherwise(several)).alias("pos", "m"))
+    named = rows.withColumn("id", windows.nonempty(json.strict_string(F.col("m"), "$.id")))
+    return named.filter("id is not null").filter(json.strict_string(F.col("m"), "$.type") == "gemini")
+
+
+def gemini(lines: DataFrame) -> DataFrame:
+    """The last revision of each message; one without usable tokens and a model keeps the tokens of the revision before."""
+    m = F.col("m")
+    model = windows.nonempty(json.strict_string(m, "$.model"))
+    usable = json.usable_counts(_get(m, "$.tokens"), _GEMINI, empty=False) & model.isNotNull()
+    rows = gemini_revisions(lines).select(
+        "path", "session_date", "line_no", "pos", "id", model.alias("model"), times.iso_ms(json.strict_string(m, "$.timestamp")).alias("ts_ms"), F.when(usable, _get(m, "$.tokens").cast("string")).alias("t")
+    )
+    last = windows.last_revision(rows, ["path"], "id", ["line_no", "pos"], ["t", "model"]).filter("t is not null and model is not null").withColumn("t", F.parse_json("t"))
     t = F.col("t")
     return _rows(
         last, "gemini", ts_ms=F.col("ts_ms"), model=F.col("model"), input=F.greatest(_int(t, "$.input") - _int(t, "$.cached"), F.lit(0)), output=_int(t, "$.output"), reasoning=_int(t, "$.thoughts"),
@@ -133,12 +159,19 @@ def gemini(lines: DataFrame) -> DataFrame:
     )
 
 
+def readable_deepseek(lines: DataFrame) -> DataFrame:
+    """Lines of logs whose header, if there is one, is of the one version that is known."""
+    v = F.col("v")
+    foreign = (json.strict_string(v, "$.type") == "session") & ~json.strict_int(v, "$.version").eqNullSafe(F.lit(0))
+    return lines.withColumn("__foreign", F.max(F.coalesce(foreign, F.lit(False))).over(Window.partitionBy("path"))).filter("not __foreign").drop("__foreign")
+
+
 def deepseek(lines: DataFrame) -> DataFrame:
     """The last of consecutive samples of a (turn, step); the message's model, else the routed one."""
     v = F.col("v")
     kind = json.strict_string(v, "$.type")
     chunk = (kind == "assistant/chunk") & (json.strict_string(v, "$.data.chunk.type") == "usage")
-    rows = lines.filter(kind.isin("request/context", "assistant/message") | chunk).select(
+    rows = readable_deepseek(lines).filter(kind.isin("request/context", "assistant/message") | chunk).select(
         "path", "session_date", "line_no", json.strict_int(v, "$.time").alias("ts_ms"), F.when(kind == "request/context", json.strict_string(v, "$.data.model")).alias("named"),
         json.strict_int(v, "$.data.turn").alias("turn"), json.strict_int(v, "$.data.step").alias("step"), windows.nonempty(json.strict_string(v, "$.data.message.source.model")).alias("own"),
         F.coalesce(_get(v, "$.data.chunk.usage"), _get(v, "$.data.usage")).alias("u"),
@@ -153,12 +186,30 @@ def deepseek(lines: DataFrame) -> DataFrame:
     )
 
 
-def grok(signals: DataFrame) -> DataFrame:
-    """One gauge of context tokens per session, as cache reads."""
+def grok_model(signals: Column, summary: Column | None = None) -> Column:
+    """The primary model, else the first listed one that is not blank, else the summary's."""
+    trimmed = F.transform(json.items(signals, "$.modelsUsed"), lambda m: F.trim(json.strict_string(m, "$")))
+    listed = F.try_element_at(F.filter(trimmed, lambda m: m != ""), F.lit(1))
+    own = windows.nonempty(F.trim(json.strict_string(signals, "$.primaryModelId")))
+    last = [] if summary is None else [windows.nonempty(F.trim(json.strict_string(summary, "$.current_model_id")))]
+    return F.coalesce(own, listed, *last)
+
+
+def is_grok_signals(v: Column) -> Column:
+    has = lambda f: json.has(v, f"$.{f}")
+    return has("primaryModelId") & has("contextTokensUsed") & (has("contextWindowTokens") | has("toolsUsed"))
+
+
+def grok(signals: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
+    """One gauge of context tokens per session, as cache reads. ``summaries``: documents of the files summary.json beside."""
     v = F.col("v")
-    first = F.try_element_at(json.items(v, "$.modelsUsed"), F.lit(1))
-    model = F.coalesce(windows.nonempty(json.strict_string(v, "$.primaryModelId")), windows.nonempty(json.strict_string(first, "$")))
-    rows = signals.filter("not malformed").select("path", "session_date", model.alias("model"), _int(v, "$.contextTokensUsed").alias("gauge")).filter("model is not null")
+    rows = signals.filter("not malformed").filter(is_grok_signals(v)).withColumn("folder", F.regexp_replace("path", r"/[^/]*$", ""))
+    if summaries is None:
+        rows = rows.withColumn("s", F.lit(None).cast("variant"))
+    else:
+        beside = summaries.select(F.regexp_replace("path", r"/[^/]*$", "").alias("folder"), F.col("v").alias("s"))
+        rows = rows.join(beside, "folder", "left")
+    rows = rows.select("path", "session_date", grok_model(v, F.col("s")).alias("model"), _int(v, "$.contextTokensUsed").alias("gauge")).filter("model is not null")
     return _rows(rows, "grok", model=F.col("model"), cache_read=F.col("gauge"))
 
 
@@ -167,11 +218,24 @@ READERS = {"claude": claude, "codex": codex, "copilot": copilot, "gemini": gemin
 
 def read_usage(spark: SparkSession, roots: dict[str, str | list[str]]) -> DataFrame:
     """REQUEST_USAGE of all file providers in ``roots`` (provider -> folder or folders)."""
-    found = []
-    for provider, paths in roots.items():
-        pattern, matching = logs.FILES[provider]
-        files = logs.read_files(spark, paths, pattern, matching)
-        if provider == "deepseek":
-            files = files.unionByName(logs.read_zstd_files(spark, paths))
-        found.append(READERS[provider](logs.documents(files) if provider == "grok" else logs.lines(files)))
-    return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, [READERS[p](*provider_lines(spark, p, paths)) for p, paths in roots.items()])
+
+
+def provider_lines(spark: SparkSession, provider: str, paths: str | list[str]) -> tuple[DataFrame, ...]:
+    """What a provider's reader takes: its lines, or for Grok the documents of its signals and summaries.
+
+    Roots that are not there hold nothing. Of Codex files with one name in several roots those of the first root count.
+    """
+    roots = logs.existing(spark, [paths] if isinstance(paths, str) else paths)
+    pattern, matching, barring, depth = logs.FILES[provider]
+    if provider == "grok":
+        beside = matching.replace("signals", "summary")
+        named = ((pattern, matching), ("summary.json", beside))
+        return tuple(logs.documents(logs.within_depth(logs.read_files(spark, roots, name, path), roots, depth)) for name, path in named)
+    rows = logs.within_depth(logs.read_lines(spark, roots, pattern, matching, barring), roots, depth)
+    if provider == "deepseek":
+        packed = logs.read_zstd_files(spark, roots).filter(F.col("path").rlike(matching.replace("$", r"\.zstd$")))
+        rows = rows.unionByName(logs.lines(logs.within_depth(packed, roots, depth)))
+    if provider == "codex" and len(roots) > 1:
+        rows = rows.join(logs.first_of_names(rows.select("path").distinct(), roots).select("path"), "path", "left_semi")
+    return (rows,)

@@ -1,49 +1,64 @@
 """Incremental usage: a silver table of requests, extended by sources that are new or have changed.
 
-A source's version is its (date, length). A refresh reads only the lines of sources whose version
-the table lacks, and replaces those sources' partitions; sources that are gone are dropped only if
-discovery was complete. Tiers and prices are joined when the table is queried, so a new price list
-leaves it valid.
+A source's version is its (time of change, length). A refresh reads only the sources whose version
+the table lacks and appends their rows under its own number; the list of sources, written with it,
+says in which refresh each source's rows are. Nothing that was written is written again. Sources
+that are gone leave the list, but only if discovery was complete. Tiers and prices are joined when
+the table is queried, so a new price list leaves it valid.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+VERSION = ["path", "modified", "length"]
 
 
 def pending(found: DataFrame, known: DataFrame | None) -> DataFrame:
-    """Sources (path, length, ...) that are not in ``known`` with the same length and date."""
-    if known is None:
-        return found
-    return found.join(known.select("path", "session_date", "length").distinct(), ["path", "session_date", "length"], "left_anti")
+    """Sources (path, modified, length, ...) that are not in ``known`` in the same version."""
+    return found if known is None else found.join(known.select(VERSION).distinct(), VERSION, "left_anti")
 
 
-def merge(requests: DataFrame | None, fresh: DataFrame, changed: DataFrame, present: DataFrame | None = None) -> DataFrame:
-    """``requests`` with the rows of ``changed`` sources replaced by ``fresh``, and those of sources not in ``present`` dropped."""
-    if requests is None:
+def listed(found: DataFrame, known: DataFrame | None, number: int, complete: bool) -> DataFrame:
+    """The next list of sources (path, modified, length, refresh); sources not found stay if discovery was not ``complete``."""
+    fresh = pending(found, known).select(*VERSION, F.lit(number).alias("refresh"))
+    if known is None:
         return fresh
-    kept = requests.join(changed.select("path").distinct(), "path", "left_anti")
-    if present is not None:
-        kept = kept.join(present.select("path").distinct(), "path", "left_semi")
-    return kept.unionByName(fresh, allowMissingColumns=True)
-
-
-def refresh(spark: SparkSession, files: DataFrame, reader: Callable[[DataFrame], DataFrame], state: str | None, out: str, complete: bool = True) -> DataFrame:
-    """Write the next state to ``out`` (requests and sources) from the one in ``state`` and today's ``files``; returns the requests."""
-    old_sources = spark.read.parquet(f"{state}/sources") if state else None
-    old_requests = spark.read.parquet(f"{state}/requests") if state else None
-    sources = files.select("path", "session_date", "length")
-    changed = pending(sources, old_sources)
-    fresh = reader(files.join(changed.select("path").distinct(), "path", "left_semi"))
-    merge(old_requests, fresh, changed, sources if complete else None).write.parquet(f"{out}/requests")
-    listed = sources if complete or old_sources is None else old_sources.join(sources.select("path"), "path", "left_anti").unionByName(sources)
-    listed.write.parquet(f"{out}/sources")
-    return spark.read.parquet(f"{out}/requests")
+    known = known.select(*VERSION, "refresh")
+    same = known.join(found.select(VERSION).distinct(), VERSION, "left_semi").unionByName(fresh)
+    return same if complete else same.unionByName(known.join(found.select("path").distinct(), "path", "left_anti"))
+
+
+def latest(spark: SparkSession, state: str) -> tuple[int, DataFrame | None]:
+    """(number of refreshes so far, the last list of sources)."""
+    try:
+        sources = spark.read.parquet(f"{state}/sources")
+    except AnalysisException:
+        return 0, None
+    last = sources.agg(F.max("number")).first()[0]
+    return last, sources.filter(F.col("number") == last).drop("number")
+
+
+def current(requests: DataFrame, sources: DataFrame) -> DataFrame:
+    """The rows of ``requests`` whose source is listed with the refresh that wrote them."""
+    return requests.join(sources.select("path", "refresh"), ["path", "refresh"], "left_semi").drop("refresh")
+
+
+def refresh(spark: SparkSession, files: DataFrame, reader: Callable[[DataFrame], DataFrame], state: str, complete: bool = True) -> DataFrame:
+    """Bring the table in the folder ``state`` up to date with today's ``files``; returns the requests.
+
+    A refresh that fails before its list is written leaves the table as it was.
+    """
+    last, known = latest(spark, state)
+    number = last + 1
+    fresh = reader(files.join(pending(files.select(VERSION), known), VERSION, "left_semi"))
+    fresh.write.mode("overwrite").parquet(f"{state}/requests/refresh={number}")
+    listed(files.select(VERSION), known, number, complete).write.mode("overwrite").parquet(f"{state}/sources/number={number}")
+    return current(spark.read.parquet(f"{state}/requests"), latest(spark, state)[1])
 
 
 def usage_stream(requests: DataFrame, keys: list[str], sums: list[str]):
