@@ -60,29 +60,29 @@ def active_days(requests: DataFrame) -> DataFrame:
     return requests.filter(t.active()).rollup("provider").agg(F.count_distinct("session_date").alias("days"))
 
 
-def price(summed: DataFrame, prices: DataFrame) -> DataFrame:
+def price(summed: DataFrame, prices: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
     """Cost of (provider, model): its tier slices billed at their levels, by the provider's policy.
 
-    ``summed``: roll_up by provider, model, tier_level.
+    ``summed``: roll_up by provider, model, tier_level. ``resolved``: resolve_models of its models,
+    if it is there already. ``by_key`` tells whether the model is a key of the price list.
     """
     basis = F.create_map(*[F.lit(x) for p in PROVIDERS for x in (p[0], p[3])])
-    resolved = resolve_models(summed.select("model"), prices)
+    resolved = resolve_models(summed.select("model"), prices) if resolved is None else resolved
     leveled = prices.select("model_key", t.level_prices(F.col("base"), F.col("levels"), F.col("ranged")).alias("prices"), F.col("web_search").alias("query_price"))
-    found = summed.join(resolved, "model").join(leveled, "model_key", "left")
+    found = summed.join(resolved, "model", "left").join(leveled, "model_key", "left")
     at = t.price_of(F.col("prices"), F.col("tier_level"))
     slices = {b: F.col(b) for b in t.BUCKETS}
-    searches = F.coalesce("web_search", F.lit(0)) * F.coalesce("query_price", F.lit(0.0))
+    searches = F.coalesce("web_search", F.lit(0)) * F.coalesce("query_price", F.lit(0))
     billed = t.bill(at, slices) + searches
-    gauged = billed + F.when(at["cache_read"] > 0, F.lit(0.0)).otherwise(F.col("cache_read") * at["input"])
+    gauged = billed + F.when(at["cache_read"] > 0, F.lit(0)).otherwise(F.col("cache_read") * at["input"])
     cost_basis = basis[F.col("provider")]
-    exact = F.when(F.col("stage") == "exact", billed)
-    amount = t.cost_by_policy(cost_basis, exact, billed, F.lit(0.0), gauged)
-    stored = (cost_basis == "stored") & (F.col("stage") != "exact")
+    keyed = F.coalesce(F.col("stage") == "exact", F.lit(False))
+    amount = t.cost_by_policy(cost_basis, F.when(keyed, billed), billed, F.lit(0), gauged)
+    stored = (cost_basis == "stored") & ~keyed
     by_name = cost_basis.isin("lookup", "gauge")
-    rows = found.select(
-        "provider", "model", *SUMS, "total", F.when(stored, F.coalesce("stored_cost", F.lit(0.0))).otherwise(amount).alias("cost_usd"), F.when(by_name, F.col("matched_model")).alias("matched_model")
-    )
-    return rows.groupBy("provider", "model").agg(*[F.sum(c).alias(c) for c in [*SUMS, "total", "cost_usd"]], F.max("matched_model").alias("matched_model"))
+    cost = F.when(stored, F.coalesce("stored_cost", F.lit(0))).otherwise(amount).alias("cost_usd")
+    rows = found.select("provider", "model", *SUMS, "total", cost, F.when(by_name, F.col("matched_model")).alias("matched_model"), keyed.alias("by_key"))
+    return rows.groupBy("provider", "model").agg(*[F.sum(c).alias(c) for c in [*SUMS, "total", "cost_usd"]], F.max("matched_model").alias("matched_model"), F.bool_or("by_key").alias("by_key"))
 
 
 def merge_providers(priced: DataFrame) -> DataFrame:
@@ -108,6 +108,6 @@ def summary(priced: DataFrame, hide_zero: bool = False) -> DataFrame:
 
 
 def usage(requests: DataFrame, prices: DataFrame) -> DataFrame:
-    """Priced rows by provider and model, from requests to cost."""
+    """Priced rows by provider and model, from requests to cost. Prices and boundaries are looked up by distinct name."""
     tiered = classify(requests, tier_bounds(requests, prices))
     return price(roll_up(tiered, ["provider", "model", "tier_level"]), prices)

@@ -1,4 +1,4 @@
-"""The driver's tables as requests, prices and an event log, each with its SQL twin.
+"""The driver's tables as the library's relations, requests, prices and an event log, each with its SQL twin.
 
 Money in registered queries is integer nano-dollars, so both engines sum it exactly.
 """
@@ -35,8 +35,10 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0).cast("bigint").alias("cc_5m"),
         F.lit(0).cast("bigint").alias("cc_1h"),
         (F.col("l_linenumber") % 3).cast("bigint").alias("web_search"),
-        (F.col("l_quantity").cast("bigint") * 1000 + hundredths("l_discount") * 4000).alias("context"),
-        F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("stored"),
+        F.lit(0).cast("bigint").alias("tool_tokens"),
+        F.lit(None).cast("bigint").alias("published_total"),
+        (F.col("l_quantity").cast("bigint") * 1000 + hundredths("l_discount") * 4000).alias("request_context"),
+        (hundredths("l_extendedprice") * 10_000_000).alias("stored_cost"),
         F.to_date("l_shipdate").alias("session_date"),
     )
 
@@ -46,7 +48,7 @@ REQUESTS = """requests AS (
         CASE WHEN l_linenumber % 2 = 0 THEN lower(p_type) || '/' ELSE '' END || lower(replace(p_brand, '#', '-')) AS model,
         l_quantity::BIGINT * 1000 AS input, l_linenumber::BIGINT * 100 AS output, round(l_tax * 100)::BIGINT * 10 AS reasoning,
         round(l_discount * 100)::BIGINT * 4000 AS cache_read, 0::BIGINT AS cc_5m, 0::BIGINT AS cc_1h, (l_linenumber % 3)::BIGINT AS web_search,
-        l_quantity::BIGINT * 1000 + round(l_discount * 100)::BIGINT * 4000 AS context, round(l_extendedprice * 100)::BIGINT AS stored,
+        l_quantity::BIGINT * 1000 + round(l_discount * 100)::BIGINT * 4000 AS context, round(l_extendedprice * 100)::BIGINT * 10000000 AS stored,
         l_shipdate::DATE AS session_date
     FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
@@ -73,7 +75,7 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(rates(2)).alias("levels"),
         F.lit(False).alias("ranged"),
         F.array(F.col("z") * 500 + 30000).alias("bounds"),
-        (k % 10 * 1000).alias("query_price"),
+        (k % 10 * 1000).alias("web_search"),
     )
 
 

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokentide.functions import models as m
 from tokentide.functions import times
 from tokentide.functions import tokens as t
-from tokentide.operators import pricing
+from tokentide.operators import pricing, usage
 from tokentide.operators.windows import largest_remainder, share_of_total
 from tokentide.plans.adapters import EVENT_LOG, MODEL_NAMES, PRICES, REQUESTS, event_log, model_names, price_keys, prices, requests
 from tokentide.plans.registry import query
-from tokentide.schemas import MATCH_ORDER, PROVIDERS
+from tokentide.streaming import incremental
 
 SUMS = ["input", "output", "reasoning", "cache_read", "web_search"]
 SQL_SUMS = ", ".join(f"sum({c})::BIGINT AS {c}" for c in SUMS)
@@ -23,19 +22,55 @@ def sums() -> list[Column]:
     return [F.sum(c).cast("bigint").alias(c) for c in SUMS]
 
 
-@query(f"WITH {REQUESTS} SELECT model, {SQL_SUMS}, count(*) AS requests FROM requests GROUP BY model")
+# --- SQL of the price cascade ------------------------------------------------------------------
+
+NORM = "regexp_replace(regexp_replace({}, '^[^/]*/', ''), '(-[0-9]{{8}}|-v[0-9]+(\\.[0-9]+)*)+$', '')"
+GAP = "abs(strlen({}) - strlen({}))"
+EXACT = "exact AS (SELECT model, model_key FROM models JOIN keys ON model = model_key)"
+NORMALIZED = f"""normalized AS (
+    SELECT model, arg_min(model_key, (rank, gap, model_key)) AS model_key FROM (
+        SELECT model, model_key, CASE WHEN contains(model, '/') AND split_part(model, '/', 1) = split_part(model_key, '/', 1) AND contains(model_key, '/')
+                AND regexp_replace(model_key, '^[^/]*/', '') = {NORM.format('model')} THEN 0
+            WHEN NOT contains(model_key, '/') AND model_key = {NORM.format('model')} THEN 1 ELSE 2 END AS rank, {GAP.format('model', 'model_key')} AS gap
+        FROM models JOIN keys ON {NORM.format('model')} = {NORM.format('model_key')}) GROUP BY model)"""
+LOOSE = """loose AS (
+    SELECT model, regexp_replace(lower(model), '^[^/]*/', '') AS a, CASE WHEN contains(model, '/') THEN split_part(lower(model), '/', 1) END AS pa FROM models
+    WHERE strlen(regexp_replace(lower(model), '^[^/]*/', '')) >= 4 AND regexp_replace(lower(model), '^[^/]*/', '') NOT IN ('default','auto','custom','unknown','none')),
+segments AS (SELECT model_key, regexp_replace(lower(model_key), '^[^/]*/', '') AS b, CASE WHEN contains(model_key, '/') THEN split_part(lower(model_key), '/', 1) END AS pb FROM keys)"""
+SUBSTRING = f"""substrings AS (
+    SELECT model, arg_min(model_key, (-least(strlen(a), strlen(b)), {GAP.format('a', 'b')}, CASE WHEN pa = pb THEN 0 WHEN pb IS NULL THEN 1 ELSE 2 END, model_key)) AS model_key
+    FROM loose JOIN segments ON contains(a, b) OR contains(b, a) GROUP BY model)"""
+FUZZY = """fuzzy AS (
+    SELECT model, arg_min(model_key, (-s, gap, model_key)) AS model_key, max(s) AS s FROM (
+        SELECT model, model_key, jaro_winkler_similarity(lower(model), lower(model_key)) AS s, abs(strlen(model) - strlen(model_key)) AS gap FROM loose, segments)
+    WHERE s >= 0.7 GROUP BY model)"""
+
+
+
+CASCADE = f"""{EXACT}, {NORMALIZED}, {LOOSE}, {SUBSTRING}, {FUZZY},
+resolved AS (
+    SELECT model, CASE WHEN e.model_key IS NOT NULL THEN 'exact' WHEN n.model_key IS NOT NULL THEN 'normalized' WHEN s.model_key IS NOT NULL THEN 'substring'
+            WHEN f.model_key IS NOT NULL THEN 'fuzzy' ELSE 'none' END AS stage,
+        coalesce(e.model_key, n.model_key, s.model_key, f.model_key) AS model_key,
+        CASE WHEN e.model_key IS NULL THEN coalesce(n.model_key, s.model_key, f.model_key) END AS matched_model
+    FROM models LEFT JOIN exact e USING (model) LEFT JOIN normalized n USING (model) LEFT JOIN substrings s USING (model) LEFT JOIN fuzzy f USING (model))"""
+
+# --- roll-ups and costs ------------------------------------------------------------------------
+
+
+@query(f"WITH {REQUESTS} SELECT model, {SQL_SUMS}, (sum(input) + sum(output) + sum(reasoning) + sum(cache_read))::BIGINT AS total FROM requests GROUP BY model")
 def usage_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requests(spark, sf_dir).groupBy("model").agg(*sums(), F.count("*").alias("requests"))
+    return usage.roll_up(requests(spark, sf_dir), ["model"]).select("model", *SUMS, "total")
 
 
-@query(f"WITH {REQUESTS} SELECT provider, model, {SQL_SUMS}, count(*) AS requests FROM requests GROUP BY provider, model")
+@query(f"WITH {REQUESTS} SELECT provider, model, {SQL_SUMS}, (sum(input) + sum(output) + sum(reasoning) + sum(cache_read))::BIGINT AS total FROM requests GROUP BY provider, model")
 def usage_by_provider_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requests(spark, sf_dir).groupBy("provider", "model").agg(*sums(), F.count("*").alias("requests"))
+    return usage.roll_up(requests(spark, sf_dir), ["provider", "model"]).select("provider", "model", *SUMS, "total")
 
 
 @query(f"WITH {REQUESTS} SELECT provider, model, {SQL_SUMS} FROM requests GROUP BY GROUPING SETS ((model), (provider, model))")
 def usage_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requests(spark, sf_dir).groupingSets([["model"], ["provider", "model"]], "provider", "model").agg(*sums())
+    return usage.by_model_and_provider(requests(spark, sf_dir)).select("provider", "model", *SUMS)
 
 
 @query(f"WITH {REQUESTS} SELECT provider, {SQL_SUMS}, count(DISTINCT model) AS models FROM requests GROUP BY ROLLUP (provider)")
@@ -43,121 +78,99 @@ def usage_totals_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests(spark, sf_dir).rollup("provider").agg(*sums(), F.count_distinct("model").alias("models"))
 
 
-def tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests summed by (provider, model, tier level); the boundary joins on the normalized name."""
-    bounds = prices(spark, sf_dir).select("model_key", "bounds")
-    joined = requests(spark, sf_dir).join(bounds, m.normalize(F.col("model")) == F.col("model_key"), "left")
-    leveled = joined.withColumn("tier_level", t.tier_level(F.col("context"), F.col("bounds")))
-    return leveled.groupBy("provider", "model", "tier_level").agg(*sums(), F.sum("stored").cast("bigint").alias("stored"))
-
-
 TIERED = f"""{REQUESTS}, {PRICES},
 tiered AS (
     SELECT provider, model, CASE WHEN context > bound THEN 1 ELSE 0 END AS tier_level, {SQL_SUMS}, sum(stored)::BIGINT AS stored
-    FROM requests LEFT JOIN prices ON regexp_replace(regexp_replace(model, '^[^/]*/', ''), '(-[0-9]{{8}}|-v[0-9]+(\\.[0-9]+)*)+$', '') = model_key
+    FROM requests LEFT JOIN prices ON {NORM.format("model")} = model_key
     GROUP BY ALL)"""
 
 
 @query(f"WITH {TIERED} SELECT provider, model, tier_level, input, output, reasoning, cache_read, stored FROM tiered")
 def usage_tier_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiered(spark, sf_dir).select("provider", "model", "tier_level", "input", "output", "reasoning", "cache_read", "stored")
-
-
-def billed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each tier slice with what it costs at its level: exact key, and normalized match."""
-    rows = tiered(spark, sf_dir)
-    listed = prices(spark, sf_dir).withColumn("prices", t.level_prices(F.col("base"), F.col("levels"), F.col("ranged")))
-    joined = rows.join(listed, m.normalize(F.col("model")) == F.col("model_key"), "left")
-    at = t.price_of(F.col("prices"), F.col("tier_level"))
-    none = F.lit(0).cast("bigint")
-    tokens = {b: F.col(b) if b in SUMS else none for b in t.BUCKETS}
-    nanos = t.bill(at, tokens) + F.col("web_search") * F.col("query_price")
-    gauge = nanos + F.when(at["cache_read"] > 0, none).otherwise(F.col("cache_read") * at["input"])
-    return joined.select("provider", "model", "tier_level", *SUMS, "stored", "model_key", nanos.alias("nanos"), gauge.alias("gauge"), (F.col("web_search") * F.col("query_price")).alias("search_nanos"))
+    rows = requests(spark, sf_dir)
+    tiered = usage.classify(rows, pricing.tier_bounds(rows, prices(spark, sf_dir)))
+    summed = usage.roll_up(tiered, ["provider", "model", "tier_level"])
+    return summed.select("provider", "model", "tier_level", "input", "output", "reasoning", "cache_read", F.col("stored_cost").alias("stored"))
 
 
-BILLED = f"""{TIERED},
+BILLED = f"""{TIERED}, models AS (SELECT DISTINCT model FROM requests), keys AS (SELECT model_key FROM prices), {CASCADE},
 billed AS (
-    SELECT provider, model, tier_level, {", ".join(SUMS)}, stored, model_key,
-        input * p_in * (1 + tier_level) + output * p_out * (1 + tier_level) + reasoning * CASE WHEN tier_level = 0 AND p_reason > 0 THEN p_reason ELSE p_out * (1 + tier_level) END
-            + cache_read * p_cache * (1 + tier_level) + web_search * query_price AS nanos,
-        CASE WHEN p_cache > 0 THEN 0 ELSE cache_read * p_in * (1 + tier_level) END AS gauge_extra, web_search * query_price AS search_nanos
-    FROM tiered LEFT JOIN prices ON regexp_replace(regexp_replace(model, '^[^/]*/', ''), '(-[0-9]{{8}}|-v[0-9]+(\\.[0-9]+)*)+$', '') = model_key)"""
+    SELECT provider, model, tier_level, {", ".join(SUMS)}, stored, model_key, stage, matched_model,
+        coalesce(input * p_in * (1 + tier_level) + output * p_out * (1 + tier_level) + reasoning * CASE WHEN tier_level = 0 AND p_reason > 0 THEN p_reason ELSE p_out * (1 + tier_level) END
+            + cache_read * p_cache * (1 + tier_level) + web_search * query_price, 0) AS nanos,
+        coalesce(CASE WHEN p_cache > 0 THEN 0 ELSE cache_read * p_in * (1 + tier_level) END, 0) AS gauge_extra, coalesce(web_search * query_price, 0) AS search_nanos
+    FROM tiered JOIN resolved USING (model) LEFT JOIN prices USING (model_key)),
+policy AS (
+    SELECT provider, model, sum(CASE
+            WHEN provider IN ('opencode', 'hermes') THEN CASE WHEN stage = 'exact' THEN nanos ELSE stored END
+            WHEN provider = 'cursor' THEN CASE WHEN stage = 'exact' THEN nanos ELSE 0 END
+            WHEN provider = 'grok' THEN nanos + gauge_extra ELSE nanos END)::BIGINT AS cost_nanos,
+        max(CASE WHEN provider NOT IN ('opencode', 'hermes', 'cursor') THEN matched_model END) AS matched_model, bool_or(stage = 'exact') AS by_key, {SQL_SUMS}
+    FROM billed GROUP BY provider, model)"""
 
 
-@query(f"WITH {BILLED} SELECT model, sum(coalesce(nanos, 0))::BIGINT AS cost_nanos, {SQL_SUMS} FROM billed GROUP BY model")
-def usage_priced_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship: usage by model, priced by the tier of each request."""
-    cost = F.sum(F.coalesce("nanos", F.lit(0))).cast("bigint").alias("cost_nanos")
-    return billed(spark, sf_dir).groupBy("model").agg(cost, *sums()).orderBy("cost_nanos", "model")
+def priced(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """The library's priced rows; money is whole nano-dollars."""
+    return usage.usage(requests(spark, sf_dir) if rows is None else rows, prices(spark, sf_dir))
 
 
-def by_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cost of (provider, model) by how the provider is priced; stored cents become nanos."""
-    basis = F.create_map(*[F.lit(x) for p in PROVIDERS for x in (p[0], p[3])])[F.col("provider")]
-    rows = billed(spark, sf_dir)
-    exact = F.when(F.col("model") == F.col("model_key"), F.col("nanos"))
-    cost = t.cost_by_policy(basis, exact, F.col("nanos"), F.col("stored") * 10_000_000, F.col("gauge"))
-    matched = F.when(basis.isin("lookup", "gauge") & (F.col("model") != F.col("model_key")), F.col("model_key"))
-    return rows.withColumn("cost", cost).withColumn("matched", matched).groupBy("provider", "model").agg(F.sum("cost").cast("bigint").alias("cost_nanos"), F.max("matched").alias("matched_model"), *sums())
+def nanos(column: str = "cost_usd") -> Column:
+    return F.col(column).cast("bigint").alias("cost_nanos")
 
 
-POLICY = f"""{BILLED},
-policy AS (
-    SELECT provider, model, sum(CASE
-            WHEN provider IN ('opencode', 'hermes') THEN CASE WHEN model = model_key THEN nanos ELSE stored * 10000000 END
-            WHEN provider = 'cursor' THEN CASE WHEN model = model_key THEN nanos ELSE 0 END
-            WHEN provider = 'grok' THEN coalesce(nanos + gauge_extra, 0) ELSE coalesce(nanos, 0) END)::BIGINT AS cost_nanos,
-        max(CASE WHEN provider NOT IN ('opencode', 'hermes', 'cursor') AND model <> model_key THEN model_key END) AS matched_model, {SQL_SUMS}
-    FROM billed GROUP BY provider, model)"""
+@query(f"WITH {BILLED} SELECT model, sum(cost_nanos)::BIGINT AS cost_nanos, {SQL_SUMS} FROM policy GROUP BY model")
+def usage_priced_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship: usage by model, priced by the tier of each request and the policy of its provider."""
+    return usage.summary(usage.merge_providers(priced(spark, sf_dir))).select("model", nanos(), *SUMS)
 
 
-@query(f"WITH {POLICY} SELECT provider, model, cost_nanos, matched_model FROM policy")
+@query(f"WITH {BILLED} SELECT provider, model, cost_nanos, matched_model FROM policy")
 def cost_source_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return by_policy(spark, sf_dir).select("provider", "model", "cost_nanos", "matched_model")
+    return priced(spark, sf_dir).select("provider", "model", nanos(), "matched_model")
 
 
-@query(f"WITH {BILLED} SELECT model, sum(coalesce(nanos + gauge_extra, 0))::BIGINT AS gauge_nanos, sum(coalesce(nanos, 0))::BIGINT AS plain_nanos FROM billed WHERE provider = 'grok' GROUP BY model")
+@query(f"WITH {BILLED} SELECT model, sum(nanos + gauge_extra)::BIGINT AS gauge_nanos, sum(nanos)::BIGINT AS plain_nanos FROM billed WHERE provider = 'grok' GROUP BY model")
 def grok_gauge_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mine = billed(spark, sf_dir).filter("provider = 'grok'")
-    return mine.groupBy("model").agg(F.sum(F.coalesce("gauge", F.lit(0))).cast("bigint").alias("gauge_nanos"), F.sum(F.coalesce("nanos", F.lit(0))).cast("bigint").alias("plain_nanos"))
+    """What Grok's gauges cost, and what the same tokens would under a provider that is billed as listed."""
+    rows = requests(spark, sf_dir).filter("provider = 'grok'")
+    both = priced(spark, sf_dir, rows.unionByName(rows.withColumn("provider", F.lit("copilot"))))
+    of = lambda p: F.sum(F.when(F.col("provider") == p, F.col("cost_usd"))).cast("bigint")
+    return both.groupBy("model").agg(of("grok").alias("gauge_nanos"), of("copilot").alias("plain_nanos"))
 
 
-@query(f"WITH {BILLED} SELECT provider, model, sum(CASE WHEN model = model_key THEN nanos ELSE stored * 10000000 END)::BIGINT AS cost_nanos, bool_or(coalesce(model = model_key, false)) AS by_tokens FROM billed WHERE provider IN ('opencode', 'hermes') GROUP BY ALL")
+@query(f"WITH {BILLED} SELECT provider, model, cost_nanos, by_key AS by_tokens FROM policy WHERE provider IN ('opencode', 'hermes')")
 def stored_cost_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mine = billed(spark, sf_dir).filter(F.col("provider").isin("opencode", "hermes"))
-    own = F.coalesce(F.col("model") == F.col("model_key"), F.lit(False))
-    return mine.groupBy("provider", "model").agg(F.sum(F.when(own, F.col("nanos")).otherwise(F.col("stored") * 10_000_000)).cast("bigint").alias("cost_nanos"), F.bool_or(own).alias("by_tokens"))
+    rows = requests(spark, sf_dir).filter(F.col("provider").isin("opencode", "hermes"))
+    return priced(spark, sf_dir, rows).select("provider", "model", nanos(), F.col("by_key").alias("by_tokens"))
 
 
-@query(f"WITH {BILLED} SELECT provider, sum(coalesce(search_nanos, 0))::BIGINT AS search_nanos, sum(web_search)::BIGINT AS searches FROM billed GROUP BY provider")
+@query(f"WITH {BILLED} SELECT model, sum(search_nanos)::BIGINT AS search_nanos, sum(web_search)::BIGINT AS searches FROM billed WHERE provider = 'claude' GROUP BY model")
 def web_search_surcharge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return billed(spark, sf_dir).groupBy("provider").agg(F.sum(F.coalesce("search_nanos", F.lit(0))).cast("bigint").alias("search_nanos"), F.sum("web_search").cast("bigint").alias("searches"))
+    """The cost of Claude's requests without their tokens: that of their searches."""
+    rows = requests(spark, sf_dir).filter("provider = 'claude'").withColumns({b: F.lit(0).cast("bigint") for b in t.BUCKETS})
+    return priced(spark, sf_dir, rows).select("model", F.col("cost_usd").cast("bigint").alias("search_nanos"), F.col("web_search").alias("searches"))
 
 
-@query(f"WITH {POLICY} SELECT regexp_replace(model, '^[^/]*/', '') AS model, sum(cost_nanos)::BIGINT AS cost_nanos, {SQL_SUMS} FROM policy GROUP BY 1")
+@query(f"WITH {BILLED} SELECT regexp_replace(model, '^[^/]*/', '') AS model, sum(cost_nanos)::BIGINT AS cost_nanos, {SQL_SUMS} FROM policy GROUP BY 1")
 def base_model_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return by_policy(spark, sf_dir).groupBy(m.without_provider(F.col("model")).alias("model")).agg(F.sum("cost_nanos").cast("bigint").alias("cost_nanos"), *sums())
+    return usage.merge_bases(priced(spark, sf_dir)).select("model", nanos(), *SUMS)
 
 
-@query(f"""WITH {POLICY} SELECT model, sum(cost_nanos)::BIGINT AS cost_nanos,
+@query(f"""WITH {BILLED} SELECT model, sum(cost_nanos)::BIGINT AS cost_nanos,
     arg_min(matched_model, list_position(['claude','codex','copilot','gemini','deepseek','grok','opencode','cursor','hermes'], provider)) FILTER (WHERE matched_model IS NOT NULL) AS matched_model
     FROM policy GROUP BY model""")
 def merged_row_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rank = F.array_position(F.array(*[F.lit(p) for p in MATCH_ORDER]), F.col("provider"))
-    first = F.min_by("matched_model", F.when(F.col("matched_model").isNotNull(), rank)).alias("matched_model")
-    return by_policy(spark, sf_dir).groupBy("model").agg(F.sum("cost_nanos").cast("bigint").alias("cost_nanos"), first)
+    return usage.merge_providers(priced(spark, sf_dir)).select("model", nanos(), "matched_model")
 
 
-@query(f"WITH {POLICY} SELECT provider, sum(cost_nanos)::BIGINT AS cost_nanos, {SQL_SUMS} FROM policy GROUP BY ROLLUP (provider)")
+@query(f"WITH {BILLED} SELECT provider, sum(cost_nanos)::BIGINT AS cost_nanos, {SQL_SUMS} FROM policy GROUP BY ROLLUP (provider)")
 def provider_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return by_policy(spark, sf_dir).rollup("provider").agg(F.sum("cost_nanos").cast("bigint").alias("cost_nanos"), *sums())
+    return usage.provider_totals(priced(spark, sf_dir)).select("provider", nanos(), *SUMS)
 
 
-@query(f"WITH {REQUESTS} SELECT provider, count(DISTINCT session_date) AS days FROM requests WHERE input <> 0 OR output <> 0 OR cache_read <> 0 OR reasoning <> 0 GROUP BY ROLLUP (provider)")
+@query(f"WITH {REQUESTS} SELECT provider, count(DISTINCT session_date) AS days FROM requests WHERE input <> 0 OR output <> 0 OR cache_read <> 0 OR reasoning <> 0 OR web_search <> 0 OR stored <> 0 GROUP BY ROLLUP (provider)")
 def active_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = requests(spark, sf_dir).filter("input <> 0 OR output <> 0 OR cache_read <> 0 OR reasoning <> 0")
-    return rows.rollup("provider").agg(F.count_distinct("session_date").alias("days"))
+    return usage.active_days(requests(spark, sf_dir))
 
 
 def _cutoff(spark: SparkSession, sf_dir: str, time_range: str) -> DataFrame:
@@ -186,28 +199,6 @@ def daily_cutoff_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- resolving names -------------------------------------------------------------------------
 
-NORM = "regexp_replace(regexp_replace({}, '^[^/]*/', ''), '(-[0-9]{{8}}|-v[0-9]+(\\.[0-9]+)*)+$', '')"
-GAP = "abs(strlen({}) - strlen({}))"
-EXACT = "exact AS (SELECT model, model_key FROM models JOIN keys ON model = model_key)"
-NORMALIZED = f"""normalized AS (
-    SELECT model, arg_min(model_key, (rank, gap, model_key)) AS model_key FROM (
-        SELECT model, model_key, CASE WHEN contains(model, '/') AND split_part(model, '/', 1) = split_part(model_key, '/', 1) AND contains(model_key, '/')
-                AND regexp_replace(model_key, '^[^/]*/', '') = {NORM.format('model')} THEN 0
-            WHEN NOT contains(model_key, '/') AND model_key = {NORM.format('model')} THEN 1 ELSE 2 END AS rank, {GAP.format('model', 'model_key')} AS gap
-        FROM models JOIN keys ON {NORM.format('model')} = {NORM.format('model_key')}) GROUP BY model)"""
-LOOSE = """loose AS (
-    SELECT model, regexp_replace(lower(model), '^[^/]*/', '') AS a, CASE WHEN contains(model, '/') THEN split_part(lower(model), '/', 1) END AS pa FROM models
-    WHERE strlen(regexp_replace(lower(model), '^[^/]*/', '')) >= 4 AND regexp_replace(lower(model), '^[^/]*/', '') NOT IN ('default','auto','custom','unknown','none')),
-segments AS (SELECT model_key, regexp_replace(lower(model_key), '^[^/]*/', '') AS b, CASE WHEN contains(model_key, '/') THEN split_part(lower(model_key), '/', 1) END AS pb FROM keys)"""
-SUBSTRING = f"""substrings AS (
-    SELECT model, arg_min(model_key, (-least(strlen(a), strlen(b)), {GAP.format('a', 'b')}, CASE WHEN pa = pb THEN 0 WHEN pb IS NULL THEN 1 ELSE 2 END, model_key)) AS model_key
-    FROM loose JOIN segments ON contains(a, b) OR contains(b, a) GROUP BY model)"""
-FUZZY = """fuzzy AS (
-    SELECT model, arg_min(model_key, (-s, gap, model_key)) AS model_key, max(s) AS s FROM (
-        SELECT model, model_key, jaro_winkler_similarity(lower(model), lower(model_key)) AS s, abs(strlen(model) - strlen(model_key)) AS gap FROM loose, segments)
-    WHERE s >= 0.7 GROUP BY model)"""
-
-
 @query(f"WITH {MODEL_NAMES}, {EXACT} SELECT * FROM exact")
 def price_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pricing.exact_matches(model_names(spark, sf_dir), price_keys(spark, sf_dir))
@@ -228,12 +219,7 @@ def price_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pricing.fuzzy_matches(model_names(spark, sf_dir), price_keys(spark, sf_dir)).withColumn("similarity", F.round("similarity", 12))
 
 
-@query(f"""WITH {MODEL_NAMES}, {EXACT}, {NORMALIZED}, {LOOSE}, {SUBSTRING}, {FUZZY}
-    SELECT model, CASE WHEN e.model_key IS NOT NULL THEN 'exact' WHEN n.model_key IS NOT NULL THEN 'normalized' WHEN s.model_key IS NOT NULL THEN 'substring'
-            WHEN f.model_key IS NOT NULL THEN 'fuzzy' ELSE 'none' END AS stage,
-        coalesce(e.model_key, n.model_key, s.model_key, f.model_key) AS model_key,
-        CASE WHEN e.model_key IS NULL THEN coalesce(n.model_key, s.model_key, f.model_key) END AS matched_model
-    FROM models LEFT JOIN exact e USING (model) LEFT JOIN normalized n USING (model) LEFT JOIN substrings s USING (model) LEFT JOIN fuzzy f USING (model)""")
+@query(f"WITH {MODEL_NAMES}, {CASCADE} SELECT model, stage, model_key, matched_model FROM resolved")
 def price_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pricing.resolve_models(model_names(spark, sf_dir), price_keys(spark, sf_dir))
 
@@ -287,15 +273,20 @@ def date_union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.agg(F.count("*").alias("days"), F.min("session_date").alias("first_day"), F.max("session_date").alias("last_day"))
 
 
-@query(f"WITH {REQUESTS} SELECT DISTINCT session_id FROM requests WHERE provider = 'claude' EXCEPT SELECT session_id FROM requests WHERE session_date >= DATE '{TODAY}'")
+@query(f"""WITH {REQUESTS}, versions AS (SELECT session_id::VARCHAR AS path, max(session_date)::TIMESTAMP AS modified, count(*) AS length, session_date < DATE '{TODAY}' AS old FROM requests GROUP BY ALL)
+    SELECT path, modified, length FROM versions WHERE NOT old OR old EXCEPT SELECT path, modified, length FROM versions WHERE old""")
 def cache_except(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = requests(spark, sf_dir)
-    seen = rows.filter(F.col("session_date") >= F.lit(TODAY).cast("date")).select("session_id").distinct()
-    return rows.filter("provider = 'claude'").select("session_id").distinct().join(seen, "session_id", "left_anti")
+    """Sources whose version the refresh of an earlier day lacks."""
+    old = (F.col("session_date") < F.lit(TODAY).cast("date")).alias("old")
+    version = requests(spark, sf_dir).groupBy(F.col("session_id").cast("string").alias("path"), old)
+    version = version.agg(F.max("session_date").cast("timestamp_ntz").alias("modified"), F.count("*").alias("length"))
+    return incremental.pending(version, version.filter("old")).select("path", "modified", "length").distinct()
 
 
-@query(f"WITH {PRICES} SELECT list_sort(list_distinct(flatten(list([bound, bound * 2, bound])))) AS thresholds FROM prices")
+@query(f"WITH {PRICES}, ranges AS (SELECT model_key, unnest([0, bound, bound * 2, bound]) AS start FROM prices) SELECT model_key, list_sort(list_distinct(list(start - 1) FILTER (WHERE start > 0))) AS bounds FROM ranges GROUP BY model_key")
 def threshold_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct tier thresholds of the price list."""
+    """Boundaries of price ranges, those that repeat once."""
     bound = F.col("bounds")[0]
-    return prices(spark, sf_dir).select(F.explode(F.array_union(F.array(bound), F.array(bound * 2))).alias("b")).agg(F.array_sort(F.collect_set("b")).alias("thresholds"))
+    starts = F.array_distinct(F.array(F.lit(0).cast("bigint"), bound, bound * 2, bound))
+    ranges = F.transform(starts, lambda x: F.struct(x.alias("min_tokens")))
+    return prices(spark, sf_dir).select("model_key", t.range_bounds(ranges).alias("bounds"))
