@@ -53,8 +53,8 @@ def test_clusters_equal_brute_force(spark, block):
             texts.append(" ".join(line))
     rng.shuffle(texts)
     docs = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
-    units = paragraphs.cut_paragraphs(docs, 50)
-    got = {bytes(r["digest"]): bytes(r["cluster"]) for r in paragraphs.clusters(docs, units, recall=0.99999, block=block).collect()}
+    lines = paragraphs.cut_paragraphs(docs, 50, *paragraphs.tune_bands(0.8, 0.99999), 5).filter("line IS NOT NULL")
+    got = {bytes(r["digest"]): bytes(r["cluster"]) for r in paragraphs.clusters(docs, lines, block=block).collect()}
     sets = [paragraphs.shingles(t.encode(), 5) for t in texts]
     pairs = [(a, b) for a in range(100) for b in range(a) if paragraphs.near(sets[a], sets[b], 0.8)]
     assert len(pairs) > 50
@@ -67,18 +67,17 @@ def test_clusters_equal_brute_force(spark, block):
             assert (got.get(digest[a], digest[a]) == got.get(digest[b], digest[b])) == (b in want[a])
 
 
-def test_every_window_of_equal_words_has_an_equal_piece():
+def test_equal_windows_have_equal_signatures():
     rng = random.Random(2)
-    words = ["w%d" % i for i in range(200)]
+    words = [b"w%d" % i for i in range(200)]
     passage = rng.choices(words, k=50)
     cutter, chosen = paragraphs.Cutter(50), set()
     for _ in range(40):
         left, right = (rng.choices(words, k=rng.randrange(60)) for _ in "lr")
-        hashes, sizes, rows = cutter.cut([" ".join(left + passage + right).encode(), b"too short", None])
-        first = len(left)
-        at = [a for a, s, n in zip(rows["at"], rows["start"], rows["n"]) if s <= first < s + n]
-        assert len(at) == 1 and first <= at[0] <= first + 50 - paragraphs.PIECE
-        chosen.add(int(at[0] - first))
+        texts = [left + passage + right, [b"too", b"short"], []]
+        hashes = cutter.words.of([w for t in texts for w in t])
+        rows = zip(*cutter.blocks(hashes, np.array([len(t) for t in texts])))
+        chosen |= {piece for owner, start, n, piece, _ in rows if start <= len(left) < start + n}
     assert len(chosen) == 1
 
 
@@ -86,10 +85,15 @@ def test_connect_yields_a_forest_with_the_components_of_all_pairs():
     rng = random.Random(3)
     sets = [set(rng.sample(range(14), 9)) for _ in range(60)]
     near = lambda a, b: len(a & b) >= 0.6 * len(a | b)
-    forest = paragraphs.connect(list(range(60)), sets, [], list(range(60)), 0.6)
+    forest = paragraphs.connect([(i, s, f"own {i}") for i, s in enumerate(sets)], [], 0.6)
     assert all(near(sets[a], sets[b]) for a, b in forest)
     want = components_of(60, [(a, b) for a in range(60) for b in range(a) if near(sets[a], sets[b])])
     assert components_of(60, forest) == want and len(forest) == 60 - len(set(want.values()))
+    known = [(i, s, f"part {i % 5}" if i < 40 else f"own {i}") for i, s in enumerate(sets)]
+    chain = [(i, i + 5) for i in range(35)]
+    links = chain + paragraphs.connect(known[40:], known[:40], 0.6)
+    pairs = [(a, b) for a in range(60) for b in range(a) if (a >= 40 or b >= 40) and near(sets[a], sets[b])]
+    assert components_of(60, links) == components_of(60, chain + pairs)
 
 
 def test_tuned_bands():

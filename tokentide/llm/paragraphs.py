@@ -1,17 +1,17 @@
 """Substring dedup by paragraph MinHash banding.
 
-A text is cut into paragraphs in two ways. Its own lines of at least ``least`` words are
-paragraphs. So that passages inside lines and across line breaks are found too, it is also cut by
-content: of the pieces of PIECE words in a window of ``least`` words the one with the smallest
-hash is a paragraph (Schleimer et al., "Winnowing: Local Algorithms for Document Fingerprinting",
-2003). The choice depends on the window's words alone, so a passage of ``least`` words that stands
-in two documents gives both the same piece.
-
-Equal paragraphs (A-Z lower-cased, any white space between words) are one node, known by a digest
-of 128 bits. Nodes whose MinHash signatures agree in a band meet in a bucket. Each is first
-compared with its bucket's leader, the smallest node; only those that are not near it are compared
-with the others, dealt to blocks. The exact Jaccard similarity of word shingles decides on links;
-components of links are clusters.
+Paragraphs are of two kinds. The lines of at least ``least`` words, where near-equal ones count:
+their signatures of word shingles are cut into bands, tuned for high recall; nodes (equal lines,
+A-Z lower-cased, any white space between words, are one node, known by 128 bits) that agree in a
+band meet in a bucket. Each is first compared with its bucket's leader, the smallest node; only
+those that this leaves apart from it are compared with the others, in blocks. The exact Jaccard
+similarity of word shingles decides on links; components of links are clusters.
+
+And, so that passages inside lines and across line breaks are found, every window of ``least``
+consecutive words, where equal ones count (module ``passages`` verifies them). A window's
+signature is the smallest hash of its shingles of PIECE words: one band of one row, which equal
+windows always share. Neighbouring windows mostly have one signature and are told as one block
+(Schleimer et al., "Winnowing: Local Algorithms for Document Fingerprinting", 2003).
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 LEAST_WORDS = 50
 PIECE = 16
-#: Nodes of one bucket, not near its leader, that a task compares with the bucket's others.
-BLOCK = 1000
+#: Nodes of one bucket, apart from its leader, that a task compares with as many others of the bucket.
+BLOCK = 500
 #: Texts that are cut at a time.
 TEXTS = 128
 
@@ -69,42 +69,29 @@ class Cutter:
             words += own
         return words, found
 
-    def pieces(self, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(text, piece's first word, first window, windows, block) for each run of neighbouring windows with one piece."""
+    def blocks(self, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(text, first window, windows, piece, block) for each run of neighbouring windows with one piece, the shingle of smallest hash."""
+        nothing = tuple(np.zeros(0, np.int64) for _ in range(5))
         if len(words) < self.least:
-            return tuple(np.zeros(0, np.int64) for _ in range(5))
-        hashes = self.first.hashes(self.first.sums(words), np.arange(len(words) - PIECE + 1), PIECE)
+            return nothing
+        pieces = self.first.hashes(self.first.sums(words), np.arange(len(words) - PIECE + 1), PIECE)
         wide = self.least - PIECE + 1
-        at, reach = np.arange(len(hashes)), 1  # at[i]: the place of the least of hashes[i : i + reach], the last one of equals
+        at, reach = np.arange(len(pieces)), 1  # at[i]: the place of the least of pieces[i : i + reach], the last one of equals
         while reach < wide:
             step = min(reach, wide - reach)
             left, right = at[:-step], at[step:]
-            at, reach = np.where(hashes[right] <= hashes[left], right, left), reach + step
+            at, reach = np.where(pieces[right] <= pieces[left], right, left), reach + step
         ends = np.cumsum(sizes)
         text = np.repeat(np.arange(len(sizes)), sizes)
         window = np.flatnonzero(np.arange(len(at)) + self.least <= ends[text[: len(at)]])
-        anchor, owner = at[window], text[window]
         if not len(window):
-            return tuple(np.zeros(0, np.int64) for _ in range(5))
+            return nothing
+        anchor, owner = at[window], text[window]
         first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])]))
         count = np.diff(np.append(first, len(window)))
-        start, owner, anchor = window[first], owner[first], anchor[first]
+        start, owner = window[first], owner[first]
         block = self.second.hashes(self.second.sums(words), start, count + self.least - 1)
-        begin = (ends - sizes)[owner]
-        return owner, anchor - begin, start - begin, count, block.view(np.int64)
-
-    def cut(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
-        """(word hashes, words of each text, paragraphs): per paragraph its text, line (-1: a piece), ``at`` and ``size`` in
-        words, and for pieces ``start`` and ``n`` of their windows and those windows' ``block``."""
-        split = [self.lines(t) for t in texts]
-        sizes = np.fromiter((len(w) for w, _ in split), np.int64, len(split))
-        words = self.words.of([w for text, _ in split for w in text])
-        owner, at, start, n, block = self.pieces(words, sizes)
-        whole = np.array([(k, *x) for k, (_, found) in enumerate(split) for x in found], np.int64).reshape(-1, 4).T
-        none = np.zeros(len(whole[0]), np.int64)
-        rows = {"text": (owner, whole[0]), "line": (np.full(len(owner), -1), whole[1]), "at": (at, whole[2]), "size": (np.full(len(owner), PIECE), whole[3])}
-        rows |= {"start": (start, whole[2]), "n": (n, none), "block": (block, none)}
-        return words, sizes, {name: np.concatenate(parts) for name, parts in rows.items()}
+        return owner, start - (ends - sizes)[owner], count, pieces[anchor[first]].view(np.int64), block.view(np.int64)
 
     def digests(self, words: np.ndarray, begin: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
         return [runs.hashes(runs.sums(words), begin, size) for runs in (self.first, self.second)]
@@ -142,52 +129,47 @@ class Signer:
         return keys.view(np.int64)
 
 
-def _cut_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple]:
-    cutter = Cutter(least)
-    for batch in batches:
-        for at in range(0, batch.num_rows, TEXTS):
-            some = batch.slice(at, TEXTS)
-            words, sizes, rows = cutter.cut(raw(some.column("text")))
-            if len(rows["text"]):
-                begin = (np.cumsum(sizes) - sizes)[rows["text"]] + rows["at"]
-                yield cutter, some, words, begin, rows
-
-
-def cut_paragraphs(docs: DataFrame, least: int) -> DataFrame:
-    """(id, line, at, size, start, n, block, digest) of every paragraph of ``docs`` (id, text)."""
+def cut_paragraphs(docs: DataFrame, least: int, bands: int, rows: int, shingle: int) -> DataFrame:
+    """Both kinds of paragraphs of ``docs`` (id, text), by one pass over the texts: (id, start, n) with piece and block, of ``n``
+    windows from word ``start``; with line, digest and keys (of the bands), of a line of ``n`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cutter, some, words, begin, rows in _cut_batches(batches, least):
-            columns = [some.column("id").take(pa.array(rows["text"]))]
-            columns += [pa.array(rows[c], pa.int32()) for c in ("line", "at", "size", "start", "n")]
-            columns += [pa.array(rows["block"]), fixed_binary(cutter.digests(words, begin, rows["size"]))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "line", "at", "size", "start", "n", "block", "digest"])
+        cutter, signer = Cutter(least), Signer(bands, rows, shingle)
+        for batch in batches:
+            for first in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(first, TEXTS)
+                split = [cutter.lines(t) for t in raw(some.column("text"))]
+                sizes = np.fromiter((len(w) for w, _ in split), np.int64, len(split))
+                words = cutter.words.of([w for text, _ in split for w in text])
+                owner, start, n, piece, block = cutter.blocks(words, sizes)
+                long = np.array([(k, *x) for k, (_, found) in enumerate(split) for x in found], np.int64).reshape(-1, 4).T
+                begin = (np.cumsum(sizes) - sizes)[long[0]] + long[2]
+                keys = signer.sign(words, begin, long[3]) if len(begin) else np.zeros((0, bands), np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.ravel()))
+                digests = fixed_binary(cutter.digests(words, begin, long[3]))
+                yield _rows([some.column("id").take(pa.array(owner)), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(piece), pa.array(block), None, None, None])
+                yield _rows([some.column("id").take(pa.array(long[0])), pa.array(long[2], pa.int32()), pa.array(long[3], pa.int32()), None, None, pa.array(long[1], pa.int32()), digests, lists])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, line int, at int, size int, start int, n int, block bigint, digest binary")
+    return docs.mapInArrow(run, f"id {kind}, start int, n int, piece bigint, block bigint, line int, digest binary, keys array<bigint>")
 
 
-def _bands(docs: DataFrame, least: int, bands: int, rows: int, shingle: int) -> DataFrame:
-    """(bucket, node): the band keys of every paragraph; a node is the first half of its digest."""
+_KINDS = {"id": None, "start": pa.int32(), "n": pa.int32(), "piece": pa.int64(), "block": pa.int64(), "line": pa.int32(), "digest": pa.binary(), "keys": pa.list_(pa.int64())}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer(bands, rows, shingle)
-        for cutter, _, words, begin, found in _cut_batches(batches, least):
-            node = cutter.digests(words, begin, found["size"])[0].view(np.int64)
-            keys = signer.sign(words, begin, found["size"])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(node, bands))], names=["bucket", "node"])
 
-    return docs.mapInArrow(run, "bucket bigint, node bigint")
+def _rows(columns: list[pa.Array | None]) -> pa.RecordBatch:
+    made = [pa.nulls(len(columns[0]), kind) if c is None else c for c, kind in zip(columns, _KINDS.values())]
+    return pa.RecordBatch.from_arrays(made, names=list(_KINDS))
 
 
 def node_of(digest: str = "digest") -> Column:
-    """The first 64 bits of a digest, as _bands gives them."""
+    """The first 64 bits of a digest. Nodes only bring candidates together: each of the digests that share one has its own text."""
     return F.conv(F.substring(F.hex(digest), 1, 16), 16, -10).cast("bigint")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
-    """(node, digest, text) of the paragraphs that ``wanted`` (digest, id, at, size) places."""
-    places = wanted.groupBy(F.col("id").alias("__id")).agg(F.collect_list(F.struct("at", "size")).alias("places"))
+    """(node, digest, text) of the lines that ``wanted`` (digest, id, start, n) places."""
+    places = wanted.groupBy(F.col("id").alias("__id")).agg(F.collect_list(F.struct("start", "n")).alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter(least)
@@ -195,7 +177,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
             nodes, digests, texts = [], [], []
             for text, places in zip(raw(batch.column("text")), batch.column("places").to_pylist()):
                 words = text.translate(LOWER_ASCII).split() if text else []
-                inside = [(p["at"], p["size"]) for p in places if p["at"] + p["size"] <= len(words)]  # rows that repeat an id may be shorter
+                inside = [(p["start"], p["n"]) for p in places if p["start"] + p["n"] <= len(words)]  # rows that repeat an id may be shorter
                 if inside:
                     begin, size = np.array(inside, np.int64).T
                     parts = cutter.digests(cutter.words.of(words), begin, size)
@@ -222,20 +204,29 @@ def near(a: set[bytes], b: set[bytes], similarity: float) -> bool:
     return both >= similarity * (low + high - both)
 
 
-def connect(nodes: list, sets: list[set[bytes]], clusters: list[list[int]], rest: list[int], similarity: float) -> list[tuple]:
-    """Links that join, as all near pairs with a member of ``rest`` would, the ``clusters`` and the ``rest`` (places in ``nodes``)."""
-    found = []
+def connect(rest: list[tuple], others: list[tuple], similarity: float) -> list[tuple]:
+    """Links, as few as will do, that join components as all near pairs of a member of ``rest`` and one of either list would.
+
+    Members are (name, shingles, component); those of one component are together already.
+    """
+    clusters: dict = {}
+    for y in others:
+        clusters.setdefault(y[2], []).append(y)
+    found, parts = [], list(clusters.items())
     for x in rest:
-        joined, apart = [x], []
-        for cluster in clusters:
-            for y in cluster:
-                if near(sets[x], sets[y], similarity):
-                    found.append((nodes[x], nodes[y]))
-                    joined = cluster + joined
-                    break
+        joined, apart, names = [x], [], {x[2]}
+        for names_of, cluster in ((n if isinstance(n, set) else {n}, c) for n, c in parts):
+            hit = x[2] in names_of
+            if not hit:
+                y = next((y for y in cluster if near(x[1], y[1], similarity)), None)
+                hit = y is not None
+                if hit:
+                    found.append((x[0], y[0]))
+            if hit:
+                joined, names = cluster + joined, names | names_of
             else:
-                apart.append(cluster)
-        clusters = [joined, *apart]
+                apart.append((names_of, cluster))
+        parts = [(names, joined), *apart]
     return found
 
 
@@ -255,65 +246,63 @@ def _near_leaders(pairs: DataFrame, texts: DataFrame, shingle: int, similarity:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "da", "db", "ta", "tb").mapInArrow(verify, _LINKS)
 
 
-def _near_others(members: DataFrame, near_leader: DataFrame, texts: DataFrame, shingle: int, similarity: float, block: int) -> DataFrame:
-    """(a, b, da, db): links of the members that are not near their bucket's leader with others of the bucket.
+def _near_others(members: DataFrame, known: DataFrame, texts: DataFrame, shingle: int, similarity: float, block: int) -> DataFrame:
+    """(a, b, da, db): links of the members that are not connected with their bucket's leader with others of the bucket.
 
-    Those members are dealt to blocks; a task sees one block and, of its bucket, everyone. Groups
-    are mostly small, so a partition, sorted by group, is read as one stream.
+    ``known``: (digest, component) by links to leaders. Those members, and everyone in their
+    bucket, are dealt to blocks of bounded rows and bytes, and a task sees one block of either at a
+    time. Groups are mostly small, so a partition, sorted by group, is read as one stream.
     """
-    known = near_leader.select(F.col("a").alias("low"), F.col("b").alias("node")).distinct()
-    rest = members.filter("node <> low").join(known, ["low", "node"], "left_anti").select("bucket", "node")
-    rest = written(rest, "not-near-leaders")
-    blocks = rest.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    blocks = written(blocks.join(members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 2"), "bucket", "left_semi"), "rest-blocks")
-    everyone = members.join(blocks, "bucket").select("bucket", "node", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    mine = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")) == F.col("block")
-    marked = everyone.join(rest.withColumn("__rest", F.lit(True)), ["bucket", "node"], "left").select("bucket", "block", "node", (F.coalesce("__rest", F.lit(False))).alias("apart"), mine.alias("mine"))
+    part = texts.select("node", "digest", F.octet_length("text").alias("bytes")).join(known, "digest", "left").groupBy("node").agg(F.min(F.coalesce("component", "digest")).alias("part"), F.max("bytes").alias("bytes"))
+    part = written(part, "node-parts")
+    lead = part.select(F.col("node").alias("low"), F.col("part").alias("low_part"))
+    placed = written(members.join(part, "node").join(lead, "low").withColumn("apart", F.col("part") != F.col("low_part")), "placed-members")
+    room = lambda rows, size: F.ceil(F.greatest(rows / block, F.coalesce(size, F.lit(0)) / (1000 * block))).cast("int")
+    apart = F.when(F.col("apart"), F.col("bytes"))
+    sizes = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.count_if("apart").alias("k"), room(F.count_if("apart"), F.sum(apart)).alias("i_of"), room(F.count("*"), F.sum("bytes")).alias("j_of"))
+    sizes = written(sizes.filter("size > 2 AND k > 0").select("bucket", "i_of", "j_of"), "bucket-blocks")
+    dealt = placed.join(sizes, "bucket")
+    own = lambda of, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(of)).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    mine = dealt.filter("apart").select("bucket", own("i_of", 1).alias("i"), each("j_of").alias("j"), "node", "part", F.lit(True).alias("mine"))
+    theirs = dealt.select("bucket", each("i_of").alias("i"), own("j_of", 2).alias("j"), "node", "part", F.lit(False).alias("mine"))
 
     def links_of(found: list[tuple]) -> pa.RecordBatch:
         flat = [(a[0], b[0], a[1], b[1]) for a, b in found]
         return pa.RecordBatch.from_arrays([pa.array([f[i] for f in flat], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["a", "b", "da", "db"])
 
-    def solve(rows: list[tuple]) -> list[tuple]:
-        """Who is near the leader is one cluster; of the others those of this block meet everyone."""
-        nodes, sets, apart, mine = zip(*rows) if rows else ((),) * 4
-        every = range(len(rows))
-        clusters = [c for c in ([i for i in every if not apart[i]], *([i] for i in every if apart[i] and not mine[i])) if c]
-        return connect(nodes, sets, clusters, [i for i in every if apart[i] and mine[i]], similarity)
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows = None, []
+        group, rows = None, ([], [])
         for batch in batches:
             found: list[tuple] = []
-            for *key, node, digest, text, apart, mine in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "node", "digest", "text", "apart", "mine"))):
+            for *key, node, digest, text, part, mine in zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j", "node", "digest", "text", "part", "mine"))):
                 if key != group:
-                    found += solve(rows)
-                    group, rows = key, []
-                rows.append(((node, digest), shingles(text, shingle), apart, mine))
+                    found += connect(*rows, similarity)
+                    group, rows = key, ([], [])
+                rows[not mine].append(((node, digest), shingles(text, shingle), part))
             yield links_of(found)
-        yield links_of(solve(rows))
+        yield links_of(connect(*rows, similarity))
 
-    group = ["bucket", "block"]
-    placed = marked.join(texts, "node").repartition(*group).sortWithinPartitions(*group, "node")
-    return placed.select(*group, "node", "digest", "text", "apart", "mine").mapInArrow(verify, _LINKS)
+    group = ["bucket", "i", "j"]
+    rows = mine.unionByName(theirs).join(texts, "node").repartition(*group).sortWithinPartitions(*group)
+    return rows.select(*group, "node", "digest", "text", "part", "mine").mapInArrow(verify, _LINKS)
 
 
-def clusters(docs: DataFrame, units: DataFrame, least: int = LEAST_WORDS, similarity: float = SIMILARITY, shingle: int = SHINGLE, recall: float = 0.99, block: int = BLOCK) -> DataFrame:
-    """(digest, cluster) of the paragraphs of ``docs`` (id, text) that are near another one; ``units`` are from cut_paragraphs."""
-    bands, rows = tune_bands(similarity, recall)
-    held = _bands(docs, least, bands, rows, shingle)
+def clusters(docs: DataFrame, lines: DataFrame, least: int = LEAST_WORDS, similarity: float = SIMILARITY, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """(digest, cluster) of the lines (id, start, n, digest, keys) of ``docs`` (id, text) that are near another one."""
+    held = lines.select(F.explode("keys").alias("bucket"), node_of().alias("node"))
     shared = held.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("bucket", "low")
     shared = written(shared, "shared-buckets")
     members = written(held.join(shared, "bucket").distinct(), "bucket-members")
     nodes = members.select("node").distinct()
-    place = F.min(F.struct("id", "at", "size")).alias("place")
-    wanted = units.withColumn("node", node_of()).join(nodes, "node", "left_semi").groupBy("digest").agg(place).select("digest", "place.*")
+    place = F.min(F.struct("id", "start", "n")).alias("place")
+    wanted = lines.withColumn("node", node_of()).join(nodes, "node", "left_semi").groupBy("digest").agg(place).select("digest", "place.*")
     texts = written(_texts(docs, wanted, least), "paragraph-texts")
     pairs = members.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     leaders = written(_near_leaders(pairs, texts, shingle, similarity), "near-leaders")
-    others = written(_near_others(members, leaders, texts, shingle, similarity, block), "near-others")
-    links = leaders.unionByName(others).select("da", "db")
-    joined = components(links, "da", "db")
+    known = components(leaders.select("da", "db"), "da", "db").withColumnRenamed("node", "digest")
+    others = written(_near_others(members, known, texts, shingle, similarity, block), "near-others")
+    joined = components(leaders.unionByName(others).select("da", "db"), "da", "db")
     for done in (shared, members, texts, leaders, others):
         discard(done)
     return joined.select(F.col("node").alias("digest"), F.col("component").alias("cluster"))

@@ -1,15 +1,12 @@
-"""Passages that repeat across documents, wherever lines break, from clusters of near-equal paragraphs.
+"""Passages that repeat across documents, wherever lines break, and lines that nearly do.
 
-A window is ``least`` consecutive words of a text (A-Z lower-cased, any white space between them).
-Each window holds a paragraph that its own words have chosen (see ``paragraphs``), so windows that
-are equal hold equal paragraphs, and a window whose paragraph's cluster is in one document only
-repeats nowhere. Of the rest, single windows are checked for exact equality.
+Windows of ``least`` words meet by their MinHash signature, the piece (see ``paragraphs``). A
+window whose piece is in one document only repeats nowhere; of the rest, equality is checked.
+Neighbouring windows with one piece are a block. Blocks of pieces in one document are dropped;
+equal blocks become one; and only where a piece has unlike blocks are single windows compared. No
+step compares pairs, and no group is gathered in one task.
 
-Neighbouring windows with one paragraph are a block. Blocks of clusters in one document are
-dropped; equal blocks become one; and only where a cluster has unlike blocks are single windows
-compared. No step compares pairs, and no group is gathered in one task.
-
-Equality is that of two hashes of 64 bits, of the cluster and of the block or window.
+Equality of windows is that of two hashes of 64 bits, of the piece and of the block or window.
 """
 
 from __future__ import annotations
@@ -22,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokentide.llm.paragraphs import BLOCK, LEAST_WORDS, PIECE, SHINGLE, SIMILARITY, Cutter, clusters, cut_paragraphs
+from tokentide.llm.paragraphs import BLOCK, LEAST_WORDS, PIECE, SHINGLE, SIMILARITY, Cutter, clusters, cut_paragraphs, tune_bands
 from tokentide.llm.scratch import discard, written
 from tokentide.llm.text import raw
 
@@ -49,21 +46,28 @@ def _windows(docs: DataFrame, unlike: DataFrame, least: int) -> DataFrame:
     return found.mapInArrow(run, f"piece bigint, block bigint, id {kind}, start int, last {kind}, windows array<bigint>")
 
 
-def spans(windows: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, bool]]:
-    """(start, n_words, removed) of the maximal runs of words, from (start, found, kept) of blocks: bit j stands for window start + j."""
-    end = max(s + f.bit_length() for s, f, _ in windows) + least
-    covers = np.zeros((2, end + 1), np.int64)
-    for start, found, kept in windows:
-        for row, bits in ((0, found), (1, found & ~kept)):
-            while bits:
-                j = (bits & -bits).bit_length() - 1
-                covers[row, start + j] += 1
-                covers[row, start + j + least] -= 1
-                bits &= bits - 1
+def spans(documents: list[list[tuple[int, int, int]]], least: int) -> tuple[np.ndarray, ...]:
+    """(document's number, start, n_words, removed) of the maximal runs of words, from each document's (start, found, kept) of
+    blocks: bit j stands for window start + j. All documents are laid out one after another, with a gap between."""
+    counts = np.fromiter(map(len, documents), np.int64, len(documents))
+    start, found, kept = np.array([b for d in documents for b in d], np.int64).reshape(-1, 3).T
+    room = np.fromiter((max(b[0] for b in d) if d else 0 for d in documents), np.int64, len(documents)) + 64 + least + 1
+    base = np.cumsum(room) - room
+    start = start + np.repeat(base, counts)
+    covers = np.zeros((2, int(room.sum()) + 1), np.int32)
+    for row, bits in enumerate((found, found & ~kept)):
+        for j in range(62):
+            at = start[(bits >> j) & 1 == 1] + j
+            np.add.at(covers[row], at, 1)
+            np.add.at(covers[row], at + least, -1)
     inside, gone = np.cumsum(covers, 1) > 0
     state = inside.astype(np.int8) + gone
-    edges = np.flatnonzero(np.diff(state, prepend=0))
-    return [(int(a), int(b - a), bool(state[a] == 2)) for a, b in zip(edges, edges[1:]) if state[a]]
+    edges = np.flatnonzero(np.diff(state, prepend=np.int8(0)))
+    begin, end = edges[:-1], edges[1:]
+    real = state[begin] > 0
+    begin, end = begin[real], end[real]
+    owner = np.searchsorted(base, begin, side="right") - 1
+    return owner, begin - base[owner], end - begin, state[begin] == 2
 
 
 def _repeated_windows(docs: DataFrame, blocks: DataFrame, least: int) -> DataFrame:
@@ -124,27 +128,26 @@ def repeated_passages(
         raise ValueError("a window must hold a piece, a piece a shingle, and a block's windows must fit a mask")
     docs = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).filter(F.col("id").isNotNull())
     kind = docs.schema["id"].dataType.simpleString()
-    units = written(cut_paragraphs(docs, least), "paragraphs")
-    known = clusters(docs, units, least, similarity, shingle, recall, block)
-    named = units.join(known, "digest", "left").withColumn("cluster", F.coalesce("cluster", "digest")).drop("digest")
-    in_two = named.groupBy("cluster").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("cluster")
-    shared = written(named.join(written(in_two, "shared-clusters"), "cluster", "left_semi"), "shared-paragraphs")
-    discard(units)
-    gathered = _repeated_windows(docs, shared.filter("n > 0").select("id", "start", "n", F.xxhash64("cluster").alias("piece"), "block"), least)
+    cut = written(cut_paragraphs(docs, least, *tune_bands(similarity, recall), shingle), "paragraphs")
+    windows = cut.filter("line IS NULL").select("id", "start", "n", "piece", "block")
+    pieces = written(windows.groupBy("piece").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("piece"), "shared-pieces")
+    blocks = written(windows.join(pieces, "piece", "left_semi"), "shared-blocks")
+    gathered = _repeated_windows(docs, blocks, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [spans([tuple(w.values()) for w in row], least) for row in batch.column("windows").to_pylist()]
-            ids = batch.column("id").take(pa.array(np.repeat(np.arange(len(made)), list(map(len, made)))))
-            rows = [span for doc in made for span in doc]
-            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([ids, *columns], names=["id", "start", "n_words", "removed"])
+            owner, start, size, removed = spans([[tuple(w.values()) for w in row] for row in batch.column("windows").to_pylist()], least)
+            columns = [batch.column("id").take(pa.array(owner)), pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(removed)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "start", "n_words", "removed"])
 
     runs = gathered.mapInArrow(run, f"id {kind}, start int, n_words int, removed boolean")
-    lines = shared.filter("n = 0").select("cluster", "id", "line", "at", "size").distinct()
-    place = F.struct("id", "at")
-    firsts = written(lines.groupBy("cluster").agg(F.min(place).alias("first"), F.max("id").alias("last")).filter("first.id < last"), "first-lines")
-    whole = lines.join(firsts, "cluster").select("id", "line", F.col("at").alias("start"), F.col("size").alias("n_words"), (place != F.col("first")).alias("removed"))
+    lines = cut.filter("line IS NOT NULL").select("id", "line", "start", "n", "digest", "keys")
+    known = clusters(docs, lines, least, similarity, shingle, block)
+    named = lines.drop("keys").join(known, "digest", "left").withColumn("cluster", F.coalesce("cluster", "digest")).drop("digest").distinct()
+    place = F.struct("id", "start")
+    firsts = named.groupBy("cluster").agg(F.min(place).alias("first"), F.max("id").alias("last")).filter("first.id < last")
+    firsts = written(firsts, "first-lines")
+    whole = named.join(firsts, "cluster").select("id", "line", "start", F.col("n").alias("n_words"), (place != F.col("first")).alias("removed"))
     out = runs.withColumn("line", F.lit(None).cast("int")).unionByName(whole)
     return out.select(F.col("id").alias(id_col), "line", "start", "n_words", "removed")
 
