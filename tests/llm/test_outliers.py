@@ -77,10 +77,35 @@ def test_edge_rows(spark):
     rows += [(50, None, "en", "a", "c"), (51, "", None, None, "c"), (52, "few words", "en", "b", "c"), (53, plain, None, "b", "c"), (54, plain, "xx", None, "c"), (None, plain, "en", "a", "c"), (1, plain, "en", "a", "c"), (55, "x" * 200_000, "en", "a", "c")]
     rows += [(60, "junk### " * 3 + "$$$ %%% ### *** &&& ||| <<< >>> ### $$$$$ %%%%%", "en", "a", "c")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, kept string")
-    got = outliers.judge_texts(docs, least_rows=10).collect()
+    got = outliers.judge_texts(docs).collect()
     assert len(got) == len(rows)
     of = {r["doc_id"]: r for r in got}
     assert all(of[i]["base_failed"] and not of[i]["kept"] for i in (50, 51, 52, 55))
     assert of[53]["kept"] and of[54]["kept"] and of[1]["kept"] and of[None]["kept"] and not of[60]["kept"]
     assert outliers.judge_texts(docs.limit(0)).count() == 0
     assert all(not r["kept"] for r in outliers.judge_texts(docs.select("doc_id", F.lit(None).cast("string").alias("text"), "lang", "source")).collect())
+
+
+def test_partitioning_and_order_change_nothing(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    one = {r["doc_id"]: (r["distance"], r["kept"]) for r in outliers.judge_texts(docs).collect()}
+    other = {r["doc_id"]: (r["distance"], r["kept"]) for r in outliers.judge_texts(docs.repartition(7, "text").sortWithinPartitions(F.desc("doc_id"))).collect()}
+    assert {i: k for i, (_, k) in one.items()} == {i: k for i, (_, k) in other.items()}
+    assert all((d is None) == (other[i][0] is None) and (d is None or abs(d - other[i][0]) <= 1e-5 * max(1, d)) for i, (d, _) in one.items())
+
+
+def test_quantiles_are_exact_to_the_bin(spark):
+    rng = np.random.default_rng(5)
+    values = {"a": rng.normal(0, 3, 501), "b": np.full(7, 2.25)}
+    rows = spark.createDataFrame([(g, float(x)) for g, xs in values.items() for x in xs], "g string, x double")
+    got = {r["g"]: (r["n"], r["x"]) for r in outliers.quantiles(rows, ["g"], ["x"], [0.25, 0.5]).collect()}
+    for g, xs in values.items():
+        want = np.sort(xs)[[int(np.ceil(s * len(xs))) - 1 for s in (0.25, 0.5)]]
+        assert got[g][0] == len(xs) and np.allclose(got[g][1], want, atol=1 / outliers.QUANTILE_BINS)
+
+
+def test_small_groups_lean_on_wider_ones():
+    eye, zero = np.eye(outliers.P), np.zeros(outliers.P)
+    for n, w in ((0, 0.0), (50, 0.5), (1e9, 1.0)):
+        centre, cov, _ = outliers._mix((zero + 2, 4 * eye, n), (zero, eye, 1e6), 50)
+        assert np.allclose(centre, 2 * w, atol=1e-6) and np.allclose(np.diag(cov), 4 * w + (1 - w) + 4 * w * (1 - w), atol=1e-6)
