@@ -1,18 +1,51 @@
+import math
 from math import exp
+from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
 from tokentide.llm.keyed import join_keyed
-from tokentide.llm.mixing import mix, poisson_cdf
+from tokentide.llm.mixing import copies_of, mix, poisson_tables
 
 
-def test_cdf_is_poisson_even_at_large_rates(spark):
-    rows = spark.createDataFrame([(0.0,), (0.3,), (4.0,), (2000.0,)], "rate double").select("rate", poisson_cdf(F.col("rate")).alias("cdf")).collect()
-    for r in rows:
-        assert abs(r["cdf"][-1] - 1) < 1e-9
-        assert r["rate"] == 0 or abs(r["cdf"][0] - exp(-r["rate"])) < 1e-12
-        mean = sum(1 - c for c in r["cdf"])
-        assert abs(mean - r["rate"]) < 1e-6 * max(1, r["rate"])
+def poisson(rate, u):
+    """The number of copies at u, by the plain recurrence in logarithms."""
+    k, log, total = 0, -rate, exp(-rate)
+    while total <= u and k < 10 * rate + 100:
+        k += 1
+        log += math.log(rate / k)
+        total += exp(log)
+    return k
+
+
+def test_tables_invert_the_poisson_distribution_at_any_rate(spark):
+    rates = [0.0, 0.3, 4.0, 2000.0, 1e6]
+    table = poisson_tables(spark.createDataFrame([(str(r), r) for r in rates], "__source string, rate double"))
+    draws = [1e-9, 0.0, 0.001, 0.25, 0.5, 0.75, 0.999, 1 - 1e-9]
+    got = table.withColumn("u", F.explode(F.array(*map(F.lit, draws)))).select("rate", "u", copies_of(F.col("u")).alias("n"), F.size("cdf").alias("size")).collect()
+    assert len(got) == len(rates) * len(draws)
+    for r in got:
+        if r["rate"] == 0:
+            assert r["n"] == 0
+        elif r["rate"] < 1e6 and 0 < r["u"]:  # a draw of zero takes the least number that the table knows
+            assert abs(r["n"] - poisson(r["rate"], r["u"])) <= (1 if r["rate"] >= 2000 else 0)
+        elif 0.001 <= r["u"] <= 0.999:  # the normal distribution that a large rate nears, with its first correction
+            z = NormalDist().inv_cdf(r["u"])
+            assert abs(r["n"] - (1e6 + 1e3 * z + (z * z - 1) / 6)) <= 1.5
+        elif r["u"]:
+            assert abs(r["n"] - 1e6) < 7000
+        assert r["size"] <= 30 * math.sqrt(r["rate"]) + 100
+
+
+def test_a_rare_source_in_a_large_corpus_is_drawn_at_once(spark):
+    docs = spark.range(100_001).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 0, "rare").otherwise("common").alias("source"), F.lit("t" * 10).alias("text"))
+    got = {r["source"]: r["count"] for r in mix(docs).groupBy("source").count().collect()}
+    assert abs(got["rare"] - 50_000) < 2000 and abs(got["common"] - 50_000) < 2000
+
+
+def test_very_long_text_is_kept(spark):
+    docs = spark.createDataFrame([(i, "s", "x" * 2_000_000) for i in range(6)], "doc_id bigint, source string, text string")
+    assert {r["n"] for r in mix(docs).select(F.length("text").alias("n")).collect()} == {2_000_000}
 
 
 def test_shares_meet_targets_and_runs_agree(spark):
