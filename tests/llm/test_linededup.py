@@ -30,3 +30,10 @@ def test_equals_brute_force(spark):
 
 def test_no_rows(spark):
     assert dedup_lines(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_a_text_of_very_many_lines(spark):
+    lines = [f"{LINE} number {i}" for i in range(30_000)]
+    rows = [(i, "\n".join(lines)) for i in range(5)]
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], len(r["text"])) for r in dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {**{i: (30_000, 30_000, 0) for i in range(4)}, 4: (30_000, 0, len(rows[0][1]))}
