@@ -36,15 +36,24 @@ def repo_url(host: Column, repository: Column) -> Column:
     return F.when((host != "") & (repository != ""), F.concat(F.lit("https://"), host, F.lit("/"), repository)).otherwise("")
 
 
-def strip_numbered_lines(text: Column, pattern: str = r"^\s*\d+(: |\|)") -> Column:
-    """Remove line-number prefixes that read tools add to file bodies."""
-    return F.array_join(F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, pattern, "")), "\n")
+def strip_numbered_lines(text: Column) -> Column:
+    """Remove the prefixes 'N: ' that read tools put before the lines of a body, and an empty last line."""
+    lines = F.transform(F.split(text, "\r?\n", -1), lambda x: F.regexp_replace(x, r"^\d+: ", ""))
+    return F.array_join(F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines), "\n")
 
 
-def unwrap_content(text: Column) -> Column:
-    """The part between <content> tags, without line numbers, or the text as it is."""
-    inner = F.regexp_extract(text, r"(?s)<content>\n?(.*?)\n?</content>", 1)
-    return F.when(F.contains(text, F.lit("<content>")), strip_numbered_lines(inner)).otherwise(text)
+def read_body(output: Column) -> Column:
+    """The file body in a read tool's output: between <content> tags, or the numbered lines after the blank line of
+    'path, file, blank line, lines'; '' if it is neither."""
+    inner = F.regexp_replace(F.substring_index(F.regexp_replace(output, r"(?s)^.*?<content>", ""), "</content>", 1), r"^\n", "")
+    plain = F.regexp_extract(output, r"^[^\n]*\nfile\r?\n(?:[^\r\n]+\r?\n)*\r?\n(?:(?!\d+: )[^\n]*\n)*((?:\d+: [^\n]*(?:\n|$))+)", 1)
+    return F.when(F.contains(output, F.lit("<content>")), strip_numbered_lines(inner)).otherwise(F.when(plain == "", "").otherwise(strip_numbered_lines(plain)))
+
+
+def numbered_lines(text: Column) -> Column:
+    """Of a text whose lines read 'N|line' the lines; lines of another shape go."""
+    kept = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"^ *\d+\|"))
+    return F.array_join(F.transform(kept, lambda x: F.regexp_replace(x, r"^ *\d+\|", "")), "\n")
 
 
 #: What the lines of a command's status header begin with. Fixed values.

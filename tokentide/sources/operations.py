@@ -12,13 +12,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from tokentide.functions import json, text, times
 from tokentide.operators import windows
 from tokentide.operators.pairing import pair_calls
 from tokentide.operators.windows import nonempty
 from tokentide.schemas import OPERATIONS, SESSIONS
-from tokentide.sources import logs, usage_logs
+from tokentide.sources import cursor as cursor_store
+from tokentide.sources import logs, sqlite, usage_logs
+from tokentide.sources.sqlite import read_sqlite
 from tokentide.sources.usage_logs import _get
 
 AT = ["path", "line_no", "pos"]
@@ -460,6 +463,82 @@ def deepseek(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return finish(reduce(DataFrame.unionByName, made), sessions, "deepseek"), sessions
 
 
+# --- stores ----------------------------------------------------------------------------------
+
+
+def _of_messages(rows: DataFrame, provider: str) -> tuple[DataFrame, DataFrame]:
+    """(sessions, models) of rows (source, path, session_id, session_date, ts, folder, model), each a source of its own."""
+    given = {
+        "provider": F.lit(provider), "path": F.col("source"), "session_id": F.col("session_id"), "session_date": F.col("session_date"), "last_ts": F.col("ts"),
+        "folder_path": F.coalesce("folder", F.lit("")), "git_remote_url": F.lit(""),
+    }
+    sessions = rows.select(*[given[f.name].cast(f.dataType).alias(f.name) for f in StructType.fromDDL(SESSIONS)])
+    return sessions, rows.select(F.lit(provider).alias("provider"), F.col("source").alias("path"), "model")
+
+
+def opencode(spark: SparkSession, paths: list[str], since_ms: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(operations, sessions, models). A source is a message, or a session of a store without messages; tool parts are matched to it in columns."""
+    key = lambda c: F.concat_ws("#", "path", c).alias("source")
+    columns = ["path", "id", "session_id", "session_date", "ts", "folder", "model"]
+    modern = sqlite.opencode_messages(spark, paths, since_ms).select(*columns)
+    legacy = sqlite.opencode_sessions(spark, paths, since_ms).withColumn("session_id", F.col("id")).select(*columns)
+    sources = modern.unionByName(legacy).withColumn("source", key("id"))
+    sessions, models = _of_messages(sources, "opencode")
+    tool = "json_valid(data) AND json_extract(data, '$.type') = 'tool'"
+    parts = read_sqlite(spark, paths, f"SELECT id, message_id, data FROM part WHERE {tool}", "part string, owner string, data string", "message")
+    old = read_sqlite(spark, paths, f"SELECT id, session_id, data FROM part WHERE {tool}", "part string, owner string, data string", "part", without="message")
+    v = F.col("v")
+    parts = parts.unionByName(old).select(key("owner"), "part", F.try_parse_json("data").alias("v")).filter(json.strict_string(v, "$.state.status") == "completed")
+    place = F.row_number().over(Window.partitionBy("source").orderBy("part")) - 1
+    owned = parts.join(sources.select("source", "ts"), "source").withColumns({"line_no": place.cast("long"), "pos": F.lit(0), "path": F.col("source")})
+    given = {f: json.strict_string(v, f"$.state.input.{f}") for f in ("filePath", "oldString", "newString", "content", "command", "description", "patchText")}
+    started = F.coalesce(json.strict_int(v, "$.state.time.start"), F.col("ts")).alias("ts_ms")
+    calls = owned.select(*AT, started, json.strict_string(v, "$.tool").alias("tool"), *[x.alias(f) for f, x in given.items()], json.strict_string(v, "$.state.output").alias("output"))
+    calls = calls.withColumn("file", nonempty(F.col("filePath"))).withColumn("body", text.read_body(F.col("output")))
+    reads = calls.filter("tool = 'read' AND file IS NOT NULL AND output IS NOT NULL")
+    patches = F.transform(text.patch_files(F.col("patchText"), moves=True), lambda p: p)
+    made = [
+        _draft(reads.filter("body <> ''"), "read", file=F.col("file"), body=F.col("body")),
+        _draft(reads.filter("body = ''"), "read", bare="count"),
+        _draft(calls.filter("tool = 'edit' AND file IS NOT NULL AND oldString IS NOT NULL AND newString IS NOT NULL"), "edit", file=F.col("file"), old=F.col("oldString"), body=F.col("newString")),
+        _draft(calls.filter("tool = 'write' AND file IS NOT NULL AND content IS NOT NULL"), "write", file=F.col("file"), body=F.col("content")),
+        _draft(calls.filter("tool = 'bash'"), "run", command=F.coalesce("command", F.lit("")), description=F.col("description")),
+        _draft(calls.filter("tool = 'todowrite'"), "todo"),
+        _patched(calls.filter("tool = 'apply_patch' AND patchText IS NOT NULL"), patches, F.col("ts_ms"), raw_updates=True),
+    ]
+    return finish(reduce(DataFrame.unionByName, made), sessions, "opencode"), sessions, models
+
+
+def cursor(spark: SparkSession, roots: list[str], tracking: list[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(operations, sessions, models). A source is a store on a date."""
+    stores = cursor_store.find_stores(roots)
+    v, c = F.col("v"), F.col("c")
+    turns = cursor_store.nodes(spark, stores).filter((json.strict_string(v, "$.role") == "assistant") & json.is_array(v, "$.content"))
+    turns = turns.withColumn("session_date", times.ms_to_date(F.col("ts"))).filter("session_date IS NOT NULL").withColumn("source", F.concat_ws("#", "path", "session_date"))
+    days = turns.groupBy("path", "source", "session_date").agg(F.max("ts").alias("ts"))
+    days = days.join(cursor_store.store_models(spark, stores, list(tracking)), "path").withColumns({"session_id": cursor_store.conversation(F.col("path")), "folder": F.lit("")})
+    sessions, models = _of_messages(days, "cursor")
+    place = F.row_number().over(Window.partitionBy("source").orderBy("id")) - 1
+    turns = turns.withColumn("line_no", place.cast("long"))
+    calls = turns.select("source", F.col("path").alias("store"), "line_no", F.col("ts").alias("ts_ms"), F.posexplode(json.items(v, "$.content")).alias("pos", "c")).filter(json.strict_string(c, "$.type") == "tool-call")
+    given = {f: json.strict_string(c, f"$.args.{f}").alias(f) for f in ("contents", "old_string", "new_string", "command", "description")}
+    calls = calls.select(
+        F.col("source").alias("path"), "store", "line_no", "pos", "ts_ms", json.strict_string(c, "$.toolName").alias("tool"), nonempty(json.strict_string(c, "$.args.path")).alias("file"),
+        nonempty(json.strict_string(c, "$.toolCallId")).alias("call_id"), *given.values(),
+    )
+    results = cursor_store.read_results(spark, stores).select(F.col("path").alias("store"), "call_id", text.numbered_lines(F.col("body")).alias("body"))
+    reads = calls.filter("tool IN ('Read', 'ReadFile') AND file IS NOT NULL AND call_id IS NOT NULL").join(results, ["store", "call_id"], "left")
+    made = [
+        _draft(calls.filter("tool = 'Write' AND file IS NOT NULL AND contents IS NOT NULL"), "write", file=F.col("file"), body=F.col("contents")),
+        _draft(calls.filter("tool = 'StrReplace' AND file IS NOT NULL AND old_string IS NOT NULL AND new_string IS NOT NULL"), "edit", file=F.col("file"), old=F.col("old_string"), body=F.col("new_string")),
+        _draft(reads.filter("body <> ''"), "read", file=F.col("file"), body=F.col("body")),
+        _draft(reads.filter("coalesce(body, '') = ''"), "read", bare="count"),
+        _draft(calls.filter("tool = 'Shell'"), "run", command=F.coalesce("command", F.lit("")), description=F.col("description")),
+        _draft(calls.filter("tool = 'TodoWrite'"), "todo"),
+    ]
+    return finish(reduce(DataFrame.unionByName, made), sessions, "cursor"), sessions, models
+
+
 READERS = {"claude": claude, "codex": codex, "copilot": copilot, "gemini": gemini, "deepseek": deepseek, "grok": grok}
 
 

@@ -7,18 +7,56 @@ lists that it holds are evaluated by the store. The schema is given by the calle
 
 from __future__ import annotations
 
+import os
+import shutil
 import sqlite3
+import tempfile
 from collections.abc import Iterator
+from contextlib import closing, contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tokentide.functions import json, models, times
 from tokentide.operators.pairing import residuals
+from tokentide.operators.windows import nonempty
 from tokentide.sources.usage_logs import _get, _int, _rows
 
 BATCH = 1000
+#: How often a store that changes meanwhile is copied anew.
+ATTEMPTS = 3
+#: What belongs to a store besides its file. Fixed values.
+_SIDES = ("", "-wal", "-shm")
+
+
+def _fingerprint(path: str) -> list[tuple[int, int]]:
+    return [(os.stat(path + s).st_mtime_ns, os.stat(path + s).st_size) if os.path.exists(path + s) else (0, 0) for s in _SIDES]
+
+
+@contextmanager
+def opened(path: str, probe: str = "") -> Iterator[sqlite3.Connection]:
+    """A read-only connection; where the store cannot be read in place, to a private copy, its log included, that was stable while it was made."""
+    try:
+        store = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+        store.execute("SELECT count(*) FROM sqlite_master WHERE name = ?", (probe,)).fetchone()
+    except sqlite3.Error:
+        with tempfile.TemporaryDirectory(prefix="tokentide-") as folder:
+            copy = os.path.join(folder, os.path.basename(path))
+            for attempt in range(ATTEMPTS):
+                before = _fingerprint(path)
+                for side in _SIDES[:2]:
+                    if os.path.exists(path + side):
+                        shutil.copyfile(path + side, copy + side)
+                if _fingerprint(path) == before:
+                    break
+            else:
+                raise OSError(f"{path} changed in each of {attempt + 1} copies") from None
+            with closing(sqlite3.connect(copy)) as store:
+                yield store
+        return
+    with closing(store):
+        yield store
 
 
 class _File(InputPartition):
@@ -30,14 +68,15 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = [p for p in options["paths"].split(",") if p]
         self.query = options["query"]
-        self.table = options.get("table", "")
+        self.table, self.without = options.get("table", ""), options.get("without", "")
 
     def partitions(self) -> list[InputPartition]:
         return [_File(p) for p in self.paths]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with sqlite3.connect(f"file:{partition.path}?mode=ro", uri=True) as store:
-            if self.table and not store.execute("SELECT 1 FROM sqlite_master WHERE name = ?", (self.table,)).fetchone():
+        with opened(partition.path, self.table) as store:
+            has = lambda table: store.execute("SELECT 1 FROM sqlite_master WHERE type = 'table' AND name = ?", (table,)).fetchone()
+            if self.table and not has(self.table) or self.without and has(self.without):
                 return
             rows = store.execute(self.query)
             while some := rows.fetchmany(BATCH):
@@ -46,7 +85,7 @@ class _Reader(DataSourceReader):
 
 
 class SqliteSource(DataSource):
-    """Files whose option ``table`` names a table that they lack give no rows."""
+    """Files that lack the table named by the option ``table``, or have the one named by ``without``, give no rows."""
 
     @classmethod
     def name(cls) -> str:
@@ -56,27 +95,84 @@ class SqliteSource(DataSource):
         return _Reader(self.options)
 
 
-def read_sqlite(spark: SparkSession, paths: list[str], query: str, schema: str, table: str = "") -> DataFrame:
+def read_sqlite(spark: SparkSession, paths: list[str], query: str, schema: str, table: str = "", without: str = "") -> DataFrame:
     """Rows of ``query`` over every store, with its ``path`` first."""
     spark.dataSource.register(SqliteSource)
-    return spark.read.format("sqlite").schema(f"path string, {schema}").option("paths", ",".join(paths)).option("query", query).option("table", table).load()
+    options = {"paths": ",".join(paths), "query": query, "table": table, "without": without}
+    return spark.read.format("sqlite").schema(f"path string, {schema}").options(**options).load()
 
 
-def opencode(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Assistant messages with their own cost; the date is the message's. Their buckets are disjoint already."""
-    rows = read_sqlite(spark, paths, "SELECT m.session_id, m.data, s.time_updated FROM message m JOIN session s ON s.id = m.session_id", "session_id string, data string, updated bigint", "message")
+#: When a message was: its own times, if they are numbers, else its session's.
+MESSAGE_TIME = """coalesce(
+    CASE WHEN typeof(json_extract(m.data, '$.time.completed')) IN ('integer', 'real') THEN cast(json_extract(m.data, '$.time.completed') AS INTEGER) END,
+    CASE WHEN typeof(json_extract(m.data, '$.time.created')) IN ('integer', 'real') THEN cast(json_extract(m.data, '$.time.created') AS INTEGER) END, s.time_updated)"""
+
+
+def _since(time: str, since_ms: int | None) -> str:
+    return "" if since_ms is None else f" AND {time} >= {int(since_ms)}"
+
+
+def opencode_messages(spark: SparkSession, paths: list[str], since_ms: int | None = None) -> DataFrame:
+    """(path, id, session_id, folder, ts, v, model, session_date) of assistant messages, those from ``since_ms`` on if it is given."""
+    query = f"""SELECT m.id, m.session_id, s.directory, m.data, {MESSAGE_TIME} FROM message m JOIN session s ON s.id = m.session_id
+        WHERE json_valid(m.data) AND json_extract(m.data, '$.role') = 'assistant'{_since(MESSAGE_TIME, since_ms)}"""
+    rows = read_sqlite(spark, paths, query, "id string, session_id string, folder string, data string, ts bigint", "message")
     v = F.col("v")
-    parsed = rows.withColumn("v", F.try_parse_json("data")).filter(json.strict_string(v, "$.role") == "assistant")
-    ts = F.coalesce(json.number_as_int(v, "$.time.completed"), json.number_as_int(v, "$.time.created"), F.col("updated"))
-    named = models.qualified(json.strict_string(v, "$.providerID"), json.strict_string(v, "$.modelID"))
-    t = F.col("t")
-    dated = parsed.withColumns({"ts": ts, "model": named, "t": _get(v, "$.tokens")}).withColumn("session_date", times.ms_to_date(F.col("ts"))).filter("model is not null")
+    name = F.coalesce(json.first_string(v, ["modelID", "model_id"]), json.first_string(_get(v, "$.model"), ["modelID", "id"]))
+    provider = F.coalesce(json.first_string(v, ["providerID", "provider_id"]), json.first_string(_get(v, "$.model"), ["providerID", "provider_id"]))
+    named = models.qualified(F.trim(provider), nonempty(F.trim(name)))
+    rows = rows.withColumn("v", F.try_parse_json("data")).withColumns({"model": named, "session_date": times.ms_to_date(F.col("ts"))})
+    return rows.filter("model IS NOT NULL AND session_date IS NOT NULL").drop("data")
+
+
+def opencode(spark: SparkSession, paths: list[str], since_ms: int | None = None) -> DataFrame:
+    """Assistant messages with their own cost; the date is the message's. Their buckets are disjoint already."""
+    rows = opencode_messages(spark, paths, since_ms).withColumn("t", _get(F.col("v"), "$.tokens"))
+    v, t = F.col("v"), F.col("t")
+    plain = json.usable_counts(t, ["input", "output", "reasoning"])
+    cache = json.usable_counts(_get(t, "$.cache"), ["read", "write"])
+    apart = json.usable_counts(t, ["input", "output", "reasoning"]) | ~json.has(t, "$.input") & ~json.has(t, "$.output") & ~json.has(t, "$.reasoning")
+    usable = json.is_object(t) & F.when(json.has(t, "$.cache"), cache & apart).otherwise(plain)
+    modern = _rows(
+        rows.filter(usable), "opencode", session_id=F.col("session_id"), ts_ms=F.col("ts"), model=F.col("model"), input=_int(t, "$.input"), output=_int(t, "$.output"), reasoning=_int(t, "$.reasoning"),
+        cache_read=_int(t, "$.cache.read"), cc_5m=_int(t, "$.cache.write"), request_context=_int(t, "$.input") + _int(t, "$.cache.read") + _int(t, "$.cache.write"), stored_cost=F.coalesce(F.try_variant_get(v, "$.cost", "double"), F.lit(0.0)),
+    )
+    return modern.unionByName(_opencode_legacy(spark, paths, since_ms))
+
+
+_LEGACY = ["input", "output", "reasoning", "cache_read", "cache_write"]
+
+
+def opencode_sessions(spark: SparkSession, paths: list[str], since_ms: int | None = None) -> DataFrame:
+    """Sessions of stores without a table of messages; their model is a name, or JSON with an id."""
+    query = f"""SELECT id, model, directory, time_updated, {", ".join(f"tokens_{c}" for c in _LEGACY)}, cost FROM session WHERE model IS NOT NULL AND model <> ''{_since("time_updated", since_ms)}"""
+    ddl = ", ".join(f"{c} bigint" for c in _LEGACY)
+    rows = read_sqlite(spark, paths, query, f"id string, name string, folder string, ts bigint, {ddl}, cost double", "session", without="message")
+    return rows.withColumns({"model": legacy_model(F.col("name")), "session_date": times.ms_to_date(F.col("ts"))}).filter("model IS NOT NULL AND session_date IS NOT NULL")
+
+
+def legacy_model(name: Column) -> Column:
+    """A plain name, a JSON string, or an object's id under its provider; null for other JSON."""
+    v = F.try_parse_json(F.trim(name))
+    whole = models.qualified(F.trim(json.first_string(v, ["providerID", "provider_id"])), nonempty(F.trim(json.strict_string(v, "$.id"))))
+    return F.when(v.isNull(), nonempty(F.trim(name))).when(json.is_object(v), whole).otherwise(nonempty(F.trim(json.strict_string(v, "$"))))
+
+
+def _opencode_legacy(spark: SparkSession, paths: list[str], since_ms: int | None) -> DataFrame:
+    rows = opencode_sessions(spark, paths, since_ms)
     return _rows(
-        dated.filter(json.is_object(t)), "opencode", session_id=F.col("session_id"), ts_ms=F.col("ts"), model=F.col("model"), input=_int(t, "$.input"), output=_int(t, "$.output"), reasoning=_int(t, "$.reasoning"),
-        cache_read=_int(t, "$.cache.read"), cc_5m=_int(t, "$.cache.write"), request_context=_int(t, "$.input") + _int(t, "$.cache.read") + _int(t, "$.cache.write"), stored_cost=F.try_variant_get(v, "$.cost", "double"),
+        rows, "opencode", session_id=F.col("id"), ts_ms=F.col("ts"), model=F.col("model"), input=F.col("input"), output=F.col("output"), reasoning=F.col("reasoning"),
+        cache_read=F.col("cache_read"), cc_5m=F.col("cache_write"), stored_cost=F.col("cost"),
     )
 
 
+def opencode_candidates(spark: SparkSession, paths: list[str], since_ms: int | None = None) -> DataFrame:
+    """(path, n): how many records an analysis of each store will look at."""
+    messages = f"SELECT count(*) FROM message m JOIN session s ON s.id = m.session_id WHERE json_extract(m.data, '$.role') = 'assistant'{_since(MESSAGE_TIME, since_ms)}"
+    sessions = f"SELECT count(*) FROM session WHERE model IS NOT NULL AND model <> ''{_since('time_updated', since_ms)}"
+    return read_sqlite(spark, paths, messages, "n bigint", "message").unionByName(read_sqlite(spark, paths, sessions, "n bigint", "session", without="message"))
+
+
 _HERMES = ["input_tokens", "output_tokens", "reasoning_tokens", "cache_read_tokens", "cache_write_tokens"]
 
 
