@@ -95,3 +95,26 @@ def test_stages_keep_the_columns_of_documents(spark, small):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), small).columns == docs.columns
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), small).count() == 0
+
+
+def test_stages_take_odd_rows(spark, small):
+    prose = queries.table(spark, small, "documents").filter("length(text) > 400").first()["text"]
+    line = "One line that is well over forty characters, in every document."
+    rows = [(i, f"{prose} {i}\n{line}", "en", "a" if i % 3 else None) for i in range(8)]
+    rows += [(None, prose, None, None), (None, None, None, None), (50, None, "en", "b"), (51, "", "en", "b"), (52, prose, "en", "b"), (52, prose, "en", "b"), (52, "another text of this id", "en", "b"), (53, "word " * 200_000, None, "b")]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, n_words string, n_lines string, rate string, extra int"
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), "s", "w", "l", "r", 7) for r in rows], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        left = stage(spark, docs, small)
+        kept = left.collect()
+        assert set(docs.columns) <= set(left.columns) and {r.extra for r in kept} <= {7}
+        ids = [r.doc_id for r in kept]
+        if name == "line_dedup":
+            assert len(kept) == len(rows) and sum(line in r.text for r in kept) == 1 and all(r.n_chars == len(r.text) for r in kept)
+        elif name == "near_dedup":
+            assert ids.count(None) == 2 and ids.count(52) <= 1
+        elif name == "decontaminate":
+            assert len(kept) == len(rows)
+        elif name == "quality":
+            assert ids.count(52) in (0, 1, 2, 3)
+    assert sum(r.text == rows[-1][1] for r in corpus_pipeline.mixing(spark, docs, small).collect()) >= 0

@@ -10,7 +10,7 @@ pass the shards one after another, so no task ever holds more than one shard.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,9 @@ SHARD_BYTES = 64 << 20
 #: Texts that are looked up at a time.
 TEXTS = 64
 
+#: Columns that find_contamination adds.
+ADDED = ("n_words", "n_hit", "hit_items", "hit_spans", "contaminated")
+
 _RUN = re.compile(rb"[^\x20]+")
 
 
@@ -127,11 +130,10 @@ def find_contamination(
     Texts of any length are scanned whole. Columns of ``docs`` that bear the added names are
     replaced; ``__words``, ``__hit``, ``__items`` and ``__spans`` are reserved.
     """
-    added = ["n_words", "n_hit", "hit_items", "hit_spans", "contaminated"]
     if clash := {"__words", "__hit", "__items", "__spans"} & set(docs.columns):
         raise ValueError(f"reserved names: {sorted(clash)}")
     span = "array<struct<start:bigint,end:bigint>>"
-    rows = docs.drop(*added).withColumn("__words", F.lit(0).cast("long"))
+    rows = docs.drop(*ADDED).withColumn("__words", F.lit(0).cast("long"))
     rows = rows.withColumn("__items", F.expr("cast(array() as array<string>)")).withColumn("__spans", F.expr(f"cast(array() as {span})"))
     rows = rows.withColumn("__hit", F.lit(0).cast("long"))
     shards = _shards(benchmark, item_col, benchmark_text_col, shard_bytes, null_items)
@@ -178,10 +180,10 @@ def _scan(text: bytes | None, words: list[bytes], found: tuple[np.ndarray, set[i
     return len(words), int(hit.sum()), merged, [{"start": a, "end": b} for a, b in _spans(text, hit)]
 
 
-def remove_contamination(found: DataFrame, what: str = "documents", text_col: str = "text") -> DataFrame:
+def remove_contamination(found: DataFrame, what: str = "documents", text_col: str = "text", added: Sequence[str] = ADDED) -> DataFrame:
     """Drop contaminated documents, or cut the hit spans out of their texts (``what="spans"``).
 
-    ``found`` comes from find_contamination, whose added columns are dropped. Documents that are
+    ``found`` comes from find_contamination, whose ``added`` columns are dropped. Documents that are
     not contaminated stay as they are. A cut leaves one blank.
     """
     if what == "documents":
@@ -200,4 +202,4 @@ def remove_contamination(found: DataFrame, what: str = "documents", text_col: st
         out = found.withColumn(text_col, F.when(F.col("contaminated"), clean).otherwise(F.col(text_col)))
     else:
         raise ValueError(what)
-    return out.drop("n_words", "n_hit", "hit_items", "hit_spans", "contaminated")
+    return out.drop(*added)
