@@ -87,7 +87,7 @@ def fuzzy_matches(models: DataFrame, prices: DataFrame, threshold: float = THRES
 def resolve_models(models: DataFrame, prices: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(model, stage, model_key, matched_model) of every distinct model, by the first stage that finds a key:
     'exact', 'normalized', 'substring', 'fuzzy' or 'none'. ``matched_model`` is null for exact keys and without a key."""
-    names = models.select("model").distinct()
+    names, prices = models.select("model").distinct().persist(), prices.select("model_key").persist()
     exact = F.col("model") == F.col("model_key")
     equal = _equal(names, prices).withColumn("stage", F.when(exact, "exact").otherwise("normalized"))
     found = names.join(_best(equal, [(~exact).cast("int"), *_normalized_order()], ["stage"]), "model", "left")

@@ -108,6 +108,11 @@ def summary(priced: DataFrame, hide_zero: bool = False) -> DataFrame:
 
 
 def usage(requests: DataFrame, prices: DataFrame) -> DataFrame:
-    """Priced rows by provider and model, from requests to cost. Prices and boundaries are looked up by distinct name."""
-    tiered = classify(requests, tier_bounds(requests, prices))
-    return price(roll_up(tiered, ["provider", "model", "tier_level"]), prices)
+    """Priced rows by provider and model, from requests to cost.
+
+    Prices and boundaries are looked up by distinct name. The names, few next to the requests, and
+    the price list are persisted, as several joins read them; what is lost is found again.
+    """
+    names, prices = requests.select("model").distinct().persist(), prices.persist()
+    tiered = classify(requests, tier_bounds(names, prices))
+    return price(roll_up(tiered, ["provider", "model", "tier_level"]), prices, resolve_models(names, prices))
