@@ -198,7 +198,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, limit: int = 3, id_col: str
     id reachable over links, the row's own included.
 
     Cases: null, empty and blank texts have fingerprint zero and are linked like any other; a text
-    of fewer than ``size`` words is one shingle. Repeated rows are repeated. A null id never names
+    of fewer than ``size`` words is one shingle. Texts of any length are hashed whole. Repeated rows are repeated. A null id never names
     a component; where only null ids can be reached, ``component_id`` is null. Extra columns are
     ignored; no rows give no rows.
     """

@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame
 
 from tokentide.llm.text import raw, spaced_words
 
-#: A vocabulary above this many bytes is refused: it is broadcast.
-MAX_VOCABULARY_BYTES = 64 << 20
+#: A vocabulary above this many bytes is refused: it is broadcast, and its trie has at most a node a byte, each a few
+#: hundred bytes in every Python worker, so this is some 1 GB there. Public vocabularies have 0.3 to 2 MB.
+MAX_VOCABULARY_BYTES = 4 << 20
 
 
 def read_ranked_vocabulary(path: str) -> list[bytes]:
