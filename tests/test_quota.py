@@ -111,3 +111,46 @@ def test_formats_dates_and_footers(spark):
     sessions = spark.createDataFrame([("codex", "2024-01-01"), ("codex", "2024-01-01"), ("grok", "2024-01-02")], "provider string, session_date string")
     assert {r.provider: r.days for r in analysis.active_dates(sessions).collect()} == {"codex": 1, "grok": 1, None: 2}
     assert usage.derived_total() is not None
+
+
+def test_origins_of_repositories(spark, tmp_path):
+    from tokentide.sources import git
+
+    put(tmp_path, "a/.git/config", ['[remote "other"]', "\turl = no", '[remote "origin"]', "\tfetch = x", "\turl = git@h:o/r.git", "[branch]"])
+    put(tmp_path, "b/.git/config", ['[remote "origin"]', "[core]", "url = no"])
+    rows = [("s", str(tmp_path / x), url) for x, url in (("a", ""), ("a", "kept"), ("b", ""), ("c", ""))]
+    sessions = spark.createDataFrame([*rows, ("t", "", "")], "session_id string, folder_path string, git_remote_url string")
+    got = sorted((r.folder_path[-1:], r.git_remote_url) for r in git.with_origins(spark, sessions).collect())
+    assert got == [("", ""), ("a", "git@h:o/r"), ("a", "kept"), ("b", ""), ("c", "")]
+
+
+def test_counters_of_logs(spark, tmp_path):
+    from tokentide.operators import diagnostics
+
+    put(tmp_path, "sessions/p/a/session.jsonl", [{"type": "session", "version": 0, "id": "s"}, {"type": "turn/end"}, {"type": "new/kind"}, "{broken"])
+    put(tmp_path, "sessions/p/b/session.jsonl", [{"type": "new/kind"}])
+    lines = usage_logs.provider_lines(spark, "deepseek", str(tmp_path / "sessions"))[0]
+    none = spark.createDataFrame([], "path string")
+    counted = diagnostics.lost_records(diagnostics.source_counters(lines, "deepseek", none, none))
+    got = {r.path[-15]: (r.records, r.malformed, r.recognized, r.verdict, r.partial_failures) for r in counted.collect()}
+    assert got == {"a": (4, 1, 2, "partial", 2), "b": (1, 0, 0, "failed", 0)}
+    claude = spark.createDataFrame([('{"toolUseResult": {}}',), ('{"type": "user"}',), ('{"type": "x"}',)], "j string").select(F.try_parse_json("j").alias("v"))
+    assert [r.recognized for r in diagnostics.recognized(claude, "claude").collect()] == [True, True, False]
+
+
+def test_versions_take_in_side_files(spark):
+    from tokentide.streaming import incremental
+
+    sources = spark.createDataFrame([("s", "p", 5, 10), ("t", "q", 5, 10)], "source string, path string, modified int, length bigint")
+    sides = spark.createDataFrame([("s", 9, 3), ("s", 1, 4)], "source string, modified int, length bigint")
+    assert {(r.path, r.modified, r.length) for r in incremental.with_sides(sources, sides).collect()} == {("p", 9, 17), ("q", 5, 10)}
+
+
+def test_kept_prices(spark, tmp_path):
+    from tokentide.sources import prices
+
+    (tmp_path / "p.json").write_text(json.dumps({"m": {"input_cost_per_token": 2.0, "max_tokens": 5}, "none": {"max_tokens": 1}}))
+    for day in ("2024-01-01", "2024-01-02"):
+        prices.save_prices(spark, str(tmp_path / "p.json"), str(tmp_path / "kept"), day)
+    assert [p.name for p in (tmp_path / "kept").iterdir() if p.is_dir()] == ["day=2024-01-02"]
+    assert {(r.model_key, r.base.input) for r in prices.saved_prices(spark, str(tmp_path / "kept")).collect()} == {("m", 2.0)}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokentide.functions import tokens
+from tokentide.functions.json import cost_fields
 
 #: Rate -> the field that holds it. Fixed values.
 FIELDS = {
@@ -60,7 +61,33 @@ def parse_prices(entries: DataFrame) -> DataFrame:
     return out.filter(some)
 
 
+def _entries(spark: SparkSession, path: str) -> DataFrame:
+    """(model_key, v) of a JSON file. A few thousand entries at most, so one row holds the document."""
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(F.explode(F.try_variant_get(F.try_parse_json("value"), "$", "map<string,variant>")).alias("model_key", "v"))
+
+
 def read_prices(spark: SparkSession, path: str) -> DataFrame:
-    """The price list in a JSON file. A few thousand entries at most, so one row holds the document."""
-    whole = spark.read.text(path, wholetext=True).select(F.explode(F.try_variant_get(F.try_parse_json("value"), "$", "map<string,variant>")).alias("model_key", "v"))
-    return parse_prices(whole)
+    """The price list in a JSON file."""
+    return parse_prices(_entries(spark, path))
+
+
+def save_prices(spark: SparkSession, path: str, folder: str, day: str) -> None:
+    """Keep the cost fields of the price list at ``path`` as ``folder``/day=<day>, and no other day's.
+
+    Days are written whole before older ones go, so a reader finds a list at any time.
+    """
+    entries = _entries(spark, path)
+    costs = F.to_json(cost_fields(F.try_variant_get("v", "$", "map<string,variant>")))
+    entries.select("model_key", costs.alias("costs")).filter("costs <> '{}'").write.mode("overwrite").parquet(f"{folder}/day={day}")
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for kept in files.listStatus(root):
+        if kept.getPath().getName() != f"day={day}":
+            files.delete(kept.getPath(), True)
+
+
+def saved_prices(spark: SparkSession, folder: str) -> DataFrame:
+    """PRICES of the list that save_prices kept."""
+    kept = spark.read.parquet(folder)
+    return parse_prices(kept.select("model_key", F.try_parse_json("costs").alias("v")))

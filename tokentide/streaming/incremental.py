@@ -18,6 +18,14 @@ from pyspark.sql import functions as F
 VERSION = ["path", "modified", "length"]
 
 
+def with_sides(sources: DataFrame, sides: DataFrame) -> DataFrame:
+    """``sources`` (source, path, modified, length) whose version takes in the files beside them: ``sides`` (source, modified,
+    length) are what else a source's result depends on, such as a store's log or a session's summary."""
+    every = sources.select("source", "modified", "length").unionByName(sides.select("source", "modified", "length"))
+    whole = every.groupBy("source").agg(F.max("modified").alias("modified"), F.sum("length").alias("length"))
+    return sources.drop("modified", "length").join(whole, "source")
+
+
 def pending(found: DataFrame, known: DataFrame | None) -> DataFrame:
     """Sources (path, modified, length, ...) that are not in ``known`` in the same version."""
     return found if known is None else found.join(known.select(VERSION).distinct(), VERSION, "left_anti")
