@@ -1,7 +1,7 @@
 import pytest
 
 from tests.oracle import connect, differences
-from tokentide.plans import log_queries, usage_queries  # noqa: F401
+from tokentide.plans import format_queries, log_queries, usage_queries  # noqa: F401
 from tokentide.plans.registry import ORACLES, QUERIES
 
 
