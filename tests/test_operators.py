@@ -80,3 +80,15 @@ def test_synthetic_models_are_no_usage_of_claude_and_codex(spark):
     rows = [request("claude", "<synthetic>", input=1), request("gemini", "<synthetic>", input=2), request("hermes", None, input=4)]
     got = usage.roll_up(spark.createDataFrame(rows, REQUEST_USAGE), ["provider", "model"]).collect()
     assert {(r.provider, r.model): r.input for r in got} == {("gemini", "<synthetic>"): 2, ("hermes", None): 4}
+
+
+def test_running_sums_of_a_stream(spark, tmp_path):
+    from tokentide.streaming.incremental import usage_stream
+
+    for k, rows in enumerate(([("codex", 1), ("claude", 5)], [("codex", 2)])):
+        spark.createDataFrame(rows, "provider string, input bigint").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema("provider string, input bigint").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    sums = usage_stream(stream, ["provider"], ["input"]).writeStream.outputMode("complete").format("memory").queryName("running_sums").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True)
+    run = sums.start()
+    assert run.awaitTermination(120)
+    assert {tuple(r) for r in spark.table("running_sums").collect()} == {("codex", 3), ("claude", 5)}
