@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokentide.llm.backoff import score_texts
+from tokentide.llm.collocations import collocations
 from tokentide.llm.decontaminate import find_contamination
+from tokentide.llm.fim import fill_in_middle, restored
 from tokentide.llm.linededup import dedup_lines
 from tokentide.llm.mixing import mix
 from tokentide.llm.outliers import judge_texts
@@ -16,6 +18,7 @@ from tokentide.llm.passages import repeated_passages
 from tokentide.llm.ranking import CUT, learn, score_documents
 from tokentide.llm.scratch import new_path
 from tokentide.llm.simhash import near_duplicates
+from tokentide.llm.topk import top_k
 from tokentide.llm.warc import read_archive, write_archive
 from tokentide.llm.wordpiece import byte_level_pieces, count_pieces, read_ranked_vocabulary
 
@@ -93,6 +96,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_pieces(table(spark, sf_dir, "documents"), initial, continuing, mark=b" ")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256")
+    )
+
+
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_robust_outliers": op2_robust_outliers,
@@ -104,6 +123,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bradley_terry": op8_bradley_terry,
     "op9_simhash_groups": op9_simhash_groups,
     "op10_token_counts": op10_token_counts,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_exact_top_k": op12_exact_top_k,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES: dict[str, str] = {
@@ -168,4 +190,52 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE keeper IS NOT NULL AND doc_id <> keeper) AS n_dropped,
             sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE keeper IS NULL OR doc_id = keeper), '')) AS kept_sha256
         FROM keyed LEFT JOIN common USING (key) GROUP BY doc_id""",
+    "op11_fill_in_middle": r"""
+        WITH u AS (
+            SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+                regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w FROM documents),
+        d AS (
+            SELECT *, len(w) AS n, ('0x' || h[1:8])::BIGINT % (len(w) + 1) AS a, ('0x' || h[9:16])::BIGINT % (len(w) + 1) AS b,
+                CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 50 THEN 'plain'
+                    WHEN ('0x' || h[25:32])::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+        c AS (
+            SELECT *, array_to_string(w[1:least(a, b)], '') AS p, array_to_string(w[least(a, b) + 1:greatest(a, b)], '') AS m,
+                array_to_string(w[greatest(a, b) + 1:], '') AS s FROM d)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+            sha256(text) AS restored_sha256 FROM c""",
+    "op12_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        q AS (SELECT DISTINCT vec_id, v FROM v WHERE vec_id % 50 = 0),
+        scored AS (
+            SELECT q.vec_id AS query_id, q.v, c.vec_id, coalesce(list_inner_product(q.v, c.v), 0)::BIGINT AS score
+            FROM q JOIN v AS c ON len(q.v) = len(c.v) AND q.vec_id <> c.vec_id)
+        SELECT query_id, rank::INT AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id, v ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5""",
+    "op13_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        f AS (
+            SELECT lang, p, count(*) AS f FROM (
+                SELECT lang, w[i:i + size - 1] AS p FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM w, range(1, 5) AS s(size) WHERE len(w) >= size))
+            GROUP BY lang, p),
+        found AS (SELECT * FROM f WHERE len(p) > 1 AND f >= 30),
+        cuts AS (
+            SELECT c.lang, c.p, c.f AS a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.f) // (x.f::HUGEINT + y.f) AS score
+            FROM (SELECT *, unnest(range(1, len(p))) AS k FROM found) AS c
+            JOIN f AS x ON x.lang = c.lang AND x.p = c.p[1:k] JOIN f AS y ON y.lang = c.lang AND y.p = c.p[k + 1:]),
+        scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+        inner_f AS (
+            SELECT lang, p[i:i + size - 1] AS p, max(f) AS f
+            FROM (SELECT lang, p, f, size, unnest(range(1, len(p) - size + 2)) AS i FROM found, range(2, 4) AS s(size) WHERE size < len(p)) GROUP BY ALL),
+        kept AS (
+            SELECT s.*, array_to_string(s.p, ' ') AS phrase FROM scored AS s LEFT JOIN inner_f AS o ON o.lang = s.lang AND o.p = s.p
+            WHERE o.f IS NULL OR 100 * o.f::HUGEINT < 80 * s.a::HUGEINT),
+        n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(p) = 1 GROUP BY lang)
+        SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN n USING (lang) WHERE rank <= 2000""",
 }
