@@ -206,8 +206,8 @@ ORACLES: dict[str, str] = {
             sha256(text) AS restored_sha256 FROM c""",
     "op12_exact_top_k": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
-            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         q AS (SELECT DISTINCT vec_id, v FROM v WHERE vec_id % 50 = 0),
         scored AS (
             SELECT q.vec_id AS query_id, q.v, c.vec_id, coalesce(list_inner_product(q.v, c.v), 0)::BIGINT AS score
@@ -216,26 +216,33 @@ ORACLES: dict[str, str] = {
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id, v ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5""",
     "op13_collocations": r"""
         WITH pieces AS (
-            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
-                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
-        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
-        f AS (
-            SELECT lang, p, count(*) AS f FROM (
-                SELECT lang, w[i:i + size - 1] AS p FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM w, range(1, 5) AS s(size) WHERE len(w) >= size))
-            GROUP BY lang, p),
-        found AS (SELECT * FROM f WHERE len(p) > 1 AND f >= 30),
+            SELECT row_number() OVER () AS piece_id, * FROM (
+                SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+        w AS (
+            SELECT piece_id, lang, unnest(w) AS w, generate_subscripts(w, 1) AS i
+            FROM (SELECT piece_id, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces)),
+        runs AS (
+            SELECT lang, w AS w1, lead(w, 1) OVER p AS w2, lead(w, 2) OVER p AS w3, lead(w, 3) OVER p AS w4 FROM w WINDOW p AS (PARTITION BY piece_id ORDER BY i)),
+        grams AS (
+            SELECT lang, w1 AS p FROM runs UNION ALL SELECT lang, w1 || ' ' || w2 FROM runs WHERE w2 IS NOT NULL
+            UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3 FROM runs WHERE w3 IS NOT NULL
+            UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM runs WHERE w4 IS NOT NULL),
+        f AS MATERIALIZED (SELECT lang, p, string_split(p, ' ') AS w, count(*) AS f FROM grams GROUP BY lang, p),
+        found AS MATERIALIZED (SELECT * FROM f WHERE len(w) > 1 AND f >= 30),
+        heads AS (
+            SELECT lang, p, f AS a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail
+            FROM (SELECT *, unnest(range(1, len(w))) AS k FROM found)),
         cuts AS (
-            SELECT c.lang, c.p, c.f AS a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.f) // (x.f::HUGEINT + y.f) AS score
-            FROM (SELECT *, unnest(range(1, len(p))) AS k FROM found) AS c
-            JOIN f AS x ON x.lang = c.lang AND x.p = c.p[1:k] JOIN f AS y ON y.lang = c.lang AND y.p = c.p[k + 1:]),
+            SELECT c.*, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a) // (x.f::HUGEINT + y.f) AS score
+            FROM heads AS c JOIN f AS x ON x.lang = c.lang AND x.p = c.head JOIN f AS y ON y.lang = c.lang AND y.p = c.tail),
         scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
         inner_f AS (
-            SELECT lang, p[i:i + size - 1] AS p, max(f) AS f
-            FROM (SELECT lang, p, f, size, unnest(range(1, len(p) - size + 2)) AS i FROM found, range(2, 4) AS s(size) WHERE size < len(p)) GROUP BY ALL),
+            SELECT lang, array_to_string(w[i:i + size - 1], ' ') AS p, max(f) AS f
+            FROM (SELECT lang, w, f, size, unnest(range(1, len(w) - size + 2)) AS i FROM found, range(2, 4) AS s(size) WHERE size < len(w)) GROUP BY ALL),
         kept AS (
-            SELECT s.*, array_to_string(s.p, ' ') AS phrase FROM scored AS s LEFT JOIN inner_f AS o ON o.lang = s.lang AND o.p = s.p
-            WHERE o.f IS NULL OR 100 * o.f::HUGEINT < 80 * s.a::HUGEINT),
-        n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(p) = 1 GROUP BY lang)
-        SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score
-        FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN n USING (lang) WHERE rank <= 2000""",
+            SELECT s.* FROM scored AS s LEFT JOIN inner_f AS o ON o.lang = s.lang AND o.p = s.p WHERE o.f IS NULL OR 100 * o.f::HUGEINT < 80 * s.a::HUGEINT),
+        n AS (SELECT lang, count(*)::BIGINT AS n FROM w GROUP BY lang)
+        SELECT lang, rank, p AS phrase, a, l, r, n, score::BIGINT AS score
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank FROM kept) JOIN n USING (lang) WHERE rank <= 2000""",
 }
