@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,6 +25,51 @@ def pair_calls(calls: DataFrame, results: DataFrame, keys: list[str], order: str
     return both.withColumn("call", F.when(F.col("result").isNotNull(), F.lag("call").over(w))).filter("result is not null and call is not null").select(*keys, "call", "result")
 
 
+def take_calls(calls: DataFrame, results: DataFrame, keys: list[str], order: list[str], call_key: str, result_keys: str) -> DataFrame:
+    """Each result, which names several calls in the array ``result_keys``, with the first of them that is pending.
+
+    A call is pending from where it stands until a result takes it; one that repeats a pending
+    call's key replaces it. A result takes one call and leaves the others that it names pending, so
+    what a later result finds depends on all before it: the events of a source are folded in order,
+    as narrow rows of places and keys. A task keeps its current source's pending keys, nothing else.
+
+    ``order`` are whole numbers; at one place a result comes before a call. Returns ``keys``, the
+    result's ``order`` columns and ``call``, the struct of the call's. Null keys name nothing, nor
+    does a null array.
+    """
+    at = [f"__at{i}" for i in range(len(order))]
+    place = [F.col(c).cast("long").alias(a) for c, a in zip(order, at)]
+    made = calls.filter(F.col(call_key).isNotNull()).select(*keys, *place, F.lit(1).alias("__kind"), F.array(F.col(call_key).cast("long")).alias("__keys"))
+    named = results.select(*keys, *place, F.lit(0).alias("__kind"), F.col(result_keys).cast("array<bigint>").alias("__keys"))
+    source = F.struct(*keys)
+    events = made.unionByName(named).select(*at, "__kind", "__keys", source.alias("__source"))
+    dealt = events.repartition("__source").sortWithinPartitions("__source", *at, "__kind")
+    n = len(order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, pending = None, {}
+        for batch in batches:
+            places = list(zip(*(batch.column(i).to_pylist() for i in range(n))))
+            taken, rows = [], []
+            for i, (place, kind, named, of) in enumerate(zip(places, batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), batch.column(n + 2).to_pylist())):
+                if of != source:
+                    source, pending = of, {}
+                if kind:
+                    pending[named[0]] = place
+                elif (key := next((k for k in named or () if k in pending), None)) is not None:
+                    rows.append(i)
+                    taken.append(pending.pop(key))
+            if rows:
+                found = batch.take(pa.array(rows, pa.int64()))
+                columns = [pa.array(c, pa.int64()) for c in zip(*taken)]
+                yield pa.RecordBatch.from_arrays([*found.columns[:n], found.column(n + 2), *columns], names=[*at, "__source", *[f"__call{i}" for i in range(n)]])
+
+    kinds = ", ".join(f"{a} bigint" for a in at)
+    whole = f"{kinds}, __source {dealt.schema['__source'].dataType.simpleString()}, " + ", ".join(f"__call{i} bigint" for i in range(n))
+    call = F.struct(*[F.col(f"__call{i}").alias(c) for i, c in enumerate(order)]).alias("call")
+    return dealt.mapInArrow(run, whole).select(*[F.col(f"__source.{k}").alias(k) for k in keys], *[F.col(a).alias(c) for a, c in zip(at, order)], call)
+
+
 def unmatched(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right.select(*keys).distinct(), keys, "left_anti")
 

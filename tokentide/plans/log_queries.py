@@ -112,6 +112,24 @@ def call_result_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paired.select("user_id", "call_id", F.col("call.event_id").alias("call_event"), F.col("result.event_id").alias("result_event"))
 
 
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type IN ('view', 'purchase')),
+    named AS (SELECT *, [event_id % 7 + 1, event_id // 7 % 7 + 1, event_id // 49 % 7 + 1] AS k FROM e),
+    fold AS (
+        SELECT DISTINCT user_id, 0::BIGINT AS n, NULL::BIGINT AS result_event, NULL::BIGINT AS call_event, list_transform(range(7), lambda i: NULL::BIGINT) AS pending FROM e
+        UNION ALL
+        SELECT user_id, n, CASE WHEN event_type = 'purchase' THEN event_id END, CASE WHEN event_type = 'purchase' THEN pending[slot] END,
+            list_transform(range(1, 8), lambda i: CASE WHEN i = slot THEN CASE WHEN event_type = 'view' THEN event_id END ELSE pending[i] END)
+        FROM (SELECT named.*, pending, CASE WHEN event_type = 'view' THEN k[1] WHEN pending[k[1]] IS NOT NULL THEN k[1] WHEN pending[k[2]] IS NOT NULL THEN k[2] ELSE k[3] END AS slot
+            FROM fold JOIN named ON named.user_id = fold.user_id AND named.n = fold.n + 1))
+    SELECT user_id, result_event, call_event FROM fold WHERE call_event IS NOT NULL""")
+def multi_key_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each purchase names three keys and takes the first that a view left pending."""
+    e = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", (e % 7).alias("key"), F.array(e % 7, F.floor(e / 7) % 7, F.floor(e / 49) % 7).alias("named"))
+    met = pairing.take_calls(rows.filter("event_type = 'view'"), rows.filter("event_type = 'purchase'"), ["user_id"], ["event_id"], "key", "named")
+    return met.select("user_id", F.col("event_id").alias("result_event"), F.col("call.event_id").alias("call_event"))
+
+
 @query(f"WITH {CALLS} SELECT user_id, call_id, event_id FROM r WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.user_id = r.user_id AND c.call_id = r.call_id)")
 def unpaired_calls_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = calls_and_results(spark, sf_dir)

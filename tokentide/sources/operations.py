@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from tokentide.functions import json, text, times
 from tokentide.operators import windows
-from tokentide.operators.pairing import pair_calls
+from tokentide.operators.pairing import pair_calls, take_calls
 from tokentide.operators.windows import nonempty
 from tokentide.schemas import OPERATIONS, SESSIONS
 from tokentide.sources import cursor as cursor_store
@@ -441,14 +441,15 @@ def deepseek(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     sessions = _sessions(rows, "deepseek", session_id=F.when(head, json.strict_string(v, "$.id")), folder=F.when(head, json.strict_string(v, "$.cwd")), ts=stamp)
     rows = rows.withColumn("ts_ms", F.coalesce(time, F.max(stamp).over(windows.so_far(["path"], ["line_no"]))))
     calls = rows.filter(kind == "tool/call").select(
-        *AT, _at(), json.strict_int(v, "$.seq").alias("seq"), _tool(json.strict_string(v, "$.data.name"), _DEEPSEEK_TOOLS).alias("tool"), json.strict_string(v, "$.data.arguments").alias("args"), json.strict_string(v, "$.data.name").alias("name")
+        "path", "line_no", json.strict_int(v, "$.seq").alias("seq"), _tool(json.strict_string(v, "$.data.name"), _DEEPSEEK_TOOLS).alias("tool"), json.strict_string(v, "$.data.arguments").alias("args"), json.strict_string(v, "$.data.name").alias("name")
     )
     calls = calls.filter("seq IS NOT NULL AND name IS NOT NULL AND args IS NOT NULL")
     bad = F.coalesce(json.variant_type(v, "$.data.error"), F.lit("VOID")) != "VOID"
-    results = rows.filter(kind == "tool/result").select("path", "line_no", "pos", _at(), "ts_ms", bad.alias("bad"), _get(v, "$.data.meta").alias("meta"), F.posexplode(json.items(v, "$.sourceEventSeqs")).alias("rank", "s"))
-    results = results.withColumn("seq", json.strict_int(F.col("s"), "$")).drop("s").filter("seq IS NOT NULL")
-    met = pair_calls(calls, results, ["path", "seq"], "at").select("path", "result.line_no", "result.pos", "result.ts_ms", "result.rank", "result.bad", "result.meta", "call.tool", "call.args")
-    done = windows.first_per_key(met, ["path", "line_no"], ["rank"]).filter("NOT bad AND tool IS NOT NULL")
+    named = F.filter(F.transform(json.items(v, "$.sourceEventSeqs"), lambda s: json.strict_int(s, "$")), lambda s: s.isNotNull())
+    results = rows.filter(kind == "tool/result").select(*AT, "ts_ms", bad.alias("bad"), _get(v, "$.data.meta").alias("meta"), named.alias("named"))
+    met = take_calls(calls, results, ["path"], ["line_no"], "seq", "named").select("path", "line_no", F.col("call.line_no").alias("call_line"))
+    own = calls.select("path", F.col("line_no").alias("call_line"), "tool", "args")
+    done = results.drop("named").join(met, ["path", "line_no"]).join(own, ["path", "call_line"]).filter("NOT bad AND tool IS NOT NULL")
     done = done.withColumn("a", F.try_parse_json("args"))
     a, meta = F.col("a"), F.col("meta")
     done = done.withColumn("file", json.strict_string(a, "$.file_path"))
