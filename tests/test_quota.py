@@ -126,12 +126,12 @@ def test_origins_of_repositories(spark, tmp_path):
 
 def test_counters_of_logs(spark, tmp_path):
     from tokentide.operators import diagnostics
+    from tokentide.sources import accounting
 
     put(tmp_path, "sessions/p/a/session.jsonl", [{"type": "session", "version": 0, "id": "s"}, {"type": "turn/end"}, {"type": "new/kind"}, "{broken"])
     put(tmp_path, "sessions/p/b/session.jsonl", [{"type": "new/kind"}])
     lines = usage_logs.provider_lines(spark, "deepseek", str(tmp_path / "sessions"))[0]
-    none = spark.createDataFrame([], "path string")
-    counted = diagnostics.lost_records(diagnostics.source_counters(lines, "deepseek", none, none))
+    counted = diagnostics.lost_records(accounting.source_counters(lines, "deepseek"))
     got = {r.path[-15]: (r.records, r.malformed, r.recognized, r.verdict, r.partial_failures) for r in counted.collect()}
     assert got == {"a": (4, 1, 2, "partial", 2), "b": (1, 0, 0, "failed", 0)}
     claude = spark.createDataFrame([('{"toolUseResult": {}}',), ('{"type": "user"}',), ('{"type": "x"}',)], "j string").select(F.try_parse_json("j").alias("v"))

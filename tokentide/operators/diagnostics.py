@@ -31,7 +31,7 @@ def emitted(counted: DataFrame) -> DataFrame:
 RECORD_TYPES = {
     "claude": """assistant user system summary progress file-history-snapshot file-history-delta queue-operation attachment bridge-session
         permission-mode mode last-prompt ai-title agent-name pr-link started result agent-setting frame-link""".split(),
-    "codex": "session_meta turn_context event_msg response_item".split(),
+    "codex": "session_meta turn_context event_msg response_item inter_agent_communication_metadata world_state compacted".split(),
     "copilot": """session.start session.model_change session.task_complete session.shutdown session.info session.mode_changed system.message user.message
         assistant.message assistant.turn_start assistant.turn_end tool.execution_start tool.execution_complete hook.start hook.end abort
         subagent.started subagent.completed system.notification session.resume""".split(),
@@ -61,15 +61,6 @@ def recognized(lines: DataFrame, provider: str) -> DataFrame:
     return lines.withColumn("recognized", F.coalesce(known, F.lit(False)))
 
 
-def source_counters(lines: DataFrame, provider: str, requests: DataFrame, operations: DataFrame) -> DataFrame:
-    """Of each source ``records``, ``malformed``, ``recognized``, ``relevant`` and ``normalized``: what bore a request or an operation
-    counts as both; a source all of whose records are strange or broken fails (see verdict)."""
-    counted = recognized(lines, provider).groupBy("path").agg(F.count("*").alias("records"), F.count_if("malformed").alias("malformed"), F.count_if("recognized").alias("recognized"))
-    made = requests.select("path").unionByName(operations.select("path")).groupBy("path").agg(F.count("*").alias("relevant"))
-    joined = counted.join(made, "path", "left")
-    return joined.select("path", "records", "malformed", "recognized", F.coalesce("relevant", F.lit(0)).alias("relevant"), F.coalesce("relevant", F.lit(0)).alias("normalized"))
-
-
 def lost_records(counted: DataFrame) -> DataFrame:
     """``partial_failures``: records that a source lost though it did not fail."""
     lost = F.col("relevant") - F.col("normalized") + F.col("malformed") + (F.col("records") - F.col("malformed") - F.col("recognized"))

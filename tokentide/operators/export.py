@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tokentide.functions import tokens as t
 from tokentide.operators.analysis import COUNTERS, session_totals
@@ -104,7 +105,21 @@ def flatten_json(rows: DataFrame, column: str) -> DataFrame:
     return rows.lateralJoin(Flattened(F.col(column).outer()))
 
 
+def scan_rank(provider: Column) -> Column:
+    return F.array_position(F.array(*[F.lit(n) for n in NAMES]), provider)
+
+
 def failures_in_order(failures: DataFrame) -> DataFrame:
     """(provider, path, error) by scan order, path and error."""
-    rank = F.array_position(F.array(*[F.lit(n) for n in NAMES]), F.col("provider"))
-    return failures.orderBy(rank, "path", "error")
+    return failures.orderBy(scan_rank(F.col("provider")), "path", "error")
+
+
+def with_places(failures: DataFrame) -> DataFrame:
+    """``failures`` with their ``place`` in that order, from 1, which survives being written.
+
+    Places are counted within each provider and moved by the counts of the providers before it.
+    """
+    counts = failures.groupBy("provider").agg(F.count("*").alias("__n")).withColumn("__rank", scan_rank(F.col("provider")))
+    earlier = counts.select("provider", (F.sum("__n").over(Window.orderBy("__rank")) - F.col("__n")).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("provider").orderBy("path", "error"))
+    return failures.withColumn("__own", own).join(F.broadcast(earlier), "provider").select(*failures.columns, (F.col("__before") + F.col("__own")).alias("place"))

@@ -9,7 +9,8 @@ from tokentide.functions import json, text
 from tokentide.operators import diagnostics, export
 from tokentide.plans.adapters import event_log, table
 from tokentide.plans.registry import query
-from tokentide.sources import logs, operations, quota, sqlite
+from tokentide.schemas import NAMES
+from tokentide.sources import accounting, logs, operations, quota, sqlite
 from tokentide.streaming import incremental
 
 E = "events"
@@ -143,9 +144,8 @@ def _by_user():
 def record_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.create_map(F.lit("view"), F.lit("assistant"), F.lit("click"), F.lit("frame-link"))[F.col("event_type")]
     v = F.when(F.col(N) % 9 != 0, F.parse_json(F.concat(F.lit('{"type": "'), F.coalesce(kinds, F.lit("strange")), F.lit('"}'))))
-    lines = events(spark, sf_dir).select(F.col(U).cast("string").alias("path"), v.alias("v")).withColumn("malformed", F.col("v").isNull())
-    none = lines.select("path").limit(0)
-    return diagnostics.source_counters(lines, "claude", none, none).select("path", "records", "malformed", "recognized")
+    lines = events(spark, sf_dir).select(F.col(U).cast("string").alias("path"), F.col(N), v.alias("v")).withColumn("malformed", F.col("v").isNull())
+    return accounting.source_counters(lines.withColumns({"session_date": F.lit(None).cast("date"), "line_no": F.col(N)}), "claude").select("path", "records", "malformed", "recognized")
 
 
 @query(f"SELECT {U}::VARCHAR AS path, max({N}) AS modified, count(*) AS length FROM {E} GROUP BY {U} HAVING bool_or(event_type = 'view')")
@@ -157,10 +157,28 @@ def versions_with_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.with_sides(first, sides).select("path", "modified", "length")
 
 
-@query(f"SELECT event_id, user_id, row_number() OVER (ORDER BY list_position(['claude','codex','copilot','gemini','grok','deepseek','opencode','cursor','hermes'], ['claude','codex','copilot','gemini','grok','deepseek','opencode','cursor','hermes'][user_id % 9 + 1]), user_id::VARCHAR, event_type) > 0 AS listed FROM {E} WHERE event_type = 'error'")
+@query(f"""WITH r AS (SELECT {U}::VARCHAR AS path, {N} % 13 = 0 AS malformed, event_type IN ('view', 'click', 'purchase') AS known,
+        CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 0 END AS relevant,
+        CASE event_type WHEN 'view' THEN ({N} % 3 <> 0 AND {N} % 5 <> 0)::INT WHEN 'click' THEN 1 + ({N} % 2)::INT ELSE 0 END AS normalized FROM {E}),
+    c AS (SELECT path, count(*) AS records, count_if(malformed) AS malformed, count_if(known AND NOT malformed) AS recognized,
+        coalesce(sum(relevant) FILTER (WHERE NOT malformed), 0)::BIGINT AS relevant, coalesce(sum(normalized) FILTER (WHERE NOT malformed), 0)::BIGINT AS normalized FROM r GROUP BY path)
+    SELECT *, CASE WHEN records > 0 AND recognized = 0 OR relevant > 0 AND normalized = 0 THEN 'failed' WHEN malformed > 0 OR normalized < relevant THEN 'partial' ELSE 'ok' END AS verdict FROM c""")
+def record_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs whose views are requests, some without a model or with a count that is none, and whose clicks call two tools, one of which may lack its command."""
+    n = F.col(N)
+    usage = F.concat(F.lit('{"type": "assistant", "message": {"model": "'), F.when(n % 3 != 0, "m").otherwise(""), F.lit('", "usage": {"input_tokens": '), F.when(n % 5 != 0, "7").otherwise('"7"'), F.lit("}}}"))
+    calls = F.concat(F.lit('{"type": "assistant", "message": {"content": [{"type": "tool_use", "name": "TodoWrite"}, {"type": "tool_use", "name": "Bash", "input": {"command": "'), F.when(n % 2 == 1, "ls").otherwise(" "), F.lit('"}}]}}'))
+    kind = F.col("event_type")
+    raw = F.when(n % 13 == 0, "{").when(kind == "view", usage).when(kind == "click", calls).when(kind == "purchase", '{"type": "system"}').otherwise('{"type": "strange"}')
+    rows = events(spark, sf_dir).select(F.col(U).cast("string").alias("path"), F.to_date("ts").alias("session_date"), n.alias("line_no"), F.try_parse_json(raw).alias("v"))
+    counted = accounting.source_counters(rows.withColumns({"malformed": F.col("v").isNull(), "session_date": F.lit(None).cast("date")}), "claude")
+    return diagnostics.verdict(counted).select("path", "records", "malformed", "recognized", "relevant", "normalized", "verdict")
+
+
+@query(f"""SELECT {N}, {U}, row_number() OVER (ORDER BY {U} % 9, {U}::VARCHAR, 'error of ' || {N}) AS place FROM {E} WHERE event_type = 'error'""")
 def failure_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tokentide.schemas import NAMES
-
+    """The place of every failure in scan order."""
     provider = F.element_at(F.array(*map(F.lit, NAMES)), (F.col(U) % 9 + 1).cast("int")).alias("provider")
-    failures = event_log(spark, sf_dir).filter("event_type = 'error'").select(provider, F.col(U).cast("string").alias("path"), F.col("event_type").alias("error"), N, U)
-    return export.failures_in_order(failures).select(N, U, F.lit(True).alias("listed"))
+    error = F.concat(F.lit("error of "), F.col(N).cast("string")).alias("error")
+    failures = events(spark, sf_dir).filter("event_type = 'error'").select(provider, F.col(U).cast("string").alias("path"), error, N, U)
+    return export.with_places(failures).select(N, U, "place")

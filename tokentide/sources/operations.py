@@ -129,13 +129,14 @@ def _result_kind(t: Column, expected: Column) -> Column:
     return F.when(expected == "Read", read).when(expected == "Write", write).when(expected == "Edit", edit).when(expected.isNull(), by_shape)
 
 
-def claude(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls count where they are made, with arguments that fit; bodies come from results, which must not be errors."""
+def claude_rows(lines: DataFrame) -> DataFrame:
     v = F.col("v")
-    rows = lines.filter("not malformed").withColumn("ts_ms", times.iso_ms(json.strict_string(v, "$.timestamp"))).withColumn("kind", json.strict_string(v, "$.type"))
-    cwd, sid = json.strict_string(v, "$.cwd"), json.strict_string(v, "$.sessionId")
-    sessions = _sessions(rows, "claude", session_id=sid, folder=cwd, ts=F.col("ts_ms"), last_id=True)
-    block = F.col("b")
+    return lines.filter("not malformed").withColumn("ts_ms", times.iso_ms(json.strict_string(v, "$.timestamp"))).withColumn("kind", json.strict_string(v, "$.type"))
+
+
+def claude_exchange(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(calls, what top-level results that met no call or met one show, results that met a call) of claude_rows()."""
+    v, block = F.col("v"), F.col("b")
     content = json.items(v, "$.message.content")
     blocks = rows.select("path", "line_no", "ts_ms", "kind", "v", F.posexplode(content).alias("pos", "b")).withColumn("block", json.strict_string(block, "$.type"))
     calls = blocks.filter("kind = 'assistant' AND block = 'tool_use'").select(
@@ -146,13 +147,6 @@ def claude(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     fits = F.when(F.col("name") == "Read", path).when(F.col("name") == "Write", path & F.col("content").isNotNull())
     fits = fits.when(F.col("name") == "Edit", path & F.col("old_string").isNotNull() & F.col("new_string").isNotNull()).otherwise(False)
     calls = calls.withColumn("fits", fits)
-    op = F.create_map(*[F.lit(x) for pair in _CLAUDE_FILE.items() for x in pair])[F.col("name")]
-    made = [
-        _draft(calls.filter("fits"), op, bare="count"),
-        _draft(calls.filter(F.col("name").isin(_CLAUDE_TODO)), "todo"),
-        _draft(calls.filter("name = 'Bash' AND command IS NOT NULL"), "run", command=F.col("command"), description=F.col("description")),
-    ]
-
     result = _get(v, "$.toolUseResult")
     texts = [f"$.{f}" for f in ("type", "filePath", "content", "oldString", "newString", "file.filePath", "file.content")]
     odd = F.array_contains(F.array(*[F.coalesce(json.variant_type(result, f), F.lit("VOID")).isin("STRING", "VOID") for f in texts]), False)
@@ -171,8 +165,23 @@ def claude(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = paired.select("path", *[F.col(f"result.{c}").alias(c) for c in ("line_no", "pos", "ts_ms", "error", "t", "top", "side", "said")], "call")
     alone = results.filter("top").join(met.select(*AT), AT, "left_anti").select("path", "line_no", "pos", "ts_ms", "error", "t", "top", "side", "said").withColumn("call", F.lit(None).cast(met.schema["call"].dataType))
     alone = alone.withColumn("error", F.lit(False))  # an error is one of a known call
-    t = F.col("t")
-    shown = met.unionByName(alone).filter("top AND NOT error").withColumn("what", _result_kind(t, F.col("call.name")))
+    shown = met.unionByName(alone).filter("top AND NOT error").withColumn("what", _result_kind(F.col("t"), F.col("call.name")))
+    return calls, shown, met
+
+
+def claude(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls count where they are made, with arguments that fit; bodies come from results, which must not be errors."""
+    v, t = F.col("v"), F.col("t")
+    rows = claude_rows(lines)
+    cwd, sid = json.strict_string(v, "$.cwd"), json.strict_string(v, "$.sessionId")
+    sessions = _sessions(rows, "claude", session_id=sid, folder=cwd, ts=F.col("ts_ms"), last_id=True)
+    calls, shown, met = claude_exchange(rows)
+    op = F.create_map(*[F.lit(x) for pair in _CLAUDE_FILE.items() for x in pair])[F.col("name")]
+    made = [
+        _draft(calls.filter("fits"), op, bare="count"),
+        _draft(calls.filter(F.col("name").isin(_CLAUDE_TODO)), "todo"),
+        _draft(calls.filter("name = 'Bash' AND command IS NOT NULL"), "run", command=F.col("command"), description=F.col("description")),
+    ]
     made += [
         _draft(shown.filter("what = 'read'"), "read", file=json.strict_string(t, "$.file.filePath"), body=json.strict_string(t, "$.file.content"), counts=False),
         _draft(shown.filter("what = 'image'"), "read", file=F.coalesce("call.file_path", F.lit("")), counts=False, bare="path"),
@@ -190,6 +199,10 @@ def claude(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 #: How outputs of applied and of refused patches begin. Fixed values.
 _APPLIED = ["Success. Updated the following files:"]
+_REFUSED = ["Failed", "Error", "apply_patch verification failed:", "Invalid patch", "apply_patch handler received", "apply_patch is unavailable"]
+#: How an output that rejects a call's arguments begins, and what it says. Fixed values.
+_REJECTS = ["error", "failed"]
+_REASONS = ["failed to parse", "missing field", "missing required", "invalid argument"]
 
 
 def _output_text(v: Column) -> Column:
@@ -199,16 +212,32 @@ def _output_text(v: Column) -> Column:
     return F.coalesce(json.strict_string(F.try_parse_json(plain), "$.output"), plain)
 
 
-def codex(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Shell calls by what their script does, custom calls, and patches, each counted once by its first report."""
+def _begins(said: Column, texts: list[str]) -> Column:
+    return reduce(Column.__or__, [said.startswith(x) for x in texts])
+
+
+def rejects_arguments(output: Column) -> Column:
+    """Whether a tool's output says that the model's arguments could not be read, so nothing ran."""
+    said = F.lower(F.ltrim(text.strip_exec_header(output)))
+    return _begins(said, _REJECTS) & reduce(Column.__or__, [F.contains(said, F.lit(x)) for x in _REASONS])
+
+
+def patch_result(output: Column) -> Column:
+    """'applied', 'refused' or 'unknown', by what a patch tool's output says: a text, a JSON string or an object's ``output``."""
+    body = F.trim(text.strip_exec_header(output))
+    parsed = F.try_parse_json(body)
+    said = F.trim(F.coalesce(json.strict_string(parsed, "$"), json.strict_string(parsed, "$.output"), body))
+    return F.when(_begins(said, _APPLIED) | (said == "Done!"), "applied").when(_begins(said, _REFUSED), "refused").otherwise("unknown")
+
+
+def codex_rows(lines: DataFrame) -> DataFrame:
+    return lines.filter("not malformed").withColumn("ts_ms", times.iso_ms(json.strict_string(F.col("v"), "$.timestamp"))).withColumn("pos", F.lit(0))
+
+
+def codex_exchange(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(shell calls, those that met an output, custom calls that can be read, those that met one) of codex_rows()."""
     v = F.col("v")
-    rows = lines.filter("not malformed").withColumn("ts_ms", times.iso_ms(json.strict_string(v, "$.timestamp"))).withColumn("pos", F.lit(0))
     kind, inner = json.strict_string(v, "$.type"), json.strict_string(v, "$.payload.type")
-    meta = kind == "session_meta"
-    sessions = _sessions(
-        rows, "codex", session_id=F.when(meta, json.strict_string(v, "$.payload.id")), folder=F.when(kind.isin("session_meta", "turn_context"), json.strict_string(v, "$.payload.cwd")),
-        remote=F.when(meta, json.strict_string(v, "$.payload.git.repository_url")), ts=F.col("ts_ms"),
-    )
     args = F.coalesce(json.strict_string(v, "$.payload.arguments"), json.strict_string(v, "$.payload.input"), F.when(json.is_object(v, "$.payload.arguments"), F.to_json(_get(v, "$.payload.arguments"))))
     items = rows.filter(kind == "response_item").select(*AT, _at(), "ts_ms", inner.alias("kind"), json.strict_string(v, "$.payload.call_id").alias("id"), json.strict_string(v, "$.payload.name").alias("name"), args.alias("args"), _output_text(v).alias("output"))
 
@@ -218,32 +247,48 @@ def codex(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     script = F.when(shell, F.coalesce(F.try_element_at(words, F.lit(-1)), F.when(json.is_array(a, "$.command"), ""))).otherwise(json.strict_string(a, "$.cmd"))
     calls = items.filter("kind = 'function_call' AND name IN ('shell', 'exec_command') AND id IS NOT NULL").withColumn("script", script).withColumn("full", F.when(shell, F.array_join(words, " ")).otherwise(F.col("script")))
     outputs = items.filter("kind = 'function_call_output' AND id IS NOT NULL")
-    ran = pair_calls(calls, outputs, ["path", "id"], "at").filter("call.script IS NOT NULL")
-    ran = ran.select("path", "result.line_no", "result.pos", "call.ts_ms", "call.script", "call.full", text.strip_exec_header(F.col("result.output")).alias("output"))
-    ran = ran.withColumn("does", text.shell_kind(F.col("script")))
-    body = F.when(F.col("does") == "cat", F.substring_index("output", "\n---", 1)).otherwise(F.col("output"))
-    made = [
-        _patched(ran.filter("does = 'patch'"), text.patch_files(F.col("script")), F.col("ts_ms")),
-        _draft(ran.filter("does IN ('sed', 'cat')"), "read", file=text.shell_read_path(F.col("script")), body=body),
-        _draft(ran.filter("does = 'run'"), "run", command=F.when(F.col("full") == "", F.col("script")).otherwise(F.col("full"))),
-    ]
-
+    met = pair_calls(calls, outputs, ["path", "id"], "at")
     custom = items.filter("kind = 'custom_tool_call' AND id IS NOT NULL").withColumn("patches", F.filter(text.patch_files(F.col("args")), lambda p: p["file"] != ""))
     custom = custom.filter((F.col("name") == "exec") & ~_blank(F.col("args")) | (F.col("name") == "apply_patch") & (F.size("patches") > 0))
     done = pair_calls(custom, items.filter("kind = 'custom_tool_call_output' AND id IS NOT NULL"), ["path", "id"], "at")
-    done = done.select("path", "id", "result.line_no", "result.pos", "call.ts_ms", "call.name", "call.args", "call.patches", F.trim(text.strip_exec_header(F.col("result.output"))).alias("output"))
-    made.append(_draft(done.filter("name = 'exec'"), "run", command=F.col("args")))
-    said = F.coalesce(json.strict_string(F.try_parse_json("output"), "$"), json.strict_string(F.try_parse_json("output"), "$.output"), F.col("output"))
-    good = reduce(Column.__or__, [F.trim(said).startswith(x) for x in _APPLIED], F.trim(said) == "Done!")
-    applied = done.filter((F.col("name") == "apply_patch") & good).select(*AT, "id", "ts_ms", "patches")
+    return calls, met, custom, done
 
+
+def codex_changes(v: Column) -> Column:
+    """The files of a report that a patch was applied, in order of their names."""
     changes = F.array_sort(F.map_entries(json.entries(v, "$.payload.changes")), lambda x, y: F.when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0))
 
     def change(e: Column) -> Column:
         old, new = text.diff_parts(json.strict_string(e["value"], "$.unified_diff"))
         return F.struct(json.strict_string(e["value"], "$.type").alias("action"), e["key"].alias("file"), old.alias("old"), new.alias("new"))
 
-    known = F.filter(F.transform(changes, change), lambda p: p["action"].isin("add", "update", "delete") & (p["file"] != ""))
+    return F.filter(F.transform(changes, change), lambda p: p["action"].isin("add", "update", "delete") & (p["file"] != ""))
+
+
+def codex(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Shell calls by what their script does, custom calls, and patches, each counted once by its first report."""
+    v = F.col("v")
+    rows = codex_rows(lines)
+    kind, inner = json.strict_string(v, "$.type"), json.strict_string(v, "$.payload.type")
+    meta = kind == "session_meta"
+    sessions = _sessions(
+        rows, "codex", session_id=F.when(meta, json.strict_string(v, "$.payload.id")), folder=F.when(kind.isin("session_meta", "turn_context"), json.strict_string(v, "$.payload.cwd")),
+        remote=F.when(meta, json.strict_string(v, "$.payload.git.repository_url")), ts=F.col("ts_ms"),
+    )
+    _, met, _, done = codex_exchange(rows)
+    ran = met.filter("call.script IS NOT NULL")
+    ran = ran.select("path", "result.line_no", "result.pos", "call.ts_ms", "call.script", "call.full", text.strip_exec_header(F.col("result.output")).alias("output"))
+    ran = ran.withColumn("does", text.shell_kind(F.col("script")))
+    body = F.when(F.col("does") == "cat", F.substring_index("output", "\n---", 1)).otherwise(F.col("output"))
+    made = [
+        _patched(ran.filter("does = 'patch'"), text.patch_files(F.col("script")), F.col("ts_ms")),
+        _draft(ran.filter("does IN ('sed', 'cat')"), "read", file=text.shell_read_path(F.col("script")), body=body),
+        _draft(ran.filter("does = 'run'"), "run", command=F.when(F.col("full") == "", F.col("script")).otherwise(F.col("full"))),
+    ]
+    done = done.select("path", "id", "result.line_no", "result.pos", "call.ts_ms", "call.name", "call.args", "call.patches", "result.output")
+    made.append(_draft(done.filter("name = 'exec'"), "run", command=F.col("args")))
+    applied = done.filter((F.col("name") == "apply_patch") & (patch_result(F.col("output")) == "applied")).select(*AT, "id", "ts_ms", "patches")
+    known = codex_changes(v)
     ended = rows.filter((kind == "event_msg") & (inner == "patch_apply_end") & F.try_variant_get(v, "$.payload.success", "boolean") & json.is_object(v, "$.payload.changes"))
     ended = ended.select(*AT, json.strict_string(v, "$.payload.call_id").alias("id"), "ts_ms", known.alias("patches")).filter(F.size("patches") > 0)
     either = applied.unionByName(ended)
@@ -271,20 +316,32 @@ def _tool(name: Column, tools: dict[str, list[str]]) -> Column:
     return F.create_map(*pairs)[name]
 
 
-def copilot(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Tool calls whose completion reports success."""
+def copilot_exchange(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(records with their times, calls, completions, completions that met a call)."""
     v = F.col("v")
     rows = lines.filter("not malformed").withColumn("ts_ms", times.iso_ms(json.strict_string(v, "$.timestamp"))).withColumn("pos", F.lit(0))
     kind = json.strict_string(v, "$.type")
-    start = kind == "session.start"
-    folder = F.coalesce(nonempty(json.strict_string(v, "$.data.context.cwd")), json.strict_string(v, "$.data.context.gitRoot"))
-    remote = text.repo_url(json.strict_string(v, "$.data.context.repositoryHost"), json.strict_string(v, "$.data.context.repository"))
-    sessions = _sessions(rows, "copilot", session_id=F.when(start, json.strict_string(v, "$.data.sessionId")), folder=F.when(start, folder), remote=F.when(start, remote), ts=F.col("ts_ms"))
     key = nonempty(json.strict_string(v, "$.data.toolCallId")).alias("id")
     name = json.strict_string(v, "$.data.toolName")
     calls = rows.filter(kind == "tool.execution_start").select(*AT, _at(), "ts_ms", key, _tool(name, _COPILOT_TOOLS).alias("tool"), _get(v, "$.data.arguments").alias("a")).filter("id IS NOT NULL")
     ends = rows.filter(kind == "tool.execution_complete").select(*AT, _at(), key, F.try_variant_get(v, "$.data.success", "boolean").alias("ok"), json.strict_string(v, "$.data.result.content").alias("said")).filter("id IS NOT NULL")
-    done = pair_calls(calls, ends, ["path", "id"], "at").filter("result.ok AND call.tool IS NOT NULL").select("path", "result.line_no", "result.pos", "call.ts_ms", "call.tool", "call.a", "result.said")
+    return rows, calls, ends, pair_calls(calls, ends, ["path", "id"], "at")
+
+
+def copilot_patch(a: Column) -> Column:
+    given = F.coalesce(json.strict_string(a, "$"), *[json.strict_string(a, f"$.{f}") for f in ("input", "patch", "patchText", "string")])
+    return text.patch_files(given, moves=True)
+
+
+def copilot(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tool calls whose completion reports success."""
+    v = F.col("v")
+    rows, _, _, met = copilot_exchange(lines)
+    start = json.strict_string(v, "$.type") == "session.start"
+    folder = F.coalesce(nonempty(json.strict_string(v, "$.data.context.cwd")), json.strict_string(v, "$.data.context.gitRoot"))
+    remote = text.repo_url(json.strict_string(v, "$.data.context.repositoryHost"), json.strict_string(v, "$.data.context.repository"))
+    sessions = _sessions(rows, "copilot", session_id=F.when(start, json.strict_string(v, "$.data.sessionId")), folder=F.when(start, folder), remote=F.when(start, remote), ts=F.col("ts_ms"))
+    done = met.filter("result.ok AND call.tool IS NOT NULL").select("path", "result.line_no", "result.pos", "call.ts_ms", "call.tool", "call.a", "result.said")
     a = F.col("a")
     path = nonempty(json.first_string(a, ["path"]))
     done = done.withColumn("file", path)
@@ -294,13 +351,12 @@ def copilot(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     body = F.when(ranged, F.array_join(F.array_repeat(F.lit("-"), F.coalesce(span, F.lit(0)).cast("int")), "\n")).otherwise(F.col("said"))
     old, new = (json.first_string(a, [f"{w}_{x}" for x in ("string", "str", "text")]) for w in ("old", "new"))
     command = json.first_string(a, ["command", "cmd"])
-    patch = F.coalesce(json.strict_string(a, "$"), *[json.strict_string(a, f"$.{f}") for f in ("input", "patch", "patchText", "string")])
     made = [
         _draft(done.filter("tool = 'read' AND file IS NOT NULL"), "read", file=F.col("file"), body=body, bare="count"),
         _draft(done.filter("tool = 'search'"), "read", bare="count"),
         _draft(done.withColumn("body", json.first_string(a, ["file_text", "content"])).filter("tool = 'write' AND file IS NOT NULL AND body IS NOT NULL"), "write", file=F.col("file"), body=F.col("body")),
         _draft(done.withColumns({"o": old, "n": new}).filter("tool = 'edit' AND file IS NOT NULL AND o IS NOT NULL AND n IS NOT NULL"), "edit", file=F.col("file"), old=F.col("o"), body=F.col("n")),
-        _patched(done.filter("tool = 'patch'"), text.patch_files(patch, moves=True), F.col("ts_ms"), raw_updates=True),
+        _patched(done.filter("tool = 'patch'"), copilot_patch(a), F.col("ts_ms"), raw_updates=True),
         _draft(done.filter("tool = 'shell'"), "run", command=F.coalesce(command, F.lit("")), description=json.first_string(a, ["description"])),
         _draft(done.filter("tool = 'input'"), "run", command=F.coalesce(json.first_string(a, ["input"]), F.lit(""))),
     ]
@@ -326,19 +382,13 @@ def tool_status(call: Column) -> Column:
     return F.when(status == "success", "success").when(status.isin("error", "failed"), "failed").when(status.isin("pending", "running") | F.coalesce(unset, F.lit(False)), "pending").otherwise("unsupported")
 
 
-def gemini(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The tool calls of each message's last revision; one that failed or does not fit is a call and no more."""
-    v, m, c = F.col("v"), F.col("m"), F.col("c")
-    good = lines.filter("not malformed")
-    revisions = usage_logs.gemini_revisions(good).withColumn("ts_ms", times.iso_ms(json.strict_string(m, "$.timestamp")))
-    last = windows.last_revision(revisions, ["path"], "id", ["line_no", "pos"], [])
-    heads = good.select("path", "session_date", "line_no", json.strict_string(v, "$.sessionId").alias("sid"), F.lit(0).cast("long").alias("ts_ms"))
-    dated = heads.unionByName(last.select("path", "session_date", "line_no", F.lit(None).cast("string").alias("sid"), "ts_ms"))
-    sessions = _sessions(dated, "gemini", session_id=F.col("sid"), folder=F.lit(None).cast("string"), ts=F.col("ts_ms"))
+def gemini_calls(last: DataFrame) -> DataFrame:
+    """The calls of known tools in the last revisions of messages, with their ``status`` and whether they are ``whole``."""
+    m, c = F.col("m"), F.col("c")
     place = {"line_no": F.col("first_seen.line_no"), "message_pos": F.col("first_seen.pos")}
     calls = last.withColumns(place).drop("pos").select("path", "line_no", "message_pos", "ts_ms", F.posexplode(json.items(m, "$.toolCalls")).alias("pos", "c"))
     calls = calls.withColumn("pos", F.col("message_pos") * 1024 + F.col("pos")).withColumns({"tool": _tool(json.strict_string(c, "$.name"), _GEMINI_TOOLS), "status": tool_status(c)})
-    calls = calls.filter("tool IS NOT NULL AND status <> 'unsupported'")
+    calls = calls.filter("tool IS NOT NULL")
     a = _get(c, "$.args")
     read = {"file": nonempty(json.first_string(a, ["file_path"])), "content": json.first_string(a, ["content"]), "command": json.first_string(a, ["command", "cmd"]), "description": json.first_string(a, ["description"])}
     read |= {"old": json.first_string(a, ["old_string", "old_text"]), "new": json.first_string(a, ["new_string", "new_text"]), "said": json.strict_string(c, "$.result[0].functionResponse.response.output")}
@@ -346,7 +396,19 @@ def gemini(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = F.col("file").isNotNull()
     fits = F.when(F.col("tool") == "read", named & F.col("said").isNotNull()).when(F.col("tool") == "write", named & F.col("content").isNotNull())
     fits = fits.when(F.col("tool") == "edit", named & F.col("old").isNotNull() & F.col("new").isNotNull()).when(F.col("tool") == "run", ~_blank(F.col("command"))).otherwise(True)
-    calls = calls.withColumn("whole", fits & (F.col("status") == "success"))
+    return calls.withColumn("whole", fits & (F.col("status") == "success"))
+
+
+def gemini(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tool calls of each message's last revision; one that failed or does not fit is a call and no more."""
+    v, m = F.col("v"), F.col("m")
+    good = lines.filter("not malformed")
+    revisions = usage_logs.gemini_revisions(good).withColumn("ts_ms", times.iso_ms(json.strict_string(m, "$.timestamp")))
+    last = windows.last_revision(revisions, ["path"], "id", ["line_no", "pos"], [])
+    heads = good.select("path", "session_date", "line_no", json.strict_string(v, "$.sessionId").alias("sid"), F.lit(0).cast("long").alias("ts_ms"))
+    dated = heads.unionByName(last.select("path", "session_date", "line_no", F.lit(None).cast("string").alias("sid"), "ts_ms"))
+    sessions = _sessions(dated, "gemini", session_id=F.col("sid"), folder=F.lit(None).cast("string"), ts=F.col("ts_ms"))
+    calls = gemini_calls(last).filter("status <> 'unsupported'")
     op = F.when(F.col("tool") == "many", "read").otherwise(F.col("tool"))
     done = calls.filter("whole")
     made = [
@@ -361,18 +423,34 @@ def gemini(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # --- Grok ------------------------------------------------------------------------------------
 
+#: Tools whose calls are counted, and others that are known. Fixed values.
 _GROK_TOOLS = ["read_file", "grep", "write", "search_replace", "run_terminal_command", "todo_write"]
+_GROK_OTHER = ["spawn_subagent", "get_command_or_subagent_output"]
 
 
 def _folder(path: Column) -> Column:
     return F.regexp_replace(path, r"/[^/]*$", "")
 
 
+def grok_exchange(sources: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ends of calls, those that met their call) of the sessions ``sources`` (path, folder)."""
+    v = F.col("v")
+    u = _get(v, "$.params.update")
+    said = updates.filter("not malformed").select(_folder(F.col("path")).alias("folder"), "line_no", F.lit(0).alias("pos"), F.coalesce(json.strict_int(v, "$.timestamp"), F.lit(0)).alias("sec"), u.alias("u")).join(sources.select("folder", "path"), "folder")
+    u = F.col("u")
+    kind, key = json.strict_string(u, "$.sessionUpdate"), json.strict_string(u, "$.toolCallId").alias("id")
+    name = F.coalesce(json.strict_string(u, "$._meta['x.ai/tool'].name"), json.strict_string(u, "$.title"))
+    calls = said.filter(kind == "tool_call").select(*AT, _at(), key, name.alias("name"), _get(u, "$.rawInput").alias("a")).filter("id IS NOT NULL")
+    status = json.strict_string(u, "$.status")
+    ends = said.filter((kind == "tool_call_update") & status.isin("completed", "failed")).select(*AT, _at(), key, (F.col("sec") * 1000).alias("ts_ms"), status.alias("status"), _get(u, "$.rawOutput").alias("o")).filter("id IS NOT NULL")
+    return ends, pair_calls(calls, ends, ["path", "id"], "at")
+
+
 def grok(signals: DataFrame, summaries: DataFrame, updates: DataFrame, cwd_markers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Completed tool calls of ``updates``; ``path`` is that of the session's signals. ``cwd_markers``: read_files of the files .cwd."""
-    v, s = F.col("v"), F.col("s")
-    sources = signals.filter("not malformed").filter(usage_logs.is_grok_signals(v)).select("path", "session_date", _folder(F.col("path")).alias("folder"))
-    beside = summaries.select(_folder(F.col("path")).alias("folder"), v.alias("s"))
+    s = F.col("s")
+    sources = signals.filter("not malformed").filter(usage_logs.is_grok_signals(F.col("v"))).select("path", "session_date", _folder(F.col("path")).alias("folder"))
+    beside = summaries.select(_folder(F.col("path")).alias("folder"), F.col("v").alias("s"))
     rows = sources.join(beside, "folder", "left").withColumn("workspace", _folder(F.col("folder")))
     if cwd_markers is not None:
         rows = rows.join(cwd_markers.select(_folder(F.col("path")).alias("workspace"), F.trim("value").alias("marker")), "workspace", "left")
@@ -391,15 +469,8 @@ def grok(signals: DataFrame, summaries: DataFrame, updates: DataFrame, cwd_marke
             "stamp": F.coalesce(stamp, F.lit(0)),
         }
     )
-    u = _get(v, "$.params.update")
-    said = updates.filter("not malformed").select(_folder(F.col("path")).alias("folder"), "line_no", F.lit(0).alias("pos"), F.coalesce(json.strict_int(v, "$.timestamp"), F.lit(0)).alias("sec"), u.alias("u")).join(sources.select("folder", "path"), "folder")
-    u = F.col("u")
-    kind, key = json.strict_string(u, "$.sessionUpdate"), json.strict_string(u, "$.toolCallId").alias("id")
-    name = F.coalesce(json.strict_string(u, "$._meta['x.ai/tool'].name"), json.strict_string(u, "$.title"))
-    calls = said.filter(kind == "tool_call").select(*AT, _at(), key, name.alias("name"), _get(u, "$.rawInput").alias("a")).filter("id IS NOT NULL")
-    status = json.strict_string(u, "$.status")
-    ends = said.filter((kind == "tool_call_update") & status.isin("completed", "failed")).select(*AT, _at(), key, (F.col("sec") * 1000).alias("ts_ms"), status.alias("status"), _get(u, "$.rawOutput").alias("o")).filter("id IS NOT NULL")
-    done = pair_calls(calls, ends, ["path", "id"], "at").filter("result.status = 'completed'").filter(F.col("call.name").isin(_GROK_TOOLS))
+    ends, met = grok_exchange(sources, updates)
+    done = met.filter("result.status = 'completed'").filter(F.col("call.name").isin(_GROK_TOOLS))
     done = done.select("path", "result.line_no", "result.pos", "result.ts_ms", "call.name", "call.a", "result.o")
     a, o = F.col("a"), F.col("o")
     changed = nonempty(F.coalesce(json.strict_string(o, "$.EditsApplied.absolute_path"), json.strict_string(a, "$.file_path")))
@@ -430,16 +501,10 @@ def grok(signals: DataFrame, summaries: DataFrame, updates: DataFrame, cwd_marke
 _DEEPSEEK_TOOLS = {"read": ["read", "read_image"], "write": ["write"], "edit": ["edit", "str_replace_editor"], "run": ["bash", "pwsh"], "todo": ["todo_write"]}
 
 
-def deepseek(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Tool calls whose result reports no error. A result names several earlier events; the first that is a pending call is its own."""
+def deepseek_exchange(rows: DataFrame) -> DataFrame:
+    """Results with the call that each takes: (path, line_no, pos, ts_ms, bad, meta, tool, args)."""
     v = F.col("v")
-    rows = usage_logs.readable_deepseek(lines.filter("not malformed")).withColumn("pos", F.lit(0))
     kind = json.strict_string(v, "$.type")
-    head = kind == "session"
-    time = json.strict_int(v, "$.time")
-    stamp = F.greatest(F.coalesce(time, F.lit(0)), F.coalesce(F.when(head, json.strict_int(v, "$.createdAt")), F.lit(0)))
-    sessions = _sessions(rows, "deepseek", session_id=F.when(head, json.strict_string(v, "$.id")), folder=F.when(head, json.strict_string(v, "$.cwd")), ts=stamp)
-    rows = rows.withColumn("ts_ms", F.coalesce(time, F.max(stamp).over(windows.so_far(["path"], ["line_no"]))))
     calls = rows.filter(kind == "tool/call").select(
         "path", "line_no", json.strict_int(v, "$.seq").alias("seq"), _tool(json.strict_string(v, "$.data.name"), _DEEPSEEK_TOOLS).alias("tool"), json.strict_string(v, "$.data.arguments").alias("args"), json.strict_string(v, "$.data.name").alias("name")
     )
@@ -449,7 +514,20 @@ def deepseek(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     results = rows.filter(kind == "tool/result").select(*AT, "ts_ms", bad.alias("bad"), _get(v, "$.data.meta").alias("meta"), named.alias("named"))
     met = take_calls(calls, results, ["path"], ["line_no"], "seq", "named").select("path", "line_no", F.col("call.line_no").alias("call_line"))
     own = calls.select("path", F.col("line_no").alias("call_line"), "tool", "args")
-    done = results.drop("named").join(met, ["path", "line_no"]).join(own, ["path", "call_line"]).filter("NOT bad AND tool IS NOT NULL")
+    return results.drop("named").join(met, ["path", "line_no"]).join(own, ["path", "call_line"])
+
+
+def deepseek(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tool calls whose result reports no error. A result names several earlier events; the first that is a pending call is its own."""
+    v = F.col("v")
+    rows = usage_logs.readable_deepseek(lines.filter("not malformed")).withColumn("pos", F.lit(0))
+    kind = json.strict_string(v, "$.type")
+    head = kind == "session"
+    time = json.strict_int(v, "$.time")
+    stamp = F.greatest(F.coalesce(time, F.lit(0)), F.coalesce(F.when(head, json.strict_int(v, "$.createdAt")), F.lit(0)))
+    sessions = _sessions(rows, "deepseek", session_id=F.when(head, json.strict_string(v, "$.id")), folder=F.when(head, json.strict_string(v, "$.cwd")), ts=stamp)
+    rows = rows.withColumn("ts_ms", F.coalesce(time, F.max(stamp).over(windows.so_far(["path"], ["line_no"]))))
+    done = deepseek_exchange(rows).filter("NOT bad AND tool IS NOT NULL")
     done = done.withColumn("a", F.try_parse_json("args"))
     a, meta = F.col("a"), F.col("meta")
     done = done.withColumn("file", json.strict_string(a, "$.file_path"))
@@ -543,13 +621,16 @@ def cursor(spark: SparkSession, roots: list[str], tracking: list[str] = ()) -> t
 READERS = {"claude": claude, "codex": codex, "copilot": copilot, "gemini": gemini, "deepseek": deepseek, "grok": grok}
 
 
+def provider_tables(spark: SparkSession, provider: str, paths: str | list[str]) -> tuple[DataFrame, ...]:
+    """What a provider's reader of operations takes."""
+    given = usage_logs.provider_lines(spark, provider, paths)
+    if provider == "grok":
+        kept = logs.existing(spark, [paths] if isinstance(paths, str) else paths)
+        given = (*given, logs.read_lines(spark, kept, "updates.jsonl", r"/sessions/[^/]+/[^/]+/updates\.jsonl$"), logs.read_files(spark, kept, ".cwd"))
+    return given
+
+
 def read_operations(spark: SparkSession, roots: dict[str, str | list[str]]) -> tuple[DataFrame, DataFrame]:
     """(OPERATIONS, SESSIONS) of all file providers in ``roots`` (provider -> folder or folders)."""
-    found = []
-    for provider, paths in roots.items():
-        given = usage_logs.provider_lines(spark, provider, paths)
-        if provider == "grok":
-            kept = logs.existing(spark, [paths] if isinstance(paths, str) else paths)
-            given = (*given, logs.read_lines(spark, kept, "updates.jsonl", r"/sessions/[^/]+/[^/]+/updates\.jsonl$"), logs.read_files(spark, kept, ".cwd"))
-        found.append(READERS[provider](*given))
+    found = [READERS[provider](*provider_tables(spark, provider, paths)) for provider, paths in roots.items()]
     return tuple(reduce(DataFrame.unionByName, part) for part in zip(*found))

@@ -166,8 +166,8 @@ def readable_deepseek(lines: DataFrame) -> DataFrame:
     return lines.withColumn("__foreign", F.max(F.coalesce(foreign, F.lit(False))).over(Window.partitionBy("path"))).filter("not __foreign").drop("__foreign")
 
 
-def deepseek(lines: DataFrame) -> DataFrame:
-    """The last of consecutive samples of a (turn, step); the message's model, else the routed one."""
+def deepseek_samples(lines: DataFrame) -> DataFrame:
+    """The last of consecutive samples of a (turn, step), with the message's model, else the routed one, else null."""
     v = F.col("v")
     kind = json.strict_string(v, "$.type")
     chunk = (kind == "assistant/chunk") & (json.strict_string(v, "$.data.chunk.type") == "usage")
@@ -177,7 +177,11 @@ def deepseek(lines: DataFrame) -> DataFrame:
         F.coalesce(_get(v, "$.data.chunk.usage"), _get(v, "$.data.usage")).alias("u"),
     )
     routed = windows.carry_forward(rows, "named", *AT, "route").filter(json.is_object(F.col("u")))
-    last = windows.supersede_runs(routed, ["path"], ["turn", "step"], ["line_no"]).withColumn("model", F.coalesce("own", "route")).filter("model is not null")
+    return windows.supersede_runs(routed, ["path"], ["turn", "step"], ["line_no"]).withColumn("model", F.coalesce("own", "route"))
+
+
+def deepseek(lines: DataFrame) -> DataFrame:
+    last = deepseek_samples(lines).filter("model is not null")
     u = F.col("u")
     context = _int(u, "$.inputTokens") + _int(u, "$.cacheReadTokens") + _int(u, "$.cacheWriteTokens")
     return _rows(
