@@ -58,7 +58,8 @@ def test_rows_equal_brute_force(spark, monkeypatch, min_count, most, few):
     rows = texts(random.Random(min_count), 300, WORDS) + [("en", None), (None, ""), ("xx", " \t.\n"), ("fr", "one two"), ("en", "the the the the " * 5000), ("en", "x" * 100_000 + " y")]
     rows += [("en", "very common passage of words here")] * 80
     if few:  # many flushes, so many parts of one suffix
-        monkeypatch.setattr(module, "MOST_SUFFIXES", 50)
+        monkeypatch.setattr(module, "MOST_WORDS", 200)
+        monkeypatch.setattr(module, "_ROWS", 7)
     docs = spark.createDataFrame([(a, b, 1) for a, b in rows], "lang string, text string, rank int").repartition(3)
     got = sorted(tuple(r) for r in collocations(docs, min_count=min_count, most=most).collect())
     assert got == plainly(rows, min_count=min_count, most=most)
