@@ -32,7 +32,7 @@ SAMPLE_DOCS, SAMPLE_STEP = 4000, 64
 #: Bytes of a limit that are kept.
 _LIMIT_BYTES = 96
 #: Words that a task counts before it hands suffixes on.
-MOST_WORDS = 1_500_000
+MOST_WORDS = 700_000
 #: Rows of an Arrow batch that is made.
 _ROWS = 20_000
 _EXACT = "decimal(38,0)"
