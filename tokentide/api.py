@@ -1,4 +1,9 @@
-"""The two views, from logs to results: what models cost, and what they did to files."""
+"""The two views, from logs to results: what models cost, and what they did to files.
+
+A source that cannot be read does not end a view: it is left out and named by ``failures``. With a
+folder ``state`` the usage view runs from a table of sources that is brought up to date first, so
+only what is new or has changed is read (see streaming.state).
+"""
 
 from __future__ import annotations
 
@@ -12,7 +17,8 @@ from tokentide.functions import times
 from tokentide.operators import analysis as ops
 from tokentide.operators import usage as rollup
 from tokentide.schemas import NAMES, OPERATIONS, REQUEST_USAGE, SESSIONS
-from tokentide.sources import cursor, logs, operations, sqlite, usage_logs
+from tokentide.sources import cursor, logs, operations, scans, sqlite, usage_logs
+from tokentide.streaming import state as states
 
 Roots = dict[str, list[str]]
 _MODELS = "provider string, path string, model string"
@@ -33,27 +39,58 @@ def _union(spark: SparkSession, parts: list[DataFrame], schema: str) -> DataFram
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
+def _good_stores(spark: SparkSession, chosen: Roots, since_ms: int | None) -> Roots:
+    """The stores of each provider that can be read to their ends, as a task of its own finds for each; they are a list here anyway."""
+    good = {}
+    for provider in scans.STORES:
+        if stores := scans.stores_of(spark, provider, chosen.get(provider, [])):
+            bad = {r["path"] for r in sqlite.store_failures(spark, provider, stores, since_ms).select("path").collect()}
+            good[provider] = [s for s in stores if s not in bad]
+    return good
+
+
 def requests(spark: SparkSession, roots: Roots, time_range: str = "all", today: datetime.date | None = None, enabled: list[str] | None = None) -> DataFrame:
     """REQUEST_USAGE of all providers in ``roots`` (see sources.catalog) whose date is in the range."""
     today = today or datetime.date.today()
-    chosen = _chosen(roots, enabled)
+    chosen, since = _chosen(roots, enabled), _since(spark, time_range, today)
     parts = [usage_logs.read_usage(spark, {p: r}) for p, r in chosen.items() if p in usage_logs.READERS]
-    stores = {p: logs.existing(spark, r) for p, r in chosen.items()}
+    stores = _good_stores(spark, chosen, since)
     if stores.get("opencode"):
-        parts.append(sqlite.opencode(spark, stores["opencode"], _since(spark, time_range, today)))
+        parts.append(sqlite.opencode(spark, stores["opencode"], since))
     if stores.get("cursor"):
-        parts.append(cursor.read_usage(spark, stores["cursor"], logs.existing(spark, roots.get("cursor_tracking", []))))
+        parts.append(cursor.read_usage(spark, [], logs.existing(spark, roots.get("cursor_tracking", [])), stores["cursor"]))
     if stores.get("hermes"):
         parts.append(sqlite.hermes(spark, stores["hermes"]))
-    rows = _union(spark, parts, REQUEST_USAGE)
-    return rows.filter(times.within(F.col("session_date"), time_range, F.lit(today)))
+    return _union(spark, parts, REQUEST_USAGE).filter(times.within(F.col("session_date"), time_range, F.lit(today)))
+
+
+def _within(rows: DataFrame, time_range: str, today: datetime.date) -> DataFrame:
+    """Sources whose date is in the range; stores, which have none, are."""
+    return rows.filter(F.col("session_date").isNull() | times.within(F.col("session_date"), time_range, F.lit(today)))
 
 
-def usage(spark: SparkSession, roots: Roots, prices: DataFrame, time_range: str = "all", today: datetime.date | None = None, enabled: list[str] | None = None) -> dict[str, DataFrame]:
-    """'by_provider' (priced rows), 'by_model' (those merged, by cost), 'totals' per provider and over all, and 'days' of activity."""
-    rows = requests(spark, roots, time_range, today, enabled)
+def _scanned(reported: DataFrame) -> dict[str, DataFrame]:
+    return {"failures": scans.failures(reported), "scan": scans.summary(reported)}
+
+
+def usage(
+    spark: SparkSession, roots: Roots, prices: DataFrame, time_range: str = "all", today: datetime.date | None = None, enabled: list[str] | None = None, state: str | None = None
+) -> dict[str, DataFrame]:
+    """'by_provider' (priced rows), 'by_model' (those merged, by cost), 'totals' per provider and over all, and 'days' of activity;
+    'failures' (provider, path, error) of sources that failed or lost records, in scan order, and 'scan' with counts of candidates."""
+    today = today or datetime.date.today()
+    chosen = _chosen(roots, enabled)
+    if state:
+        tracking = logs.existing(spark, roots.get("cursor_tracking", []))
+        stored, reported = states.refresh(spark, chosen, state, tracking)
+        rows = stored.filter(F.col("provider").isin(list(chosen))).filter(times.within(F.col("session_date"), time_range, F.lit(today)))
+        reported = reported.filter(F.col("provider").isin(list(chosen)))
+    else:
+        rows = requests(spark, roots, time_range, today, enabled)
+        reported = scans.report(spark, chosen, _since(spark, time_range, today))
     priced = rollup.usage(rows, prices)
-    return {"by_provider": priced, "by_model": rollup.summary(rollup.merge_providers(priced)), "totals": rollup.provider_totals(priced), "days": rollup.active_days(rollup.real(rows))}
+    views = {"by_provider": priced, "by_model": rollup.summary(rollup.merge_providers(priced)), "totals": rollup.provider_totals(priced), "days": rollup.active_days(rollup.real(rows))}
+    return views | _scanned(_within(reported, time_range, today))
 
 
 def read_analysis(spark: SparkSession, roots: Roots, time_range: str = "all", today: datetime.date | None = None, enabled: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -65,19 +102,26 @@ def read_analysis(spark: SparkSession, roots: Roots, time_range: str = "all", to
     if files:
         used = usage_logs.read_usage(spark, files).filter("NOT is_advisor AND model IS NOT NULL")
         found.append((*operations.read_operations(spark, files), used.select("provider", "path", "model").distinct()))
-    stores = {p: logs.existing(spark, r) for p, r in chosen.items()}
+    since = _since(spark, time_range, today)
+    stores = _good_stores(spark, {p: r for p, r in chosen.items() if p != "hermes"}, since)
     if stores.get("opencode"):
-        found.append(operations.opencode(spark, stores["opencode"], _since(spark, time_range, today)))
+        found.append(operations.opencode(spark, stores["opencode"], since))
     if stores.get("cursor"):
-        found.append(operations.cursor(spark, stores["cursor"], logs.existing(spark, roots.get("cursor_tracking", []))))
+        found.append(operations.cursor(spark, [], logs.existing(spark, roots.get("cursor_tracking", [])), stores["cursor"]))
     ops_rows, sessions, models = (_union(spark, list(part), schema) for part, schema in zip(zip(*found) if found else ((), (), ()), (OPERATIONS, SESSIONS, _MODELS)))
     sessions = sessions.filter(times.within(F.col("session_date"), time_range, F.lit(today)))
     return ops_rows.join(sessions.select("path"), "path", "left_semi"), sessions, models
 
 
 def analysis(spark: SparkSession, roots: Roots, time_range: str = "all", today: datetime.date | None = None, enabled: list[str] | None = None) -> dict[str, DataFrame]:
-    """'by_model' and 'by_provider_model' counters, 'totals' per provider and over all, and 'days' on which a session was."""
+    """'by_model' and 'by_provider_model' counters, 'totals' per provider and over all, and 'days' on which a session was; 'failures'
+    and 'scan' as in usage(). A source that failed has no session."""
+    today = today or datetime.date.today()
+    chosen = {p: r for p, r in _chosen(roots, enabled).items() if p != "hermes"}
+    reported = _within(scans.report(spark, chosen, _since(spark, time_range, today)), time_range, today)
     done, sessions, models = read_analysis(spark, roots, time_range, today, enabled)
+    failed = reported.filter("NOT parsed").select("path")
+    done, sessions = done.join(failed, "path", "left_anti"), sessions.join(failed, "path", "left_anti")
     counted = sessions.select("provider", "path").join(ops.session_totals(done, ["path"]), "path", "left").fillna(0)
     fanned = ops.fan_out(counted, models, ["provider", "path"])
     return {
@@ -85,7 +129,7 @@ def analysis(spark: SparkSession, roots: Roots, time_range: str = "all", today:
         "by_provider_model": ops.by_model(fanned, ["provider", "model"]).orderBy("provider", "model"),
         "totals": ops.by_provider(fanned),
         "days": ops.active_dates(sessions),
-    }
+    } | _scanned(reported)
 
 
 def parse_file(spark: SparkSession, path: str) -> tuple[str, DataFrame, DataFrame, DataFrame]:

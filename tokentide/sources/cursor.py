@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tokentide.functions import json, times
 from tokentide.operators.windows import nonempty
-from tokentide.sources.sqlite import read_sqlite
+from tokentide.sources.sqlite import CURSOR_META, CURSOR_NODES, scan_sqlite
 from tokentide.sources.usage_logs import _rows
 
 #: Field numbers of a node: message, gauge, time; and of the gauge's count. Fixed values.
@@ -88,7 +88,7 @@ def nodes(spark: SparkSession, stores: list[str]) -> DataFrame:
             columns += [pa.array([g for _, g, _ in decoded], pa.binary()), pa.array([gauge_count(g) for _, g, _ in decoded], pa.int64()), pa.array([t for _, _, t in decoded], pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("id"), *columns], names=["path", "id", "message", "gauge", "context", "ts"])
 
-    blobs = read_sqlite(spark, stores, "SELECT id, data FROM blobs WHERE substr(data, 1, 1) = X'0A'", "id string, data binary", "blobs")
+    blobs = scan_sqlite(spark, stores, CURSOR_NODES, "id string, data binary", "blobs")
     rows = blobs.mapInArrow(run, "path string, id string, message string, gauge binary, context bigint, ts bigint")
     shown = F.coalesce(F.octet_length("gauge") > 0, F.lit(False)).alias("has_gauge")
     return rows.filter("message IS NOT NULL").select("path", "id", F.try_parse_json("message").alias("v"), shown, "context", "ts")
@@ -101,14 +101,14 @@ def conversation(path: Column) -> Column:
 def conversation_models(spark: SparkSession, tracking: list[str]) -> DataFrame:
     """(conversation, model): the most frequent model of each conversation in the tracking stores; of equals the first by name."""
     query = "SELECT conversationId, model, count(*) FROM ai_code_hashes WHERE conversationId <> '' AND model <> '' GROUP BY conversationId, model"
-    rows = read_sqlite(spark, tracking, query, "conversation string, model string, n bigint", "ai_code_hashes")
+    rows = scan_sqlite(spark, tracking, query, "conversation string, model string, n bigint", "ai_code_hashes")
     summed = rows.groupBy("conversation", "model").agg(F.sum("n").alias("n"))
     return summed.groupBy("conversation").agg(F.min_by("model", F.struct((-F.col("n")).alias("n"), "model")).alias("model"))
 
 
 def store_models(spark: SparkSession, stores: list[str], tracking: list[str]) -> DataFrame:
     """(path, model) of every store: what tracking knows, else the store's own last model, else 'unknown'."""
-    meta = read_sqlite(spark, stores, "SELECT key, value FROM meta WHERE typeof(value) = 'text'", "key string, value string", "meta")
+    meta = scan_sqlite(spark, stores, CURSOR_META, "key string, value string", "meta")
     hex_value = F.when(F.trim("value").rlike(r"^([0-9a-fA-F]{2})+$"), F.try_validate_utf8(F.unhex(F.trim("value")).cast("string")))
     named = nonempty(json.strict_string(F.try_parse_json(F.coalesce(hex_value, F.col("value"))), "$.lastUsedModel"))
     own = meta.withColumn("named", named).filter("named IS NOT NULL").groupBy("path").agg(F.min_by("named", "key").alias("own"))
@@ -117,9 +117,9 @@ def store_models(spark: SparkSession, stores: list[str], tracking: list[str]) ->
     return known.join(own, "path", "left").select("path", F.coalesce("model", "own", F.lit("unknown")).alias("model"))
 
 
-def read_usage(spark: SparkSession, roots: list[str], tracking: list[str] = ()) -> DataFrame:
+def read_usage(spark: SparkSession, roots: list[str], tracking: list[str] = (), stores: list[str] | None = None) -> DataFrame:
     """REQUEST_USAGE: an estimate. Each assistant turn's gauge of its context counts as cache reads; turns without one are left out."""
-    stores = find_stores(roots)
+    stores = find_stores(roots) if stores is None else stores
     v = F.col("v")
     turns = nodes(spark, stores).filter((json.strict_string(v, "$.role") == "assistant") & F.col("has_gauge")).filter("ts IS NOT NULL AND context IS NOT NULL")
     dated = turns.join(store_models(spark, stores, list(tracking)), "path").withColumn("session_date", times.ms_to_date(F.col("ts"))).filter("session_date IS NOT NULL")
@@ -133,7 +133,7 @@ def gauges_by_date(requests: DataFrame) -> DataFrame:
 
 def read_results(spark: SparkSession, stores: list[str]) -> DataFrame:
     """(path, call_id, body): what file reads returned, without line numbers; '' where it is no text. The last text by blob counts."""
-    blobs = read_sqlite(spark, stores, "SELECT id, cast(data AS TEXT) FROM blobs WHERE substr(cast(data AS TEXT), 1, 1) = '{'", "id string, data string", "blobs")
+    blobs = scan_sqlite(spark, stores, "SELECT id, cast(data AS TEXT) FROM blobs WHERE substr(cast(data AS TEXT), 1, 1) = '{'", "id string, data string", "blobs")
     v, c = F.col("v"), F.col("c")
     rows = blobs.withColumn("v", F.try_parse_json("data")).filter(json.strict_string(v, "$.role") == "tool")
     items = rows.select("path", "id", F.posexplode(json.items(v, "$.content")).alias("pos", "c")).filter((json.strict_string(c, "$.type") == "tool-result") & json.strict_string(c, "$.toolName").isin("Read", "ReadFile"))

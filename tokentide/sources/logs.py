@@ -3,13 +3,13 @@ because order within a file decides what its records mean."""
 
 from __future__ import annotations
 
-import io
 import re
 from collections.abc import Iterator
 from functools import reduce
+from urllib.parse import unquote
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,11 +34,17 @@ def _file_columns() -> list[Column]:
     return [meta["file_path"].alias("path"), F.to_date(changed).alias("session_date"), changed.alias("modified"), meta["file_size"].alias("length")]
 
 
-def read_files(spark: SparkSession, paths: str | list[str], pattern: str = "*", matching: str = "", barring: str = "") -> DataFrame:
+def _below_reader(spark: SparkSession, pattern: str, lenient: bool) -> DataFrameReader:
+    """A reader of files below folders; a ``lenient`` one goes on where a file is gone or cannot be read (scans.file_reads tells which)."""
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    return reader.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True) if lenient else reader
+
+
+def read_files(spark: SparkSession, paths: str | list[str], pattern: str = "*", matching: str = "", barring: str = "", lenient: bool = False) -> DataFrame:
     """(path, session_date, modified, length, value): whole text files below ``paths``; the date is that of the file's last change."""
     if not paths:
         return spark.createDataFrame([], "path string, session_date date, modified timestamp, length bigint, value string")
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(paths, wholetext=True)
+    files = _below_reader(spark, pattern, lenient).text(paths, wholetext=True)
     return _matching(files.select(*_file_columns(), "value"), matching, barring)
 
 
@@ -53,6 +59,16 @@ def existing(spark: SparkSession, roots: list[str]) -> list[str]:
     return [r for r in roots if path(r).getFileSystem(conf).exists(path(r))]
 
 
+def named(path: str) -> str:
+    """The file that a value of the column ``path``, a URI, names."""
+    return unquote(path)
+
+
+def readable(path: str) -> str:
+    """The same as readers take it, which expand patterns."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", named(path))
+
+
 def _below(path: Column, roots: list[str]) -> Column:
     """(rank of the root that the path is below, path below it)."""
     out = F.lit(None).cast("struct<rank:int,path:string>")
@@ -73,7 +89,7 @@ def first_of_names(files: DataFrame, roots: list[str]) -> DataFrame:
     return drop_seen_names(named).drop("root_rank", "file_name")
 
 
-def read_lines(spark: SparkSession, paths: str | list[str], pattern: str = "*", matching: str = "", barring: str = "") -> DataFrame:
+def read_lines(spark: SparkSession, paths: str | list[str], pattern: str = "*", matching: str = "", barring: str = "", lenient: bool = False) -> DataFrame:
     """lines() of files of any length: splits of a file are read by different tasks.
 
     Lines of a split come in order, so a line's place is that of its split in the file and its
@@ -81,28 +97,38 @@ def read_lines(spark: SparkSession, paths: str | list[str], pattern: str = "*",
     """
     if not paths:
         return lines(read_files(spark, paths))
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("lineSep", "\n").text(paths)
+    files = _below_reader(spark, pattern, lenient).option("lineSep", "\n").text(paths)
     place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
     rows = _matching(files.select(*_file_columns()[:2], place.alias("place"), "value"), matching, barring)
     number = F.row_number().over(Window.partitionBy("path").orderBy("place")) - 1
     return _parsed(rows.select("path", "session_date", number.cast("long").alias("line_no"), F.col("value").alias("raw")))
 
 
+#: Stands for the lines that a torn file has lost: it is no JSON.
+TORN = b"{"
+
+
 def _decoded(content: bytes) -> bytes:
-    """All frames of a zstd file; of a torn one what decodes before the tear."""
+    """All frames of a zstd file; of a torn one the whole lines before the tear, and TORN."""
     import zstandard
 
-    out = io.BytesIO()
+    out, rest, torn = [], memoryview(content), False
     try:
-        with zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content), read_across_frames=True) as frames:
-            while part := frames.read(1 << 16):
-                out.write(part)
+        while rest and not torn:
+            frame = zstandard.ZstdDecompressor().decompressobj()
+            at = 0
+            while at < len(rest) and not frame.eof:
+                out.append(frame.decompress(rest[at : at + (1 << 16)]))
+                at += 1 << 16
+            torn = not frame.eof
+            rest = rest[min(at, len(rest)) - len(frame.unused_data) :]
     except zstandard.ZstdError:
-        pass
-    return out.getvalue()
+        torn = True
+    whole = b"".join(out)
+    return whole[: whole.rfind(b"\n") + 1] + TORN if torn else whole
 
 
-def read_zstd_files(spark: SparkSession, paths: str | list[str], pattern: str = "session.jsonl.zstd") -> DataFrame:
+def read_zstd_files(spark: SparkSession, paths: str | list[str], pattern: str = "session.jsonl.zstd", lenient: bool = False) -> DataFrame:
     """read_files for zstd-compressed logs, torn tails included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,8 +138,8 @@ def read_zstd_files(spark: SparkSession, paths: str | list[str], pattern: str =
 
     if not paths:
         return read_files(spark, paths)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(paths)
-    rows = files.select("path", F.to_date("modificationTime").alias("session_date"), F.col("modificationTime").alias("modified"), "length", "content")
+    files = _below_reader(spark, pattern, lenient).format("binaryFile").load(paths)
+    rows = files.select(F.col("_metadata.file_path").alias("path"), F.to_date("modificationTime").alias("session_date"), F.col("modificationTime").alias("modified"), "length", "content")
     return rows.mapInArrow(run, "path string, session_date date, modified timestamp, length bigint, value string")
 
 

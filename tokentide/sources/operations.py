@@ -21,7 +21,7 @@ from tokentide.operators.windows import nonempty
 from tokentide.schemas import OPERATIONS, SESSIONS
 from tokentide.sources import cursor as cursor_store
 from tokentide.sources import logs, sqlite, usage_logs
-from tokentide.sources.sqlite import read_sqlite
+from tokentide.sources.sqlite import scan_sqlite
 from tokentide.sources.usage_logs import _get
 
 AT = ["path", "line_no", "pos"]
@@ -563,9 +563,9 @@ def opencode(spark: SparkSession, paths: list[str], since_ms: int | None = None)
     legacy = sqlite.opencode_sessions(spark, paths, since_ms).withColumn("session_id", F.col("id")).select(*columns)
     sources = modern.unionByName(legacy).withColumn("source", key("id"))
     sessions, models = _of_messages(sources, "opencode")
-    tool = "json_valid(data) AND json_extract(data, '$.type') = 'tool'"
-    parts = read_sqlite(spark, paths, f"SELECT id, message_id, data FROM part WHERE {tool}", "part string, owner string, data string", "message")
-    old = read_sqlite(spark, paths, f"SELECT id, session_id, data FROM part WHERE {tool}", "part string, owner string, data string", "part", without="message")
+    tool = "CASE WHEN json_valid(data) THEN json_extract(data, '$.type') = 'tool' ELSE 0 END"
+    parts = scan_sqlite(spark, paths, f"SELECT id, message_id, data FROM part WHERE {tool}", "part string, owner string, data string", "message")
+    old = scan_sqlite(spark, paths, f"SELECT id, session_id, data FROM part WHERE {tool}", "part string, owner string, data string", "part", without="message")
     v = F.col("v")
     parts = parts.unionByName(old).select(key("owner"), "part", F.try_parse_json("data").alias("v")).filter(json.strict_string(v, "$.state.status") == "completed")
     place = F.row_number().over(Window.partitionBy("source").orderBy("part")) - 1
@@ -588,9 +588,9 @@ def opencode(spark: SparkSession, paths: list[str], since_ms: int | None = None)
     return finish(reduce(DataFrame.unionByName, made), sessions, "opencode"), sessions, models
 
 
-def cursor(spark: SparkSession, roots: list[str], tracking: list[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+def cursor(spark: SparkSession, roots: list[str], tracking: list[str] = (), stores: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(operations, sessions, models). A source is a store on a date."""
-    stores = cursor_store.find_stores(roots)
+    stores = cursor_store.find_stores(roots) if stores is None else stores
     v, c = F.col("v"), F.col("c")
     turns = cursor_store.nodes(spark, stores).filter((json.strict_string(v, "$.role") == "assistant") & json.is_array(v, "$.content"))
     turns = turns.withColumn("session_date", times.ms_to_date(F.col("ts"))).filter("session_date IS NOT NULL").withColumn("source", F.concat_ws("#", "path", "session_date"))
@@ -621,12 +621,13 @@ def cursor(spark: SparkSession, roots: list[str], tracking: list[str] = ()) -> t
 READERS = {"claude": claude, "codex": codex, "copilot": copilot, "gemini": gemini, "deepseek": deepseek, "grok": grok}
 
 
-def provider_tables(spark: SparkSession, provider: str, paths: str | list[str]) -> tuple[DataFrame, ...]:
-    """What a provider's reader of operations takes."""
-    given = usage_logs.provider_lines(spark, provider, paths)
+def provider_tables(spark: SparkSession, provider: str, paths: str | list[str], only: list[str] | None = None) -> tuple[DataFrame, ...]:
+    """What a provider's reader of operations takes (see usage_logs.provider_lines)."""
+    given = usage_logs.provider_lines(spark, provider, paths, only)
     if provider == "grok":
         kept = logs.existing(spark, [paths] if isinstance(paths, str) else paths)
-        given = (*given, logs.read_lines(spark, kept, "updates.jsonl", r"/sessions/[^/]+/[^/]+/updates\.jsonl$"), logs.read_files(spark, kept, ".cwd"))
+        updates = kept if only is None else usage_logs.beside(spark, only, "updates.jsonl")
+        given = (*given, logs.read_lines(spark, updates, "updates.jsonl", r"/sessions/[^/]+/[^/]+/updates\.jsonl$", lenient=True), logs.read_files(spark, kept, ".cwd", lenient=True))
     return given
 
 

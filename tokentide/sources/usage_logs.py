@@ -225,21 +225,32 @@ def read_usage(spark: SparkSession, roots: dict[str, str | list[str]]) -> DataFr
     return reduce(DataFrame.unionByName, [READERS[p](*provider_lines(spark, p, paths)) for p, paths in roots.items()])
 
 
-def provider_lines(spark: SparkSession, provider: str, paths: str | list[str]) -> tuple[DataFrame, ...]:
+def beside(spark: SparkSession, signals: list[str], name: str) -> list[str]:
+    """The files ``name`` in the folders of ``signals``, as readers take them; those that are not there are left out."""
+    there = [p.rsplit("/", 1)[0] + "/" + name for p in signals]
+    return [logs.readable(p) for p in there if logs.existing(spark, [logs.named(p)])]
+
+
+def provider_lines(spark: SparkSession, provider: str, paths: str | list[str], only: list[str] | None = None) -> tuple[DataFrame, ...]:
     """What a provider's reader takes: its lines, or for Grok the documents of its signals and summaries.
 
-    Roots that are not there hold nothing. Of Codex files with one name in several roots those of the first root count.
+    Roots that are not there hold nothing, nor do files that cannot be read (see sources.scans). Of Codex files with one name
+    in several roots those of the first root count. ``only``: the files below the roots to read, if not all.
     """
     roots = logs.existing(spark, [paths] if isinstance(paths, str) else paths)
     pattern, matching, barring, depth = logs.FILES[provider]
     if provider == "grok":
-        beside = matching.replace("signals", "summary")
-        named = ((pattern, matching), ("summary.json", beside))
-        return tuple(logs.documents(logs.within_depth(logs.read_files(spark, roots, name, path), roots, depth)) for name, path in named)
-    rows = logs.within_depth(logs.read_lines(spark, roots, pattern, matching, barring), roots, depth)
+        signals = None if only is None else list(map(logs.readable, only))
+        summaries = None if only is None else beside(spark, only, "summary.json")
+        named = ((pattern, matching, signals), ("summary.json", matching.replace("signals", "summary"), summaries))
+        return tuple(logs.documents(logs.within_depth(logs.read_files(spark, roots if some is None else some, name, path, lenient=True), roots, depth)) for name, path, some in named)
+    chosen = list(map(logs.readable, only or []))
+    packed = [p for p in chosen if p.endswith(".zstd")]
+    plain = roots if only is None else [p for p in chosen if not p.endswith(".zstd")]
+    rows = logs.within_depth(logs.read_lines(spark, plain, pattern, matching, barring, lenient=True), roots, depth)
     if provider == "deepseek":
-        packed = logs.read_zstd_files(spark, roots).filter(F.col("path").rlike(matching.replace("$", r"\.zstd$")))
-        rows = rows.unionByName(logs.lines(logs.within_depth(packed, roots, depth)))
-    if provider == "codex" and len(roots) > 1:
+        files = logs.read_zstd_files(spark, roots if only is None else packed, lenient=True).filter(F.col("path").rlike(matching.replace("$", r"\.zstd$")))
+        rows = rows.unionByName(logs.lines(logs.within_depth(files, roots, depth)))
+    if provider == "codex" and len(roots) > 1 and only is None:
         rows = rows.join(logs.first_of_names(rows.select("path").distinct(), roots).select("path"), "path", "left_semi")
     return (rows,)
