@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tokentide.llm import outliers, stats
+from tokentide.llm.outliers import covariance_estimates
 
 
 def brute_counts(text):
@@ -109,3 +110,16 @@ def test_small_groups_lean_on_wider_ones():
     for n, w in ((0, 0.0), (50, 0.5), (1e9, 1.0)):
         centre, cov, _ = outliers._mix((zero + 2, 4 * eye, n), (zero, eye, 1e6), 50)
         assert np.allclose(centre, 2 * w, atol=1e-6) and np.allclose(np.diag(cov), 4 * w + (1 - w) + 4 * w * (1 - w), atol=1e-6)
+
+
+def test_starts_that_still_fall_are_told(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    kept = {}
+    for steps in (1, outliers.MOST_STEPS):
+        monkeypatch.setattr(outliers, "MOST_STEPS", steps)
+        found = []
+        monkeypatch.setattr(outliers, "covariance_estimates", lambda v, f=covariance_estimates: found.append(f(v)) or found[0])
+        kept[steps] = outliers.judge_texts(docs).filter("kept").count()
+        settled = {r["settled"] for r in found[0].collect()}
+        assert settled == {True} if steps > 1 else False in settled
+    assert min(kept.values()) > 0

@@ -208,11 +208,17 @@ def _correlated(row: dict) -> tuple:
 
 
 def covariance_estimates(vectors: DataFrame, share: float = SUPPORT) -> DataFrame:
-    """(group, centre, precision, n): the reweighted minimum-covariance-determinant estimate of each ``group`` of ``vectors``."""
+    """(group, centre, precision, n, settled): the reweighted minimum-covariance-determinant estimate of each ``group`` of ``vectors``.
+
+    Each start takes steps until its determinant no longer falls; of one that still falls after MOST_STEPS the last estimate
+    counts, and its group is not ``settled``.
+    """
     classical = _step(vectors, None, 1.0).withColumn("logdet", F.lit(None).cast("double"))
-    now = written(classical.unionByName(_robust_starts(vectors)), "mcd")
+    now = written(classical.unionByName(_robust_starts(vectors)).withColumn("fell", F.lit(True)), "mcd")
     for _ in range(MOST_STEPS):
-        better = _step(vectors, now, share).select("group", "start", *[F.col(c).alias(f"new_{c}") for c in ("centre", "precision", "logdet")])
+        moving = now.filter("fell").drop("fell")  # a start that no longer falls stays as it is
+        some = vectors.join(moving.select("group").distinct(), "group", "left_semi")
+        better = _step(some, moving, share).select("group", "start", *[F.col(c).alias(f"new_{c}") for c in ("centre", "precision", "logdet")])
         fell = F.coalesce(F.col("new_logdet") < F.col("logdet") - FALL, F.col("new_logdet").isNotNull() & F.col("logdet").isNull())
         met = now.join(better, ["group", "start"], "left").withColumn("fell", F.coalesce(fell, F.lit(False)))
         chosen = [F.when(F.col("fell"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in ("centre", "precision", "logdet")]
@@ -220,14 +226,13 @@ def covariance_estimates(vectors: DataFrame, share: float = SUPPORT) -> DataFram
         discard(last)
         if now.filter("fell").isEmpty():
             break
-    else:
-        raise RuntimeError(f"the determinants still fall after {MOST_STEPS} steps")
-    best = now.groupBy("group").agg(F.min_by(F.struct("start", "centre", "precision", "logdet", "n"), F.struct("logdet", "start")).alias("e")).select("group", "e.*")
+    lowest = F.min_by(F.struct("start", "centre", "precision", "logdet", "n"), F.struct("logdet", "start")).alias("e")
+    best = now.groupBy("group").agg(lowest, (~F.max("fell")).alias("settled")).select("group", "e.*", "settled")
     best = written(best, "mcd-best")
     near = chi2_quantile(0.975, P)
     final = _step(vectors, best, 1.0, within=near)
-    whole = best.select("group", "centre", "precision", "n").join(final.select("group", F.col("centre").alias("c"), F.col("precision").alias("p")), "group", "left")
-    return written(whole.select("group", F.coalesce("c", "centre").alias("centre"), F.coalesce("p", "precision").alias("precision"), "n"), "mcd-final")
+    whole = best.select("group", "centre", "precision", "n", "settled").join(final.select("group", F.col("centre").alias("c"), F.col("precision").alias("p")), "group", "left")
+    return written(whole.select("group", F.coalesce("c", "centre").alias("centre"), F.coalesce("p", "precision").alias("precision"), "n", "settled"), "mcd-final")
 
 
 def _mix(own: tuple, prior: tuple, prior_rows: float) -> tuple:
