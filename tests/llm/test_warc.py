@@ -45,3 +45,10 @@ def test_small_payloads_repeats_and_null_ids(spark, tmp_path):
 
 def test_no_pages(spark, tmp_path):
     assert archive(spark, tmp_path, [])[1] == []
+
+
+def test_ids_that_are_no_numbers(spark, tmp_path):
+    path = f"{tmp_path}/{uuid.uuid4().hex}"
+    write_archive(spark.createDataFrame([("b-1", "u", "same"), ("a-1", "v", "same"), (None, "w", "other")], "page_id string, url string, html string"), path)
+    got = {r["page_id"]: (r["record_type"], r["refers_to"], r["verified"]) for r in read_archive(spark, path).collect()}
+    assert got == {"a-1": ("response", None, True), "b-1": ("revisit", "a-1", True), None: ("response", None, True)}

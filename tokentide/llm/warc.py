@@ -55,7 +55,8 @@ def write_archive(
 
     Cases: null html is an empty payload; null url leaves WARC-Target-URI out; line breaks in a
     url are escaped as %0D and %0A. Rows that repeat the smallest id of a payload are all
-    responses. Null ids come after all others; a payload that only rows with null ids hold has
+    responses. Ids are of any type that a line of a header can hold; record ids follow from them, so
+    rows with equal ids, or none, share one. Null ids come after all others; a payload that only rows with null ids hold has
     responses only. Payloads of any length are kept whole. No rows give two empty tables. Other columns are ignored.
     """
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
@@ -101,6 +102,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     headers = spark.read.parquet(f"{path}/headers")
     payloads = spark.read.parquet(f"{path}/payloads")
     text = F.decode("header", "UTF-8")
+    kind = headers.schema["id"].dataType
 
     def field(name: str) -> Column:
         return F.nullif(F.regexp_extract(text, f"\r\n{name}: ([^\r\n]*)\r\n", 1), F.lit(""))
@@ -112,8 +114,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         field("WARC-Type").alias("record_type"),
         field("WARC-Target-URI").alias("url"),
         F.substring(field("WARC-Payload-Digest"), 6, 32).alias("__named_digest"),
-        field("X-Page-ID").cast("long").alias("page_id"),
-        field("X-Refers-To-Page-ID").cast("long").alias("refers_to"),
+        field("X-Page-ID").cast(kind).alias("page_id"),
+        field("X-Refers-To-Page-ID").cast(kind).alias("refers_to"),
         field("X-Payload-Length").cast("long").alias("__named_bytes"),
     )
     checked = payloads.select(
