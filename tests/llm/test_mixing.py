@@ -78,3 +78,10 @@ def test_salted_join_equals_broadcast_join(spark):
     small, salted = (join_keyed(rows, table, {"key": "of"}, "id", most=m) for m in (10, 0))
     assert {tuple(r) for r in small.collect()} == {tuple(r) for r in salted.collect()}
     assert small.count() == salted.count() == 500
+
+
+def test_columns_that_are_not_added_stay(spark):
+    docs = spark.createDataFrame([(i, "a", "x", i) for i in range(50)], "doc_id bigint, source string, least string, cdf int")
+    got = mix(docs)
+    assert got.columns == ["doc_id", "source", "least", "cdf", "rate", "copy", "shuffle_key"]
+    assert {(r["least"], r["cdf"] - r["doc_id"]) for r in got.collect()} == {("x", 0)}

@@ -56,17 +56,17 @@ def poisson_tables(rates: DataFrame) -> DataFrame:
     return table.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "upto"))), lambda x: x["upto"]).alias("cdf"))
 
 
-def copies_of(draw: Column) -> Column:
+def copies_of(draw: Column, least: str = "least", cdf: str = "cdf") -> Column:
     """The number of copies at a uniform draw: how many of ``cdf`` it has reached, found by halves, and ``least``."""
-    size = F.size("cdf")
+    size = F.size(cdf)
     state = F.struct(F.lit(0).alias("low"), size.alias("high"))
 
     def halve(s: Column, _: Column) -> Column:
         middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
-        reached = (s["low"] < s["high"]) & (F.get(F.col("cdf"), middle) <= draw)
+        reached = (s["low"] < s["high"]) & (F.get(F.col(cdf), middle) <= draw)
         return F.struct(F.when(reached, middle + 1).otherwise(s["low"]).alias("low"), F.when(reached | (s["low"] >= s["high"]), s["high"]).otherwise(middle).alias("high"))
 
-    return F.col("least") + F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(size + 1)).cast("int")), state, halve, lambda s: s["low"])
+    return F.col(least) + F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(size + 1)).cast("int")), state, halve, lambda s: s["low"])
 
 
 def source_rates(docs: DataFrame, weights: DataFrame | None, source_col: str, size: float) -> DataFrame:
@@ -93,9 +93,9 @@ SALTS = 64
 
 
 def with_rates(docs: DataFrame, rates: DataFrame, id_col: str, source_col: str, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
-    """Join the rates on. A source may hold a third of all rows, so rows are never dealt by source alone."""
-    rates = written(rates, "source-rates")
-    if (rates.agg(F.sum(F.size("cdf") + 4)).first()[0] or 0) <= broadcast_entries:
+    """Join the rates on, with ``__least`` and ``__cdf``. A source may hold a third of all rows, so rows are never dealt by source alone."""
+    rates = written(rates.withColumnsRenamed({"least": "__least", "cdf": "__cdf"}), "source-rates")
+    if (rates.agg(F.sum(F.size("__cdf") + 4)).first()[0] or 0) <= broadcast_entries:
         return docs.join(F.broadcast(rates), F.col(source_col).eqNullSafe(F.col("__source")), "left").drop("__source")
     salted = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = docs.withColumn("__slot", F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int"))
@@ -126,10 +126,10 @@ def mix(
     """
     rates = source_rates(docs, weights, source_col, size)
     rows = (
-        with_rates(docs.drop("rate", "least", "cdf", "copy", "shuffle_key"), rates, id_col, source_col)
-        .withColumn("__copies", copies_of(hashed_uniform(seed, F.col(id_col))))
+        with_rates(docs.drop("rate", "copy", "shuffle_key"), rates, id_col, source_col)
+        .withColumn("__copies", copies_of(hashed_uniform(seed, F.col(id_col)), "__least", "__cdf"))
         .filter(F.col("__copies") > 0)
-        .drop("cdf", "least")
+        .drop("__cdf", "__least")
         .withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("__copies") - 1).cast("int"))))
         .drop("__copies")
     )
