@@ -45,6 +45,30 @@ def codex_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.counter_deltas(event_log(spark, sf_dir), ["counter"], "counter", USER, ORDER).select("event_id", "user_id", "counter_delta")
 
 
+def by_day(rows):
+    """Rows of a log with the day, by which long logs are split."""
+    return rows.withColumn("day", F.to_date("ts"))
+
+
+@query(f"WITH {EVENT_LOG} SELECT event_id, user_id, last_value(named_model IGNORE NULLS) {FAR} AS model, max(amount) {FAR} AS peak FROM log")
+def carried_over_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model in force and the peak so far, from summaries of each day of a log."""
+    rows = windows.scanned(by_day(event_log(spark, sf_dir)), {"model": F.col("named_model")}, USER, ORDER, "day", {"peak": F.col("amount")})
+    return rows.select("event_id", "user_id", F.col("model.now").alias("model"), F.col("peak.now").alias("peak"))
+
+
+@query(f"""WITH {SNAPSHOTS} SELECT event_id, user_id, CASE WHEN total < was_total THEN total ELSE greatest(total - was_total, 0) END AS total_delta,
+    CASE WHEN part IS NULL THEN 0 WHEN total < was_total THEN now_part ELSE greatest(now_part - was_part, 0) END AS part_delta FROM pairs""")
+def counter_deltas_over_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = windows.counter_deltas(by_day(snapshots(spark, sf_dir)), ["total", "part"], "total", USER, ORDER, "day")
+    return rows.select("event_id", "user_id", "total_delta", "part_delta")
+
+
+@query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS line_no FROM events")
+def numbered_over_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.numbered(by_day(table(spark, sf_dir, "events")), USER, "day", ORDER, "line_no").select("event_id", "user_id", "line_no")
+
+
 @query(f"""WITH {SNAPSHOTS} SELECT event_id, user_id, CASE WHEN total < was_total THEN total ELSE greatest(total - was_total, 0) END AS total_delta,
     CASE WHEN part IS NULL THEN 0 WHEN total < was_total THEN now_part ELSE greatest(now_part - was_part, 0) END AS part_delta FROM pairs""")
 def counter_reset_delta(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,7 +130,7 @@ def _copilot_pairs(lines: DataFrame) -> DataFrame:
     v, kind = F.col("v"), json.strict_string(F.col("v"), "$.type")
     said = rows.filter((kind == "session.model_change") | (kind == "assistant.message") & json.has(v, "$.data.outputTokens"))
     said = said.select("path", "line_no", F.when(kind == "session.model_change", json.strict_string(v, "$.data.newModel")).alias("named"), (kind == "assistant.message").alias("spoken"), json.strict_int(v, "$.data.outputTokens").alias("n"))
-    said = windows.carry_forward(said, "named", ["path"], ["line_no"], "model").filter("spoken").select("path", F.expr("n IS NOT NULL AND model IS NOT NULL").alias("normalized"))
+    said = windows.carry_forward(usage_logs.in_parts(said), "named", ["path"], ["line_no"], "model", usage_logs.PART).filter("spoken").select("path", F.expr("n IS NOT NULL AND model IS NOT NULL").alias("normalized"))
     alone = ends.filter("ok").join(met.select("path", "result.line_no"), ["path", "line_no"], "left_anti").select("path", F.lit(False).alias("normalized"))
     a, tool = F.col("call.a"), F.col("call.tool")
     named = nonempty(json.first_string(a, ["path"])).isNotNull()

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from tokentide.functions import json
 from tokentide.operators.pairing import drop_seen_names
+from tokentide.operators.windows import numbered
 
 #: provider -> (file name pattern, what a path must match, what it must not, depth below the root or None). Fixed values.
 FILES = {
@@ -92,16 +93,15 @@ def first_of_names(files: DataFrame, roots: list[str]) -> DataFrame:
 def read_lines(spark: SparkSession, paths: str | list[str], pattern: str = "*", matching: str = "", barring: str = "", lenient: bool = False) -> DataFrame:
     """lines() of files of any length: splits of a file are read by different tasks.
 
-    Lines of a split come in order, so a line's place is that of its split in the file and its
-    place in the split; numbering them is a sort per file, which the readers' windows share.
+    Lines of a split come in order, so a line's place is its place in the split after the sizes of
+    the splits before it: no task holds a whole file.
     """
     if not paths:
         return lines(read_files(spark, paths))
     files = _below_reader(spark, pattern, lenient).option("lineSep", "\n").text(paths)
-    place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
-    rows = _matching(files.select(*_file_columns()[:2], place.alias("place"), "value"), matching, barring)
-    number = F.row_number().over(Window.partitionBy("path").orderBy("place")) - 1
-    return _parsed(rows.select("path", "session_date", number.cast("long").alias("line_no"), F.col("value").alias("raw")))
+    place = [F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row")]
+    rows = _matching(files.select(*_file_columns()[:2], *place, F.col("value").alias("raw")), matching, barring)
+    return _parsed(numbered(rows, ["path"], "split", ["row"], "line_no"))
 
 
 #: Stands for the lines that a torn file has lost: it is no JSON.

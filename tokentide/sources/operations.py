@@ -526,7 +526,8 @@ def deepseek(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     time = json.strict_int(v, "$.time")
     stamp = F.greatest(F.coalesce(time, F.lit(0)), F.coalesce(F.when(head, json.strict_int(v, "$.createdAt")), F.lit(0)))
     sessions = _sessions(rows, "deepseek", session_id=F.when(head, json.strict_string(v, "$.id")), folder=F.when(head, json.strict_string(v, "$.cwd")), ts=stamp)
-    rows = rows.withColumn("ts_ms", F.coalesce(time, F.max(stamp).over(windows.so_far(["path"], ["line_no"]))))
+    rows = windows.running_max(usage_logs.in_parts(rows).withColumn("stamp", stamp), "stamp", ["path"], ["line_no"], "ts_ms", usage_logs.PART)
+    rows = rows.withColumn("ts_ms", F.coalesce(time, F.col("ts_ms")))
     done = deepseek_exchange(rows).filter("NOT bad AND tool IS NOT NULL")
     done = done.withColumn("a", F.try_parse_json("args"))
     a, meta = F.col("a"), F.col("meta")

@@ -11,7 +11,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window
 
 from tokentide.functions import json, models, times, tokens
 from tokentide.operators import windows
@@ -19,6 +18,14 @@ from tokentide.schemas import REQUEST_USAGE
 from tokentide.sources import logs
 
 AT = (["path"], ["line_no"])
+#: Lines of a log that are scanned at once; a longer log is scanned in parts (see operators.windows).
+PART_LINES = 1 << 16
+PART = "__part"
+
+
+def in_parts(rows: DataFrame) -> DataFrame:
+    """``rows`` of lines with the column PART, by which windows split long logs."""
+    return rows.withColumn(PART, F.floor(F.col("line_no") / PART_LINES))
 
 
 def _get(v: Column, path: str) -> Column:
@@ -92,9 +99,9 @@ def codex(lines: DataFrame) -> DataFrame:
         (counted & _codex_usable(_get(v, "$.payload.info"))).alias("counts"), *[F.when(counted, json.strict_int(v, f"{total}.{c}")).alias(c) for c in _CODEX],
         json.strict_int(v, "$.payload.info.last_token_usage.input_tokens").alias("last_input"),
     )
-    rows = windows.carry_forward(rows, "named", *AT, "model")
-    rows = windows.carry_forward(rows, "id", *AT, "session_id").filter("counts")
-    rows = windows.counter_deltas(rows, _CODEX, "total_tokens", *AT).filter("model is not null")
+    carried = {"model": windows.nonempty(F.col("named")), "session_id": windows.nonempty(F.col("id"))}
+    rows = windows.scanned(in_parts(rows), carried, *AT, PART).withColumns({c: F.col(c)["now"] for c in carried}).filter("counts")
+    rows = windows.counter_deltas(rows, _CODEX, "total_tokens", *AT, PART).filter("model is not null")
     fresh = F.greatest(F.col("input_tokens_delta") - F.col("cached_input_tokens_delta"), F.lit(0))
     spoken = F.greatest(F.col("output_tokens_delta") - F.col("reasoning_output_tokens_delta"), F.lit(0))
     context = F.when(F.col("last_input") > 0, F.col("last_input")).otherwise(F.col("input_tokens_delta"))
@@ -123,7 +130,7 @@ def copilot(lines: DataFrame) -> DataFrame:
     turns = lines.filter(kind.isin("session.model_change", "assistant.message")).select(
         "path", "session_date", "line_no", F.when(kind == "session.model_change", models.canonical_claude(json.strict_string(v, "$.data.newModel"))).alias("named"), json.strict_int(v, "$.data.outputTokens").alias("output")
     )
-    turns = windows.carry_forward(turns, "named", *AT, "model").filter("output is not null and model is not null")
+    turns = windows.carry_forward(in_parts(turns), "named", *AT, "model", PART).filter("output is not null and model is not null")
     streamed = turns.join(last.select("path").distinct(), "path", "left_anti")
     return final.unionByName(_rows(streamed, "copilot", model=F.col("model"), output=F.col("output")))
 
@@ -163,7 +170,7 @@ def readable_deepseek(lines: DataFrame) -> DataFrame:
     """Lines of logs whose header, if there is one, is of the one version that is known."""
     v = F.col("v")
     foreign = (json.strict_string(v, "$.type") == "session") & ~json.strict_int(v, "$.version").eqNullSafe(F.lit(0))
-    return lines.withColumn("__foreign", F.max(F.coalesce(foreign, F.lit(False))).over(Window.partitionBy("path"))).filter("not __foreign").drop("__foreign")
+    return lines.join(lines.filter(foreign).select("path"), "path", "left_anti")
 
 
 def deepseek_samples(lines: DataFrame) -> DataFrame:
@@ -176,8 +183,8 @@ def deepseek_samples(lines: DataFrame) -> DataFrame:
         json.strict_int(v, "$.data.turn").alias("turn"), json.strict_int(v, "$.data.step").alias("step"), windows.nonempty(json.strict_string(v, "$.data.message.source.model")).alias("own"),
         F.coalesce(_get(v, "$.data.chunk.usage"), _get(v, "$.data.usage")).alias("u"),
     )
-    routed = windows.carry_forward(rows, "named", *AT, "route").filter(json.is_object(F.col("u")))
-    return windows.supersede_runs(routed, ["path"], ["turn", "step"], ["line_no"]).withColumn("model", F.coalesce("own", "route"))
+    routed = windows.carry_forward(in_parts(rows), "named", *AT, "route", PART).filter(json.is_object(F.col("u")))
+    return windows.supersede_runs(routed, ["path"], ["turn", "step"], ["line_no"], PART).withColumn("model", F.coalesce("own", "route"))
 
 
 def deepseek(lines: DataFrame) -> DataFrame:
