@@ -115,20 +115,18 @@ def read_analysis(spark: SparkSession, roots: Roots, time_range: str = "all", to
 
 def analysis(spark: SparkSession, roots: Roots, time_range: str = "all", today: datetime.date | None = None, enabled: list[str] | None = None) -> dict[str, DataFrame]:
     """'by_model' and 'by_provider_model' counters, 'totals' per provider and over all, and 'days' on which a session was; 'failures'
-    and 'scan' as in usage(). A source that failed has no session."""
+    and 'scan' as in usage(). A source that failed bears no model's rows, and no day."""
     today = today or datetime.date.today()
     chosen = {p: r for p, r in _chosen(roots, enabled).items() if p != "hermes"}
     reported = _within(scans.report(spark, chosen, _since(spark, time_range, today)), time_range, today)
     done, sessions, models = read_analysis(spark, roots, time_range, today, enabled)
-    failed = reported.filter("NOT parsed").select("path")
-    done, sessions = done.join(failed, "path", "left_anti"), sessions.join(failed, "path", "left_anti")
     counted = sessions.select("provider", "path").join(ops.session_totals(done, ["path"]), "path", "left").fillna(0)
     fanned = ops.fan_out(counted, models, ["provider", "path"])
     return {
         "by_model": ops.by_model(fanned).orderBy("model"),
         "by_provider_model": ops.by_model(fanned, ["provider", "model"]).orderBy("provider", "model"),
         "totals": ops.by_provider(fanned),
-        "days": ops.active_dates(sessions),
+        "days": ops.active_dates(sessions.join(reported.filter("NOT parsed").select("path"), "path", "left_anti")),
     } | _scanned(reported)
 
 
