@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tokentide.functions import formats, tokens
 from tokentide.operators import export, usage
-from tokentide.schemas import PRICES, REQUEST_USAGE
+from tokentide.schemas import OPERATIONS, PRICES, REQUEST_USAGE, SESSIONS
 from tokentide.streaming.incremental import refresh
 
 
@@ -92,3 +92,12 @@ def test_running_sums_of_a_stream(spark, tmp_path):
     run = sums.start()
     assert run.awaitTermination(120)
     assert {tuple(r) for r in spark.table("running_sums").collect()} == {("codex", 3), ("claude", 5)}
+
+
+def test_dataset_has_logs_by_path_and_stores_by_date(spark):
+    import datetime
+
+    sources = [("opencode", "/a.db#1", 3), ("opencode", "/a.db#2", 1), ("claude", "/b", 1), ("claude", "/a", 2), ("cursor", "/c#2", 2), ("cursor", "/c#1", 2)]
+    sessions = spark.createDataFrame([(p, path, "s", datetime.date(2024, 1, d), 0, "", "") for p, path, d in sources], SESSIONS)
+    rows = export.analysis_dataset(spark.createDataFrame([], OPERATIONS), sessions, spark.createDataFrame([], REQUEST_USAGE)).collect()
+    assert [r["path"] for r in rows] == ["/a", "/b", "/a.db#2", "/a.db#1", "/c#1", "/c#2"]

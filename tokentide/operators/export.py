@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from tokentide.functions import tokens as t
 from tokentide.operators.analysis import COUNTERS, session_totals
-from tokentide.schemas import NAMES
+from tokentide.schemas import NAMES, STORES
 
 
 def usage_json(priced: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def _details(op: str, extra: list[tuple[str, str]], bare: bool = True) -> Column
 
 
 def analysis_dataset(operations: DataFrame, sessions: DataFrame, requests: DataFrame, user: str = "", machine: str = "", version: str = "") -> DataFrame:
-    """(provider, path, value): one JSON document per session, in the order of providers, dates and sources."""
+    """(provider, path, value): one JSON document per session: providers in scan order, logs by path, sessions of stores by date and source."""
     counts = session_totals(operations, ["path"])
     details = operations.groupBy("path").agg(
         _details("write", [("content", "content")]).alias("writeFileDetails"), _details("read", [], bare=False).alias("readFileDetails"),
@@ -75,8 +75,8 @@ def analysis_dataset(operations: DataFrame, sessions: DataFrame, requests: DataF
     record = F.struct(*[fields[n].alias(n) for n in sorted(fields)])
     name = F.create_map(*[F.lit(x) for pair in EXTENSIONS.items() for x in pair])[F.col("provider")]
     document = F.struct(name.alias("extensionName"), F.lit(version).alias("insightsVersion"), F.lit(machine).alias("machineId"), F.array(record).alias("records"), F.lit(user).alias("user"))
-    rank = F.array_position(F.array(*[F.lit(n) for n in NAMES]), F.col("provider"))
-    return rows.orderBy(rank, "session_date", "path").select("provider", "path", F.to_json(document).alias("value"))
+    stored = F.when(F.col("provider").isin(STORES), F.col("session_date"))
+    return rows.orderBy(scan_rank(F.col("provider")), stored, "path").select("provider", "path", F.to_json(document).alias("value"))
 
 
 def _flat(value: object, path: str) -> Iterator[tuple[str, str]]:

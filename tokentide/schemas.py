@@ -17,6 +17,8 @@ PROVIDERS = [
     ("hermes", 8, "Hermes", "stored", False),
 ]
 NAMES = [p[0] for p in PROVIDERS]
+#: Providers that keep stores rather than logs. Fixed values.
+STORES = ["opencode", "cursor", "hermes"]
 #: Order in which a merged row takes its matched model. Fixed values.
 MATCH_ORDER = ["claude", "codex", "copilot", "gemini", "deepseek", "grok", "opencode", "cursor", "hermes"]
 

@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokentide.operators import diagnostics, export
+from tokentide.schemas import STORES
 from tokentide.sources import accounting, cursor, logs, operations, sqlite
 
 VERSIONS = "provider string, path string, session_date date, modified timestamp, length bigint"
 #: ``parsed``: the source's rows count. ``lasting``: reading it again is of no use until it changes.
 REPORT = "provider string, path string, session_date date, records bigint, malformed bigint, recognized bigint, relevant bigint, normalized bigint, parsed boolean, error string, lasting boolean"
-STORES = ["opencode", "cursor", "hermes"]
 #: How the error of a source begins whose rows count, though some records were lost.
 PARTLY = "partially parsed:"
 #: Bytes that a reader may skip at the start of a file, for its byte order mark.
