@@ -48,6 +48,12 @@ def test_formats(spark):
     assert [tuple(r) for r in rows] == [("999", "$0.01"), ("1.00M", "-$1,234.50"), ("1.50K", "$0.00")]
 
 
+def test_compact_numbers_round_as_doubles(spark):
+    """1.005 is a little less than it looks; the SQL of format_compact gives the same."""
+    rows = spark.createDataFrame([(1_005,), (-9_915,), (9_745_000_000,), (12_350,), (1_015,), (1_005_000,)], "n bigint").select(formats.compact(F.col("n"))).collect()
+    assert [r[0] for r in rows] == ["1.00K", "-9.91K", "9.74B", "12.4K", "1.01K", "1.00M"]
+
+
 def test_refresh_reads_only_what_changed(spark, tmp_path):
     read = []
 

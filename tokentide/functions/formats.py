@@ -14,7 +14,8 @@ def number(n: Column) -> Column:
 
 
 def _fixed(x: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", F.round(x, digits))
+    """So many decimals, rounded as doubles are: round(x, digits) would round the shortest decimal form, 1.005 to 1.01, though 1.005 * 100 is below 100.5."""
+    return F.format_string(f"%.{digits}f", F.round(x * 10**digits) / 10**digits)
 
 
 def compact(n: Column) -> Column:
