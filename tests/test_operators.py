@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tokentide.functions import formats, tokens
 from tokentide.operators import export, usage
+from tokentide.plans import usage_queries
 from tokentide.schemas import OPERATIONS, PRICES, REQUEST_USAGE, SESSIONS
 from tokentide.streaming.incremental import refresh
 
@@ -107,3 +108,22 @@ def test_dataset_has_logs_by_path_and_stores_by_date(spark):
     sessions = spark.createDataFrame([(p, path, "s", datetime.date(2024, 1, d), 0, "", "") for p, path, d in sources], SESSIONS)
     rows = export.analysis_dataset(spark.createDataFrame([], OPERATIONS), sessions, spark.createDataFrame([], REQUEST_USAGE)).collect()
     assert [r["path"] for r in rows] == ["/a", "/b", "/a.db#2", "/a.db#1", "/c#1", "/c#2"]
+
+
+@pytest.fixture(scope="module")
+def much_money(spark, tmp_path_factory):
+    """Two requests whose costs, 5 * 10^18 nano-dollars each, pass 64 bits together."""
+    folder = tmp_path_factory.mktemp("money")
+    spark.createDataFrame([(1, "Brand#12", "STEEL", 1)], "p_partkey bigint, p_brand string, p_type string, p_size int").write.parquet(f"{folder}/part.parquet")
+    rows = [(i, 1, supplier, 2, 1.0, 5e9, 0.0, 0.0, "2001-01-01") for i, supplier in enumerate((6, 8))]
+    columns = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_shipdate string"
+    spark.createDataFrame(rows, columns).write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name, keys", [("provider_totals", {"opencode", "hermes", None})])
+def test_money_passes_64_bits(spark, small, much_money, name, keys):
+    query = getattr(usage_queries, name)
+    costs = {r[0]: int(r.cost_nanos) for r in query(spark, much_money).collect()}
+    assert set(costs) == keys and max(costs.values()) == 10**19
+    assert dict(query(spark, small).dtypes)["cost_nanos"] == "bigint"

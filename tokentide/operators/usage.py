@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tokentide.functions import tokens as t
 from tokentide.functions.models import is_synthetic, without_provider
@@ -26,6 +27,11 @@ def derived_total() -> Column:
     return sum((F.coalesce(F.col(b), F.lit(0)) for b in [*t.BUCKETS, "tool_tokens"]), F.lit(0).cast("bigint"))
 
 
+def exact(rows: DataFrame, column: str) -> Column:
+    """Integer money as decimals, whose sums and products do not end at 64 bits; other types as they are."""
+    return F.col(column).cast("decimal(20,0)") if isinstance(rows.schema[column].dataType, IntegralType) else F.col(column)
+
+
 def real(requests: DataFrame) -> DataFrame:
     """Claude and Codex name some models synthetic; those are no usage."""
     named = F.col("provider").isin("claude", "codex") & is_synthetic(F.col("model"))
@@ -39,7 +45,7 @@ def roll_up(requests: DataFrame, keys: list[str]) -> DataFrame:
     sums = [F.sum(c).cast("bigint").alias(c) for c in SUMS]
     parts = real(requests).groupBy(*keys).agg(
         *sums,
-        F.sum("stored_cost").alias("stored_cost"),
+        F.sum(exact(requests, "stored_cost")).alias("stored_cost"),
         F.sum(F.when(nested, F.coalesce("published_total", derived_total()))).alias("__codex"),
         F.sum(F.when(~nested, F.col("published_total"))).alias("__published"),
         F.sum(F.when(~nested, derived_total())).alias("__derived"),
@@ -64,17 +70,18 @@ def price(summed: DataFrame, prices: DataFrame, resolved: DataFrame | None = Non
     """Cost of (provider, model): its tier slices billed at their levels, by the provider's policy.
 
     ``summed``: roll_up by provider, model, tier_level. ``resolved``: resolve_models of its models,
-    if it is there already. ``by_key`` tells whether the model is a key of the price list.
+    if it is there already. ``by_key`` tells whether the model is a key of the price list. Money that
+    comes as integers is billed and summed as decimals.
     """
     basis = F.create_map(*[F.lit(x) for p in PROVIDERS for x in (p[0], p[3])])
     resolved = resolve_models(summed.select("model"), prices) if resolved is None else resolved
     leveled = prices.select("model_key", t.level_prices(F.col("base"), F.col("levels"), F.col("ranged")).alias("prices"), F.col("web_search").alias("query_price"))
     found = summed.join(resolved, "model", "left").join(leveled, "model_key", "left")
     at = t.price_of(F.col("prices"), F.col("tier_level"))
-    slices = {b: F.col(b) for b in t.BUCKETS}
-    searches = F.coalesce("web_search", F.lit(0)) * F.coalesce("query_price", F.lit(0))
+    slices = {b: exact(found, b) for b in t.BUCKETS}
+    searches = F.coalesce(exact(found, "web_search"), F.lit(0)) * F.coalesce("query_price", F.lit(0))
     billed = t.bill(at, slices) + searches
-    gauged = billed + F.when(at["cache_read"] > 0, F.lit(0)).otherwise(F.col("cache_read") * at["input"])
+    gauged = billed + F.when(at["cache_read"] > 0, F.lit(0)).otherwise(slices["cache_read"] * at["input"])
     cost_basis = basis[F.col("provider")]
     keyed = F.coalesce(F.col("stage") == "exact", F.lit(False))
     amount = t.cost_by_policy(cost_basis, F.when(keyed, billed), billed, F.lit(0), gauged)

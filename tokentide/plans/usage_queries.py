@@ -118,6 +118,16 @@ def nanos(column: str = "cost_usd") -> Column:
     return F.col(column).cast("bigint").alias("cost_nanos")
 
 
+def whole_nanos(rows: DataFrame, column: str = "cost_nanos") -> DataFrame:
+    """Summed money as BIGINT, as the SQL has it; as DECIMAL(38, 0) where a sum passes 64 bits, for which the SQL fails.
+
+    The few summed rows are persisted, so that looking at them costs no second run.
+    """
+    rows = rows.persist()
+    most = rows.agg(F.max(F.abs(column))).first()[0]
+    return rows.withColumn(column, F.col(column).cast("bigint" if most is None or most < 2**63 else "decimal(38,0)"))
+
+
 @query(f"WITH {BILLED} SELECT model, sum(cost_nanos)::BIGINT AS cost_nanos, {SQL_SUMS} FROM policy GROUP BY model")
 def usage_priced_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: usage by model, priced by the tier of each request and the policy of its provider."""
@@ -165,7 +175,7 @@ def merged_row_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BILLED} SELECT provider, sum(cost_nanos)::BIGINT AS cost_nanos, {SQL_SUMS} FROM policy GROUP BY ROLLUP (provider)")
 def provider_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usage.provider_totals(priced(spark, sf_dir)).select("provider", nanos(), *SUMS)
+    return whole_nanos(usage.provider_totals(priced(spark, sf_dir)).select("provider", F.col("cost_usd").alias("cost_nanos"), *SUMS))
 
 
 @query(f"WITH {REQUESTS} SELECT provider, count(DISTINCT session_date) AS days FROM requests WHERE input <> 0 OR output <> 0 OR cache_read <> 0 OR reasoning <> 0 OR web_search <> 0 OR stored <> 0 GROUP BY ROLLUP (provider)")
