@@ -163,7 +163,7 @@ def web_search_surcharge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BILLED} SELECT regexp_replace(model, '^[^/]*/', '') AS model, sum(cost_nanos)::BIGINT AS cost_nanos, {SQL_SUMS} FROM policy GROUP BY 1")
 def base_model_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usage.merge_bases(priced(spark, sf_dir)).select("model", nanos(), *SUMS)
+    return whole_nanos(usage.merge_bases(priced(spark, sf_dir)).select("model", F.col("cost_usd").alias("cost_nanos"), *SUMS))
 
 
 @query(f"""WITH {BILLED} SELECT model, sum(cost_nanos)::BIGINT AS cost_nanos,
