@@ -170,7 +170,7 @@ def base_model_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     arg_min(matched_model, list_position(['claude','codex','copilot','gemini','deepseek','grok','opencode','cursor','hermes'], provider)) FILTER (WHERE matched_model IS NOT NULL) AS matched_model
     FROM policy GROUP BY model""")
 def merged_row_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usage.merge_providers(priced(spark, sf_dir)).select("model", nanos(), "matched_model")
+    return whole_nanos(usage.merge_providers(priced(spark, sf_dir)).select("model", F.col("cost_usd").alias("cost_nanos"), "matched_model"))
 
 
 @query(f"WITH {BILLED} SELECT provider, sum(cost_nanos)::BIGINT AS cost_nanos, {SQL_SUMS} FROM policy GROUP BY ROLLUP (provider)")
