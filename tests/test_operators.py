@@ -121,7 +121,7 @@ def much_money(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name, keys", [("provider_totals", {"opencode", "hermes", None}), ("base_model_merge", {"brand-12"}), ("merged_row_cost", {"steel/brand-12"})])
+@pytest.mark.parametrize("name, keys", [("provider_totals", {"opencode", "hermes", None}), ("base_model_merge", {"brand-12"}), ("merged_row_cost", {"steel/brand-12"}), ("usage_priced_tiers", {"steel/brand-12"})])
 def test_money_passes_64_bits(spark, small, much_money, name, keys):
     query = getattr(usage_queries, name)
     costs = {r[0]: int(r.cost_nanos) for r in query(spark, much_money).collect()}

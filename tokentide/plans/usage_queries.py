@@ -131,7 +131,7 @@ def whole_nanos(rows: DataFrame, column: str = "cost_nanos") -> DataFrame:
 @query(f"WITH {BILLED} SELECT model, sum(cost_nanos)::BIGINT AS cost_nanos, {SQL_SUMS} FROM policy GROUP BY model")
 def usage_priced_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: usage by model, priced by the tier of each request and the policy of its provider."""
-    return usage.summary(usage.merge_providers(priced(spark, sf_dir))).select("model", nanos(), *SUMS)
+    return whole_nanos(usage.summary(usage.merge_providers(priced(spark, sf_dir))).select("model", F.col("cost_usd").alias("cost_nanos"), *SUMS))
 
 
 @query(f"WITH {BILLED} SELECT provider, model, cost_nanos, matched_model FROM policy")
