@@ -109,3 +109,44 @@ def test_rows_that_repeat_an_id_count_once(spark):
     docs = spark.createDataFrame([(1, f"good words number {i}") for i in range(500)] + [(2, "bad")], "doc_id bigint, text string")
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")
     assert ranking.labelled_sample(docs, labels, "doc_id", "text", "quality", 10).count() == 2
+
+
+def test_all_labelled_rows_are_learnt_from(spark):
+    """7,000 labelled rows; the weights are those of all pairs in memory, the cut that of all scores."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(rng.choice(words[: 200 if i % 3 else 300], 6)), int(i % 3 > 0)) for i in range(7_000)]
+    both = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
+    model = ranking.learn(both.select("doc_id", "text"), both.select("doc_id", "quality"))
+    x = np.array([ranking.features(t.encode()) for _, t, _ in rows])
+    good = np.array([q == 1 for _, _, q in rows])
+    assert np.allclose(model.mean, x.mean(0), rtol=1e-10, atol=1e-12)
+    z = (x - model.mean) / model.spread
+    w = ranking.fit_weights(z[good], z[~good])
+    assert np.abs(model.weights - w).max() < 1e-9 and np.abs(w).max() > 0.1
+    cut, quantile = ranking.best_cut(np.array([model.weights @ row for row in z]), good)
+    assert abs(model.cut - cut) < 1e-9 and model.quantile == quantile
+
+
+def test_cells_give_a_smooth_function():
+    scores = np.linspace(-30, 30, 1001)
+    cell, weights = ranking.cells(scores)
+    for f in (lambda t: 1 / (1 + np.exp(t - 0.7)), lambda t: 1 / np.cosh((t - 0.7) / 2) ** 2 / 4):
+        got = [by @ f(ranking._nodes([c])) for c, by in zip(cell, weights)]
+        assert np.abs(got - f(scores)).max() < 1e-10
+
+
+def test_cut_of_a_table(spark):
+    rng = np.random.default_rng(5)
+    for good in (rng.random(400) < 0.6, np.zeros(400, bool), np.ones(400, bool)):
+        z = rng.normal(good * 1.0, 1)
+        table = spark.createDataFrame([(float(a), int(b)) for a, b in zip(z, good)], "z double, __good int")
+        assert ranking.cut_rows(table) == ranking.best_cut(z, good)
+
+
+def test_many_labels_are_joined_by_shuffle(spark, small, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{small}/{name}.parquet") for name in ("documents", "labels"))
+    sample = lambda: sorted(map(tuple, ranking.labelled_sample(docs, labels, "doc_id", "text", "quality").collect()))
+    few = sample()
+    monkeypatch.setattr(ranking, "BROADCAST_LABELS", 0)
+    assert sample() == few and len(few) > 50
