@@ -1,5 +1,6 @@
 import math
 import re
+import time
 
 import numpy as np
 import xxhash
@@ -128,6 +129,39 @@ def test_all_labelled_rows_are_learnt_from(spark):
     assert abs(model.cut - cut) < 1e-9 and model.quantile == quantile
 
 
+def test_what_is_shuffled_follows_the_rows(spark):
+    """A table of features in 16 files: sums do not take disk by the file, and are gone from it when learning ends."""
+    held = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "64k"}
+    docs = spark.range(640).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.hash("id"), F.hash("id", "id"), F.when(F.col("id") % 3 > 0, "plain prose").otherwise("### $$$")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 > 0).cast("int").alias("quality"))
+    sc, before = spark.sparkContext, {k: spark.conf.get(k) for k in held}
+    left = lambda: {str(f) for f in iter_java(sc._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    old = left()
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("learning", "")
+        model = ranking.learn(docs, labels)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup("learning") for s in sc.statusTracker().getJobInfo(j).stageIds}
+    moved = sum(sc._jsc.sc().statusStore().lastStageAttempt(s).shuffleWriteBytes() for s in stages)
+    assert np.abs(model.weights).max() > 0.1 and len(stages) > 10
+    assert 0 < moved < 16 * 8 * ranking.FEATURES**2
+    until = time.time() + 10
+    while left() - old and time.time() < until:
+        time.sleep(0.1)
+    assert not left() - old
+
+
+def iter_java(seq):
+    it = seq.iterator()
+    while it.hasNext():
+        yield it.next()
+
+
 def test_cells_give_a_smooth_function():
     scores = np.linspace(-30, 30, 1001)
     cell, weights = ranking.cells(scores)

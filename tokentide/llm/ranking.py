@@ -23,7 +23,7 @@ from numpy.polynomial.chebyshev import chebvander
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokentide.llm.scratch import discard, written
+from tokentide.llm.scratch import discard, released, written
 from tokentide.llm.stats import text_counts
 from tokentide.llm.text import LOWER_ASCII, lowered_words, map_texts
 from tokentide.llm.wordhash import FACTORS, WordHashes, mix
@@ -165,8 +165,10 @@ def _nodes(of_cells: list[int]) -> np.ndarray:
     return (WIDTH * (np.array(of_cells, float)[:, None] + (_PLACES + 1) / 2)).ravel()
 
 
-#: Rows at a time in a task; numbers in a row of a shuffle of sums.
+#: Rows at a time in a task, and on average at least where its sums are large; numbers in a row of a shuffle of sums.
 CHUNK, PIECE = 2_048, 1 << 15
+#: Places of a symmetric matrix that tell the rest.
+_UPPER = np.triu_indices(FEATURES)
 _SUMS = "name string, piece int, x binary"
 
 
@@ -208,12 +210,15 @@ def summed(rows: DataFrame, parts: Callable[[np.ndarray, np.ndarray], dict[str,
     return {name: np.concatenate(x) for name, x in out.items()}
 
 
-def fit_rows(rows: DataFrame, mean: np.ndarray, spread: np.ndarray, pairs: int) -> np.ndarray:
-    """``fit_weights`` of a table of (__good, x), standardised, whose good and bad rows make so many pairs.
+def fit_rows(rows: DataFrame, mean: np.ndarray, spread: np.ndarray, good: int, bad: int) -> np.ndarray:
+    """``fit_weights`` of a table of (__good, x), standardised, that holds so many good and bad rows.
 
     A round is two passes. The first sums how good and bad scores lie in cells, from which the driver finds, at the nodes,
     how much all partners pull a score; the second sums rows by their pull, and by cells for the products of partners.
+    A task's sums of the second take megabytes whatever it reads, so tasks are no more than chunks of rows: what is
+    shuffled follows the rows and not the pieces that their table lies in.
     """
+    pairs, rows = good * bad, rows.coalesce(-(-(good + bad) // CHUNK))
 
     def by_cell(z: np.ndarray, w: np.ndarray, good: np.ndarray) -> Iterator[tuple[bool, int, np.ndarray, np.ndarray]]:
         cell, weights = cells(z @ w)
@@ -240,12 +245,14 @@ def fit_rows(rows: DataFrame, mean: np.ndarray, spread: np.ndarray, pairs: int)
                 pull, slope = at_nodes[side, c]
                 bent[at] = weights @ slope
                 _add(out, {"pull": (1 if side else -1) * ((weights @ pull) @ some), f"{side:d} {c}": weights.T @ some})
-            return out | {"curve": (z.T * bent) @ z}
+            return out | {"curve": ((z.T * bent) @ z)[_UPPER]}
 
         got = summed(rows, parts)
         firsts, seconds = (np.concatenate([got[f"{side:d} {c}"].reshape(NODES, -1) for c in held[side]]) for side in (True, False))
         cross = firsts.T @ (slopes @ seconds)
-        return got["pull"] / pairs, (got["curve"].reshape(FEATURES, FEATURES) - cross - cross.T) / pairs
+        curve = np.zeros((FEATURES, FEATURES))
+        curve[_UPPER] = got["curve"]
+        return got["pull"] / pairs, (curve + np.triu(curve, 1).T - cross - cross.T) / pairs
 
     return _newton(FEATURES, terms)
 
@@ -290,26 +297,27 @@ def learn(
     Labels that are null or neither 0 nor 1, null ids and labels without a document are left out.
     Without a label of either kind, every document scores CUT.
     """
-    rows = written(labelled_sample(docs, labels, id_col, text_col, label_col, most), "op8-features")
-    try:
-        sums = summed(rows, lambda x, good: {"count": np.array([good.sum(), (~good).sum()]), "x": x.sum(0), "xx": (x * x).sum(0)})
-        good, bad = map(int, sums.get("count", (0, 0)))
-        if not good or not bad:
-            return Ranker(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), 0.0, 0.0)
-        mean = sums["x"] / (good + bad)
-        spread = np.maximum(np.sqrt(np.maximum(sums["xx"] / (good + bad) - mean * mean, 0)), 1e-6)
-        for part in (slice(SURFACE, SURFACE + WORD_CELLS), slice(SURFACE + WORD_CELLS, FEATURES)):  # one scale for all cells of a kind
-            spread[part] = np.sqrt((spread[part] ** 2).sum())
-        w = fit_rows(rows, mean, spread, good * bad)
-
-        def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                z = [float(w @ ((np.frombuffer(x, float) - mean) / spread)) for x in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.float64())], names=["__good", "z"])
-
-        return Ranker(mean, spread, w, *cut_rows(rows.mapInArrow(scored, "__good int, z double")))
-    finally:
-        discard(rows)
+    with released(docs.sparkSession):
+        rows = written(labelled_sample(docs, labels, id_col, text_col, label_col, most), "op8-features")
+        try:
+            sums = summed(rows, lambda x, good: {"count": np.array([good.sum(), (~good).sum()]), "x": x.sum(0), "xx": (x * x).sum(0)})
+            good, bad = map(int, sums.get("count", (0, 0)))
+            if not good or not bad:
+                return Ranker(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), 0.0, 0.0)
+            mean = sums["x"] / (good + bad)
+            spread = np.maximum(np.sqrt(np.maximum(sums["xx"] / (good + bad) - mean * mean, 0)), 1e-6)
+            for part in (slice(SURFACE, SURFACE + WORD_CELLS), slice(SURFACE + WORD_CELLS, FEATURES)):  # one scale for all cells of a kind
+                spread[part] = np.sqrt((spread[part] ** 2).sum())
+            w = fit_rows(rows, mean, spread, good, bad)
+
+            def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    z = [float(w @ ((np.frombuffer(x, float) - mean) / spread)) for x in batch.column(1).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.float64())], names=["__good", "z"])
+
+            return Ranker(mean, spread, w, *cut_rows(rows.mapInArrow(scored, "__good int, z double")))
+        finally:
+            discard(rows)
 
 
 def score_documents(docs: DataFrame, model: Ranker, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,15 +34,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Queries made and run within let go of their shuffle files as they end, not when the driver collects its garbage."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def write_table(df: DataFrame, path: str) -> None:
     """Write ``df`` as Parquet and let go of its shuffle files: who reads the table needs them no more."""
-    conf = df.sparkSession.conf
-    before = conf.get(_CLEANUP, "false")
-    conf.set(_CLEANUP, "true")
-    try:
+    with released(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        conf.set(_CLEANUP, before)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
